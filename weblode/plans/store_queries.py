@@ -278,14 +278,14 @@ def dedup_two_keys(spark, folder):
 
 
 @query(
-    _with_store("""SELECT min(seq) AS seq, lower(filename) AS name FROM store t WHERE NOT is_accessible AND source_url NOT IN (SELECT source_url FROM store WHERE summary_status = 'complete')
-  AND lower(filename) NOT IN (SELECT lower(filename) FROM store WHERE summary_status = 'complete') GROUP BY 2""")
+    _with_store("""SELECT min(seq) AS seq, lower(filename) AS name FROM store t WHERE NOT is_accessible AND source_url NOT IN (SELECT source_url FROM store WHERE summary_status = 'complete' AND extension = '.pdf')
+  AND lower(filename) NOT IN (SELECT lower(filename) FROM store WHERE summary_status = 'complete' AND extension = '.pdf') GROUP BY 2""")
 )
 def new_after_retry(spark, folder):
     docs = stored_documents(spark, folder).withColumnRenamed("source_url", "url")
     columns = ["seq", "url", "filename"]
     found = docs.filter(~F.col("is_accessible")).select(*columns)
-    known = docs.filter("summary_status = 'complete'").select(*columns)
+    known = docs.filter("summary_status = 'complete' AND extension = '.pdf'").select(*columns)
     return new_documents(found, known).select("seq", F.lower("filename").alias("name"))
 
 
