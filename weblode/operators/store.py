@@ -148,6 +148,11 @@ def delete_documents(store: DataFrame, blobs: DataFrame, ids: list[str]) -> tupl
     return kept, blobs.join(doomed, "gridfs_id", "left_anti")
 
 
+def delete_matching(store: DataFrame, doomed: DataFrame) -> DataFrame:
+    """The snapshot without the documents whose ``_id`` is in a table."""
+    return store.join(doomed.select("_id"), "_id", "left_anti")
+
+
 def document_count(store: DataFrame) -> DataFrame:
     return store.agg(F.count("*").alias("documents"))
 
