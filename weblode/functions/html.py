@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from weblode.functions.binding import bind
 from weblode.functions.text import strip
 from weblode.lookups import SCRIPT_REDIRECT_MARKERS
 
@@ -27,15 +28,16 @@ _ATTRIBUTE = (
 )
 _HREF = _ATTRIBUTE.format(tag="a", name="href")
 _SRC = _ATTRIBUTE.format(tag="(?:embed|object|iframe)", name="src")
+_QUOTES = r"""^["']|["']$"""
 _ENTITIES = (("&quot;", '"'), ("&#39;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
 _RARE_ENTITY = r"&(?!(?:quot|#39|lt|gt|amp);)(?:#[0-9]|#[xX][0-9a-fA-F]|[A-Za-z][A-Za-z0-9]*;)"
 
 LINK_FIELDS = T.ArrayType(T.StructType().add("kind", "string").add("href", "string"))
 
 
-def _unescape(value: Column) -> Column:
+def _unescape(value: str) -> str:
     for entity, char in _ENTITIES:
-        value = F.replace(value, F.lit(entity), F.lit(char))
+        value = f"replace({value}, {_sql_text(entity)}, {_sql_text(char)})"
     return value
 
 
@@ -80,12 +82,23 @@ def needs_parser(html: Column, tags: Column) -> Column:
     return F.exists(tags, lambda tag: tag.rlike("(?is)" + odd)) | F.contains(html, F.lit("<![CDATA["))
 
 
-def _tag_link(tag: Column) -> Column:
-    anchor = tag.rlike(r"(?i)^<a[\s/]")
-    raw = F.when(anchor, F.regexp_extract(tag, _HREF, 1)).otherwise(F.regexp_extract(tag, _SRC, 1))
-    value = F.regexp_replace(raw, r"""^["']|["']$""", "")
-    return F.struct(
-        F.when(anchor, F.lit("anchor")).otherwise(F.lit("embed")).alias("kind"), _unescape(value).alias("href")
+def _sql_text(pattern: str) -> str:
+    """A pattern as a SQL string literal."""
+    return "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _tag_link(tag: str) -> str:
+    """SQL: ``struct(kind, href)`` of a start tag; the address is empty where the tag has none."""
+    return bind(
+        f"{tag} RLIKE {_sql_text(r'(?i)^<a[\s/]')}",
+        lambda anchor: (
+            f"named_struct('kind', CASE WHEN {anchor} THEN 'anchor' ELSE 'embed' END, 'href', "
+            + _unescape(
+                f"regexp_replace(CASE WHEN {anchor} THEN regexp_extract({tag}, {_sql_text(_HREF)}, 1) "
+                f"ELSE regexp_extract({tag}, {_sql_text(_SRC)}, 1) END, {_sql_text(_QUOTES)}, '')"
+            )
+            + ")"
+        ),
     )
 
 
@@ -97,16 +110,15 @@ def with_page_links(pages: DataFrame, name: str = "found", parser_fallback: bool
     whatever their scheme.  Steps are separate columns so each pattern runs once over the page.
     """
     tagged = pages.withColumn("_tags", start_tags(F.col("html")))
-    found = F.transform("_tags", _tag_link)
+    found = F.expr(f"transform(_tags, tag -> {_tag_link('tag')})")
     if parser_fallback:
         tagged = tagged.withColumn("_hard", needs_parser(F.col("html"), F.col("_tags")))
         tagged = tagged.withColumn("_parsed", _parsed_links(F.when(F.col("_hard"), F.col("html"))))
         found = F.when(F.col("_hard"), F.col("_parsed")).otherwise(found)
     trimmed = F.transform(found, lambda x: F.struct(x["kind"].alias("kind"), strip(x["href"]).alias("href")))
-    kept = F.filter(
-        trimmed,
-        lambda x: (x["href"] != "")
-        & ((x["kind"] == "embed") | ~x["href"].rlike(r"^(?:#|javascript:|mailto:|tel:)")),
+    dropped = _sql_text("^(?:#|javascript:|mailto:|tel:)")
+    kept = F.call_function(
+        "filter", trimmed, F.expr(f"x -> x.href <> '' AND (x.kind = 'embed' OR NOT x.href RLIKE {dropped})")
     )
     return tagged.withColumn(name, kept).drop("_tags", "_hard", "_parsed")
 

@@ -3,7 +3,9 @@
 Every function accepts any string: splitting is by the generic URI pattern, never by a strict URL
 parser that rejects spaces or odd escapes.  Nothing here leaves the JVM, so the expressions stay in
 the scan stage.  Dot-segment removal and query re-encoding use higher-order functions and sit behind
-a ``when`` that only the few URLs needing them pass.
+a ``CASE`` that only the few URLs needing them pass.
+
+Names with a leading underscore take and return SQL text; the public functions work on columns.
 """
 
 from __future__ import annotations
@@ -11,294 +13,315 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from weblode.functions.binding import let
+from weblode.functions.binding import apply, bind, quoted
 from weblode.lookups import HTML_EXTENSIONS, SKIP_URL_PATTERN, TRACKING_PARAMS
 
 _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
+# Only hierarchical schemes have ";parameters".
+_WITH_PARAMS = rf"(?i)^(?:(?:https?|ftp|sftp|rtspu?|sips?|mms|tel|shttp|hdl|prospero):|(?!{_SCHEME}:))"
+# Rooted references without dot segments, parameters, query or fragment: resolved by gluing.
+_SIMPLE_ROOTED = r"^/(?:[^/.?#;\s\[\]][^/?#;\s\[\]]*/)*(?:[^/.?#;\s\[\]][^/?#;\s\[\]]*)?$"
 
 
-def tidy(url: Column) -> Column:
+# --- parts ------------------------------------------------------------------------------------
+
+
+def _tidy(url: str) -> str:
     """Drop leading control characters and spaces, and tabs or line breaks anywhere."""
-    return F.regexp_replace(url, r"^[\x00-\x20]+|[\t\r\n]", "")
+    return rf"regexp_replace({url}, r'^[\x00-\x20]+|[\t\r\n]', '')"
 
 
-def scheme_of(url: Column) -> Column:
-    return F.lower(F.regexp_extract(url, rf"^({_SCHEME}):", 1))
+def _scheme(url: str) -> str:
+    return f"lower(regexp_extract({url}, r'^({_SCHEME}):', 1))"
 
 
-def netloc_of(url: Column) -> Column:
-    """Authority part as written: user info, host and port."""
-    return F.regexp_extract(url, rf"^(?:{_SCHEME}:)?//([^/?#]*)", 1)
+def _netloc(url: str) -> str:
+    """Authority as written: user info, host and port."""
+    return f"regexp_extract({url}, r'^(?:{_SCHEME}:)?//([^/?#]*)', 1)"
+
 
+def _raw_path(url: str) -> str:
+    return f"regexp_extract({url}, r'^(?:{_SCHEME}:)?(?://[^/?#]*)?([^?#]*)', 1)"
 
-def _raw_path(url: Column) -> Column:
-    return F.regexp_extract(url, rf"^(?:{_SCHEME}:)?(?://[^/?#]*)?([^?#]*)", 1)
 
+def _without_params(raw_path: str) -> str:
+    # They belong to the last segment only.
+    return f"regexp_replace({raw_path}, r';[^/]*$', '')"
 
-def _without_params(raw_path: Column) -> Column:
-    # ";params" belong to the last segment only.
-    return F.regexp_replace(raw_path, r";[^/]*$", "")
 
+def _query(url: str) -> str:
+    return rf"regexp_extract({url}, r'^[^?#]*\?([^#]*)', 1)"
 
-def _has_params(url: Column) -> Column:
-    # Only hierarchical schemes have parameters.
-    return url.rlike(r"(?i)^(?:(?:https?|ftp|sftp|rtspu?|sips?|mms|tel|shttp|hdl|prospero):|(?!%s:))" % _SCHEME)
 
+def _split(url: str) -> str:
+    """``struct(scheme, netloc, path, params, query)``; ``params`` keeps its ``;``, empty marks are dropped."""
 
-def path_of(url: Column) -> Column:
-    return _without_params(_raw_path(url))
+    def parts(u: str) -> str:
+        return bind(
+            f"named_struct('raw', {_raw_path(u)}, 'has', {u} RLIKE r'{_WITH_PARAMS}')",
+            lambda p: (
+                f"named_struct('scheme', {_scheme(u)}, 'netloc', {_netloc(u)}, "
+                f"'path', CASE WHEN {p}.has THEN {_without_params(f'{p}.raw')} ELSE {p}.raw END, "
+                f"'params', CASE WHEN {p}.has THEN regexp_extract({p}.raw, r'(;[^/]+)$', 1) ELSE '' END, "
+                f"'query', {_query(u)})"
+            ),
+        )
 
+    return bind(_tidy(url), parts)
 
-def query_of(url: Column) -> Column:
-    return F.regexp_extract(url, r"^[^?#]*\?([^#]*)", 1)
 
+def _domain(url: str) -> str:
+    return f"lower({_netloc(_tidy(url))})"
 
-def split_url(url: Column) -> Column:
-    """``struct(scheme, netloc, path, params, query)``; ``params`` keeps its ``;``, empty marks are dropped."""
-    return let(
-        tidy(url),
-        lambda u: let(
-            _raw_path(u),
-            lambda raw: F.struct(
-                scheme_of(u).alias("scheme"),
-                netloc_of(u).alias("netloc"),
-                F.when(_has_params(u), _without_params(raw)).otherwise(raw).alias("path"),
-                F.when(_has_params(u), F.regexp_extract(raw, r"(;[^/]+)$", 1)).otherwise(F.lit("")).alias("params"),
-                query_of(u).alias("query"),
-            ),
+
+def _strip_www(domain: str) -> str:
+    return rf"regexp_replace(lower({domain}), r'^www\.', '')"
+
+
+def _hostname(url: str) -> str:
+    return bind(
+        f"regexp_replace({_netloc(url)}, r'^.*@', '')",
+        lambda a: (
+            rf"lower(CASE WHEN startswith({a}, '[') THEN regexp_extract({a}, r'^\[([^\]]*)\]', 1) "
+            rf"ELSE regexp_extract({a}, r'^([^:]*)', 1) END)"
         ),
     )
 
 
-def domain_of(url: Column) -> Column:
-    """Lower-cased authority, port and user info included."""
-    return F.lower(netloc_of(tidy(url)))
+# --- joining and resolving ----------------------------------------------------------------------
 
 
-def site_of(url: Column) -> Column:
-    """Lower-cased authority without one leading ``www.``: equal sites are "internal" to each other."""
-    return strip_www(domain_of(url))
+def _rooted(path: str) -> str:
+    return f"CASE WHEN startswith({path}, '/') OR {path} = '' THEN {path} ELSE concat('/', {path}) END"
 
 
-def strip_www(domain: Column) -> Column:
-    return F.regexp_replace(F.lower(domain), r"^www\.", "")
+def _join(scheme: str, netloc: str, path: str, params: str, query: str) -> str:
+    """Put parts back together; a path is rooted only when there is an authority.
 
+    All arguments are read several times: pass names or fields.
+    """
+    return (
+        f"concat(CASE WHEN {scheme} <> '' THEN concat({scheme}, ':') ELSE '' END, "
+        f"CASE WHEN {netloc} <> '' OR startswith({path}, '//') OR ({scheme} IN ('http', 'https', 'ftp') "
+        f"AND ({path} = '' OR startswith({path}, '/'))) THEN concat('//', {netloc}) ELSE '' END, "
+        f"CASE WHEN {netloc} <> '' THEN {_rooted(path)} ELSE {path} END, {params}, "
+        f"CASE WHEN {query} <> '' THEN concat('?', {query}) ELSE '' END)"
+    )
 
-def same_site(left: Column, right: Column) -> Column:
-    return F.coalesce(site_of(left) == site_of(right), F.lit(False))
 
+def _respell(p: str) -> str:
+    return _join(f"{p}.scheme", f"{p}.netloc", f"{p}.path", f"{p}.params", f"{p}.query")
 
-def hostname_of(url: Column) -> Column:
-    """Host alone, lower-cased: no user info, no port."""
-    return let(
-        F.regexp_replace(netloc_of(url), r"^.*@", ""),
-        lambda authority: F.lower(
-            F.when(F.startswith(authority, F.lit("[")), F.regexp_extract(authority, r"^\[([^\]]*)\]", 1)).otherwise(
-                F.regexp_extract(authority, r"^([^:]*)", 1)
-            )
-        ),
+
+def _drop_fragment(url: str) -> str:
+    return f"CASE WHEN contains({url}, '#') THEN {bind(_split(url), _respell)} ELSE {url} END"
+
+
+def _clean_path(path: str) -> str:
+    """Remove ``.`` and ``..`` segments; going above the root stays at the root."""
+    walk = (
+        f"aggregate(split({path}, '/'), cast(array() AS array<string>), (acc, seg) -> "
+        "CASE WHEN seg = '..' THEN slice(acc, 1, greatest(size(acc) - 1, 0)) WHEN seg = '.' THEN acc "
+        "ELSE concat(acc, array(seg)) END)"
+    )
+    closing = rf"CASE WHEN {path} RLIKE r'(^|/)\.\.?$' THEN array('') ELSE cast(array() AS array<string>) END"
+    return (
+        rf"CASE WHEN {path} RLIKE r'(^|/)\.\.?(/|$)' THEN array_join(concat({walk}, {closing}), '/') ELSE {path} END"
     )
 
 
-# --- resolving --------------------------------------------------------------------------------
+def _resolve(ref: str, base: str, raw: str) -> str:
+    """Resolve reference parts against base parts; ``raw`` is the reference as written."""
 
+    def under_base(path: str) -> str:
+        return bind(
+            f"CASE WHEN {path} = '' THEN '/' ELSE {path} END",
+            lambda p: _join(f"{base}.scheme", f"{base}.netloc", p, f"{ref}.params", f"{ref}.query"),
+        )
 
-def _without_dots(path: Column) -> Column:
-    segments = F.split(path, "/")
-    kept = F.aggregate(
-        segments,
-        F.array().cast("array<string>"),
-        lambda acc, seg: F.when(seg == "..", F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))))
-        .when(seg == ".", acc)
-        .otherwise(F.concat(acc, F.array(seg))),
+    # A relative path replaces the last segment of the base path; runs of slashes collapse.
+    merged = (
+        f"regexp_replace(concat('/', regexp_replace({base}.path, r'[^/]*$', ''), {ref}.path), r'/{{2,}}', '/')"
     )
-    closed = F.when(path.rlike(r"(^|/)\.\.?$"), F.concat(kept, F.array(F.lit("")))).otherwise(kept)
-    return F.array_join(closed, "/")
-
+    inherited = bind(
+        f"CASE WHEN {ref}.query <> '' THEN {ref}.query ELSE {base}.query END",
+        lambda q: _join(f"{base}.scheme", f"{base}.netloc", f"{base}.path", f"{base}.params", q),
+    )
+    target = (
+        f"CASE WHEN {ref}.scheme <> '' AND {ref}.scheme <> {base}.scheme THEN {_drop_fragment(raw)} "
+        f"WHEN {ref}.netloc <> '' THEN {_join(f'{base}.scheme', f'{ref}.netloc', f'{ref}.path', f'{ref}.params', f'{ref}.query')} "
+        f"WHEN {ref}.path = '' AND {ref}.params = '' THEN {inherited} "
+        f"WHEN startswith({ref}.path, '/') THEN {bind(_clean_path(f'{ref}.path'), under_base)} "
+        f"ELSE {bind(merged, lambda m: bind(_clean_path(m), under_base))} END"
+    )
+    # Unbalanced brackets make an address no client can request.
+    authority = f"CASE WHEN {ref}.netloc <> '' THEN {ref}.netloc ELSE {base}.netloc END"
+    return bind(authority, lambda a: f"CASE WHEN contains({a}, '[') = contains({a}, ']') THEN {target} END")
 
-def _clean_path(path: Column) -> Column:
-    return F.when(path.rlike(r"(^|/)\.\.?(/|$)"), _without_dots(path)).otherwise(path)
 
+def _against(reference: str, base: str) -> str:
+    return (
+        f"CASE WHEN {reference} RLIKE r'{_SIMPLE_ROOTED}' AND NOT contains({base}.netloc, '[') "
+        f"THEN concat({base}.scheme, '://', {base}.netloc, {reference}) "
+        f"ELSE {bind(_split(reference), lambda ref: _resolve(ref, base, reference))} END"
+    )
 
-def _rooted(path: Column) -> Column:
-    return F.when(F.startswith(path, F.lit("/")) | (path == ""), path).otherwise(F.concat(F.lit("/"), path))
 
+def _with_scheme(url: str) -> str:
+    return bind(url, lambda u: f"CASE WHEN {u} RLIKE '^https?://' THEN {u} ELSE concat('https://', {u}) END")
 
-def _with_query(query: Column) -> Column:
-    return F.when(query != "", F.concat(F.lit("?"), query)).otherwise(F.lit(""))
 
+# --- crawl key --------------------------------------------------------------------------------
 
-def _join_url(scheme: Column, netloc: Column, path: Column, params: Column, query: Column) -> Column:
-    """Put URL parts back together; only ``netloc`` present forces a rooted path."""
-    full_path = F.concat(F.when(netloc != "", _rooted(path)).otherwise(path), params)
-    slashes = (netloc != "") | F.startswith(path, F.lit("//")) | (
-        scheme.isin("http", "https", "ftp") & ((path == "") | F.startswith(path, F.lit("/")))
-    )
-    return F.concat(
-        F.when(scheme != "", F.concat(scheme, F.lit(":"))).otherwise(F.lit("")),
-        F.when(slashes, F.concat(F.lit("//"), netloc)).otherwise(F.lit("")),
-        full_path,
-        _with_query(query),
-    )
 
+def _unquote(text: str) -> str:
+    """Percent-decode, leaving malformed escapes and ``+`` as they are."""
+    guarded = f"regexp_replace(replace({text}, '+', '%2B'), r'%(?![0-9A-Fa-f]{{2}})', '%25')"
+    return f"CASE WHEN contains({text}, '%') THEN url_decode({guarded}) ELSE {text} END"
 
-def _respell(parts: Column) -> Column:
-    return _join_url(parts["scheme"], parts["netloc"], parts["path"], parts["params"], parts["query"])
 
+def _quote_plus(text: str) -> str:
+    encoded = f"replace(replace(url_encode({text}), '*', '%2A'), '%7E', '~')"
+    return rf"CASE WHEN {text} RLIKE r'[^A-Za-z0-9_.~\-]' THEN {encoded} ELSE {text} END"
 
-def _drop_fragment(url: Column) -> Column:
-    return F.when(F.contains(url, F.lit("#")), let(split_url(url), _respell)).otherwise(url)
 
+def _clean_query(query: str) -> str:
+    """Drop tracking parameters and re-encode the rest, values grouped by key in first-seen order."""
+    name = bind("replace(substring_index(part, '=', 1), '+', ' ')", _unquote)
+    value = bind("replace(regexp_replace(part, r'^[^=]*=?', ''), '+', ' ')", _unquote)
+    pairs = f"transform(filter(split({query}, '&'), part -> part <> ''), part -> named_struct('k', {name}, 'v', {value}))"
+    kept = f"filter({pairs}, pair -> lower(pair.k) NOT IN {quoted(TRACKING_PARAMS)})"
 
-#: Rooted references without dot segments, parameters, query or fragment: resolved by gluing.
-_SIMPLE_ROOTED = r"^/(?:[^/.?#;\s\[\]][^/?#;\s\[\]]*/)*(?:[^/.?#;\s\[\]][^/?#;\s\[\]]*)?$"
+    def rebuild(kv: str) -> str:
+        keys = f"array_distinct(transform({kv}, pair -> pair.k))"
+        grouped = f"flatten(transform({keys}, key -> filter({kv}, pair -> pair.k = key)))"
+        return f"array_join(transform({grouped}, pair -> concat({_quote_plus('pair.k')}, '=', {_quote_plus('pair.v')})), '&')"
 
+    return f"CASE WHEN {query} = '' THEN '' ELSE {bind(kept, rebuild)} END"
 
-def resolve_against(reference: Column, base: Column) -> Column:
-    """Resolve ``reference`` against the parts of an absolute URL (see :func:`split_url`), dropping the fragment.
 
-    Null when the authority has an unbalanced IPv6 bracket, which no client can request.
-    """
-    general = let(split_url(reference), lambda ref: _resolve(ref, base, reference))
-    glued = F.concat(base["scheme"], F.lit("://"), base["netloc"], reference)
-    return F.when(reference.rlike(_SIMPLE_ROOTED) & ~F.contains(base["netloc"], F.lit("[")), glued).otherwise(general)
+def _crawl_key(url: str) -> str:
+    def spell(p: str) -> str:
+        parts = (
+            f"named_struct('netloc', lower({p}.netloc), 'query', {_clean_query(f'{p}.query')}, "
+            f"'path', CASE WHEN {p}.path = '/' THEN '/' ELSE regexp_replace({p}.path, r'/+$', '') END)"
+        )
+        return bind(parts, lambda c: _join(f"{p}.scheme", f"{c}.netloc", f"{c}.path", f"{p}.params", f"{c}.query"))
 
+    return bind(_split(url), spell)
 
-def resolve_url(reference: Column, base: Column) -> Column:
-    """:func:`resolve_against` for a base given as text."""
-    both = F.struct(split_url(base).alias("base"), reference.alias("ref"))
-    return let(both, lambda b: resolve_against(b["ref"], b["base"]))
 
+# --- names ------------------------------------------------------------------------------------
 
-def _resolve(ref: Column, base: Column, raw: Column) -> Column:
-    def under_base(path: Column) -> Column:
-        placed = F.when(path == "", F.lit("/")).otherwise(path)
-        return _join_url(base["scheme"], base["netloc"], placed, ref["params"], ref["query"])
 
-    # A relative path replaces the last segment of the base path; runs of slashes collapse.
-    directory = F.regexp_replace(base["path"], r"[^/]*$", "")
-    merged = F.regexp_replace(F.concat(F.lit("/"), directory, ref["path"]), r"/{2,}", "/")
-    inherited = _join_url(
-        base["scheme"],
-        base["netloc"],
-        base["path"],
-        base["params"],
-        F.when(ref["query"] != "", ref["query"]).otherwise(base["query"]),
+def _filename(url: str) -> str:
+    return bind(
+        f"substring_index({_without_params(_raw_path(_tidy(url)))}, '/', -1)",
+        lambda s: f"CASE WHEN {s} = '' THEN 'unknown' ELSE {_unquote(s)} END",
     )
-    target = (
-        F.when((ref["scheme"] != "") & (ref["scheme"] != base["scheme"]), _drop_fragment(raw))
-        .when(
-            ref["netloc"] != "",
-            _join_url(base["scheme"], ref["netloc"], ref["path"], ref["params"], ref["query"]),
-        )
-        .when((ref["path"] == "") & (ref["params"] == ""), inherited)
-        .when(F.startswith(ref["path"], F.lit("/")), under_base(_clean_path(ref["path"])))
-        .otherwise(let(merged, lambda path: under_base(_clean_path(path))))
+
+
+def _extension(filename: str) -> str:
+    ext = bind(
+        f"regexp_replace(concat('.', lower(substring_index({filename}, '.', -1))), r'[^a-z0-9.]', '')",
+        lambda e: f"CASE WHEN length({e}) <= 10 THEN {e} ELSE '' END",
     )
-    authority = F.when(ref["netloc"] != "", ref["netloc"]).otherwise(base["netloc"])
-    return F.when(F.contains(authority, F.lit("[")) == F.contains(authority, F.lit("]")), target)
+    return f"CASE WHEN contains({filename}, '.') THEN {ext} ELSE '' END"
 
 
-def with_scheme(url: Column) -> Column:
-    return let(url, lambda u: F.when(u.rlike("^https?://"), u).otherwise(F.concat(F.lit("https://"), u)))
+# --- on columns -------------------------------------------------------------------------------
 
 
-def normalize_url(url: Column, base: Column | None = None) -> Column:
-    """Absolute form of a link: resolved, without fragment, with a scheme."""
-    return with_scheme(_drop_fragment(url) if base is None else resolve_url(url, base))
+def tidy(url: Column) -> Column:
+    """Without leading control characters and spaces, and without tabs or line breaks."""
+    return apply(_tidy, url)
 
 
-# --- crawl key --------------------------------------------------------------------------------
+def scheme_of(url: Column) -> Column:
+    return F.lower(F.regexp_extract(url, rf"^({_SCHEME}):", 1))
 
 
-def _unquote(text: Column) -> Column:
-    """Percent-decode, leaving malformed escapes and ``+`` as they are."""
-    guarded = F.regexp_replace(F.replace(text, F.lit("+"), F.lit("%2B")), r"%(?![0-9A-Fa-f]{2})", "%25")
-    return F.when(F.contains(text, F.lit("%")), F.url_decode(guarded)).otherwise(text)
+def netloc_of(url: Column) -> Column:
+    """Authority part as written: user info, host and port."""
+    return F.regexp_extract(url, rf"^(?:{_SCHEME}:)?//([^/?#]*)", 1)
 
 
-def _quote_plus(text: Column) -> Column:
-    encoded = F.replace(F.replace(F.url_encode(text), F.lit("*"), F.lit("%2A")), F.lit("%7E"), F.lit("~"))
-    return F.when(text.rlike(r"[^A-Za-z0-9_.~\-]"), encoded).otherwise(text)
+def split_url(url: Column) -> Column:
+    """``struct(scheme, netloc, path, params, query)``."""
+    return apply(_split, url)
 
 
-def clean_query(query: Column) -> Column:
-    """Drop tracking parameters and re-encode the rest, values grouped by key in first-seen order."""
+def domain_of(url: Column) -> Column:
+    """Lower-cased authority, port and user info included."""
+    return apply(_domain, url)
 
-    def form_value(text: Column) -> Column:
-        return let(F.replace(text, F.lit("+"), F.lit(" ")), _unquote)
 
-    pairs = F.transform(
-        F.filter(F.split(query, "&"), lambda part: part != ""),
-        lambda part: F.struct(
-            form_value(F.substring_index(part, "=", 1)).alias("k"),
-            form_value(F.regexp_replace(part, "^[^=]*=?", "")).alias("v"),
-        ),
-    )
-    kept = F.filter(pairs, lambda pair: ~F.lower(pair["k"]).isin(TRACKING_PARAMS))
+def site_of(url: Column) -> Column:
+    """Lower-cased authority without one leading ``www.``: equal sites are "internal" to each other."""
+    return apply(lambda u: _strip_www(_domain(u)), url)
 
-    def rebuild(kv: Column) -> Column:
-        keys = F.array_distinct(F.transform(kv, lambda pair: pair["k"]))
-        grouped = F.transform(keys, lambda key: F.filter(kv, lambda pair: pair["k"] == key))
-        texts = F.transform(
-            F.flatten(grouped), lambda pair: F.concat(_quote_plus(pair["k"]), F.lit("="), _quote_plus(pair["v"]))
-        )
-        return F.array_join(texts, "&")
 
-    return F.when(query == "", F.lit("")).otherwise(let(kept, rebuild))
+def strip_www(domain: Column) -> Column:
+    return apply(_strip_www, domain)
 
 
-def crawl_key(url: Column) -> Column:
-    """Identity of a page while crawling: tracking parameters, host case, trailing slashes and fragment removed.
+def same_site(left: Column, right: Column) -> Column:
+    return F.coalesce(site_of(left) == site_of(right), F.lit(False))
 
-    Scheme, ``www.`` and an empty versus ``/`` root stay distinct.
+
+def hostname_of(url: Column) -> Column:
+    """Host alone, lower-cased: no user info, no port."""
+    return apply(_hostname, url)
+
+
+def resolve_against(reference: Column, base: Column) -> Column:
+    """Resolve ``reference`` against the parts of an absolute URL (see :func:`split_url`), dropping the fragment.
+
+    Null when the authority has an unbalanced IPv6 bracket.
     """
+    return apply(lambda b: _against(f"{b}.ref", f"{b}.base"), F.struct(reference.alias("ref"), base.alias("base")))
 
-    def spell(parts: Column) -> Column:
-        path = F.when(parts["path"] == "/", F.lit("/")).otherwise(F.regexp_replace(parts["path"], "/+$", ""))
-        return let(
-            path,
-            lambda p: _join_url(
-                parts["scheme"], F.lower(parts["netloc"]), p, parts["params"], clean_query(parts["query"])
-            ),
-        )
 
-    return let(split_url(url), spell)
+def resolve_url(reference: Column, base: Column) -> Column:
+    """:func:`resolve_against` for a base given as text."""
+    return resolve_against(reference, split_url(base))
+
+
+def with_scheme(url: Column) -> Column:
+    return apply(_with_scheme, url)
+
 
+def normalize_url(url: Column, base: Column | None = None) -> Column:
+    """Absolute form of a link: resolved, without fragment, with a scheme."""
+    if base is None:
+        return apply(lambda u: _with_scheme(_drop_fragment(u)), url)
+    return with_scheme(resolve_url(url, base))
+
+
+def crawl_key(url: Column) -> Column:
+    """Identity of a page while crawling: tracking parameters, host case, trailing slashes and fragment removed.
 
-# --- names and predicates ---------------------------------------------------------------------
+    Scheme, ``www.`` and an empty versus ``/`` root stay distinct.
+    """
+    return apply(_crawl_key, url)
 
 
 def filename_of(url: Column) -> Column:
     """Last path segment, percent-decoded; ``unknown`` for a directory."""
-    return let(
-        F.substring_index(path_of(tidy(url)), "/", -1),
-        lambda segment: F.when(segment == "", F.lit("unknown")).otherwise(_unquote(segment)),
-    )
+    return apply(_filename, url)
 
 
 def extension_of_name(filename: Column) -> Column:
     """``.pdf``-style extension, or empty.  A trailing dot gives ``.``."""
-    return let(
-        filename,
-        lambda name: F.when(
-            F.contains(name, F.lit(".")),
-            let(
-                F.regexp_replace(
-                    F.concat(F.lit("."), F.lower(F.substring_index(name, ".", -1))), "[^a-z0-9.]", ""
-                ),
-                lambda ext: F.when(F.length(ext) <= 10, ext).otherwise(F.lit("")),
-            ),
-        ).otherwise(F.lit("")),
-    )
+    return apply(_extension, filename)
 
 
 def extension_of(url: Column) -> Column:
-    return extension_of_name(filename_of(url))
+    return apply(lambda u: bind(_filename(u), _extension), url)
 
 
 def is_page_extension(extension: Column) -> Column:
-    return (extension == "") | extension.isin(HTML_EXTENSIONS)
+    return apply(lambda e: f"{e} = '' OR {e} IN {quoted(HTML_EXTENSIONS)}", extension)
 
 
 def is_skipped(url: Column) -> Column:
@@ -307,26 +330,45 @@ def is_skipped(url: Column) -> Column:
 
 
 def is_valid_url(url: Column) -> Column:
-    tidied = tidy(url)
-    return F.coalesce(scheme_of(tidied).isin("http", "https") & (netloc_of(tidied) != ""), F.lit(False))
+    return F.coalesce(
+        apply(lambda u: bind(_tidy(u), lambda t: f"{_scheme(t)} IN ('http', 'https') AND {_netloc(t)} <> ''"), url),
+        F.lit(False),
+    )
 
 
 def display_url(url: Column, max_length: int = 50) -> Column:
     """Short form for reports: the URL, ``host/.../file``, or a cut with an ellipsis."""
-    short = F.concat(netloc_of(tidy(url)), F.lit("/.../"), filename_of(url))
-    return (
-        F.when(F.length(url) <= max_length, url)
-        .when(F.length(short) <= max_length, short)
-        .otherwise(F.concat(F.substring(url, 1, max_length - 3), F.lit("...")))
-    )
+
+    def shorten(u: str) -> str:
+        return bind(
+            f"concat({_netloc(_tidy(u))}, '/.../', {_filename(u)})",
+            lambda s: (
+                f"CASE WHEN length({u}) <= {max_length} THEN {u} WHEN length({s}) <= {max_length} THEN {s} "
+                f"ELSE concat(substring({u}, 1, {max_length - 3}), '...') END"
+            ),
+        )
+
+    return apply(shorten, url)
 
 
 def display_host_path(url: Column, max_length: int) -> Column:
     """Host and path, cut with an ellipsis; URLs without a host are cut as they are."""
-    tidied = tidy(url)
-    path = _raw_path(tidied)
-    shown = F.concat(hostname_of(tidied), F.when(path == "", F.lit("/")).otherwise(path))
-    text = F.when(is_valid_url(url), shown).otherwise(url)
-    return F.when(
-        F.length(text) > max_length, F.concat(F.substring(text, 1, max_length - 3), F.lit("..."))
-    ).otherwise(text)
+
+    def shown(t: str) -> str:
+        path = bind(_raw_path(t), lambda p: f"CASE WHEN {p} = '' THEN '/' ELSE {p} END")
+        return f"concat({_hostname(t)}, {path})"
+
+    def cut(text: str) -> str:
+        return (
+            f"CASE WHEN length({text}) > {max_length} THEN concat(substring({text}, 1, {max_length - 3}), '...') "
+            f"ELSE {text} END"
+        )
+
+    def choose(u: str) -> str:
+        return bind(
+            f"CASE WHEN {_scheme(_tidy(u))} IN ('http', 'https') AND {_netloc(_tidy(u))} <> '' "
+            f"THEN {bind(_tidy(u), shown)} ELSE {u} END",
+            cut,
+        )
+
+    return apply(choose, url)

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from itertools import chain
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -222,10 +220,11 @@ KEEP_WHEN_BLANK = ["ai_api_url", "ai_api_key", "ai_model", "mongodb_uri", "mongo
 
 def literal_map(table: dict[str, str]) -> Column:
     """A lookup table as a constant map column (folded once, no join)."""
-    return F.create_map(*[F.lit(x) for x in chain.from_iterable(table.items())])
+    return F.expr("map(" + ", ".join(f"'{k}', '{v}'" for k, v in table.items()) + ")")
 
 
 def lookup(table: dict[str, str], key: Column, default: Column | str | None = None) -> Column:
     """``table[key]`` with a default; a left outer join against a constant table."""
-    found = literal_map(table)[key]
+    found = F.try_element_at(literal_map(table), key)
     return found if default is None else F.coalesce(found, default if isinstance(default, Column) else F.lit(default))
+

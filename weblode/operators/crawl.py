@@ -1,23 +1,26 @@
 """Bounded breadth-first crawl as a loop of set operations, resumable from tables.
 
-State is three tables in the shared folder, appended to level by level: ``visited`` (key, url, depth,
-seq), ``frontier`` (the pages waiting, in first-in-first-out order) and ``documents``.  The driver
-only ever sees counts.  One level is one join of the frontier with the page or link table, one
-grouped minimum and one anti join against what was seen; lineage ends at each written level, and a
-lost executor only repeats its tasks.
+The markup is read once: ``prepare_links`` turns pages into a narrow link table, and every level of
+the crawl joins that table with the pages waiting.  (A live crawl fetches and prepares each level's
+pages instead.)  State is a few tables in the shared folder, appended to level by level; the driver
+only sees their paths and counts.  A lost executor repeats its tasks, a lost driver resumes from the
+written tables.
+
+First-in-first-out order needs no global numbering: a page carries the path of positions by which it
+was discovered, and paths of one depth compare in queue order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblode.functions import url as U
 from weblode.operators.links import allowed_extension, extract_links, with_extension
-from weblode.operators.ordered import running_totals
 from weblode.session import materialize, scratch_path
 
 # --- reachability over an id graph ------------------------------------------------------------
@@ -31,35 +34,47 @@ def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """
     spark = edges.sparkSession
     base = scratch_path(spark, "bfs")
+    schema = f"node {edges.schema['dst'].dataType.simpleString()}, depth int"
     roots.select("node").distinct().withColumn("depth", F.lit(0)).write.parquet(f"{base}/level=0")
+    edges = materialize(edges.select("src", "dst"), "bfs-edges")
     for depth in range(1, max_depth + 1):
-        seen = spark.read.parquet(base).select("node", "depth")
-        last = spark.read.parquet(f"{base}/level={depth - 1}").select(F.col("node").alias("src"))
+        seen = _table(spark, base, schema).select("node")
+        last = spark.read.schema(schema).parquet(f"{base}/level={depth - 1}").select(F.col("node").alias("src"))
         reached = edges.join(last, "src").select(F.col("dst").alias("node")).distinct()
-        fresh = reached.join(seen.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
-        fresh.write.parquet(f"{base}/level={depth}")
-        if spark.read.parquet(f"{base}/level={depth}").isEmpty():
+        reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).write.parquet(f"{base}/level={depth}")
+        if spark.read.schema(schema).parquet(f"{base}/level={depth}").isEmpty():
             break
-    return spark.read.parquet(base).select("node", "depth")
+    return _table(spark, base, schema)
 
 
 # --- crawl over pages -------------------------------------------------------------------------
 
+WAITING = "key string, url string, depth int, path array<int>"
+DOCUMENTS = (
+    "url string, filename string, extension string, source_page string, depth int, path array<int>, position int"
+)
+FAILED = "url string, depth int, error string"
+LINKS = (
+    "url string, position int, link string, key string, filename string, extension string, followed boolean, error string"
+)
+
 
 @dataclass
 class CrawlState:
-    """Where a crawl stands.  Paths point to tables; the numbers are the only driver-side data."""
+    """Where a crawl stands: paths of tables, and counts."""
 
     base: str
     start_url: str
     filter_type: str = "common"
     crawl_option: str = "follow"
     max_depth: int = 2
-    frontier: str | None = None
+    frontier: str = ""
+    depth: int = 0
+    visited: list[str] = field(default_factory=list)
     steps: int = 0
     pages_scanned: int = 0
     pages_remaining: int = 0
-    next_seq: int = 1
+    single_level: bool = True
     cancelled: bool = False
     progress: list[dict] = field(default_factory=list)
 
@@ -72,19 +87,43 @@ class CrawlState:
         return self.pages_remaining > 0
 
 
-VISITED = "key string, url string, depth int, seq bigint"
-DOCUMENTS = "url string, filename string, extension string, source_page string, depth int, page_seq bigint, position int"
-FAILED = "url string, depth int, seq bigint, error string"
-
-
 def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """All steps written under ``path`` so far; empty before the first."""
+    """All steps written below ``path`` so far; empty before the first."""
     try:
         return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
     except AnalysisException:
         return spark.createDataFrame([], schema)
 
 
+def prepare_links(pages: DataFrame) -> DataFrame:
+    """Link table of fetched pages (``url, html`` and optionally ``error``), one row per distinct link.
+
+    A page with an error has one row without a link.  ``followed`` marks links to pages of the same
+    site that no skip pattern excludes.
+    """
+    has_error = "error" in pages.columns
+    good = pages.filter(F.col("error").isNull()) if has_error else pages
+    links = with_extension(extract_links(good.select("url", "html"))).drop("kind")
+    prepared = links.select(
+        "url",
+        "position",
+        "link",
+        U.crawl_key(F.col("link")).alias("key"),
+        "filename",
+        "extension",
+        (
+            U.is_page_extension(F.col("extension"))
+            & ~U.is_skipped(F.col("link"))
+            & U.same_site(F.col("link"), F.col("url"))
+        ).alias("followed"),
+        F.lit(None).cast("string").alias("error"),
+    )
+    if has_error:
+        bad = pages.filter(F.col("error").isNotNull()).select("url", "error")
+        prepared = prepared.unionByName(bad, allowMissingColumns=True)
+    return prepared
+
+
 def start_crawl(
     spark: SparkSession,
     start_url: str,
@@ -94,23 +133,27 @@ def start_crawl(
 ) -> CrawlState:
     """A new crawl with its start page waiting."""
     state = CrawlState(scratch_path(spark, "crawl"), start_url, filter_type, crawl_option, max_depth)
-    seed = spark.createDataFrame([(start_url,)], "url string").select(
-        U.normalize_url(F.col("url")).alias("url"), F.lit(0).alias("depth"), F.lit(0).cast("bigint").alias("seq")
+    seed = spark.createDataFrame([(start_url,)], "url string").select(U.normalize_url(F.col("url")).alias("url"))
+    seed = seed.filter(~U.is_skipped(F.col("url"))).select(
+        U.crawl_key(F.col("url")).alias("key"), "url", F.lit(0).alias("depth"), F.array(F.lit(0)).alias("path")
     )
     state.frontier = f"{state.base}/frontier/0"
-    seed = seed.filter(~U.is_skipped(F.col("url"))).withColumn("key", U.crawl_key(F.col("url")))
-    seed.select("key", "url", "depth", "seq").write.parquet(state.frontier)
-    state.pages_remaining = waiting_pages(spark, state).count()
+    seed.write.parquet(state.frontier)
+    _count_waiting(spark, state)
     return state
 
 
 def visited_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
-    return _table(spark, f"{state.base}/visited", VISITED)
+    """``key, url, depth, path`` of the scanned pages."""
+    if not state.visited:
+        return spark.createDataFrame([], WAITING)
+    return spark.read.schema(WAITING).parquet(*state.visited)
 
 
 def found_documents(spark: SparkSession, state: CrawlState) -> DataFrame:
-    """Every document link met, in discovery order ``(page_seq, position)``, repeats included."""
-    return _table(spark, f"{state.base}/documents", DOCUMENTS)
+    """Every document link met, repeats included; ``found_at`` orders them by discovery."""
+    documents = _table(spark, f"{state.base}/documents", DOCUMENTS)
+    return documents.withColumn("found_at", F.struct("depth", "path", "position"))
 
 
 def failed_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
@@ -118,98 +161,95 @@ def failed_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
 
 
 def waiting_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
-    return spark.read.schema(VISITED).parquet(state.frontier)
+    return spark.read.schema(WAITING).parquet(state.frontier)
+
+
+def _count_waiting(spark: SparkSession, state: CrawlState) -> None:
+    count, low, high = waiting_pages(spark, state).agg(F.count("*"), F.min("depth"), F.max("depth")).first()
+    state.pages_remaining, state.depth, state.single_level = count, low or 0, low == high
 
 
 def crawl(
     spark: SparkSession,
     state: CrawlState,
-    pages: DataFrame,
+    source: DataFrame | Callable[[DataFrame], DataFrame],
     max_pages: int | None = 500,
-    should_stop=lambda: False,
+    should_stop: Callable[[], bool] = lambda: False,
 ) -> CrawlState:
     """Scan up to ``max_pages`` waiting pages (None: all), level by level; call again to go on.
 
-    ``pages``: url, html and optionally error, the fetched pages under the addresses links use.  An
-    address with no row, or with an error, is scanned and yields nothing.  ``should_stop`` is asked
-    between levels.  Waiting pages keep their order across calls, so many small calls and one large
-    call visit the same pages in the same order.
+    ``source`` is the link table of :func:`prepare_links`, or for a live crawl a function from waiting
+    pages (``url``) to fetched ones (``url, html, error``).  An address without a page is scanned and
+    yields nothing.  ``should_stop`` is asked between levels.  Order is kept across calls, so many
+    small calls and one large call scan the same pages.
     """
     budget = max_pages
     while state.pages_remaining > 0 and (budget is None or budget > 0):
         if should_stop():
             state.cancelled = True
             break
-        done = _step(spark, state, pages, budget)
+        before = state.pages_scanned
+        _step(spark, state, source, budget)
         if budget is not None:
-            budget -= done
+            budget -= state.pages_scanned - before
     return state
 
 
-def _step(spark: SparkSession, state: CrawlState, pages: DataFrame, budget: int | None) -> int:
-    waiting = waiting_pages(spark, state)
-    depth = waiting.agg(F.min("depth")).first()[0]
-    level = waiting.filter(F.col("depth") == depth)
-    if budget is not None:
-        # The quota is a top-k by arrival order; it is bounded by the setting.
-        level = level.orderBy("seq").limit(budget)
-    batch_path = f"{state.base}/visited/{state.steps}"
-    level.select("key", "url", "depth", "seq").write.parquet(batch_path)
-    batch = spark.read.schema(VISITED).parquet(batch_path)
-    rest = waiting.join(batch.select("seq"), "seq", "left_anti")
-
-    has_error = "error" in pages.columns
-    fetched = batch.join(pages.select("url", "html", *(["error"] if has_error else [])), "url")
-    if has_error:
-        fetched.filter(F.col("error").isNotNull()).select("url", "depth", "seq", "error").write.parquet(
+def _step(spark: SparkSession, state: CrawlState, source, budget: int | None) -> None:
+    waiting, depth = waiting_pages(spark, state), state.depth
+    if state.single_level and (budget is None or budget >= state.pages_remaining):
+        # The whole queue is one level and fits: it becomes the batch as it stands.
+        batch, batch_path, rest, scanned = waiting, state.frontier, None, state.pages_remaining
+    else:
+        level = waiting.filter(F.col("depth") == depth)
+        if budget is not None:
+            # The quota is a per-task top-k in queue order, bounded by the setting.
+            level = level.orderBy("path").limit(budget)
+        batch_path = f"{state.base}/batch/{state.steps}"
+        level.write.parquet(batch_path)
+        batch = spark.read.schema(WAITING).parquet(batch_path)
+        rest = waiting.join(batch.select("key"), "key", "left_anti")
+        scanned = batch.count()
+    state.visited.append(batch_path)
+
+    if callable(source):
+        links = materialize(prepare_links(source(batch.select("url"))), "crawl-links")
+    else:
+        links = source
+    here = batch.select("url", "depth", "path")
+    met = links.join(here, "url")
+    wanted = met.filter(allowed_extension(F.col("extension"), state.filter_type))
+    wanted.select(
+        F.col("link").alias("url"), "filename", "extension", F.col("url").alias("source_page"), "depth", "path", "position"
+    ).write.parquet(f"{state.base}/documents/{state.steps}")
+    if "error" in links.columns:
+        met.filter(F.col("error").isNotNull()).select("url", "depth", "error").write.parquet(
             f"{state.base}/failed/{state.steps}"
         )
-        fetched = fetched.filter(F.col("error").isNull())
-    links = with_extension(extract_links(fetched.select("url", "html", "depth", "seq"), keep=["depth", "seq"]))
-    links = materialize(links.drop("kind"), "crawl-links")
-    links.filter(allowed_extension(F.col("extension"), state.filter_type)).select(
-        F.col("link").alias("url"), "filename", "extension", F.col("url").alias("source_page"), "depth",
-        F.col("seq").alias("page_seq"), "position",
-    ).write.parquet(f"{state.base}/documents/{state.steps}")
 
+    following = rest
     if depth < state.effective_depth:
-        follow = links.filter(U.is_page_extension(F.col("extension")) & ~U.is_skipped(F.col("link")))
-        follow = follow.filter(U.same_site(F.col("link"), F.lit(state.start_url)))
-        keyed = follow.select(U.crawl_key(F.col("link")).alias("key"), F.col("link").alias("url"), "seq", "position")
-        # The first spelling in discovery order stands for its key.
-        first = keyed.groupBy("key").agg(
-            F.min_by("url", F.struct("seq", "position", "url")).alias("url"),
-            F.min(F.struct("seq", "position", "url")).alias("_at"),
-        )
-        known = visited_pages(spark, state).select("key").unionByName(rest.select("key"))
-        fresh = materialize(first.join(known, "key", "left_anti"), "crawl-fresh")
-        # Arrival numbers: rank of the discovering page and place in it, block by block.
-        placed = fresh.select("key", "url", F.col("_at.seq").alias("_seq"), F.col("_at.position").alias("_position"))
-        # A page's links all came from one row, so numbering them in one window group is bounded by it.
-        in_page = Window.partitionBy("_seq").orderBy("_position", "url")
-        queued = placed.withColumn("_local", F.row_number().over(in_page))
-        per_page = placed.groupBy("_seq").agg(F.count("*").alias("_n"))
-        offsets = running_totals(per_page, "_seq", ["_n"]).select("_seq", (F.col("_n_running") - F.col("_n")).alias("_base"))
-        arrivals = queued.join(offsets, "_seq").select(
-            "key", "url", F.lit(depth + 1).alias("depth"),
-            (F.col("_base") + F.col("_local") - 1 + state.next_seq).cast("bigint").alias("seq"),
+        # The first spelling in queue order stands for its key.  Combined map-side, so a page that
+        # everything links to is one row per task before it moves.
+        found_at = F.struct(F.concat("path", F.array("position")).alias("path"), F.col("link").alias("url"))
+        first = met.filter("followed").groupBy("key").agg(F.min(found_at).alias("_first"))
+        known = visited_pages(spark, state).select("key")
+        if rest is not None:
+            known = known.unionByName(rest.select("key"))
+        fresh = first.join(known, "key", "left_anti").select(
+            "key", "_first.url", F.lit(depth + 1).alias("depth"), "_first.path"
         )
-        next_waiting = rest.select("key", "url", "depth", "seq").unionByName(arrivals)
-    else:
-        next_waiting = rest.select("key", "url", "depth", "seq")
-
+        following = fresh if rest is None else rest.unionByName(fresh)
     state.frontier = f"{state.base}/frontier/{state.steps + 1}"
-    next_waiting.write.parquet(state.frontier)
-    totals = waiting_pages(spark, state).agg(F.count("*"), F.max("seq")).first()
-    scanned = batch.count()
+    if following is None:
+        following = spark.createDataFrame([], WAITING)
+    following.write.parquet(state.frontier)
+    _count_waiting(spark, state)
     state.pages_scanned += scanned
-    state.pages_remaining = totals[0]
-    state.next_seq = max(state.next_seq, (totals[1] or 0) + 1)
     state.steps += 1
     state.progress.append(
-        {"step": state.steps, "depth": depth, "pages_scanned": state.pages_scanned, "pages_remaining": totals[0]}
+        {"step": state.steps, "depth": depth, "pages_scanned": state.pages_scanned, "pages_remaining": state.pages_remaining}
     )
-    return scanned
 
 
 # --- retry ------------------------------------------------------------------------------------
@@ -245,12 +285,11 @@ def remaining_errors(errors: DataFrame, fixed: DataFrame) -> DataFrame:
     """
     targets = fixed.select("url").distinct()
     lengths = targets.agg(F.collect_set(F.length("url"))).scalar()
-    # Numbered by content: equal texts share their verdict.
+    # Equal texts share their verdict.
     texts = errors.select("error").distinct()
-    starts = F.transform(
-        F.regexp_extract_all(F.col("error"), F.lit(r"(?s)(?=(https?://.*))"), F.lit(1)), lambda tail: tail
+    tails = texts.withColumn("_lengths", lengths).select(
+        "error", "_lengths", F.explode(F.regexp_extract_all(F.col("error"), F.lit(r"(?s)(?=(https?://.*))"), F.lit(1))).alias("_tail")
     )
-    tails = texts.withColumn("_lengths", lengths).select("error", "_lengths", F.explode(starts).alias("_tail"))
     prefixes = tails.select(
         "error",
         F.explode(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblode.functions import url as U
+from weblode.functions.binding import apply, quoted
 from weblode.functions.html import is_minimal, is_script_redirect, with_page_links
 from weblode.lookups import FILTER_EXTENSIONS
 
@@ -48,7 +49,9 @@ def distinct_links(pages: DataFrame, parser_fallback: bool = True) -> DataFrame:
 
 def allowed_extension(extension: Column, filter_type: str) -> Column:
     """Whether an extension passes a document filter; unknown filters pass nothing."""
-    return extension.isin(FILTER_EXTENSIONS[filter_type]) if filter_type in FILTER_EXTENSIONS else F.lit(False)
+    if filter_type not in FILTER_EXTENSIONS:
+        return F.lit(False)
+    return apply(lambda e: f"{e} IN {quoted(FILTER_EXTENSIONS[filter_type])}", extension)
 
 
 def with_extension(links: DataFrame, column: str = "link") -> DataFrame:

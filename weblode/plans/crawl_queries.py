@@ -8,6 +8,7 @@ from weblode.operators import crawl as C
 from weblode.operators.dedup import dedup_by_name
 from weblode.plans.fixtures import GRAPH_SQL, link_graph, site_pages
 from weblode.plans.registry import query
+from weblode.session import materialize
 from weblode.sources.tables import table
 
 _REACH = f"""WITH RECURSIVE {GRAPH_SQL},
@@ -35,16 +36,21 @@ found AS (SELECT 'https://site.example.com/p/' || node AS key, depth FROM nodes
     WHERE n.depth < 4 AND NOT contains(w.href, '.') AND href <> '/')"""
 
 
+def _site_links(spark, folder):
+    """The site's link table, written once: each level of a crawl reads it instead of the markup."""
+    return materialize(C.prepare_links(site_pages(spark, folder)), "site-links")
+
+
 @query(_SITE + " SELECT key, CAST(min(depth) AS INT) AS depth FROM found GROUP BY key")
 def crawl_visited(spark, folder):
     state = C.start_crawl(spark, "https://site.example.com/p/0/", max_depth=4)
-    C.crawl(spark, state, site_pages(spark, folder), max_pages=None)
+    C.crawl(spark, state, _site_links(spark, folder), max_pages=None)
     return C.visited_pages(spark, state).select("key", "depth")
 
 
 @query(_SITE + " SELECT key, CAST(min(depth) AS INT) AS depth FROM found GROUP BY key")
 def crawl_resumed(spark, folder):
-    pages = site_pages(spark, folder)
+    pages = _site_links(spark, folder)
     state = C.start_crawl(spark, "https://site.example.com/p/0/", max_depth=4)
     C.crawl(spark, state, pages, max_pages=25)
     C.crawl(spark, state, pages, max_pages=40)
@@ -57,10 +63,9 @@ def crawl_resumed(spark, folder):
 )
 def crawl_documents(spark, folder):
     state = C.start_crawl(spark, "https://site.example.com/p/0/", max_depth=4)
-    C.crawl(spark, state, site_pages(spark, folder), max_pages=None)
+    C.crawl(spark, state, _site_links(spark, folder), max_pages=None)
     # Pages answer to two addresses with one crawl key, so each is scanned once.
-    ordered = C.found_documents(spark, state).withColumn("seq", F.col("page_seq") * 2**20 + F.col("position"))
-    return dedup_by_name(ordered).select("filename", "extension", "depth", "skipped")
+    return dedup_by_name(C.found_documents(spark, state), "found_at").select("filename", "extension", "depth", "skipped")
 
 
 @query(
