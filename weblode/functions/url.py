@@ -283,8 +283,9 @@ def resolve_against(reference: Column, base: Column) -> Column:
 
 
 def resolve_url(reference: Column, base: Column) -> Column:
-    """:func:`resolve_against` for a base given as text."""
-    return resolve_against(reference, split_url(base))
+    """:func:`resolve_against` for a base given as text; an empty reference is the base as written."""
+    whole = apply(_drop_fragment, base)
+    return F.when(reference == "", whole).otherwise(resolve_against(reference, split_url(base)))
 
 
 def with_scheme(url: Column) -> Column:

@@ -115,20 +115,25 @@ def upsert(store: DataFrame, captures: DataFrame, order: str = "seq") -> DataFra
     return merged.select(*[columns[field.name].cast(field.dataType).alias(field.name) for field in STORED_DOCUMENT])
 
 
-def blobs_of(store: DataFrame, captures: DataFrame, old_blobs: DataFrame | None = None) -> DataFrame:
-    """``gridfs_id, content`` for every blob a snapshot refers to, from new captures and the old blob table."""
-    fresh = captures.select(
-        F.concat_ws("-", document_id(), content_hash(F.col("content"))).alias("gridfs_id"),
-        F.col("content").cast("binary").alias("content"),
-    )
-    everything = fresh if old_blobs is None else fresh.unionByName(old_blobs.select("gridfs_id", "content"))
-    wanted = store.select("gridfs_id").distinct()
-    # Equal ids hold equal bytes, so any copy serves.
-    return everything.join(wanted, "gridfs_id", "left_semi").groupBy("gridfs_id").agg(
-        F.any_value("content").alias("content")
+def new_blobs(captures: DataFrame, known: DataFrame, order: str = "seq") -> DataFrame:
+    """``gridfs_id, content`` to append to the blob table for a batch of captures.
+
+    Bytes already stored (``known``: gridfs_id) or repeated in the batch are left out.  Which rows to
+    keep is decided on ids alone; contents move once, and the blob table itself is never rewritten.
+    """
+    keyed = captures.withColumn("gridfs_id", F.concat_ws("-", document_id(), content_hash(F.col("content"))))
+    first = keyed.groupBy("gridfs_id").agg(F.min(order).alias(order))
+    wanted = first.join(known.select("gridfs_id"), "gridfs_id", "left_anti")
+    return keyed.join(wanted.select(order), order, "left_semi").select(
+        "gridfs_id", F.col("content").cast("binary").alias("content")
     )
 
 
+def orphaned_blobs(store: DataFrame, blobs: DataFrame) -> DataFrame:
+    """Ids of blobs no stored document refers to any more."""
+    return blobs.select("gridfs_id").join(store.select("gridfs_id"), "gridfs_id", "left_anti")
+
+
 def get_documents(store: DataFrame, ids: DataFrame | list[str]) -> DataFrame:
     """Stored records by id."""
     if isinstance(ids, list):
@@ -137,8 +142,14 @@ def get_documents(store: DataFrame, ids: DataFrame | list[str]) -> DataFrame:
 
 
 def get_files(documents: DataFrame, blobs: DataFrame) -> DataFrame:
-    """``_id, filename, extension, content``; content is null when the blob is gone."""
-    return documents.select("_id", "filename", "extension", "gridfs_id").join(blobs, "gridfs_id", "left").drop("gridfs_id")
+    """``_id, filename, extension, content``; content is null when the blob is gone.
+
+    Blobs are first cut down to the wanted ids, which Spark does without moving them when the ids are
+    few enough to broadcast.
+    """
+    wanted = documents.select("_id", "filename", "extension", "gridfs_id")
+    hits = blobs.join(wanted.select("gridfs_id"), "gridfs_id", "left_semi")
+    return wanted.join(hits, "gridfs_id", "left").drop("gridfs_id")
 
 
 def delete_documents(store: DataFrame, blobs: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:

@@ -3,18 +3,22 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weblode.operators.reports import export_rows
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "emptyValue": "", "nullValue": "", "lineSep": "\r\n"}
+SINGLE_FILE_ROWS = 1_000_000
 
 
-def export_scan(store: DataFrame, scan_url: str, path: str, single_file: bool = True) -> None:
+def export_scan(store: DataFrame, scan_url: str, path: str, single_file_rows: int = SINGLE_FILE_ROWS) -> None:
     """Write a scan's export table as CSV with CRLF line ends.
 
-    The sort is distributed.  One output file is what a download needs; sorted partitions are merged
-    in order by a single writer that streams them.  With ``single_file=False`` the files stay in
-    parts, in order of their names.
+    Scans of at most ``single_file_rows`` documents become one file.  Larger ones are written as
+    sorted parts, in order of their names, so no task ever holds a whole large scan.
     """
-    rows = export_rows(store, scan_url)
-    (rows.coalesce(1) if single_file else rows).write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
+    scan = store.filter(F.col("scan_url") == scan_url)
+    rows = export_rows(scan)
+    if scan.count() <= single_file_rows:
+        rows = rows.coalesce(1)
+    rows.write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)
