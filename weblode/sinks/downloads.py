@@ -79,6 +79,6 @@ def save_files(files: DataFrame, folder: str, open_stream: Callable[[str], Itera
                     rows.append((url, None, False, str(error)[:100], None))
                 if os.path.exists(part):
                     os.remove(part)
-            yield pd.DataFrame(rows, columns=SAVED.fieldNames()).astype({"bytes": "Int64"})
+            yield pd.DataFrame(rows, columns=SAVED.fieldNames(), dtype="object")
 
     return files.select("url", "saved_name").mapInPandas(run, SAVED)

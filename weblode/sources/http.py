@@ -72,7 +72,7 @@ def request_all(urls: DataFrame, client: Callable[[str], dict], partitions: int
                 if delay:
                     time.sleep(delay)
                 rows.append({"url": url, **client(url)})
-            yield pd.DataFrame(rows, columns=names).astype({"status": "Int32"})
+            yield pd.DataFrame(rows, columns=names, dtype="object")
 
     salt = F.pmod(F.xxhash64("url"), F.lit(5))
     spread = urls.select("url").distinct().repartition(partitions, domain_of(F.col("url")), salt)

@@ -39,7 +39,7 @@ def convert_files(files: DataFrame, key: str, convert: Callable[[bytes], str | N
                     texts.append(None if data is None else convert(bytes(data)))
                 except Exception:
                     texts.append(None)
-            yield pd.DataFrame({key: batch[key], name: texts})
+            yield pd.DataFrame({key: batch[key], name: pd.Series(texts, index=batch.index)}, dtype="object")
 
     schema = T.StructType([files.schema[key], T.StructField(name, T.StringType())])
     return files.select(key, "content").mapInPandas(run, schema)
@@ -111,7 +111,7 @@ def call_once(requests: DataFrame, post: Callable[[str], dict]) -> DataFrame:
                 except Exception as error:
                     reply = {"failure": f"{type(error).__name__}: {str(error)[:300]}"}
                 rows.append({"_id": key, **reply})
-            yield pd.DataFrame(rows, columns=names).astype({"status": "Int32"})
+            yield pd.DataFrame(rows, columns=names, dtype="object")
 
     return requests.select("_id", "request").mapInPandas(run, REPLY_ROW)
 
