@@ -9,22 +9,36 @@ UNITS = ["B", "KB", "MB", "GB", "TB"]
 
 
 def _scaled(size: Column, rounding) -> Column:
-    expr = F.when(size.isNull() | (size < 0), F.lit(None).cast("string"))
-    expr = expr.when(size < 1024, F.concat(size.cast("bigint").cast("string"), F.lit(" B")))
-    for power, unit in enumerate(UNITS[1:], start=1):
-        shown = F.concat(F.format_string("%.1f", rounding(size / F.lit(float(1024**power)))), F.lit(f" {unit}"))
-        expr = expr.when(size < 1024 ** (power + 1), shown) if unit != UNITS[-1] else expr.otherwise(shown)
-    return expr
+    number = size.cast("double")
+
+    def by_unit(values: list) -> Column:
+        return (
+            F.when(number < 2**20, F.lit(values[0]))
+            .when(number < 2**30, F.lit(values[1]))
+            .when(number < 2**40, F.lit(values[2]))
+            .otherwise(F.lit(values[3]))
+        )
+
+    # A double with one decimal below ten million prints as it is; formatting per row would cost far more.
+    shown = rounding(number / by_unit([2.0**10, 2.0**20, 2.0**30, 2.0**40])).cast("string")
+    return (
+        F.when(number.isNull() | (number < 0), F.lit(None).cast("string"))
+        .when(number < 1024, F.concat(size.cast("bigint").cast("string"), F.lit(" B")))
+        .otherwise(F.concat(shown, by_unit([f" {unit}" for unit in UNITS[1:]])))
+    )
 
 
 def format_size(size: Column) -> Column:
-    """``1536 -> '1.5 KB'``; null and negative give null.  Ties in the decimal go to the even digit."""
-    return _scaled(size.cast("double"), lambda x: F.bround(x, 1))
+    """``1536 -> '1.5 KB'``; null and negative give null.  Ties in the decimal go to the even digit.
+
+    ``size`` is read many times: pass a column, not a long expression.
+    """
+    return _scaled(size, lambda x: F.bround(x, 1))
 
 
 def format_size_ui(size: Column) -> Column:
     """As :func:`format_size`, with ties rounded up, the way the browser shows sizes."""
-    return _scaled(size.cast("double"), lambda x: F.round(x, 1))
+    return _scaled(size, lambda x: F.round(x, 1))
 
 
 def format_size_history(size: Column) -> Column:

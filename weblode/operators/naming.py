@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from weblode.functions.text import sanitize_filename, split_name
 from weblode.operators.ordered import ordinals, running_totals
+from weblode.session import materialize
 
 
 def collision_names(files: DataFrame, order: str = "seq", scope: list[str] | None = None) -> DataFrame:
@@ -36,10 +37,11 @@ def unique_names(files: DataFrame, existing: DataFrame | None = None, order: str
     """
     safe = files.withColumn("safe_name", sanitize_filename(F.col("filename")))
     turned = ordinals(safe, order, "_rank", ["safe_name"]).withColumn("_rank", F.col("_rank") - 1)
+    turned = materialize(turned, "names-turned")
     stem, suffix = split_name(F.col("safe_name"))
 
     # Names that look numbered, as (family, number); the plain name of a family has number 0.
-    plain = safe.select(F.col("safe_name").alias("saved_name")).distinct()
+    plain = turned.select(F.col("safe_name").alias("saved_name")).distinct()
     occupied = plain.withColumn("_own", F.lit(True))
     if existing is not None:
         there = existing.select("saved_name").distinct()
@@ -59,7 +61,7 @@ def unique_names(files: DataFrame, existing: DataFrame | None = None, order: str
         "safe_name", (F.col("_taken") - (F.col("_i") - 1)).alias("_rank"), F.lit(1).cast("bigint").alias("_gap")
     )
     # Several taken numbers can share a gap position; as counts they are one row each.
-    gaps = gaps.groupBy("safe_name", "_rank").agg(F.sum("_gap").alias("_gap"))
+    gaps = materialize(gaps.groupBy("safe_name", "_rank").agg(F.sum("_gap").alias("_gap")), "names-gaps")
     # In the merged order a gap precedes the file of equal rank.
     merged = turned.withColumn("_gap", F.lit(0).cast("bigint")).withColumn("_at", F.col("_rank") * 2 + 1)
     merged = merged.unionByName(gaps.withColumn("_at", F.col("_rank") * 2), allowMissingColumns=True)
