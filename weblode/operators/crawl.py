@@ -38,13 +38,13 @@ def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     roots.select("node").distinct().withColumn("depth", F.lit(0)).write.parquet(f"{base}/level=0")
     edges = materialize(edges.select("src", "dst"), "bfs-edges")
     for depth in range(1, max_depth + 1):
-        seen = _table(spark, base, schema).select("node")
+        seen = read_steps(spark, base, schema).select("node")
         last = spark.read.schema(schema).parquet(f"{base}/level={depth - 1}").select(F.col("node").alias("src"))
         reached = edges.join(last, "src").select(F.col("dst").alias("node")).distinct()
         reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).write.parquet(f"{base}/level={depth}")
         if spark.read.schema(schema).parquet(f"{base}/level={depth}").isEmpty():
             break
-    return _table(spark, base, schema)
+    return read_steps(spark, base, schema)
 
 
 # --- crawl over pages -------------------------------------------------------------------------
@@ -87,7 +87,7 @@ class CrawlState:
         return self.pages_remaining > 0
 
 
-def _table(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def read_steps(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """All steps written below ``path`` so far; empty before the first."""
     try:
         return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
@@ -152,12 +152,12 @@ def visited_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
 
 def found_documents(spark: SparkSession, state: CrawlState) -> DataFrame:
     """Every document link met, repeats included; ``found_at`` orders them by discovery."""
-    documents = _table(spark, f"{state.base}/documents", DOCUMENTS)
+    documents = read_steps(spark, f"{state.base}/documents", DOCUMENTS)
     return documents.withColumn("found_at", F.struct("depth", "path", "position"))
 
 
 def failed_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
-    return _table(spark, f"{state.base}/failed", FAILED)
+    return read_steps(spark, f"{state.base}/failed", FAILED)
 
 
 def waiting_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
