@@ -77,12 +77,26 @@ def test_extraction(spark):
 
 def test_sheet_rows_and_profile(spark):
     frame = spark.createDataFrame([("f", bytearray(BOOK), ".xlsx")], "id string, content binary, extension string")
-    profile = {r.sheet: r for r in sheet_profile(S.sheet_rows(frame, ["id"]).drop("id")).collect()}
+    profile = {r.sheet: r for r in sheet_profile(S.sheet_rows(frame, ["id"]), keys=["id"]).collect()}
     assert profile["One"].row_count == 2 and profile["One"].headers == "Name |  | 2.5"
     assert profile["Empty"].profile == "--- Sheet: Empty (0 rows) ---\n  (empty sheet)"
     assert profile["One"].profile.endswith("Sample data (1 of 1 data rows):\n    7 | True")
 
 
+def test_spreadsheet_profiles(spark):
+    data = [("x", bytearray(BOOK), ".xlsx"), ("c", bytearray(b"a,b\n1,2\n"), "CSV"), ("bad", bytearray(b"no"), ".xlsx")]
+    frame = spark.createDataFrame(data, "id string, content binary, extension string")
+    got = {r.id: r.profile for r in S.spreadsheet_profiles(frame, "id").collect()}
+    assert got["c"] == "CSV file with approximately 2 rows\nColumn headers: a | b\nSample data (1 rows):\n  1 | 2"
+    assert got["x"].startswith("Spreadsheet with 2 sheet(s): One, Empty\n\n--- Sheet: One (2 rows) ---\n")
+    assert got["x"].endswith("\n\n--- Sheet: Empty (0 rows) ---\n  (empty sheet)") and "bad" not in got
+
+
+def test_service_availability():
+    assert V.is_available(lambda url: {"status": 200}, "http://x") and not V.is_available(lambda url: {"status": 200}, "")
+    assert not V.is_available(lambda url: {"failure": "timeout"}, "http://x")
+
+
 def test_csv_profile(spark):
     long = "a,b\n" + "".join(f"{i},x\n" for i in range(60))
     texts = [("1", long, ".csv"), ("2", 'h,"q,\n1"\n\n"v",w\n', "csv"), ("3", "a\tb\n1\t2", ".tsv"), ("4", " \n,\n", ".csv"), ("5", "", ".csv")]

@@ -186,6 +186,11 @@ def visible_documents(documents: DataFrame, hide_inaccessible: bool = True, text
     return rows
 
 
+def result_page(documents: DataFrame, order: list[str], page: int, size: int) -> DataFrame:
+    """Page ``page`` (from 1) of an ordered result; a per-task top-k of the rows up to its end."""
+    return documents.orderBy(*order).offset((page - 1) * size).limit(size)
+
+
 def inaccessible_log(failures: DataFrame, order: str = "seq") -> DataFrame:
     """One ``reason | url`` line per URL: its first failure in ``order``."""
     first = failures.groupBy("url").agg(F.min_by("reason", order).alias("reason"), F.min(order).alias(order))

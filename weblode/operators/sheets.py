@@ -33,46 +33,49 @@ def sheet_text(rows: DataFrame, sheet: str = "sheet", order: str = "row_index")
     return heads.unionByName(body)
 
 
-def sheet_profile(rows: DataFrame, sheet: str = "sheet", order: str = "row_index") -> DataFrame:
+def sheet_profile(
+    rows: DataFrame, sheet: str = "sheet", order: str = "row_index", keys: list[str] | None = None
+) -> DataFrame:
     """Per sheet: ``row_count, headers, samples, more_rows`` and the ``profile`` lines.
 
-    Blank rows do not count.  The header is the first row, then come up to five samples.  The count
-    combines map-side, and the first six rows are a grouped top-k, which Spark cuts down inside each
-    task before the shuffle: a sheet holding most of the data moves six rows per task.
+    ``keys`` are further columns that tell sheets apart, such as the file.  Blank rows do not count.
+    The header is the first row, then come up to five samples.  The count combines map-side, and the
+    first six rows are a grouped top-k, which Spark cuts down inside each task before the shuffle: a
+    sheet holding most of the data moves six rows per task.
     """
+    group = [*(keys or []), sheet]
     cells = F.transform("cells", lambda c: F.coalesce(c, F.lit("")))
     filled = rows.filter(F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != "")).select(
-        sheet, F.col(order).cast("bigint").alias(order), row_text(cells).alias("line")
+        *group, F.col(order).cast("bigint").alias(order), row_text(cells).alias("line")
     )
-    counts = filled.groupBy(sheet).agg(F.count("*").alias("row_count"))
-    w = Window.partitionBy(sheet).orderBy(order)
+    # Grouping all rows, blank ones too, keeps empty sheets in the result.
+    has_cells = F.exists("cells", lambda c: F.coalesce(c, F.lit("")) != "")
+    counts = rows.groupBy(*group).agg(F.count_if(has_cells).alias("row_count"))
+    w = Window.partitionBy(*group).orderBy(order)
     first = filled.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= SAMPLE_ROWS + 1)
-    heads = first.groupBy(sheet).agg(
+    heads = first.groupBy(*group).agg(
         F.max(F.when(F.col("_rank") == 1, F.col("line"))).alias("headers"),
         F.transform(
             F.array_sort(F.collect_list(F.when(F.col("_rank") > 1, F.struct("_rank", "line")))), lambda x: x["line"]
         ).alias("samples"),
     )
-    names = rows.select(sheet).distinct()
-    joined = names.join(counts, sheet, "left").join(heads, sheet, "left")
-    count = F.coalesce(F.col("row_count"), F.lit(0))
-    shown = F.size("samples")
+    joined = counts.join(heads, group, "left")
+    count, shown = F.col("row_count"), F.size("samples")
+    none = F.array().cast("array<string>")
     lines = F.concat(
         F.array(F.format_string("--- Sheet: %s (%d rows) ---", F.col(sheet), count)),
         F.when(count == 0, F.array(F.lit("  (empty sheet)"))).otherwise(
             F.concat(
                 F.array(F.concat(F.lit("  Column headers: "), F.col("headers"))),
-                F.when(shown > 0, F.array(F.format_string("  Sample data (%d of %d data rows):", shown, count - 1)))
-                .otherwise(F.array().cast("array<string>")),
-                F.coalesce(F.transform("samples", lambda s: F.concat(F.lit("    "), s)), F.array().cast("array<string>")),
-                F.when(count > 6, F.array(F.format_string("  ... and %d more rows", count - 6)))
-                .otherwise(F.array().cast("array<string>")),
+                F.when(shown > 0, F.array(F.format_string("  Sample data (%d of %d data rows):", shown, count - 1))).otherwise(none),
+                F.coalesce(F.transform("samples", lambda s: F.concat(F.lit("    "), s)), none),
+                F.when(count > 6, F.array(F.format_string("  ... and %d more rows", count - 6))).otherwise(none),
             )
         ),
     )
     return joined.select(
-        sheet,
-        count.alias("row_count"),
+        *group,
+        "row_count",
         "headers",
         "samples",
         F.greatest(count - 6, F.lit(0)).alias("more_rows"),
@@ -80,6 +83,21 @@ def sheet_profile(rows: DataFrame, sheet: str = "sheet", order: str = "row_index
     )
 
 
+def workbook_profile(rows: DataFrame, key: str, sheet: str = "sheet", position: str = "sheet_index") -> DataFrame:
+    """``key, profile`` per file: the list of its sheets, then each sheet's profile in order.
+
+    ``rows``: the key, ``sheet_index``, ``sheet``, ``row_index`` and ``cells``.
+    """
+    profiles = sheet_profile(rows, sheet, keys=[key, position])
+    # One entry per sheet, so a file's list is as long as its sheets are many, not its rows.
+    entries = F.array_sort(F.collect_list(F.struct(position, F.col(sheet).alias("name"), "profile")))
+    books = profiles.groupBy(key).agg(entries.alias("_sheets"))
+    names = F.array_join(F.transform("_sheets", lambda x: x["name"]), ", ")
+    bodies = F.array_join(F.transform("_sheets", lambda x: F.concat(F.lit("\n"), x["profile"])), "\n")
+    head = F.concat(F.format_string("Spreadsheet with %d sheet(s): ", F.size("_sheets")), names)
+    return books.select(key, F.concat(head, F.lit("\n"), bodies).alias("profile"))
+
+
 _ROWS = T.ArrayType(T.ArrayType(T.StringType()))
 
 

@@ -22,7 +22,7 @@ from weblode.operators import progress as P
 from weblode.operators import reports as R
 from weblode.operators import settings as G
 from weblode.operators.naming import collision_names, unique_names
-from weblode.operators.sheets import csv_profile, sheet_profile, sheet_text
+from weblode.operators.sheets import csv_profile, sheet_profile, sheet_text, workbook_profile
 from weblode.plans.fixtures import (
     HISTORY_SQL,
     SIZED_SQL,
@@ -431,6 +431,33 @@ def sheet_profiles(spark, folder):
     return profile.withColumn("samples", F.array_join("samples", "#"))
 
 
+@query(
+    """WITH rows AS (SELECT c_nationkey AS file, length(c_mktsegment) AS i, c_mktsegment AS sheet, c_custkey AS r, c_custkey % 9 <> 0 AS filled, c_name || ' | ' || c_mktsegment AS line FROM customer),
+s AS (SELECT file, i, sheet, count(*) FILTER (WHERE filled) AS n FROM rows GROUP BY 1, 2, 3),
+k AS (SELECT *, row_number() OVER (PARTITION BY file, sheet ORDER BY r) AS rk FROM rows WHERE filled),
+t AS (SELECT s.file, s.i, s.sheet, '--- Sheet: ' || s.sheet || ' (' || any_value(n) || ' rows) ---' || chr(10) || CASE WHEN any_value(n) = 0 THEN '  (empty sheet)' ELSE '  Column headers: ' || max(line) FILTER (WHERE rk = 1) ||
+    CASE WHEN any_value(n) > 1 THEN chr(10) || '  Sample data (' || least(any_value(n) - 1, 5) || ' of ' || (any_value(n) - 1) || ' data rows):' || chr(10) || string_agg('    ' || line, chr(10) ORDER BY rk) FILTER (WHERE rk BETWEEN 2 AND 6) ELSE '' END ||
+    CASE WHEN any_value(n) > 6 THEN chr(10) || '  ... and ' || (any_value(n) - 6) || ' more rows' ELSE '' END END AS profile
+  FROM s LEFT JOIN k ON k.file = s.file AND k.sheet = s.sheet GROUP BY 1, 2, 3)
+SELECT file, 'Spreadsheet with ' || count(*) || ' sheet(s): ' || string_agg(sheet, ', ' ORDER BY i, sheet) || chr(10) || string_agg(chr(10) || profile, chr(10) ORDER BY i, sheet) AS profile FROM t GROUP BY file"""
+)
+def workbook_profiles(spark, folder):
+    k = F.col("c_custkey")
+    cells = F.array("c_name", "c_mktsegment")
+    rows = table(spark, folder, "customer").select(
+        F.col("c_nationkey").alias("file"), F.length("c_mktsegment").alias("sheet_index"), F.col("c_mktsegment").alias("sheet"),
+        k.alias("row_index"), F.when(k % 9 != 0, cells).otherwise(F.array(F.lit(""), F.lit(""))).alias("cells"),
+    )
+    return workbook_profile(rows, "file")
+
+
+@query(
+    f"""WITH {STORE_SQL} SELECT _id, filename FROM store ORDER BY filename, _id LIMIT 25 OFFSET 50"""
+)
+def third_result_page(spark, folder):
+    return R.result_page(stored_documents(spark, folder).select("_id", "filename"), ["filename", "_id"], 3, 25)
+
+
 @query(
     """SELECT c_mktsegment AS sheet, CAST(c_custkey AS BIGINT) AS row_index, CASE WHEN c_custkey % 9 = 0 THEN ' | ' ELSE concat_ws(' | ', c_name, CASE WHEN c_custkey % 4 <> 0 THEN CAST(c_nationkey AS VARCHAR) END, c_mktsegment,
   CASE WHEN c_custkey % 5 <> 0 THEN CAST(CAST(floor(c_acctbal) AS BIGINT) AS VARCHAR) END) END AS line FROM customer

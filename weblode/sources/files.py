@@ -165,7 +165,11 @@ def extract_text(files: DataFrame) -> DataFrame:
 
 
 _BOOK_ROWS = T.ArrayType(
-    T.StructType().add("sheet", "string").add("row_index", "long").add("cells", T.ArrayType(T.StringType()))
+    T.StructType()
+    .add("sheet_index", "integer")
+    .add("sheet", "string")
+    .add("row_index", "long")
+    .add("cells", T.ArrayType(T.StringType()))
 )
 
 
@@ -177,17 +181,33 @@ def _book_rows(content: pd.Series, extension: pd.Series) -> pd.Series:
         except Exception:
             return None
         return [
-            {"sheet": name, "row_index": i, "cells": row} for name, rows in book for i, row in enumerate(rows)
-        ] + [{"sheet": name, "row_index": -1, "cells": None} for name, _ in book]
+            {"sheet_index": n, "sheet": name, "row_index": i, "cells": row}
+            for n, (name, rows) in enumerate(book)
+            for i, row in [(-1, None), *enumerate(rows)]
+        ]
 
     return pd.Series([one(d, e) for d, e in zip(content, extension)], dtype="object")
 
 
 def sheet_rows(files: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns plus ``sheet, row_index, cells`` of every row of every spreadsheet file.
+    """``keep`` columns plus ``sheet_index, sheet, row_index, cells`` of every row of every spreadsheet file.
 
     Each sheet also has a row ``-1`` without cells, so empty sheets are not lost.
     """
     extension = F.lower(F.ltrim(F.col("extension"), F.lit(".")))
     books = files.withColumn("_rows", _book_rows(F.col("content"), extension))
     return books.select(*keep, F.inline_outer("_rows"))
+
+
+def spreadsheet_profiles(files: DataFrame, key: str) -> DataFrame:
+    """``key, profile`` of tabular files: CSV and TSV as text, everything else as a workbook.
+
+    Workbooks that cannot be opened have no profile.
+    """
+    from weblode.operators.sheets import csv_profile, workbook_profile
+
+    extension = F.lower(F.ltrim(F.col("extension"), F.lit(".")))
+    flat = extension.isin("csv", "tsv")
+    texts = files.filter(flat).select(key, decode_text(F.col("content")).alias("text"), "extension")
+    books = sheet_rows(files.filter(~flat), [key]).filter(F.col("sheet").isNotNull())
+    return csv_profile(texts, [key]).select(key, "profile").unionByName(workbook_profile(books, key))

@@ -28,6 +28,11 @@ SHEET_SYSTEM = (
 )
 
 
+def is_available(client: Callable[[str], dict], url: str) -> bool:
+    """Whether a text service is configured and answers its status address."""
+    return bool(url) and client(f"{url}/api/v1/info/status").get("status") == 200
+
+
 def convert_files(files: DataFrame, key: str, convert: Callable[[bytes], str | None], name: str) -> DataFrame:
     """``key, name``: a text service applied to each file; a failing call gives null."""
 

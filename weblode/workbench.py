@@ -32,7 +32,7 @@ from weblode.schemas import HISTORY, STORED_DOCUMENT
 from weblode.session import materialize
 from weblode.sinks.exports import export_scan
 from weblode.sinks.tables import read_snapshot, write_snapshot
-from weblode.sources.files import extract_text
+from weblode.sources.files import extract_text, spreadsheet_profiles
 from weblode.sources.http import pages_from_responses, probed_documents, probed_sizes, request_all
 from weblode.sources.services import reextract, summarize
 
@@ -323,7 +323,11 @@ class Workbench:
             skipped += store.agg(mark.modified(store)).first()[0]
             store = mark.apply(store)
         store = materialize(store, "store")
-        replies = summarize(E.prompts(E.take_pending(store)), post, api_url, model, pause)
+        pending = E.take_pending(store)
+        sheets = store.join(pending.select("_id"), "_id", "left_semi").filter(E.wants_sheet_prompt(F.col("extension")))
+        profiles = spreadsheet_profiles(S.get_files(sheets, self.blobs()), "_id")
+        prompts = materialize(E.prompts(pending, profiles), "prompts")
+        replies = summarize(prompts, post, api_url, model, pause)
         self._save_store(E.write_summaries(store, replies, model, F.lit(time.time()).cast("timestamp")))
         done = replies.agg(F.count("*"), F.count_if(F.col("error").isNull())).first()
         return {"processed": done[0], "succeeded": done[1], "failed": done[0] - done[1], "skipped": skipped}
