@@ -22,6 +22,9 @@ _WITH_PARAMS = rf"(?i)^(?:(?:https?|ftp|sftp|rtspu?|sips?|mms|tel|shttp|hdl|pros
 # Rooted references without dot segments, parameters, query or fragment: resolved by gluing.
 _SIMPLE_ROOTED = r"^/(?:[^/.?#;\s\[\]][^/?#;\s\[\]]*/)*(?:[^/.?#;\s\[\]][^/?#;\s\[\]]*)?$"
 
+# Lower-case authority, no query, fragment, parameters or trailing slash: nothing to normalise.
+_OWN_KEY = r"^https?://[a-z0-9.:\-]+(?:/[^?#;\s]*[^/?#;\s])?$"
+
 
 # --- parts ------------------------------------------------------------------------------------
 
@@ -208,7 +211,8 @@ def _crawl_key(url: str) -> str:
         )
         return bind(parts, lambda c: _join(f"{p}.scheme", f"{c}.netloc", f"{c}.path", f"{p}.params", f"{c}.query"))
 
-    return bind(_split(url), spell)
+    # Most addresses are their own key already; the pattern proves it.
+    return f"CASE WHEN {url} RLIKE r'{_OWN_KEY}' THEN {url} ELSE {bind(_split(url), spell)} END"
 
 
 # --- names ------------------------------------------------------------------------------------

@@ -50,10 +50,6 @@ def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
 # --- crawl over pages -------------------------------------------------------------------------
 
 WAITING = "key string, url string, depth int, path array<int>"
-DOCUMENTS = (
-    "url string, filename string, extension string, source_page string, depth int, path array<int>, position int"
-)
-FAILED = "url string, depth int, error string"
 LINKS = (
     "url string, position int, link string, key string, filename string, extension string, followed boolean, error string"
 )
@@ -61,7 +57,11 @@ LINKS = (
 
 @dataclass
 class CrawlState:
-    """Where a crawl stands: paths of tables, and counts."""
+    """Where a crawl stands: paths of tables, and counts.
+
+    ``source`` is the link table of the collection being crawled; a live crawl records the link table
+    of each step in ``link_tables`` instead.
+    """
 
     base: str
     start_url: str
@@ -71,6 +71,8 @@ class CrawlState:
     frontier: str = ""
     depth: int = 0
     visited: list[str] = field(default_factory=list)
+    link_tables: list[str] = field(default_factory=list)
+    source: DataFrame | None = None
     steps: int = 0
     pages_scanned: int = 0
     pages_remaining: int = 0
@@ -150,14 +152,34 @@ def visited_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
     return spark.read.schema(WAITING).parquet(*state.visited)
 
 
+def _met_links(spark: SparkSession, state: CrawlState) -> DataFrame:
+    """Link rows of the scanned pages, with the page's depth and discovery path."""
+    here = visited_pages(spark, state).select("url", "depth", "path")
+    if state.source is not None:
+        links = state.source
+    elif state.link_tables:
+        links = spark.read.schema(LINKS).parquet(*state.link_tables)
+    else:
+        links = spark.createDataFrame([], LINKS)
+    return links.join(here, "url")
+
+
 def found_documents(spark: SparkSession, state: CrawlState) -> DataFrame:
     """Every document link met, repeats included; ``found_at`` orders them by discovery."""
-    documents = read_steps(spark, f"{state.base}/documents", DOCUMENTS)
-    return documents.withColumn("found_at", F.struct("depth", "path", "position"))
+    wanted = _met_links(spark, state).filter(allowed_extension(F.col("extension"), state.filter_type))
+    return wanted.select(
+        F.col("link").alias("url"),
+        "filename",
+        "extension",
+        F.col("url").alias("source_page"),
+        "depth",
+        F.struct("depth", "path", "position").alias("found_at"),
+    )
 
 
 def failed_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
-    return read_steps(spark, f"{state.base}/failed", FAILED)
+    """``url, depth, error`` of scanned pages that could not be read."""
+    return _met_links(spark, state).filter(F.col("error").isNotNull()).select("url", "depth", "error")
 
 
 def waiting_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
@@ -213,26 +235,20 @@ def _step(spark: SparkSession, state: CrawlState, source, budget: int | None) ->
     state.visited.append(batch_path)
 
     if callable(source):
-        links = materialize(prepare_links(source(batch.select("url"))), "crawl-links")
+        table_path = f"{state.base}/links/{state.steps}"
+        prepare_links(source(batch.select("url"))).write.parquet(table_path)
+        state.link_tables.append(table_path)
+        links = spark.read.schema(LINKS).parquet(table_path)
     else:
-        links = source
-    here = batch.select("url", "depth", "path")
-    met = links.join(here, "url")
-    wanted = met.filter(allowed_extension(F.col("extension"), state.filter_type))
-    wanted.select(
-        F.col("link").alias("url"), "filename", "extension", F.col("url").alias("source_page"), "depth", "path", "position"
-    ).write.parquet(f"{state.base}/documents/{state.steps}")
-    if "error" in links.columns:
-        met.filter(F.col("error").isNotNull()).select("url", "depth", "error").write.parquet(
-            f"{state.base}/failed/{state.steps}"
-        )
+        links = state.source = source
 
     following = rest
     if depth < state.effective_depth:
         # The first spelling in queue order stands for its key.  Combined map-side, so a page that
         # everything links to is one row per task before it moves.
+        met = links.filter("followed").join(batch.select("url", "path"), "url")
         found_at = F.struct(F.concat("path", F.array("position")).alias("path"), F.col("link").alias("url"))
-        first = met.filter("followed").groupBy("key").agg(F.min(found_at).alias("_first"))
+        first = met.groupBy("key").agg(F.min(found_at).alias("_first"))
         known = visited_pages(spark, state).select("key")
         if rest is not None:
             known = known.unionByName(rest.select("key"))

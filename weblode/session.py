@@ -61,4 +61,5 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    # The schema is known: no job to infer it.
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -114,7 +114,7 @@ class Workbench:
         source = materialize(C.prepare_links(pages), "links") if pages is not None else self._fetch_pages
         C.crawl(self.spark, scan.state, source, quota, lambda: scan.cancelled)
         scan.documents = self._documents(scan)
-        scan.failed = C.failed_pages(self.spark, scan.state)
+        scan.failed = materialize(C.failed_pages(self.spark, scan.state), "failed")
         scan.status, scan.ended = "complete", time.time()
         self._remember(scan_id, scan)
         return scan.documents
