@@ -197,7 +197,7 @@ SETTING_DEFAULTS = {
     "max_concurrent_requests": 10,
     "scan_history_limit": 20,
     "mongodb_uri": "mongodb://localhost:27017",
-    "mongodb_database": "document_scraper",
+    "mongodb_database": "documents",
     "ai_api_url": "",
     "ai_api_key": "",
     "ai_model": "",

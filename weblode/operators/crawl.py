@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from weblode.functions import url as U
 from weblode.operators.links import allowed_extension, extract_links, with_extension
-from weblode.session import materialize, scratch_path
+from weblode.session import scratch_path
 
 # --- reachability over an id graph ------------------------------------------------------------
 
@@ -29,14 +29,13 @@ from weblode.session import materialize, scratch_path
 def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """``node, depth``: least number of steps from a root, up to ``max_depth``.
 
-    ``edges``: src, dst.  ``roots``: node.  Duplicate targets are combined map-side before they
+    ``edges``: src, dst, a stored table, as every level reads it.  ``roots``: node.  Duplicate targets are combined map-side before they
     meet the visited set, so a node everything links to costs one row per task.
     """
     spark = edges.sparkSession
     base = scratch_path(spark, "bfs")
     schema = f"node {edges.schema['dst'].dataType.simpleString()}, depth int"
     roots.select("node").distinct().withColumn("depth", F.lit(0)).write.parquet(f"{base}/level=0")
-    edges = materialize(edges.select("src", "dst"), "bfs-edges")
     for depth in range(1, max_depth + 1):
         seen = read_steps(spark, base, schema).select("node")
         last = spark.read.schema(schema).parquet(f"{base}/level={depth - 1}").select(F.col("node").alias("src"))

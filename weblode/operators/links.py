@@ -12,22 +12,28 @@ from weblode.lookups import FILTER_EXTENSIONS
 
 
 def with_links(pages: DataFrame, name: str = "found", parser_fallback: bool = True) -> DataFrame:
-    """Add ``name``: ``array<struct<link, kind>>`` of the page's links resolved against its ``url``.
+    """Add ``name``: the page's distinct links resolved against its ``url``, each marked ``a`` or ``e`` in front.
 
     Repeats are removed inside the array and unusable links dropped, so no shuffle is needed however
-    many links one page holds.
+    many links one page holds.  Links are plain strings there, with their kind as the first letter,
+    because Spark hashes strings to find repeats but compares structs pair by pair.
     """
     found = with_page_links(pages, "_found", parser_fallback).withColumn("_base", U.split_url(F.col("url")))
-    items = F.transform(
+    marked = F.transform(
         "_found",
-        lambda x: F.struct(
-            U.with_scheme(U.resolve_against(x["href"], F.col("_base"))).alias("link"), x["kind"].alias("kind")
+        lambda x: F.concat(
+            F.left(x["kind"], F.lit(1)), U.with_scheme(U.resolve_against(x["href"], F.col("_base")))
         ),
     )
-    usable = F.filter(items, lambda x: x["link"].isNotNull())
+    usable = F.filter(marked, lambda x: x.isNotNull())
     return found.withColumn(name, F.array_distinct(usable)).drop("_found", "_base")
 
 
+def _unmarked(links: Column) -> Column:
+    """Distinct links without their kind."""
+    return F.array_distinct(F.transform(links, lambda x: F.substring(x, 2, 2**30)))
+
+
 def extract_links(pages: DataFrame, parser_fallback: bool = True, keep: list[str] | None = None) -> DataFrame:
     """One row per distinct link of a page: ``url, position, link, kind`` plus the ``keep`` columns.
 
@@ -37,14 +43,19 @@ def extract_links(pages: DataFrame, parser_fallback: bool = True, keep: list[str
     keep = keep or []
     found = with_links(pages.select("url", "html", *keep), "found", parser_fallback)
     placed = found.select("url", *keep, F.posexplode_outer("found").alias("position", "item"))
-    return placed.filter(F.col("item").isNotNull()).select("url", *keep, "position", "item.link", "item.kind")
+    return placed.filter(F.col("item").isNotNull()).select(
+        "url",
+        *keep,
+        "position",
+        F.substring("item", 2, 2**30).alias("link"),
+        F.when(F.startswith("item", F.lit("a")), F.lit("anchor")).otherwise(F.lit("embed")).alias("kind"),
+    )
 
 
 def distinct_links(pages: DataFrame, parser_fallback: bool = True) -> DataFrame:
     """``url, links``: the number of distinct links on each page, anchors and embeds together."""
     found = with_links(pages.select("url", "html"), "found", parser_fallback)
-    links = F.array_distinct(F.transform("found", lambda x: x["link"]))
-    return found.select("url", F.coalesce(F.size(links), F.lit(0)).alias("links"))
+    return found.select("url", F.coalesce(F.size(_unmarked(F.col("found"))), F.lit(0)).alias("links"))
 
 
 def allowed_extension(extension: Column, filter_type: str) -> Column:
@@ -151,9 +162,7 @@ def scan_pages(pages: DataFrame, filter_type: str = "common", rendered: DataFram
         second = with_links(second.select("url", F.col("rendered_html").alias("html")), "rendered_found")
         scanned = scanned.join(second.select("url", "rendered_found"), "url", "left")
         scanned = scanned.withColumn("found", F.coalesce("rendered_found", "found")).drop("rendered_found")
-    resolved = scanned.select(
-        "url", "needs_render", F.array_distinct(F.transform("found", lambda x: x["link"])).alias("links")
-    )
+    resolved = scanned.select("url", "needs_render", _unmarked(F.col("found")).alias("links"))
     return resolved.select(
         "url",
         "needs_render",

@@ -18,13 +18,13 @@ walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, w.dept
 @query(_REACH.format(limit=10) + " SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node")
 def bfs_min_depth(spark, folder):
     roots = table(spark, folder, "pages").filter("page_id = 0").select(F.col("page_id").alias("node"))
-    return C.bfs_depths(link_graph(spark, folder), roots, 10)
+    return C.bfs_depths(materialize(link_graph(spark, folder), "edges"), roots, 10)
 
 
 @query(_REACH.format(limit=3) + " SELECT depth, CAST(count(*) AS BIGINT) AS nodes FROM (SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node) GROUP BY depth")
 def bfs_bounded_levels(spark, folder):
     roots = table(spark, folder, "pages").filter("page_id = 0").select(F.col("page_id").alias("node"))
-    return C.bfs_depths(link_graph(spark, folder), roots, 3).groupBy("depth").agg(F.count("*").alias("nodes"))
+    return C.bfs_depths(materialize(link_graph(spark, folder), "edges"), roots, 3).groupBy("depth").agg(F.count("*").alias("nodes"))
 
 
 _SITE = _REACH.format(limit=4) + r""",

@@ -389,7 +389,7 @@ _UPDATES = [
     f"""WITH {_SETTINGS_SQL}, latest AS (SELECT key, arg_max(value, user_id) AS value FROM stored WHERE key = 'ai_model' GROUP BY 1),
 defaults(key, value) AS (VALUES {_DEFAULTS_SQL}), cur AS (SELECT d.key, coalesce(l.value, d.value) AS value FROM defaults d LEFT JOIN latest l ON l.key = d.key)
 SELECT key, CASE key WHEN 'max_pages_per_scan' THEN '10000' WHEN 'requests_per_second' THEN '0.5' WHEN 'default_crawl_depth' THEN '9' WHEN 'max_crawl_depth' THEN '3'
-  WHEN 'ai_model' THEN '"m2"' WHEN 'stirling_pdf_url' THEN '"http://x"' WHEN 'mongodb_database' THEN '"document_scraper"' ELSE value END AS value FROM cur"""
+  WHEN 'ai_model' THEN '"m2"' WHEN 'stirling_pdf_url' THEN '"http://x"' WHEN 'mongodb_database' THEN '"documents"' ELSE value END AS value FROM cur"""
 )
 def settings_update(spark, folder):
     stored = _stored_settings(spark, folder).filter("key = 'ai_model'")
