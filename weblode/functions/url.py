@@ -20,7 +20,8 @@ _SCHEME = r"[A-Za-z][A-Za-z0-9+.\-]*"
 # Only hierarchical schemes have ";parameters".
 _WITH_PARAMS = rf"(?i)^(?:(?:https?|ftp|sftp|rtspu?|sips?|mms|tel|shttp|hdl|prospero):|(?!{_SCHEME}:))"
 # Rooted references without dot segments, parameters, query or fragment: resolved by gluing.
-_SIMPLE_ROOTED = r"^/(?:[^/.?#;\s\[\]][^/?#;\s\[\]]*/)*(?:[^/.?#;\s\[\]][^/?#;\s\[\]]*)?$"
+# Possessive repetition, so a path of any length is matched in a loop.
+_SIMPLE_ROOTED = r"^/(?:[^/.?#;\s\[\]][^/?#;\s\[\]]*+/)*+(?:[^/.?#;\s\[\]][^/?#;\s\[\]]*+)?$"
 
 # Lower-case authority, no query, fragment, parameters or trailing slash: nothing to normalise.
 _OWN_KEY = r"^https?://[a-z0-9.:\-]+(?:/[^?#;\s]*[^/?#;\s])?$"
