@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weblode.functions.binding import let
+
 ESCAPE = "␛"
 OPEN, SAYS, END = "<|turn|>", "<|says|>", "<|end|>"
 _CONTROL = r"<(?=\||/?s>|</?SYS>>)|\[(?=/?INST\])"
@@ -90,16 +92,17 @@ def _visit(parts: Column, base: Column) -> Column:
 
 def _spans(segments: Column, start: Column) -> Column:
     """(start, length) of each text segment of a turn whose content begins at ``start``."""
-    lengths = F.transform(segments, lambda s: F.length(s["text"]))
+    def spans(lengths: Column) -> Column:
+        def span(segment: Column, i: Column) -> Column:
+            before = F.aggregate(F.slice(lengths, 1, i), F.lit(0).cast("bigint"), lambda n, x: n + x)
+            return F.when(
+                ~segment["held"] & (F.length(segment["text"]) > 0),
+                F.struct((start + before).alias("start"), F.length(segment["text"]).cast("bigint").alias("length")),
+            )
 
-    def span(segment: Column, i: Column) -> Column:
-        before = F.aggregate(F.slice(lengths, 1, i), F.lit(0).cast("bigint"), lambda n, x: n + x)
-        return F.when(
-            ~segment["held"] & (F.length(segment["text"]) > 0),
-            F.struct((start + before).alias("start"), F.length(segment["text"]).cast("bigint").alias("length")),
-        )
+        return F.filter(F.transform(segments, span), lambda s: s.isNotNull())
 
-    return F.filter(F.transform(segments, span), lambda s: s.isNotNull())
+    return let(F.transform(segments, lambda s: F.length(s["text"])), spans)
 
 
 def format_chats(

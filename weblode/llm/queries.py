@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from weblode.llm.chat import chat_digests
 from weblode.llm.common import table
 from weblode.llm.mixing import mixed_sizes
+from weblode.llm.neardup import near_duplicates
 from weblode.llm.packing import pack
+from weblode.llm.pii import span_digests
 from weblode.llm.quality import judged
 
 
@@ -31,18 +33,30 @@ def op5_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged(table(spark, folder, "documents"))
 
 
+def op8_disclosure_sanitisation(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal data in every document, and the terms that reveal it."""
+    return span_digests(table(spark, folder, "documents"))
+
+
 def op9_weighted_mixture(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document the mixture takes."""
     return mixed_sizes(table(spark, folder, "documents"))
 
 
+def op10_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
+    """Near-duplicate class of every document."""
+    return near_duplicates(table(spark, folder, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
         op3_chat_formatting,
         op5_host_quality,
+        op8_disclosure_sanitisation,
         op9_weighted_mixture,
+        op10_minhash_forest,
     )
 }
 
