@@ -113,7 +113,7 @@ _ORDERS = np.array([tree_order(t) for t in range(TREES)])
 
 
 def _features(docs: DataFrame) -> DataFrame:
-    """``doc_id, n_shingles, node, signature`` per document; node and signature are null without words."""
+    """``doc_id, hash, n_shingles, node, signature`` per document; node and signature are null without words."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
@@ -122,14 +122,15 @@ def _features(docs: DataFrame) -> DataFrame:
             yield pd.DataFrame(
                 {
                     "doc_id": batch["doc_id"].astype("Int64"),
+                    "hash": batch["hash"],
                     "n_shingles": [len(s) for s in sets],
                     "node": [node_name(s) if len(s) else None for s in sets],
                     "signature": [signature(s).astype(">u4").tobytes() if len(s) else None for s in sets],
                 }
             )
 
-    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").alias("text"))
-    return given.mapInPandas(run, "doc_id bigint, n_shingles bigint, node binary, signature binary")
+    given = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("hash"))
+    return given.mapInPandas(run, "doc_id bigint, hash bigint, n_shingles bigint, node binary, signature binary")
 
 
 def _sorted_trees(nodes: DataFrame) -> DataFrame:
@@ -286,26 +287,51 @@ def _confirmed(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFra
     return sent.groupBy("region").applyInPandas(run, "a binary, b binary")
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id, kept``."""
+def _classified(docs: DataFrame) -> DataFrame:
+    """Per document: ``doc_id, hash, node, n_shingles, component_id, kept``."""
     features = materialize(_features(docs), "neardup-features")
     rows = materialize(
         features.filter("node IS NOT NULL")
         .groupBy("node")
-        .agg(F.min("doc_id").alias("first_id"), F.first("signature").alias("signature"), F.first("n_shingles").alias("n_shingles")),
+        .agg(
+            F.min("doc_id").alias("first_id"),
+            F.first("signature").alias("signature"),
+            F.first("n_shingles").alias("n_shingles"),
+        ),
         "neardup-nodes",
     )
     members = materialize(_regions(rows, rows.count()), "neardup-regions")
     links = materialize(_confirmed(members, docs, rows), "neardup-links")
-    roots = components(links)
-    named = rows.select("node", "first_id").join(roots, "node")
+    named = rows.select("node", "first_id").join(components(links), "node")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("smallest"))
     classes = named.join(smallest, "root").select("node", "smallest")
-    labelled = rows.select("node", "first_id").join(classes, "node", "left").select(
-        F.col("node").alias("_node"), F.coalesce("smallest", "first_id").alias("_component")
+    labelled = (
+        rows.select("node", "first_id")
+        .join(classes, "node", "left")
+        .select(F.col("node").alias("_node"), F.coalesce("smallest", "first_id").alias("_component"))
     )
-    out = features.select("doc_id", "n_shingles", "node").join(labelled, F.col("node") == F.col("_node"), "left")
+    out = features.drop("signature").join(labelled, F.col("node") == F.col("_node"), "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_component"))
     return out.select(
-        "doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept")
+        "doc_id",
+        "hash",
+        "node",
+        "n_shingles",
+        component.alias("component_id"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """Per document: ``doc_id, n_shingles, component_id, kept``."""
+    return _classified(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def distinct_documents(docs: DataFrame) -> DataFrame:
+    """One document of each class, with all its columns; rows that repeat it go too."""
+    kept = _classified(docs).filter("kept").groupBy("doc_id", "node").agg(F.min("hash").alias("_of_text"))
+    kept = kept.select(F.col("doc_id").alias("_of_id"), "_of_text").distinct()
+    kept = materialize(kept, "neardup-kept")
+    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(F.col("_of_id")) & (F.col("_text_hash") == F.col("_of_text"))
+    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")

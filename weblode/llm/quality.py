@@ -73,23 +73,27 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def measured(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """Narrow table of ``_key, _host`` and the measures."""
+    """Narrow table of ``_key, _host``, the text's hash ``_hash`` and the measures."""
     kinds = dict(docs.dtypes)
-    fields = f"_key {kinds[key]}, _host {kinds[host]}, n_lines bigint, " + ", ".join(f"{m} bigint" for m in MEASURES)
+    fields = f"_key {kinds[key]}, _host {kinds[host]}, _hash bigint, n_lines bigint, " + ", ".join(f"{m} bigint" for m in MEASURES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = [measure(t) for t in batch["_text"]]
             frame = pd.DataFrame(values, columns=list(MEASURES), dtype="int64")
-            for name in ("_key", "_host", "n_lines"):
+            for name in ("_key", "_host", "_hash", "n_lines"):
                 frame[name] = batch[name].values
-            yield frame[["_key", "_host", "n_lines", *MEASURES]]
+            yield frame[["_key", "_host", "_hash", "n_lines", *MEASURES]]
 
     text_col = F.col(text)
     # Lines are counted where texts already are; the id travels as it is.
     lines = F.coalesce(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     given = docs.select(
-        F.col(key).alias("_key"), F.col(host).alias("_host"), lines.cast("bigint").alias("n_lines"), text_col.alias("_text")
+        F.col(key).alias("_key"),
+        F.col(host).alias("_host"),
+        F.xxhash64(text_col).alias("_hash"),
+        lines.cast("bigint").alias("n_lines"),
+        text_col.alias("_text"),
     )
     # Ids may be null; pandas would turn them into floats, so they travel as strings and come back typed.
     as_text = given.withColumn("_key", F.col("_key").cast("string"))
@@ -140,18 +144,32 @@ def host_verdicts(rows: DataFrame, limit: float = HOST_LIMIT) -> DataFrame:
     return found.select("_host", *[f"rate_{r}" for r in SOFT], *[f"bad_{r}" for r in SOFT])
 
 
-def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """Per document: ``key``, the measures, ``base_failed``, ``kept`` and its host's rates."""
+def _verdicts(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
     rows = materialize(measured(docs.select(key, text, host), key, text, host), "quality-measures")
     verdicts = host_verdicts(rows).withColumnRenamed("_host", "_of")
     hit = F.lit(False)
     for r, c in failures().items():
         hit = hit | (c & F.col(f"bad_{r}"))
     joined = rows.join(verdicts, F.col("_host").eqNullSafe(F.col("_of")))
-    return joined.select(
-        F.col("_key").alias(key),
-        *MEASURES,
-        base_failed().alias("base_failed"),
-        (~base_failed() & ~hit).alias("kept"),
-        *[f"rate_{r}" for r in SOFT],
+    return joined.withColumns({"base_failed": base_failed(), "kept": ~base_failed() & ~hit})
+
+
+def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """Per document: ``key``, the measures, ``base_failed``, ``kept`` and its host's rates."""
+    return _verdicts(docs, key, text, host).select(
+        F.col("_key").alias(key), *MEASURES, "base_failed", "kept", *[f"rate_{r}" for r in SOFT]
+    )
+
+
+def passing(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """The documents that are kept, with all their columns."""
+    # Rows equal in id, host and text have equal verdicts, so the three say which rows go.
+    gone = _verdicts(docs, key, text, host).filter(~F.col("kept")).select("_key", "_of", "_hash").distinct()
+    gone = materialize(gone, "quality-rejected")
+    marked = docs.withColumn("_text_hash", F.xxhash64(F.col(text)))
+    same = (
+        F.col("_key").eqNullSafe(F.col(f"`{key}`"))
+        & F.col("_of").eqNullSafe(F.col(f"`{host}`"))
+        & (F.col("_hash") == F.col("_text_hash"))
     )
+    return marked.join(gone, same, "left_anti").drop("_text_hash")

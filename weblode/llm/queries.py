@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from weblode.llm.ann import nearest
 from weblode.llm.chat import chat_digests
 from weblode.llm.common import table
+from weblode.llm.langid import identify
 from weblode.llm.mixing import mixed_sizes
 from weblode.llm.neardup import near_duplicates
 from weblode.llm.packing import pack
@@ -28,11 +31,21 @@ def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     return chat_digests(given.unionByName(odd))
 
 
+def op4_cross_parsing_language(spark: SparkSession, folder: str) -> DataFrame:
+    """Language of every document, learned from those not held out."""
+    return identify(table(spark, folder, "documents"))
+
+
 def op5_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of every document, with its source as its host."""
     return judged(table(spark, folder, "documents"))
 
 
+def op6_stable_projection_search(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest other vectors of every vector whose id is divisible by 20."""
+    return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op8_disclosure_sanitisation(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document, and the terms that reveal it."""
     return span_digests(table(spark, folder, "documents"))
@@ -53,7 +66,9 @@ QUERIES = {
     for f in (
         op1_best_fit_packing,
         op3_chat_formatting,
+        op4_cross_parsing_language,
         op5_host_quality,
+        op6_stable_projection_search,
         op8_disclosure_sanitisation,
         op9_weighted_mixture,
         op10_minhash_forest,
