@@ -14,6 +14,8 @@ from weblode.llm.neardup import near_duplicates
 from weblode.llm.packing import pack
 from weblode.llm.pii import span_digests
 from weblode.llm.quality import judged
+from weblode.llm.suffix import repeated_passages
+from weblode.llm.template import extract
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -21,6 +23,11 @@ def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"))
 
 
+def op2_template_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    """Main text of every page."""
+    return extract(table(spark, folder, "pages"))
+
+
 def op3_chat_formatting(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of every conversation, and of one whose texts imitate control strings."""
     given = table(spark, folder, "conversations").select("conv_id", "turn", "role", "text")
@@ -46,6 +53,11 @@ def op6_stable_projection_search(spark: SparkSession, folder: str) -> DataFrame:
     return nearest(table(spark, folder, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op7_sparse_suffix_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of 50 words and more that another document holds too."""
+    return repeated_passages(table(spark, folder, "documents"))
+
+
 def op8_disclosure_sanitisation(spark: SparkSession, folder: str) -> DataFrame:
     """Personal data in every document, and the terms that reveal it."""
     return span_digests(table(spark, folder, "documents"))
@@ -65,10 +77,12 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_best_fit_packing,
+        op2_template_extraction,
         op3_chat_formatting,
         op4_cross_parsing_language,
         op5_host_quality,
         op6_stable_projection_search,
+        op7_sparse_suffix_passages,
         op8_disclosure_sanitisation,
         op9_weighted_mixture,
         op10_minhash_forest,
