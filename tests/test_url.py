@@ -93,7 +93,7 @@ def test_unbalanced_bracket_is_dropped(spark):
 
 def test_extensions(spark):
     urls = ["http://h/a.PDF", "http://h/a", "http://h/est.", "http://h/a.b.tar.gz", "http://h/a.verylongextension", "http://h/a.t_x?b.c", "http://h/"]
-    assert column(spark, urls, U.extension_of) == [".pdf", "", ".", ".gz", "", ".tx", ""]
+    assert column(spark, urls, U.extension_of) == [".pdf", "", ".", ".gz", ".verylongextension", ".tx", ""]
 
 
 def test_sites_and_skips(spark):

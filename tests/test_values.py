@@ -91,7 +91,11 @@ def test_previews(spark):
     assert column(spark, ["x" * 301, "x" * 300, None], T.preview) == ["x" * 300 + "...", "x" * 300, None]
     assert column(spark, ["abcdef", "abc"], lambda c: T.truncate(c, 5)) == ["ab...", "abc"]
     prompt = column(spark, ["y" * 12001], lambda c: T.build_prompt(F.lit("f.txt"), c))[0]
-    assert prompt == "Document filename: f.txt\n\nDocument content:\n" + "y" * 12000 + "\n\n[Text truncated...]"
+    assert prompt == "Document filename: f.txt\n\nDocument content:\n" + "y" * 12001
+    second = column(spark, ["y"], lambda c: T.build_prompt(F.lit("f.txt"), c, F.lit(2), F.lit(3)))[0]
+    assert second == "Document filename: f.txt\n\nDocument content (part 2 of 3):\ny"
+    cut = column(spark, ["abcde", "abcd", "", None], lambda c: F.array_join(T.text_parts(c, 2), "|"))
+    assert cut == ["ab|cd|e", "ab|cd", "", ""]
 
 
 def test_request_urls(spark):
@@ -118,7 +122,7 @@ def test_retry_rules(spark):
 def test_connection_classes(spark):
     texts = ["[Errno 111] x", "no such host", "Authentication failed", "Timeout", "bad CERTIFICATE", "author timed out", "?"]
     assert column(spark, texts, X.connection_error_class) == ["refused", "host", "auth", "timeout", "tls", "auth", "other"]
-    assert column(spark, ["z" * 200], X.connection_error_message) == ["Connection failed: " + "z" * 120]
+    assert column(spark, ["z" * 200], X.connection_error_message) == ["Connection failed: " + "z" * 200]
 
 
 def test_replies(spark):

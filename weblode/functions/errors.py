@@ -30,7 +30,7 @@ def connection_error_message(text: Column) -> Column:
         .when(kind == "auth", F.lit("Signing in to the document store failed. Check user name and password."))
         .when(kind == "timeout", F.lit("Connecting to the document store timed out. It may be slow or unreachable."))
         .when(kind == "tls", F.lit("Secure connection to the document store failed. Check its certificates."))
-        .otherwise(F.concat(F.lit("Connection failed: "), F.substring(text, 1, 120)))
+        .otherwise(F.concat(F.lit("Connection failed: "), text))
     )
 
 
@@ -51,8 +51,8 @@ def exhausted(error: Column) -> Column:
     return F.concat(F.lit(f"Failed after {len(RETRY_DELAYS) + 1} attempts. Last error: "), error)
 
 
-def error_body(body: Column, limit: int = 500) -> Column:
-    """The message inside a JSON error body, else the body itself, cut at ``limit``."""
+def error_body(body: Column) -> Column:
+    """The message inside a JSON error body, else the whole body itself."""
     message = F.coalesce(
         F.nullif(F.get_json_object(body, "$.error.message"), F.lit("")),
         F.nullif(F.get_json_object(body, "$.message"), F.lit("")),
@@ -61,7 +61,7 @@ def error_body(body: Column, limit: int = 500) -> Column:
     # An "error" that is not an object has no message to offer, and then the whole body is shown.
     error = F.get_json_object(body, "$.error")
     usable = error.isNull() | F.startswith(error, F.lit("{"))
-    return F.substring(F.coalesce(F.when(usable, message), body), 1, limit)
+    return F.coalesce(F.when(usable, message), body)
 
 
 def api_error(status: Column, request_id: Column, retry_after: Column, remaining: Column, body: Column) -> Column:

@@ -17,11 +17,13 @@ from weblode.functions.binding import bind
 from weblode.functions.text import strip
 from weblode.lookups import SCRIPT_REDIRECT_MARKERS
 
-_INERT = (
-    r"(?is)<!--.*?-->|<script(?=[\s/>]).*?</script\s*>|<style(?=[\s/>]).*?</style\s*>"
-    r"|<textarea(?=[\s/>]).*?</textarea\s*>|<title(?=[\s/>]).*?</title\s*>"
+# What is never ended takes the rest of the page, as in browsers.  So each pattern passes over the page once: it never
+# starts again at an opener inside what it has consumed.
+_INERT = "(?is)<!--(?:.*?-->|.*+)" + "".join(
+    rf"|<{name}(?=[\s/>])(?:.*?</{name}\s*+>|.*+)" for name in ("script", "style", "textarea", "title")
 )
-_START_TAG = r"""(?is)<(?:a|embed|object|iframe)(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_WHOLE_TAG = r"""<(?:a|embed|object|iframe)(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_START_TAG = rf"(?is){_WHOLE_TAG}|<(?:a|embed|object|iframe)(?=[\s/]).*+"
 _ATTRIBUTE = (
     r"""(?is)^<{tag}(?:[\s/]+(?!{name}[\s=])[^\s=>/"']+(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?)*+"""
     r"""[\s/]+{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""
@@ -69,7 +71,9 @@ def _parsed_links(html: pd.Series) -> pd.Series:
 
 def start_tags(html: Column) -> Column:
     """The start tags that may carry links, as written, in document order."""
-    return F.regexp_extract_all(F.regexp_replace(html, _INERT, ""), F.lit(_START_TAG), F.lit(0))
+    found = F.regexp_extract_all(F.regexp_replace(html, _INERT, ""), F.lit(_START_TAG), F.lit(0))
+    # At most the last one is unended, and then it is no tag.
+    return F.filter(found, lambda tag: tag.rlike(rf"(?is)^{_WHOLE_TAG}\z"))
 
 
 def needs_parser(html: Column, tags: Column) -> Column:
@@ -123,12 +127,14 @@ def with_page_links(pages: DataFrame, name: str = "found", parser_fallback: bool
     return tagged.withColumn(name, kept).drop("_tags", "_hard", "_parsed")
 
 
-def is_script_redirect(html: Column) -> Column:
-    """Very short pages that only move the browser elsewhere."""
+def is_script_redirect(html: Column, max_chars: int | None = 500) -> Column:
+    """Pages shorter than ``max_chars`` (any length when None) that only move the browser elsewhere."""
     markers = "|".join(marker.replace(".", r"\.") for marker in SCRIPT_REDIRECT_MARKERS)
-    return F.coalesce((F.length(html) < 500) & F.lower(html).rlike(markers), F.lit(False))
+    short = F.lit(True) if max_chars is None else F.length(html) < max_chars
+    return F.coalesce(short & F.lower(html).rlike(markers), F.lit(False))
 
 
-def is_minimal(html: Column, link_count: Column) -> Column:
-    """Pages without links and with little markup, worth a rendered fetch."""
-    return F.coalesce((link_count == 0) & (F.length(html) < 2000), F.lit(False))
+def is_minimal(html: Column, link_count: Column, max_chars: int | None = 2000) -> Column:
+    """Pages without links and with less than ``max_chars`` of markup (any when None), worth a rendered fetch."""
+    short = F.lit(True) if max_chars is None else F.length(html) < max_chars
+    return F.coalesce((link_count == 0) & short, F.lit(False))

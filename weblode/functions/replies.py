@@ -99,7 +99,7 @@ def _fields(value: Column, raw: Column) -> Column:
     keywords = F.transform(F.filter(items, _truthy), lambda item: strip(_text_of(item)))
     kind = F.when(get("document_type").isNull(), F.lit("other")).otherwise(strip(_text_of(get("document_type"))))
     ok = F.coalesce(valid, F.lit(False))
-    problem = F.concat(F.lit("Failed to parse response as JSON: "), F.substring(raw, 1, 200))
+    problem = F.concat(F.lit("Failed to parse response as JSON: "), raw)
     return F.struct(
         F.when(ok, text("title")).alias("title"),
         F.when(ok, text("short_summary")).alias("short_summary"),

@@ -87,10 +87,19 @@ def disposition_filename(header: Column) -> Column:
     return F.when(F.contains(header, F.lit("filename=")) & (part != ""), part)
 
 
-def build_prompt(filename: Column, text: Column, max_chars: int = 12000) -> Column:
-    """User message for the summary service: file name, then the text cut at ``max_chars``."""
-    body = F.when(
-        F.length(text) > max_chars,
-        F.concat(F.substring(text, 1, max_chars), F.lit("\n\n[Text truncated...]")),
-    ).otherwise(text)
-    return F.concat(F.lit("Document filename: "), filename, F.lit("\n\nDocument content:\n"), body)
+def text_parts(text: Column, size: int) -> Column:
+    """The whole text in consecutive parts of at most ``size`` characters; one empty part for an empty text."""
+    count = F.greatest(F.ceil(F.length(text) / size), F.lit(1)).cast("int")
+    return F.transform(
+        F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, i * size + 1, F.lit(size))
+    )
+
+
+def build_prompt(filename: Column, text: Column, part: Column | None = None, parts: Column | None = None) -> Column:
+    """User message for the summary service: file name, which part of the text this is if there are several, text."""
+    where = F.lit("")
+    if part is not None:
+        where = F.when(parts > 1, F.format_string(" (part %d of %d)", part, parts)).otherwise(F.lit(""))
+    return F.concat(
+        F.lit("Document filename: "), filename, F.lit("\n\nDocument content"), where, F.lit(":\n"), text
+    )

@@ -227,10 +227,7 @@ def _filename(url: str) -> str:
 
 
 def _extension(filename: str) -> str:
-    ext = bind(
-        f"regexp_replace(concat('.', lower(substring_index({filename}, '.', -1))), r'[^a-z0-9.]', '')",
-        lambda e: f"CASE WHEN length({e}) <= 10 THEN {e} ELSE '' END",
-    )
+    ext = f"regexp_replace(concat('.', lower(substring_index({filename}, '.', -1))), r'[^a-z0-9.]', '')"
     return f"CASE WHEN contains({filename}, '.') THEN {ext} ELSE '' END"
 
 

@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weblode.functions.text import build_prompt, is_blank, is_missing, strip
+from weblode.functions.text import build_prompt, is_blank, is_missing, strip, text_parts
 from weblode.lookups import NO_TEXT_ERROR, SPREADSHEET_EXTENSIONS, UNSUMMARIZABLE_ERROR
 
 # --- filters ----------------------------------------------------------------------------------
@@ -188,8 +188,12 @@ def wants_sheet_prompt(extension: Column) -> Column:
     return F.lower(extension).isin(SPREADSHEET_EXTENSIONS)
 
 
-def prompts(pending: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-    """``_id, filename, kind, prompt`` for pending documents.
+#: Characters of a document that one prompt carries, by default.
+PROMPT_CHARS = 12_000
+
+
+def prompts(pending: DataFrame, profiles: DataFrame | None = None, size: int = PROMPT_CHARS) -> DataFrame:
+    """``_id, filename, kind, part, parts, prompt`` for pending documents; every character is in some part.
 
     Tabular files use their profile (``_id, profile``) where there is one, all others their text.
     """
@@ -200,11 +204,18 @@ def prompts(pending: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
         body, kind = F.when(sheet, F.col("profile")).otherwise(F.col("extracted_text")), F.when(sheet, F.lit("sheet"))
     else:
         body, kind = F.col("extracted_text"), F.lit(None)
+    return prompt_rows(rows.select("_id", "filename", F.coalesce(kind, F.lit("text")).alias("kind"), body.alias("body")), size)
+
+
+def prompt_rows(bodies: DataFrame, size: int | None = PROMPT_CHARS) -> DataFrame:
+    """One prompt per part of each ``_id, filename, kind, body``; ``size`` None leaves bodies whole."""
+    cut = text_parts(F.col("body"), size) if size else F.array("body")
+    rows = bodies.withColumn("_cut", cut).withColumn("parts", F.size("_cut"))
+    rows = rows.select("_id", "filename", "kind", "parts", F.posexplode("_cut").alias("_at", "_text"))
+    part = F.col("_at") + 1
     return rows.select(
-        "_id",
-        "filename",
-        F.coalesce(kind, F.lit("text")).alias("kind"),
-        build_prompt(F.col("filename"), body).alias("prompt"),
+        "_id", "filename", "kind", part.alias("part"), "parts",
+        build_prompt(F.col("filename"), F.col("_text"), part, F.col("parts")).alias("prompt"),
     )
 
 

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from weblode.functions.text import preview
 
 FIELDS = ["filename", "extracted_text", "summary", "short_summary", "title", "keywords"]
-MAX_RESULTS = 200
 _WORD_BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -59,27 +58,34 @@ def _filters(rows: DataFrame, scan_url: str, extension: str) -> DataFrame:
     return rows
 
 
+def _check_limit(limit: int | None) -> None:
+    if limit is not None and limit <= 0:
+        raise ValueError("limit must be positive")
+
+
+def _first(rows: DataFrame, limit: int | None) -> DataFrame:
+    return rows if limit is None else rows.limit(limit)
+
+
 def search(
     store: DataFrame,
     query: str = "",
     scan_url: str = "",
     extension: str = "",
-    limit: int = 50,
+    limit: int | None = 50,
     fields: list[str] | None = None,
 ) -> DataFrame:
-    """Best matches, or the newest documents when there is no text; at most 200.
+    """Best matches, or the newest documents when there is no text; ``limit`` rows, or all when it is None.
 
     Scan and extension filters reach the file scan.  The result carries a 300-character preview in
     place of the text.  Sorting with a limit is a per-task top-k.
     """
-    if limit <= 0:
-        raise ValueError("limit must be positive")
+    _check_limit(limit)
     rows = _filters(store, scan_url, extension)
     shown = [F.col(c) for c in store.columns if c != "extracted_text"]
     shown.append(preview(F.col("extracted_text")).alias("extracted_text_preview"))
-    count = min(limit, MAX_RESULTS)
     if not query.strip():
-        return rows.orderBy(F.desc("downloaded_at"), "_id").limit(count).select(*shown)
+        return _first(rows.orderBy(F.desc("downloaded_at"), "_id"), limit).select(*shown)
     fields = fields or [f for f in FIELDS if f in store.columns]
     words, phrases, excluded = query_terms(query)
     everything = F.lower(F.concat_ws("\n", *[_field(f) for f in fields]))
@@ -89,7 +95,7 @@ def search(
         rows = rows.filter(relevance(excluded, fields) == 0)
     # The score is computed once, before the top-k; only the winners' rows are projected.
     scored = rows.withColumn("score", relevance(words, fields)) if words else rows.withColumn("score", F.lit(0).cast("bigint"))
-    return scored.filter(F.col("score") > 0).orderBy(F.desc("score"), "_id").limit(count).select(*shown, "score")
+    return _first(scored.filter(F.col("score") > 0).orderBy(F.desc("score"), "_id"), limit).select(*shown, "score")
 
 
 def build_index(store: DataFrame, fields: list[str] | None = None) -> DataFrame:
@@ -109,10 +115,42 @@ def build_index(store: DataFrame, fields: list[str] | None = None) -> DataFrame:
     )
 
 
-def search_index(index: DataFrame, query: str, limit: int = 50) -> DataFrame:
-    """``_id, score`` of the best matches for the words of a query."""
-    if limit <= 0:
-        raise ValueError("limit must be positive")
-    words, _, _ = query_terms(query)
-    hits = index.filter(F.col("word").isin(words)).groupBy("_id").agg(F.sum("frequency").alias("score"))
-    return hits.orderBy(F.desc("score"), "_id").limit(min(limit, MAX_RESULTS))
+def search_index(
+    index: DataFrame,
+    query: str,
+    limit: int | None = 50,
+    store: DataFrame | None = None,
+    scan_url: str = "",
+    extension: str = "",
+    fields: list[str] | None = None,
+) -> DataFrame:
+    """The answer of :func:`search` from an inverted index: ``_id, score``, or with ``store`` its rows as there.
+
+    Words are summed and excluded words removed within the index.  Phrases and filters need ``store`` (the snapshot
+    the index was built from, over the same ``fields``) and are checked on the documents that hold all of the
+    phrases' words, never on the whole store.
+    """
+    _check_limit(limit)
+    words, phrases, excluded = query_terms(query)
+    if (phrases or scan_url or extension) and store is None:
+        raise ValueError("phrases and filters need the store")
+    hits = index.filter(F.col("word").isin(words)).groupBy("_id")
+    scored = hits.agg(F.sum("frequency").alias("score"), F.collect_set("word").alias("_words"))
+    needed = sorted({w for p in phrases for w in re.split(r"[^\w]+|_", p) if w})
+    if needed:
+        scored = scored.filter(F.size(F.array_intersect("_words", F.array(*map(F.lit, needed)))) == len(needed))
+    scored = scored.drop("_words")
+    if excluded:
+        # An excluded text may hold several words; documents with any of them go, as in the scan.
+        gone = index.filter(F.col("word").isin(excluded)).select("_id").distinct()
+        scored = scored.join(gone, "_id", "left_anti")
+    if store is None:
+        return _first(scored.orderBy(F.desc("score"), "_id"), limit)
+    rows = _filters(store, scan_url, extension).join(scored, "_id")
+    fields = fields or [f for f in FIELDS if f in store.columns]
+    everything = F.lower(F.concat_ws("\n", *[_field(f) for f in fields]))
+    for phrase in phrases:
+        rows = rows.filter(F.contains(everything, F.lit(phrase)))
+    shown = [F.col(c) for c in store.columns if c != "extracted_text"]
+    shown.append(preview(F.col("extracted_text")).alias("extracted_text_preview"))
+    return _first(rows.orderBy(F.desc("score"), "_id"), limit).select(*shown, "score")

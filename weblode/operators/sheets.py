@@ -7,10 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from weblode.functions.text import strip
+from weblode.lookups import WHITESPACE
 
 SAMPLE_ROWS = 5
-CSV_RECORDS = 50
 
 
 def row_text(cells: Column) -> Column:
@@ -106,8 +105,9 @@ def _quoted_rows(text: str, delimiter: str) -> list[list[str]]:
     import io
     import itertools
 
-    records = csv.reader(io.StringIO(text), delimiter=delimiter)
-    return [row for row in itertools.islice(records, CSV_RECORDS) if any(cell.strip() for cell in row)]
+    records = csv.reader(io.StringIO(text, newline=""), delimiter=delimiter)
+    filled = (row for row in records if any(cell.strip() for cell in row))
+    return list(itertools.islice(filled, 1 + SAMPLE_ROWS))
 
 
 @F.pandas_udf(_ROWS)
@@ -120,8 +120,8 @@ def _parse_quoted(text: pd.Series, delimiter: pd.Series) -> pd.Series:
 def csv_profile(files: DataFrame, keep: list[str], text: str = "text", extension: str = "extension") -> DataFrame:
     """``keep`` columns plus ``line_count, headers, samples`` and ``profile`` of CSV and TSV texts.
 
-    The line count is the number of line breaks in the whole text.  Header and samples come from the
-    first 50 records.  Text without quotes is split by expressions; quoted text goes to the standard
+    The line count is the number of line breaks in the whole text.  Header and samples are the first
+    six records that are not blank, wherever they stand.  Text without quotes is split by expressions; quoted text goes to the standard
     CSV reader through Arrow.
     """
     delimiter = F.when(F.lower(F.ltrim(F.col(extension), F.lit("."))) == "tsv", F.lit("\t")).otherwise(F.lit(","))
@@ -129,11 +129,10 @@ def csv_profile(files: DataFrame, keep: list[str], text: str = "text", extension
     tricky = F.contains("_text", F.lit('"')) | F.col("_text").rlike(r"\r(?!\n)")
     source = source.withColumn("_tricky", tricky)
     source = source.withColumn("_parsed", _parse_quoted(F.when(F.col("_tricky"), F.col("_text")), F.col("_delimiter")))
-    lines = F.slice(F.split("_text", "\r?\n"), 1, CSV_RECORDS)
-    plain = F.filter(
-        F.transform(lines, lambda line: F.split(line, F.col("_delimiter"))),
-        lambda row: F.exists(row, lambda cell: strip(cell) != ""),
-    )
+    # A line is blank if nothing but white space and delimiters is on it; only shown lines are split.
+    marks = F.concat(F.lit(WHITESPACE), F.col("_delimiter"))
+    filled = F.filter(F.split("_text", "\r?\n"), lambda line: F.btrim(line, marks) != "")
+    plain = F.transform(F.slice(filled, 1, 1 + SAMPLE_ROWS), lambda line: F.split(line, F.col("_delimiter")))
     source = source.withColumn("_rows", F.when(F.col("_tricky"), F.col("_parsed")).otherwise(plain))
     breaks = F.length("_text") - F.length(F.replace("_text", F.lit("\n"), F.lit("")))
     shown = source.select(

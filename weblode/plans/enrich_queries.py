@@ -13,7 +13,7 @@ from weblode.functions.errors import (
     retry_delay,
 )
 from weblode.functions.replies import parse_reply, provider_of, request_body, response_text
-from weblode.functions.text import build_prompt, disposition_filename
+from weblode.functions.text import build_prompt, disposition_filename, text_parts
 from weblode.operators import enrich as E
 from weblode.operators import reports as R
 from weblode.operators import store as S
@@ -186,17 +186,29 @@ def enrichment_counts(spark, folder):
 
 
 @query(
-    """SELECT doc_id, 'Document filename: f' || doc_id || '.txt' || chr(10) || chr(10) || 'Document content:' || chr(10) || CASE WHEN length(text) > 12000 THEN substr(text, 1, 12000) || chr(10) || chr(10) || '[Text truncated...]' ELSE text END AS prompt FROM documents"""
+    """SELECT doc_id, 'Document filename: f' || doc_id || '.txt' || chr(10) || chr(10) || 'Document content:' || chr(10) || text AS prompt FROM documents"""
 )
 def prompt_truncation(spark, folder):
+    """The whole text in one prompt: nothing is cut any more."""
     name = F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".txt"))
     return table(spark, folder, "documents").select("doc_id", build_prompt(name, F.col("text")).alias("prompt"))
 
 
+@query(
+    """WITH p AS (SELECT doc_id, text, unnest(range(1, greatest(CAST(ceil(length(text) / 1000.0) AS BIGINT), 1) + 1)) AS part FROM documents)
+SELECT doc_id, CAST(part AS INT) AS part, substr(text, (part - 1) * 1000 + 1, 1000) AS body FROM p"""
+)
+def prompt_parts(spark, folder):
+    """Every character of every text in some part."""
+    rows = table(spark, folder, "documents").select("doc_id", F.posexplode(text_parts(F.col("text"), 1000)).alias("at", "body"))
+    return rows.select("doc_id", (F.col("at") + 1).alias("part"), "body")
+
+
 @query(
     _with_store("""SELECT _id, CASE WHEN extension IN ('.xlsx', '.csv') AND seq % 2 = 0 THEN 'sheet' ELSE 'text' END AS kind,
-  'Document filename: ' || filename || chr(10) || chr(10) || 'Document content:' || chr(10) || CASE WHEN extension IN ('.xlsx', '.csv') AND seq % 2 = 0 THEN 'profile of ' || seq WHEN length(extracted_text) > 12000 THEN substr(extracted_text, 1, 12000) || chr(10) || chr(10) || '[Text truncated...]' ELSE extracted_text END AS prompt
-FROM store WHERE summary_status = 'pending' AND text_extraction_status = 'complete' AND extracted_text <> ''""")
+  'Document filename: ' || filename || chr(10) || chr(10) || 'Document content' || CASE WHEN parts > 1 THEN ' (part ' || part || ' of ' || parts || ')' ELSE '' END || ':' || chr(10) || substr(body, (part - 1) * 12000 + 1, 12000) AS prompt
+FROM (SELECT *, unnest(range(1, parts + 1)) AS part FROM (SELECT *, CAST(ceil(length(body) / 12000.0) AS BIGINT) AS parts FROM
+  (SELECT *, CASE WHEN extension IN ('.xlsx', '.csv') AND seq % 2 = 0 THEN 'profile of ' || seq ELSE extracted_text END AS body FROM store))) WHERE summary_status = 'pending' AND text_extraction_status = 'complete' AND extracted_text <> ''""")
 )
 def summary_prompts(spark, folder):
     store = stored_documents(spark, folder)
@@ -328,7 +340,7 @@ def page_fetch_rules(spark, folder):
 @query(
     f"""WITH {_RESPONSES_SQL}, o AS (SELECT *, failure IS NULL AND status = 200 AS ok FROM resp)
 SELECT url, CASE WHEN ok AND e % 10 = 0 THEN 'Named.PDF' ELSE 'f' || e || '.pdf' END AS filename, '.pdf' AS extension, CASE WHEN ok AND e % 3 = 0 THEN e END AS file_size_bytes, ok AS is_accessible,
-  CASE WHEN ok THEN NULL WHEN failure = 'timeout' THEN 'Timeout' WHEN status IS NOT NULL THEN 'HTTP ' || status ELSE substr(failure_text, 1, 50) END AS error_message FROM o"""
+  CASE WHEN ok THEN NULL WHEN failure = 'timeout' THEN 'Timeout' WHEN status IS NOT NULL THEN 'HTTP ' || status ELSE failure_text END AS error_message FROM o"""
 )
 def file_probes(spark, folder):
     responses = _responses(spark, folder)

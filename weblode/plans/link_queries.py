@@ -8,6 +8,7 @@ from weblode.functions import url as U
 from weblode.functions.html import is_minimal, is_script_redirect
 from weblode.functions.requests import check_depth, check_url
 from weblode.functions.sizes import format_size, format_size_history, format_size_ui
+from weblode.functions.html import with_page_links
 from weblode.functions.text import mime_type, type_label
 from weblode.lookups import (
     ALL_EXTENSIONS,
@@ -53,7 +54,7 @@ def _sql_site(url: str) -> str:
 def _sql_ext(name: str) -> str:
     """Extension of a file name."""
     ext = f"regexp_replace('.' || lower(regexp_extract({name}, '([^.]*)$', 1)), '[^a-z0-9.]', '', 'g')"
-    return f"CASE WHEN contains({name}, '.') AND length({ext}) <= 10 THEN {ext} ELSE '' END"
+    return f"CASE WHEN contains({name}, '.') THEN {ext} ELSE '' END"
 
 
 _LINKS_SQL = r"""
@@ -348,3 +349,32 @@ def url_display(spark, folder):
         U.display_host_path(url, 24).alias("host_path"),
         U.is_valid_url(url).alias("valid"),
     )
+
+
+# --- markup that browsers repair --------------------------------------------------------------
+
+
+@query(
+    """SELECT page_id, unnest(['/e/' || page_id || '.pdf', 'https://x.example.com/o.swf', 'frame ' || page_id || '.html']) AS href FROM pages"""
+)
+def embedded_links(spark, folder):
+    """Embedded sources, appended to every page since the given ones have none."""
+    key = F.col("page_id").cast("string")
+    more = F.concat(
+        F.lit('<embed src="/e/'), key, F.lit(".pdf\"><object src='https://x.example.com/o.swf'></object><iframe width=1 src=\"frame "),
+        key, F.lit('.html"></iframe>'),
+    )
+    pages = table(spark, folder, "pages").select("page_id", F.concat("html", more).alias("html"))
+    found = with_page_links(pages).select("page_id", F.explode("found").alias("link"))
+    return found.filter("link.kind = 'embed'").select("page_id", "link.href")
+
+
+@query(
+    """SELECT page_id, CAST(len(regexp_extract_all(html, '<a href="[^"]+"')) AS BIGINT) AS links FROM pages"""
+)
+def broken_markup_links(spark, folder):
+    """Links of pages that end in an unended script, comment, title or tag: nothing inside those is a link."""
+    ends = ['<script>var a="<a href=\'/s.pdf\'>"; <a href="/t.pdf">', '<!-- <a href="/c.pdf">', '<title><a href="/n.pdf">', '<a href="/u.pdf']
+    tail = F.element_at(F.array(*map(F.lit, ends)), (F.col("page_id") % 4 + 1).cast("int"))
+    pages = table(spark, folder, "pages").select("page_id", F.concat("html", tail).alias("html"))
+    return with_page_links(pages).select("page_id", F.size("found").cast("bigint").alias("links"))

@@ -469,7 +469,7 @@ def sheet_lines(spark, folder):
 
 @query(
     """WITH d AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN ',' ELSE chr(9) END AS sep, replace(CASE WHEN doc_id % 2 = 0 THEN text ELSE replace(text, ' ', chr(9)) END, '"', '') AS t FROM documents),
-r AS (SELECT *, list_filter(list_slice(string_split(t, chr(10)), 1, 50), lambda line: regexp_replace(line, '[\\s,]+', '', 'g') <> '') AS rows FROM d),
+r AS (SELECT *, list_filter(string_split(t, chr(10)), lambda line: regexp_replace(line, '[\\s,]+', '', 'g') <> '') AS rows FROM d),
 s AS (SELECT doc_id, length(t) - length(replace(t, chr(10), '')) AS line_count, list_transform(rows, lambda line: array_to_string(string_split(line, sep), ' | ')) AS lines FROM r)
 SELECT doc_id, CAST(line_count AS BIGINT) AS line_count, lines[1] AS headers, coalesce(array_to_string(list_slice(lines, 2, 6), '#'), '') AS samples,
   'CSV file with approximately ' || line_count || ' rows' || chr(10) || 'Column headers: ' || lines[1] ||

@@ -176,7 +176,7 @@ _HITS = " + ".join(
 
 @query(
     _with_store(f"""SELECT _id, filename, CAST(score AS BIGINT) AS score, CASE WHEN length(extracted_text) > 300 THEN substr(extracted_text, 1, 300) || '...' ELSE extracted_text END AS extracted_text_preview
-FROM (SELECT *, {_HITS} AS score FROM store) WHERE score > 0 ORDER BY score DESC, _id LIMIT 200""")
+FROM (SELECT *, {_HITS} AS score FROM store) WHERE score > 0 ORDER BY score DESC, _id LIMIT 500""")
 )
 def search_ranked(spark, folder):
     return Q.search(stored_documents(spark, folder), _SEARCH, limit=500).select(
@@ -191,6 +191,38 @@ def search_by_index(spark, folder):
     return Q.search_index(Q.build_index(stored_documents(spark, folder)), _SEARCH)
 
 
+_FOUND = "lower(concat_ws(chr(10), filename, extracted_text, summary, short_summary, title, keywords))"
+_SCORED = """SELECT _id, scan_url, CAST(score AS BIGINT) AS score, CASE WHEN length(extracted_text) > 300 THEN substr(extracted_text, 1, 300) || '...' ELSE extracted_text END AS extracted_text_preview
+FROM (SELECT *, {hits} AS score FROM store) WHERE score > 0 AND {where}"""
+
+
+def _hits_of(words):
+    return _HITS.replace("'that', 'kw3', 'pdf'", ", ".join(f"'{w}'" for w in words))
+
+
+def _indexed(spark, folder, query, **filters):
+    store = stored_documents(spark, folder)
+    found = Q.search_index(Q.build_index(store), query, None, store, **filters)
+    return found.select("_id", "scan_url", "score", "extracted_text_preview")
+
+
+@query(_with_store(_SCORED.format(hits=_hits_of(["of", "the", "kw3"]), where=f"contains({_FOUND}, 'of the')")))
+def search_phrases(spark, folder):
+    return _indexed(spark, folder, 'kw3 "of the"')
+
+
+@query(_with_store(_SCORED.format(hits=_hits_of(["that", "kw3"]), where=f"({_hits_of(['pdf', 'die'])}) = 0")))
+def search_excluded(spark, folder):
+    return _indexed(spark, folder, "that kw3 -pdf -die")
+
+
+@query(
+    _with_store(_SCORED.format(hits=_hits_of(["that", "kw3"]), where="scan_url = 'https://src0.example.com' AND extension = '.pdf'"))
+)
+def search_in_scan(spark, folder):
+    return _indexed(spark, folder, "that kw3", scan_url="https://src0.example.com", extension=".pdf")
+
+
 @query(
     _with_store("""SELECT CASE WHEN coalesce(title, '') = '' THEN '<automated title extraction failed>' ELSE title END AS "Document Title",
   CASE WHEN coalesce(short_summary, '') = '' THEN '<automated summary extraction failed>' ELSE short_summary END AS "Short Summary",

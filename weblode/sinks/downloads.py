@@ -74,9 +74,9 @@ def save_files(files: DataFrame, folder: str, open_stream: Callable[[str], Itera
                 except TimeoutError:
                     rows.append((url, None, False, "Download timed out", None))
                 except ConnectionError as error:
-                    rows.append((url, None, False, f"Connection error: {str(error)[:50]}", None))
+                    rows.append((url, None, False, f"Connection error: {error}", None))
                 except Exception as error:
-                    rows.append((url, None, False, str(error)[:100], None))
+                    rows.append((url, None, False, str(error), None))
                 if os.path.exists(part):
                     os.remove(part)
             yield pd.DataFrame(rows, columns=SAVED.fieldNames(), dtype="object")

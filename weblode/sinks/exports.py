@@ -8,17 +8,14 @@ from pyspark.sql import functions as F
 from weblode.operators.reports import export_rows
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "emptyValue": "", "nullValue": "", "lineSep": "\r\n"}
-SINGLE_FILE_ROWS = 1_000_000
 
 
-def export_scan(store: DataFrame, scan_url: str, path: str, single_file_rows: int = SINGLE_FILE_ROWS) -> None:
-    """Write a scan's export table as CSV with CRLF line ends.
+def export_scan(store: DataFrame, scan_url: str, path: str, single_file: bool = False) -> None:
+    """Write a scan's export table as CSV with CRLF line ends, in parts sorted in order of their names.
 
-    Scans of at most ``single_file_rows`` documents become one file.  Larger ones are written as
-    sorted parts, in order of their names, so no task ever holds a whole large scan.
+    ``single_file`` asks for one file, written by one task; choose it for scans one task can write.
     """
-    scan = store.filter(F.col("scan_url") == scan_url)
-    rows = export_rows(scan)
-    if scan.count() <= single_file_rows:
+    rows = export_rows(store.filter(F.col("scan_url") == scan_url))
+    if single_file:
         rows = rows.coalesce(1)
     rows.write.mode("errorifexists").options(**CSV_OPTIONS).csv(path)

@@ -113,7 +113,7 @@ def probed_documents(links: DataFrame, responses: DataFrame) -> DataFrame:
         F.when(ok, F.lit(None).cast("string"))
         .when(F.col("failure") == "timeout", F.lit("Timeout"))
         .when(F.col("status").isNotNull(), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
-        .otherwise(F.substring(F.coalesce("failure_text", F.lit("")), 1, 50))
+        .otherwise(F.coalesce("failure_text", F.lit("")))
     )
     return joined.select(
         "url",
@@ -145,7 +145,7 @@ def failure_reasons(responses: DataFrame) -> DataFrame:
     """``url, reason`` of unreachable files, for the inaccessible log."""
     reason = (
         F.when(F.col("failure") == "timeout", F.lit("TIMEOUT"))
-        .when(F.col("failure").isNotNull(), F.concat(F.lit("ERROR: "), F.substring("failure_text", 1, 100)))
+        .when(F.col("failure").isNotNull(), F.concat(F.lit("ERROR: "), F.col("failure_text")))
         .when(~F.col("status").isin(200, 206), F.concat(F.lit("HTTP "), F.col("status").cast("string")))
     )
     return responses.select("url", reason.alias("reason")).filter(F.col("reason").isNotNull())

@@ -14,8 +14,6 @@ from weblode.functions.errors import api_error, exhausted, is_retryable, retry_d
 from weblode.functions.replies import parse_reply, request_body, response_text
 from weblode.lookups import RETRY_DELAYS
 
-MIN_OCR_BYTES = 100
-
 TEXT_SYSTEM = (
     "Describe the document in one JSON object with the keys title (5-10 words), short_summary (2-3 sentences), "
     "summary (4-6 sentences), keywords (3-8 words), document_type (for example report, invoice, manual, contract, "
@@ -51,13 +49,11 @@ def convert_files(files: DataFrame, key: str, convert: Callable[[bytes], str | N
 
 
 def ocr_text(ocr: Callable[[bytes], bytes | None], read: Callable[[bytes], str | None]) -> Callable[[bytes], str | None]:
-    """OCR a file, then read the text back; an answer below 100 bytes is no document."""
+    """OCR a file, then read the text back; an answer that can't be read is no document."""
 
     def convert(data: bytes) -> str | None:
         scanned = ocr(data)
-        if not scanned or len(scanned) < MIN_OCR_BYTES:
-            return None
-        return (read(scanned) or "").strip() or None
+        return ((read(scanned) if scanned else None) or "").strip() or None
 
     return convert
 
@@ -114,14 +110,16 @@ def call_once(requests: DataFrame, post: Callable[[str], dict]) -> DataFrame:
                 try:
                     reply = post(request)
                 except Exception as error:
-                    reply = {"failure": f"{type(error).__name__}: {str(error)[:300]}"}
+                    reply = {"failure": f"{type(error).__name__}: {error}"}
                 rows.append({"_id": key, **reply})
             yield pd.DataFrame(rows, columns=names, dtype="object")
 
     return requests.select("_id", "request").mapInPandas(run, REPLY_ROW)
 
 
-def summarize(prompts: DataFrame, post: Callable[[str], dict], api_url: str, model: str, pause=time.sleep) -> DataFrame:
+def summarize(
+    prompts: DataFrame, post: Callable[[str], dict], api_url: str, model: str, pause=time.sleep, max_tokens: int = 1024
+) -> DataFrame:
     """``_id`` plus reply fields for ``_id, kind, prompt`` rows.
 
     Transient failures are retried as batches: all that failed so are sent again together after the
@@ -132,7 +130,7 @@ def summarize(prompts: DataFrame, post: Callable[[str], dict], api_url: str, mod
 
     provider = provider_of(F.lit(api_url))
     system = F.when(F.col("kind") == "sheet", F.lit(SHEET_SYSTEM)).otherwise(F.lit(TEXT_SYSTEM))
-    requests = prompts.select("_id", request_body(provider, model, system, F.col("prompt")).alias("request"))
+    requests = prompts.select("_id", request_body(provider, model, system, F.col("prompt"), max_tokens).alias("request"))
 
     def judged(replies: DataFrame) -> DataFrame:
         text = response_text(provider, F.col("body"))
@@ -166,3 +164,41 @@ def summarize(prompts: DataFrame, post: Callable[[str], dict], api_url: str, mod
         results = materialize(results.join(again.select("_id"), "_id", "left_anti").unionByName(redo), "replies")
     failed = is_retryable(F.col("error"))
     return results.withColumn("error", F.when(failed, exhausted(F.col("error"))).otherwise(F.col("error")))
+
+
+def summarize_parts(
+    prompts: DataFrame, post: Callable[[str], dict], api_url: str, model: str, pause=time.sleep, max_tokens: int = 1024
+) -> DataFrame:
+    """Reply fields per ``_id`` for ``_id, filename, kind, part, parts, prompt`` rows.
+
+    The parts of a long text are summarized each, then their summaries in order are summarized as one text, in
+    parts again where they are still long.  A document of which a part fails has that part's error.
+    """
+    from weblode.operators.enrich import PROMPT_CHARS, prompt_rows
+    from weblode.session import materialize
+
+    done = None
+    while True:
+        calls = prompts.select(F.concat_ws("\n", "_id", "part").alias("_id"), "kind", "prompt")
+        replies = summarize(calls, post, api_url, model, pause, max_tokens).withColumnRenamed("_id", "_call")
+        parts = prompts.withColumn("_call", F.concat_ws("\n", "_id", "part")).join(replies, "_call").drop("_call", "prompt")
+        parts = materialize(parts, "reply-parts")
+        names = [n for n in replies.columns if n != "_call"]
+        failed = parts.filter("parts > 1 AND error IS NOT NULL").groupBy("_id").agg(F.min_by("error", "part").alias("error"))
+        single = parts.filter("parts = 1").select("_id", *names)
+        lost = failed.select("_id", *[F.lit(None).cast(parts.schema[n].dataType).alias(n) if n != "error" else "error" for n in names])
+        done = single.unionByName(lost) if done is None else done.unionByName(single).unionByName(lost)
+        more = parts.filter("parts > 1").join(failed, "_id", "left_anti")
+        if more.isEmpty():
+            return done
+        # A document's parts are as many as its text is long; only their summaries meet.
+        listed = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "summary"))), lambda x: x["summary"]), "\n\n")
+        bodies = more.groupBy("_id").agg(
+            F.first("filename").alias("filename"), F.first("kind").alias("kind"), F.max("parts").alias("_before"), listed.alias("body")
+        )
+        again = prompt_rows(bodies.drop("_before"), PROMPT_CHARS).join(bodies.select("_id", "_before"), "_id")
+        whole = prompt_rows(bodies.drop("_before"), None)
+        # Summaries that do not get shorter are sent whole, so the rounds end.
+        stuck = again.filter("parts >= _before").select("_id").distinct()
+        prompts = again.drop("_before").join(stuck, "_id", "left_anti").unionByName(whole.join(stuck, "_id", "left_semi"))
+        prompts = materialize(prompts, "reply-prompts")

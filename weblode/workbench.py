@@ -34,7 +34,7 @@ from weblode.sinks.exports import export_scan
 from weblode.sinks.tables import read_snapshot, write_snapshot
 from weblode.sources.files import extract_text, spreadsheet_profiles
 from weblode.sources.http import pages_from_responses, probed_documents, probed_sizes, request_all
-from weblode.sources.services import reextract, summarize
+from weblode.sources.services import reextract, summarize_parts
 
 Client = Callable[[str], dict]
 
@@ -280,7 +280,7 @@ class Workbench:
         self._save_store(self.store().filter(F.col("_id") != document_id))
         return True
 
-    def search(self, query: str = "", scan_url: str = "", extension: str = "", limit: int = 50) -> DataFrame:
+    def search(self, query: str = "", scan_url: str = "", extension: str = "", limit: int | None = 50) -> DataFrame:
         return Q.search(self.store(), query, scan_url, extension, limit)
 
     def stored_scans(self) -> DataFrame:
@@ -327,7 +327,7 @@ class Workbench:
         sheets = store.join(pending.select("_id"), "_id", "left_semi").filter(E.wants_sheet_prompt(F.col("extension")))
         profiles = spreadsheet_profiles(S.get_files(sheets, self.blobs()), "_id")
         prompts = materialize(E.prompts(pending, profiles), "prompts")
-        replies = summarize(prompts, post, api_url, model, pause)
+        replies = summarize_parts(prompts, post, api_url, model, pause)
         self._save_store(E.write_summaries(store, replies, model, F.lit(time.time()).cast("timestamp")))
         done = replies.agg(F.count("*"), F.count_if(F.col("error").isNull())).first()
         return {"processed": done[0], "succeeded": done[1], "failed": done[0] - done[1], "skipped": skipped}
