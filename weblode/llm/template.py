@@ -6,10 +6,10 @@
 2. Tokens of equal vectors are an equivalence class.  A class is valid if it spans enough pages of its host and has
    more than one token; valid classes nest by the paths of their elements, a class whose elements lie outside every
    valid class being dropped.  What is left is the host's template.
-3. A page's slots are what its template leaves open.  Text that is itself part of the template is fixed and goes, as
-   does everything inside menus, headers, footers, sidebars, notices, adverts, forms and comments.  The article's
-   slots are those inside its marked container; where a host marks none, the template element that is found once on
-   each page and holds the most open text takes its place.
+3. A page's slots are what its template leaves open.  Everything inside menus, headers, footers, sidebars, notices,
+   adverts, forms and comments goes.  The article's slots are those inside its marked container; where a page marks
+   none, the template element that is found once on each page and holds the most open text takes its place, and text
+   that is itself part of the template is fixed and goes.
 
 Character references are decoded; white space within a block becomes one blank, and blocks follow in page order.
 
@@ -289,9 +289,11 @@ def main_text(page: str | None, fixed: frozenset, slot: int | None) -> str:
     """The article of one page: open slots of its container in order."""
     pieces, elements = parse(page or "")
     kept = [p for p in pieces if not p.dropped]
-    if any(p.container for p in kept):
-        kept = [p for p in kept if p.container]
-    elif slot is not None:
+    marked = [p for p in kept if p.container]
+    if marked:
+        # All of a marked article is the page's own, even what its siblings say too.
+        return "\n".join(p.text for p in marked)
+    if slot is not None:
         chosen = next((path for path in elements if _hash(path) == slot), None)
         if chosen is not None:
             inside = [p for p in kept if p.path == chosen or p.path.startswith(chosen + "/")]
