@@ -91,7 +91,7 @@ def targets(sources: DataFrame, share: float, limit: float) -> DataFrame:
 
 def _thresholds(sized: DataFrame, sources: DataFrame) -> DataFrame:
     """Add to each source ``_mix_full``, and the boundary ``_mix_cut`` below which one more pass is taken."""
-    full = F.coalesce(F.floor(F.col("_mix_target") / F.col("_mix_total")), F.lit(0)).cast("bigint")
+    full = F.coalesce(F.floor(F.try_divide("_mix_target", "_mix_total")), F.lit(0)).cast("bigint")
     state = sources.withColumn("_mix_full", full).withColumns(
         {
             "_mix_budget": F.col("_mix_target") - F.col("_mix_full") * F.col("_mix_total"),
@@ -155,7 +155,7 @@ def mixture(
     )
     sources = materialize(targets(ranked_sources(sized, weights), share, limit), "mix-targets")
     cuts = _thresholds(sized, sources).withColumnRenamed("_mix_source", "_mix_s")
-    full = F.coalesce(F.floor(F.col("_mix_target") / F.col("_mix_total")), F.lit(0)).cast("bigint")
+    full = F.coalesce(F.floor(F.try_divide("_mix_target", "_mix_total")), F.lit(0)).cast("bigint")
     plan = sources.join(cuts, F.col("_mix_source").eqNullSafe(F.col("_mix_s")), "left").select(
         F.col("_mix_source").alias("_mix_of"),
         "_mix_total",

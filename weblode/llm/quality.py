@@ -166,10 +166,9 @@ def passing(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str
     # Rows equal in id, host and text have equal verdicts, so the three say which rows go.
     gone = _verdicts(docs, key, text, host).filter(~F.col("kept")).select("_key", "_of", "_hash").distinct()
     gone = materialize(gone, "quality-rejected")
-    marked = docs.withColumn("_text_hash", F.xxhash64(F.col(text)))
     same = (
-        F.col("_key").eqNullSafe(F.col(f"`{key}`"))
-        & F.col("_of").eqNullSafe(F.col(f"`{host}`"))
-        & (F.col("_hash") == F.col("_text_hash"))
+        gone["_key"].eqNullSafe(docs[f"`{key}`"])
+        & gone["_of"].eqNullSafe(docs[f"`{host}`"])
+        & gone["_hash"].eqNullSafe(F.xxhash64(docs[f"`{text}`"]))
     )
-    return marked.join(gone, same, "left_anti").drop("_text_hash")
+    return docs.join(gone, same, "left_anti")
