@@ -250,3 +250,32 @@ def test_health(spark):
         raise OSError("[Errno 111] Connection refused")
 
     assert health(refuse) == {"connected": False, "message": "The document store is not running. Start it, then try again.", "document_count": 0}
+
+
+def test_long_texts_are_summarized_in_parts(spark):
+    """Parts are summarized each, then their summaries together; a failing part fails its document."""
+    from weblode.operators.enrich import prompts
+
+    rows = [("1", "a.txt", ".txt", "x" * 25_000), ("2", "b.txt", ".txt", "short"), ("3", "c.txt", ".txt", "y" * 12_001 + "BAD")]
+    pending = spark.createDataFrame(rows, "_id string, filename string, extension string, extracted_text string")
+
+    def post(request):
+        content = json.loads(request)["messages"][1]["content"]
+        if "BAD" in content:
+            return {"status": 400, "body": "no"}
+        size = content.count("x")
+        return {"status": 200, "body": json.dumps({"output_text": json.dumps({"summary": f"{size} of x" if size > 9 else content[-40:]})})}
+
+    replies = {r._id: r for r in V.summarize_parts(prompts(pending), post, "https://api.example", "m", lambda s: None).collect()}
+    assert replies["1"].summary.endswith("12001 of x\n\n12001 of x\n\n1001 of x")  # the file name has one too
+    assert replies["2"].summary.endswith("short") and replies["2"].error is None
+    assert replies["3"].summary is None and "HTTP 400" in replies["3"].error
+    assert len(replies) == 3
+
+
+def test_bodies_leave_by_size(spark):
+    from weblode.sources import http
+
+    urls = spark.createDataFrame([(f"http://h/{i}",) for i in range(40)], "url string")
+    got = http.request_all(urls, lambda url: {"status": 200, "body": b"z" * 400}, 2, batch_bytes=1000)
+    assert got.agg(F.count("*"), F.sum(F.length("body"))).first()[:] == (40, 16_000)

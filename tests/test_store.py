@@ -16,7 +16,7 @@ from weblode.operators import search as Q
 from weblode.operators import store as S
 from weblode.schemas import HISTORY, STORED_DOCUMENT
 from weblode.sinks.exports import export_scan
-from weblode.sinks.tables import create_table, read_snapshot, write_clustered, write_snapshot
+from weblode.sinks.tables import SnapshotConflict, create_table, drop_snapshots, read_snapshot, snapshot_number, write_clustered, write_snapshot
 
 CAPTURE = "seq bigint, source_url string, scan_url string, filename string, extension string, source_page string, content string"
 
@@ -169,8 +169,15 @@ def test_snapshots(spark, tmp_path):
     assert read_snapshot(spark, root, STORED_DOCUMENT).count() == 0
     write_snapshot(spark.range(3).toDF("x"), root)
     write_snapshot(read_snapshot(spark, root).filter("x > 0"), root, by=["x"])
-    (tmp_path / "table" / "snapshot-000003").mkdir()
+    (tmp_path / "table" / "data-unfinished").mkdir()
+    (tmp_path / "table" / "_log" / "000000009").touch()
     assert sorted(r.x for r in read_snapshot(spark, root).collect()) == [1, 2]
+    base = snapshot_number(spark, root)
+    write_snapshot(spark.range(5).toDF("x"), root, base=base)
+    with pytest.raises(SnapshotConflict):
+        write_snapshot(spark.range(7).toDF("x"), root, base=base)
+    assert read_snapshot(spark, root).count() == 5
+    assert drop_snapshots(spark, root, keep=1) == 2 and read_snapshot(spark, root).count() == 5
     write_clustered(spark.range(100).toDF("x"), f"{tmp_path}/clustered", ["x"], 4)
     assert spark.read.parquet(f"{tmp_path}/clustered").count() == 100
 

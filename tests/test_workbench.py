@@ -93,10 +93,27 @@ def test_everything(bench, tmp_path):
     assert bench.reset_summaries("http://s.com") == 2 and bench.reset_summaries("http://s.com") == 0
     assert bench.reset_summaries("http://s.com", failed_only=False) == 2
 
+    place = tmp_path / "saved"
+    place.mkdir()
+    (place / "a.txt").write_text("there before")
+
+    def stream(url):
+        if url.endswith("b.csv"):
+            raise ConnectionError("broken off")
+        return [b"ab", b"c"]
+
+    done, files = bench.download_to_folder(scan, bench.results(scan).select("url"), str(place), stream)
+    assert done == {"total_files": 4, "files_completed": 3, "files_failed": 1, "bytes": 9}
+    assert (place / "a_1.txt").read_text() == "abc" and (place / "a.txt").read_text() == "there before"
+    assert [r.message for r in files.filter("NOT succeeded").collect()] == ["Connection error: broken off"]
+
     bench.export_csv("http://s.com", f"{tmp_path}/csv")
     one = bench.search("", extension=".pdf").first()
     assert bytes(bench.file(one._id).first().content) == b"%PDF"
+    blobs = bench.blobs().count()
     assert bench.delete_document(one._id) and not bench.delete_document(one._id)
+    assert bench.blobs().filter(F.startswith("gridfs_id", F.lit(one._id))).count() == 0
+    assert bench.blobs().count() == blobs - 1
     assert bench.store().count() == 3
 
     row = bench.history().first()

@@ -12,6 +12,7 @@ was discovered, and paths of one depth compare in queue order.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -26,8 +27,8 @@ from weblode.session import scratch_path
 # --- reachability over an id graph ------------------------------------------------------------
 
 
-def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
-    """``node, depth``: least number of steps from a root, up to ``max_depth``.
+def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int | None) -> DataFrame:
+    """``node, depth``: least number of steps from a root, up to ``max_depth`` (all reachable when None).
 
     ``edges``: src, dst, a stored table, as every level reads it.  ``roots``: node.  Duplicate targets are combined map-side before they
     meet the visited set, so a node everything links to costs one row per task.
@@ -36,7 +37,7 @@ def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     base = scratch_path(spark, "bfs")
     schema = f"node {edges.schema['dst'].dataType.simpleString()}, depth int"
     roots.select("node").distinct().withColumn("depth", F.lit(0)).write.parquet(f"{base}/level=0")
-    for depth in range(1, max_depth + 1):
+    for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
         seen = read_steps(spark, base, schema).select("node")
         last = spark.read.schema(schema).parquet(f"{base}/level={depth - 1}").select(F.col("node").alias("src"))
         reached = edges.join(last, "src").select(F.col("dst").alias("node")).distinct()

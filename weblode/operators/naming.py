@@ -47,11 +47,12 @@ def unique_names(files: DataFrame, existing: DataFrame | None = None, order: str
         there = existing.select("saved_name").distinct()
         occupied = occupied.unionByName(there.withColumn("_own", F.lit(False)))
     head, tail = split_name(F.col("saved_name"))
-    number = F.regexp_extract(head, r"_([1-9][0-9]{0,8})$", 1)
+    number = F.regexp_extract(head, r"_([1-9][0-9]*)$", 1)
     numbered = occupied.filter(number != "").select(
-        F.concat(F.regexp_replace(head, r"_[1-9][0-9]{0,8}$", ""), tail).alias("safe_name"),
-        number.cast("bigint").alias("_taken"),
-    )
+        F.concat(F.regexp_replace(head, r"_[1-9][0-9]*$", ""), tail).alias("safe_name"),
+        # A number beyond any count of files can't be given out, so it needs no place among the taken ones.
+        number.try_cast("bigint").alias("_taken"),
+    ).filter(F.col("_taken") < 2**52)
     if existing is not None:
         numbered = numbered.unionByName(
             there.select(F.col("saved_name").alias("safe_name"), F.lit(0).cast("bigint").alias("_taken"))

@@ -53,7 +53,7 @@ def ordinals(df: DataFrame, order: str, name: str = "ordinal", keys: list[str] |
 def changes_so_far(df: DataFrame, keys: list[str], order: str, value: str, name: str = "changes") -> DataFrame:
     """Add ``name``: how often ``value`` changed between consecutive rows of a key, up to each row.
 
-    ``keys`` must not be null.  The first row of a key has 0; a null value counts as a change on
+    A null key is a key of its own.  The first row of a key has 0; a null value counts as a change on
     both sides.
     """
     rows = df.withColumns({"_first": F.col(value), "_last": F.col(value), "_inside": F.lit(0).cast("bigint")})
@@ -84,6 +84,10 @@ def _changes(df: DataFrame, keys: list[str], order: str, level: int) -> DataFram
         F.max_by("_last", order).alias("_last"),
         F.sum(F.col("_inside") + F.col("_edge")).alias("_inside"),
     )
-    before = _changes(summary, keys, block, level + 1).select(*group, F.col("_upto").alias("_before"))
-    joined = local.join(before, group)
-    return joined.withColumn("_upto", F.col("_upto") + F.col("_before")).drop(block, "_edge", "_before")
+    before = _changes(summary, keys, block, level + 1).select(
+        *[F.col(k).alias(f"_k_{k}") for k in group], F.col("_upto").alias("_before")
+    )
+    joined = local.join(before, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in group])
+    return joined.withColumn("_upto", F.col("_upto") + F.col("_before")).drop(
+        block, "_edge", "_before", *[f"_k_{k}" for k in group]
+    )

@@ -45,8 +45,9 @@ def version_chain(captures: DataFrame, keys: list[str], order: str, hash_column:
 
 
 def document_id() -> Column:
-    """Stable id of a (source_url, scan_url) pair: 24 hex digits."""
-    return F.substring(F.sha2(F.concat_ws("\n", F.col("scan_url"), F.col("source_url")), 256), 1, 24)
+    """Stable id of a (source_url, scan_url) pair: 24 hex digits.  A missing part differs from an empty one."""
+    parts = [F.coalesce(F.col(c), F.lit("\0")) for c in ("scan_url", "source_url")]
+    return F.substring(F.sha2(F.concat_ws("\n", *parts), 256), 1, 24)
 
 
 def upsert(store: DataFrame, captures: DataFrame, order: str = "seq") -> DataFrame:
@@ -75,8 +76,11 @@ def upsert(store: DataFrame, captures: DataFrame, order: str = "seq") -> DataFra
         F.min_by("content_hash", order).alias("_first_hash"),
         F.max("_changes").cast("int").alias("_changes"),
     )
-    old = store.withColumn("_exists", F.lit(True))
-    merged = old.join(folded, KEY, "full_outer")
+    folded = folded.withColumnsRenamed({k: f"_k_{k}" for k in KEY})
+    merged = store.withColumn("_exists", F.lit(True)).join(
+        folded, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in KEY], "full_outer"
+    )
+    merged = merged.withColumns({k: F.coalesce(k, f"_k_{k}") for k in KEY})
 
     arrived, existed = F.col("_new").isNotNull(), F.col("_exists").isNotNull()
     known = ~is_missing(F.col("content_hash")) & (F.col("content_hash") == F.col("_first_hash"))
@@ -154,9 +158,13 @@ def get_files(documents: DataFrame, blobs: DataFrame) -> DataFrame:
 
 def delete_documents(store: DataFrame, blobs: DataFrame, ids: list[str]) -> tuple[DataFrame, DataFrame]:
     """Snapshots of both tables without the given documents; a missing blob is no error."""
-    doomed = store.filter(F.col("_id").isin(ids)).select("gridfs_id")
-    kept = store.filter(~F.col("_id").isin(ids))
-    return kept, blobs.join(doomed, "gridfs_id", "left_anti")
+    return delete_with_blobs(store, blobs, store.filter(F.col("_id").isin(ids)))
+
+
+def delete_with_blobs(store: DataFrame, blobs: DataFrame, doomed: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables without the documents in ``doomed`` (``_id, gridfs_id``); any number of them."""
+    kept = store.join(doomed.select("_id"), "_id", "left_anti")
+    return kept, blobs.join(doomed.select("gridfs_id").filter("gridfs_id IS NOT NULL"), "gridfs_id", "left_anti")
 
 
 def delete_matching(store: DataFrame, doomed: DataFrame) -> DataFrame:

@@ -27,6 +27,13 @@ def bfs_bounded_levels(spark, folder):
     return C.bfs_depths(materialize(link_graph(spark, folder), "edges"), roots, 3).groupBy("depth").agg(F.count("*").alias("nodes"))
 
 
+@query(f"WITH RECURSIVE {GRAPH_SQL}, walk AS (SELECT CAST(0 AS BIGINT) AS node UNION SELECT e.dst FROM walk w JOIN link_graph e ON e.src = w.node) SELECT node FROM walk")
+def bfs_all_reachable(spark, folder):
+    """Everything reachable, however many levels that takes."""
+    roots = table(spark, folder, "pages").filter("page_id = 0").select(F.col("page_id").alias("node"))
+    return C.bfs_depths(materialize(link_graph(spark, folder), "edges"), roots, None).select("node")
+
+
 _SITE = _REACH.format(limit=4) + r""",
 nodes AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node),
 cleaned AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script.*?</script>|<style.*?</style>|<title.*?</title>', '', 'g') AS html FROM pages),

@@ -13,6 +13,7 @@ from weblode.operators.dedup import dedup_by_name, dedup_two_key, new_documents
 from weblode.plans.fixtures import CAPTURES_SQL, STORE_SQL, captures, stored_documents
 from weblode.plans.registry import query
 from weblode.schemas import STORED_DOCUMENT
+from weblode.session import materialize
 from weblode.sources.tables import table
 
 
@@ -77,6 +78,59 @@ def upsert_merge(spark, folder):
     )
 
 
+_UPSERTED = """flagged AS (SELECT *, CASE WHEN lag(content_hash) OVER w = content_hash THEN 0 ELSE 1 END AS step,
+    row_number() OVER (PARTITION BY source_url, scan_url ORDER BY seq DESC) AS back FROM given WINDOW w AS (PARTITION BY source_url, scan_url ORDER BY seq)),
+chain AS (SELECT *, CAST(sum(step) OVER (PARTITION BY source_url, scan_url ORDER BY seq) AS INT) AS version FROM flagged)
+SELECT scan_url, source_url, content_hash, version, CAST(size AS BIGINT) AS file_size_bytes FROM chain WHERE back = 1"""
+
+
+def _text_captures(spark, folder):
+    """Whole texts as content; documents of a source and language are captures of one address, some without one."""
+    return table(spark, folder, "documents").select(
+        F.col("doc_id").alias("seq"),
+        F.when(F.col("doc_id") % 7 != 0, F.concat(F.lit("https://d.example.com/"), "lang", (F.col("doc_id") % 50).cast("string"))).alias("source_url"),
+        F.when(F.col("doc_id") % 11 != 0, F.col("source")).alias("scan_url"),
+        F.lit("f.txt").alias("filename"), F.lit(".txt").alias("extension"), F.lit("p").alias("source_page"), F.col("text").alias("content"),
+    )
+
+
+_TEXT_CAPTURES = """given AS (SELECT doc_id AS seq, CASE WHEN doc_id % 7 <> 0 THEN 'https://d.example.com/' || lang || (doc_id % 50) END AS source_url,
+  CASE WHEN doc_id % 11 <> 0 THEN source END AS scan_url, sha256(text) AS content_hash, octet_length(encode(text)) AS size FROM documents)"""
+
+
+@query(f"WITH {_TEXT_CAPTURES}, {_UPSERTED}")
+def upsert_null_keys(spark, folder):
+    """Captures without an address or a scan are documents too."""
+    found = S.upsert(spark.createDataFrame([], STORED_DOCUMENT), _text_captures(spark, folder))
+    return found.select("scan_url", "source_url", "content_hash", "version", "file_size_bytes")
+
+
+@query(f"WITH {_TEXT_CAPTURES}, {_UPSERTED}")
+def upsert_existing_store(spark, folder):
+    """Later captures arrive at a store that holds the earlier ones."""
+    rows = _text_captures(spark, folder)
+    middle = rows.agg(F.percentile("seq", 0.5).cast("bigint")).first()[0] or 0
+    first = materialize(S.upsert(spark.createDataFrame([], STORED_DOCUMENT), rows.filter(F.col("seq") <= middle)), "store")
+    found = S.upsert(first, rows.filter(F.col("seq") > middle))
+    return found.select("scan_url", "source_url", "content_hash", "version", "file_size_bytes")
+
+
+@query(
+    _with_store("""SELECT 'store' AS part, _id AS id FROM store WHERE seq % 5 <> 0 UNION ALL
+SELECT 'blobs', 'blob-' || doc_id FROM documents WHERE lang <> 'fr' AND 'blob-' || doc_id NOT IN (SELECT gridfs_id FROM store WHERE seq % 5 = 0 AND gridfs_id IS NOT NULL)""")
+)
+def documents_and_blobs_deleted(spark, folder):
+    """Deleted documents take their contents with them; a missing blob is no error."""
+    store = stored_documents(spark, folder)
+    blobs = table(spark, folder, "documents").filter("lang <> 'fr'").select(
+        F.concat(F.lit("blob-"), F.col("doc_id").cast("string")).alias("gridfs_id"), F.col("text").alias("content")
+    )
+    kept, held = S.delete_with_blobs(store, blobs, store.filter("seq % 5 = 0"))
+    return kept.select(F.lit("store").alias("part"), F.col("_id").alias("id")).unionByName(
+        held.select(F.lit("blobs").alias("part"), F.col("gridfs_id").alias("id"))
+    )
+
+
 @query(
     _with_store("""SELECT s.summary_status, CAST(count(t.seq) AS BIGINT) AS documents
 FROM (VALUES ('pending'), ('complete'), ('failed'), ('skipped')) s(summary_status) LEFT JOIN store t ON t.summary_status = s.summary_status GROUP BY 1""")

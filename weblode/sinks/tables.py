@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -19,41 +21,77 @@ def _folder(spark: SparkSession, root: str):
     return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def _snapshots(spark: SparkSession, root: str) -> list[int]:
-    path, fs = _folder(spark, root)
+class SnapshotConflict(RuntimeError):
+    """Another writer committed in between; read again and repeat the change."""
+
+
+def _committed(spark: SparkSession, root: str) -> list[tuple[int, str]]:
+    """(number, data folder) of the committed snapshots in order."""
+    path, fs = _folder(spark, f"{root}/_log")
     if not fs.exists(path):
         return []
-    # Spark writes _SUCCESS last: a folder without it is an unfinished or failed write.
-    names = [
-        status.getPath().getName()
-        for status in fs.listStatus(path)
-        if fs.exists(spark.sparkContext._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS"))
-    ]
-    return sorted(int(n.split("-")[1]) for n in names if n.startswith("snapshot-"))
+    found = []
+    for status in fs.listStatus(path):
+        if status.getLen():  # an empty entry is a commit that has just begun
+            stream = fs.open(status.getPath())
+            name = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+            stream.close()
+            found.append((int(status.getPath().getName()), name))
+    return sorted(found)
+
+
+def snapshot_number(spark: SparkSession, root: str) -> int:
+    """Number of the newest snapshot; 0 before the first."""
+    committed = _committed(spark, root)
+    return committed[-1][0] if committed else 0
 
 
-def write_snapshot(df: DataFrame, root: str, by: list[str] | None = None) -> str:
+def write_snapshot(df: DataFrame, root: str, by: list[str] | None = None, base: int | None = None) -> str:
     """Write the next snapshot of a table; readers see it only once it is complete.
 
-    The old snapshot stays as it is, so a failed write changes nothing and the new one may be
-    computed from the old.
+    Data goes to a folder of its own, then a log entry that must not exist yet makes it the snapshot after ``base``
+    (the newest one when the call begins, if not given).  Of two writers with the same base one is refused with
+    ``SnapshotConflict``, so no update is lost.  Old snapshots stay until ``drop_snapshots``.
     """
     spark = df.sparkSession
-    existing = _snapshots(spark, root)
-    target = f"{root}/snapshot-{(existing[-1] if existing else 0) + 1:06d}"
+    number = (snapshot_number(spark, root) if base is None else base) + 1
+    name = f"data-{uuid.uuid4().hex}"
     writer = df.repartitionByRange(*by).sortWithinPartitions(*by) if by else df
-    writer.write.mode("overwrite").parquet(target)
-    return target
+    writer.write.parquet(f"{root}/{name}")
+    path, fs = _folder(spark, f"{root}/_log/{number:09d}")
+    try:
+        entry = fs.create(path, False)
+    except Exception as error:
+        if fs.exists(path):
+            raise SnapshotConflict(f"snapshot {number} of {root} was written by someone else") from error
+        raise
+    entry.write(bytearray(name.encode()))
+    entry.close()
+    return f"{root}/{name}"
 
 
 def read_snapshot(spark: SparkSession, root: str, schema=None) -> DataFrame:
     """The newest complete snapshot; an empty table of ``schema`` before the first."""
-    existing = _snapshots(spark, root)
-    if not existing:
+    committed = _committed(spark, root)
+    if not committed:
         if schema is None:
             raise FileNotFoundError(f"no snapshot under {root}")
         return spark.createDataFrame([], schema)
-    return spark.read.parquet(f"{root}/snapshot-{existing[-1]:06d}")
+    return spark.read.parquet(f"{root}/{committed[-1][1]}")
+
+
+def drop_snapshots(spark: SparkSession, root: str, keep: int = 2) -> int:
+    """Delete the data of all but the newest ``keep`` snapshots; how many went.  Their log entries stay."""
+    gone = 0
+    for _, name in _committed(spark, root)[: -max(keep, 1)]:
+        path, fs = _folder(spark, f"{root}/{name}")
+        gone += fs.delete(path, True)
+    return gone
+
+
+def remove_folder(spark: SparkSession, folder: str) -> bool:
+    path, fs = _folder(spark, folder)
+    return fs.delete(path, True)
 
 
 def create_table(spark: SparkSession, name: str, schema, location: str | None = None) -> None:

@@ -26,6 +26,9 @@ RESPONSE = (
     .add("failure_text", "string")
 )
 
+#: Bytes of bodies a task gathers before it hands them on.
+BATCH_BYTES = 16 << 20
+
 
 def urllib_client(method: str = "GET", timeout: float = 30, headers: dict[str, str] | None = None) -> Callable[[str], dict]:
     """A client on the standard library.  ``failure`` is ``timeout``, ``connection`` or ``other``."""
@@ -58,7 +61,9 @@ def urllib_client(method: str = "GET", timeout: float = 30, headers: dict[str, s
     return fetch
 
 
-def request_all(urls: DataFrame, client: Callable[[str], dict], partitions: int = 10, delay: float = 0.0) -> DataFrame:
+def request_all(
+    urls: DataFrame, client: Callable[[str], dict], partitions: int = 10, delay: float = 0.0, batch_bytes: int = BATCH_BYTES
+) -> DataFrame:
     """One response row per URL.  ``partitions`` bounds the requests in flight.
 
     URLs are spread by host *and* a few salts: one host's pages do not end up in one task.
@@ -67,11 +72,16 @@ def request_all(urls: DataFrame, client: Callable[[str], dict], partitions: int
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
+            rows, held = [], 0
             for url in batch["url"]:
                 if delay:
                     time.sleep(delay)
                 rows.append({"url": url, **client(url)})
+                held += len(rows[-1].get("body") or b"")
+                if held >= batch_bytes:
+                    # Bodies leave by size, not by count: a task holds little more than one batch of bytes.
+                    yield pd.DataFrame(rows, columns=names, dtype="object")
+                    rows, held = [], 0
             yield pd.DataFrame(rows, columns=names, dtype="object")
 
     salt = F.pmod(F.xxhash64("url"), F.lit(5))

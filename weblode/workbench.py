@@ -9,6 +9,7 @@ range requests, ``download`` for content, each a function from URL to a raw resp
 from __future__ import annotations
 
 import json
+import os
 import time
 import uuid
 from collections.abc import Callable, Iterator
@@ -28,10 +29,12 @@ from weblode.operators import search as Q
 from weblode.operators import settings as G
 from weblode.operators import store as S
 from weblode.operators.dedup import dedup_two_key, new_documents
+from weblode.operators.naming import unique_names
 from weblode.schemas import HISTORY, STORED_DOCUMENT
 from weblode.session import materialize
+from weblode.sinks.downloads import create_folder, save_files
 from weblode.sinks.exports import export_scan
-from weblode.sinks.tables import read_snapshot, write_snapshot
+from weblode.sinks.tables import read_snapshot, remove_folder, write_snapshot
 from weblode.sources.files import extract_text, spreadsheet_profiles
 from weblode.sources.http import pages_from_responses, probed_documents, probed_sizes, request_all
 from weblode.sources.services import reextract, summarize_parts
@@ -274,12 +277,42 @@ class Workbench:
         return S.get_files(self.document(document_id), self.blobs())
 
     def delete_document(self, document_id: str) -> bool:
-        """Remove a document; its blob becomes an orphan (``operators.store.orphaned_blobs``)."""
+        """Remove a document and every blob it ever had."""
         if self.document(document_id).isEmpty():
             return False
         self._save_store(self.store().filter(F.col("_id") != document_id))
+        mine = F.startswith("gridfs_id", F.lit(f"{document_id}-"))
+        held = self.blobs().withColumn("_file", F.input_file_name()).filter(mine)
+        # Only the batches that hold one of its blobs are written anew.
+        for row in held.select(F.regexp_extract("_file", r"^(.*)/[^/]*$", 1).alias("folder")).distinct().collect():
+            batch = self.spark.read.parquet(row.folder)
+            batch.filter(~mine).write.parquet(f"{self.root}/blobs/{uuid.uuid4().hex}")
+            remove_folder(self.spark, row.folder)
         return True
 
+    # --- downloads to a folder ----------------------------------------------------------------
+
+    def download_to_folder(self, scan_id: str, urls: list[str] | DataFrame, folder: str, open_stream) -> tuple[dict, DataFrame]:
+        """Save documents of a scan under unique names; counts, and one row per file.
+
+        ``open_stream(url)`` yields the file's bytes in pieces.  Names taken in the folder are passed over.  A scan
+        that was cancelled starts no further files.
+        """
+        scan = self._scan(scan_id)
+        ready, place = create_folder(folder)
+        if not ready:
+            raise ValueError(place)
+        wanted = urls if isinstance(urls, DataFrame) else self.spark.createDataFrame([(u,) for u in urls], "url string")
+        selected = S.select_documents(self.results(scan_id), wanted).withColumn("seq", F.pmod(F.xxhash64("url"), F.lit(2**53)))
+        taken = self.spark.createDataFrame([(n,) for n in sorted(os.listdir(place))], "saved_name string")
+        named = materialize(unique_names(selected.select("url", "filename", "seq"), taken), "download-names")
+        if scan.cancelled:
+            named = named.limit(0)
+        saved = materialize(save_files(named, place, open_stream), "downloads")
+        counts = saved.agg(F.count("*"), F.count_if("succeeded"), F.sum("bytes")).first()
+        done = {"total_files": counts[0], "files_completed": counts[1], "files_failed": counts[0] - counts[1], "bytes": counts[2] or 0}
+        return done, saved
+
     def search(self, query: str = "", scan_url: str = "", extension: str = "", limit: int | None = 50) -> DataFrame:
         return Q.search(self.store(), query, scan_url, extension, limit)
 
