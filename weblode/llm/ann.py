@@ -32,6 +32,9 @@ CONFIDENCE = 0.98
 LEAF = 64
 #: Vectors of a cell, about; and the vectors the cuts between cells are learned from, at most.
 CELL = 2000
+#: Leaves verified at a time before a bound is known, and what rounding may change in an inner product, as a share.
+STEP = 4
+SLACK = 1e-9
 BLOCK = 20_000
 CUT_SAMPLE = 50_000
 SEED = 7
@@ -106,36 +109,54 @@ def cell_boxes(cuts: list[tuple[int, float]]) -> tuple[np.ndarray, np.ndarray]:
     return np.array(low[len(cuts) :]), np.array(high[len(cuts) :])
 
 
-def box_distances(point: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """Squared distances from a point to boxes."""
-    gap = np.maximum(np.maximum(low - point, point - high), 0.0)
-    return (gap * gap).sum(1)
+def box_distances(points: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances from each point to each box."""
+    total = np.zeros((len(points), len(low)))
+    for axis in range(points.shape[1]):
+        at = points[:, axis, None]
+        gap = np.maximum(np.maximum(low[None, :, axis] - at, at - high[None, :, axis]), 0.0)
+        total += gap * gap
+    return total
 
 
 class Cell:
-    """The vectors of one cell with their kd-tree."""
+    """The vectors of one cell with their kd-tree, in the order of its leaves."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray, projected: np.ndarray):
         leaves = kd_split(projected, LEAF)
-        self.leaves = [(ids[r], vectors[r]) for r in leaves]
+        order = np.concatenate(leaves)
+        self.ids, self.vectors = ids[order], vectors[order]
+        ends = np.cumsum([len(r) for r in leaves])
+        self.rows = [np.arange(e - len(r), e) for r, e in zip(leaves, ends, strict=True)]
         self.low = np.array([projected[r].min(0) for r in leaves])
         self.high = np.array([projected[r].max(0) for r in leaves])
 
-    def search(self, own: int, vector: np.ndarray, point: np.ndarray, norms: float, k: int, bound: float):
-        """The k best (score, id) here.  ``norms`` turns scores to squared distances; ``bound`` is a known k-th one."""
-        gaps = box_distances(point, self.low, self.high)
-        scores, names = np.empty(0), np.empty(0, np.int64)
-        for leaf in np.argsort(gaps, kind="stable"):
-            if len(scores) >= k:
-                bound = min(bound, norms - 2 * scores[k - 1])
-            if gaps[leaf] > LIMIT * max(bound, 0.0):
+    def search(self, own: int, vector: np.ndarray, gaps: np.ndarray, norms: float, k: int, bound: float):
+        """The best (score, id) here, at most k and none below what ``bound``, a known k-th distance, asks for.
+
+        ``gaps`` are the query's distances to the leaves; ``norms`` turns scores to squared distances.  Leaves are
+        verified nearest first, a few at a time while no bound is known, until the test stops.
+        """
+        order = np.argsort(gaps, kind="stable")
+        scores, names, at = np.empty(0), np.empty(0, np.int64), 0
+        while at < len(order):
+            near = order[at : at + STEP] if np.isinf(bound) else order[at:]
+            near = near[gaps[near] <= LIMIT * max(bound, 0.0)]
+            if not len(near):
                 break
-            ids, vectors = self.leaves[leaf]
-            found = inner(vectors, vector)
-            other = ids != own
-            scores, names = np.concatenate([scores, found[other]]), np.concatenate([names, ids[other]])
+            at += len(near)
+            rows = np.concatenate([self.rows[i] for i in near])
+            quick = self.vectors[rows] @ vector
+            least = (norms - bound) / 2
+            if len(quick) > 2 * k:  # the own vector may be among them
+                least = max(least, np.partition(quick, len(quick) - k - 1)[len(quick) - k - 1])
+            rows = rows[(quick >= least - SLACK * norms) & (self.ids[rows] != own)]
+            scores = np.concatenate([scores, inner(self.vectors[rows], vector)])
+            names = np.concatenate([names, self.ids[rows]])
             best = np.lexsort((names, -scores))[:k]
             scores, names = scores[best], names[best]
+            if len(scores) >= k:
+                bound = min(bound, norms - 2 * scores[k - 1])
         return scores, names
 
 
@@ -218,10 +239,10 @@ def nearest(
         out = []
         if len(left) and len(right):
             cell = Cell(left["id"].to_numpy(), _stack(left["v"]), _stack(left["p"]))
-            for own, v, q, bound in zip(right["id"], right["v"], right["q"], right["bound"], strict=True):
-                query = np.asarray(v, np.float64)
-                norms = float((query * query).sum()) + top
-                scores, names = cell.search(own, query, np.asarray(q), norms, k, bound)
+            queries, gaps = _stack(right["v"]), box_distances(_stack(right["q"]), cell.low, cell.high)
+            norms = (queries * queries).sum(1) + top
+            for i, (own, bound) in enumerate(zip(right["id"], right["bound"], strict=True)):
+                scores, names = cell.search(own, queries[i], gaps[i], norms[i], k, bound)
                 out += [(own, n, s) for s, n in zip(scores.tolist(), names.tolist(), strict=True)]
         return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
 
@@ -258,18 +279,16 @@ def nearest(
 
         def send(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             for batch in batches:
-                cell, names, bounds = [], [], []
-                for at, own, v, q, worst in zip(*[batch[c] for c in ("home", "id", "v", "q", "worst")], strict=True):
-                    query = np.asarray(v)
-                    bound = np.inf if np.isnan(worst) else max(float((query * query).sum()) + top - 2 * worst, 0.0)
-                    near = np.flatnonzero(box_distances(np.asarray(q), low, high) <= LIMIT * bound)
-                    near = near[near != at].tolist()
-                    cell += near
-                    names += [own] * len(near)
-                    bounds += [bound] * len(near)
-                yield pd.DataFrame({"cell": cell, "id": names, "bound": bounds}).astype(
-                    {"cell": "int64", "id": "int64", "bound": "float64"}
-                )
+                if not len(batch):
+                    continue
+                vectors = _stack(batch["v"])
+                worst = batch["worst"].to_numpy(np.float64, na_value=np.nan)
+                bound = np.maximum((vectors * vectors).sum(1) + top - 2 * worst, 0.0)
+                bound[np.isnan(worst)] = np.inf
+                near = box_distances(_stack(batch["q"]), low, high) <= (LIMIT * bound)[:, None]
+                near[np.arange(len(batch)), batch["home"]] = False
+                asks, cell = np.nonzero(near)
+                yield pd.DataFrame({"cell": cell, "id": batch["id"].to_numpy()[asks], "bound": bound[asks]})
 
         sent = queries.join(kth, "id", "left").mapInPandas(send, "cell bigint, id bigint, bound double")
         found = found.unionByName(searched(materialize(sent, "ann-sent")))
