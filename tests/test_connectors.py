@@ -279,3 +279,22 @@ def test_bodies_leave_by_size(spark):
     urls = spark.createDataFrame([(f"http://h/{i}",) for i in range(40)], "url string")
     got = http.request_all(urls, lambda url: {"status": 200, "body": b"z" * 400}, 2, batch_bytes=1000)
     assert got.agg(F.count("*"), F.sum(F.length("body"))).first()[:] == (40, 16_000)
+
+
+def test_workbook_dates():
+    """Built-in and written-out date formats, a time, both calendars; literal letters make no date."""
+    m = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    formats = '<numFmts><numFmt numFmtId="170" formatCode="dd/mm/yy"/><numFmt numFmtId="171" formatCode="0 &quot;days&quot;"/><numFmt numFmtId="172" formatCode="[Red]0.0"/></numFmts>'
+    used = "".join(f'<xf numFmtId="{n}"/>' for n in (0, 14, 170, 171, 172, 21))
+    styles = f'<styleSheet xmlns="{m}">{formats}<cellXfs>{used}</cellXfs></styleSheet>'
+    cells = [f'<c r="{c}1" s="{k}"><v>{v}</v></c>' for c, k, v in (("A", 1, 45292), ("B", 2, "45292.75"), ("C", 3, 7), ("D", 4, "2.5"), ("E", 5, "0.5"), ("F", 1, 1))]
+    book = {n: z for n, z in zip_parts(xlsx({"S": [cells]})).items()} | {"xl/styles.xml": styles}
+    want = ["2024-01-01 00:00:00", "2024-01-01 18:00:00", "7", "2.5", "12:00:00", "1900-01-01 00:00:00"]
+    assert S._xlsx_rows(zipped(book))[0][1] == [want]
+    late = book | {"xl/workbook.xml": book["xl/workbook.xml"].replace("<sheets>", '<workbookPr date1904="1"/><sheets>')}
+    assert S._xlsx_rows(zipped(late))[0][1][0][0] == "2028-01-02 00:00:00"
+
+
+def zip_parts(data):
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        return {n: z.read(n).decode() for n in z.namelist()}

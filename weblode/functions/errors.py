@@ -25,11 +25,11 @@ def connection_error_message(text: Column) -> Column:
     """What to tell the user about a failed store connection."""
     kind = connection_error_class(text)
     return (
-        F.when(kind == "refused", F.lit("The document store is not running. Start it, then try again."))
-        .when(kind == "host", F.lit("Could not reach the document store. Check its address in Settings."))
-        .when(kind == "auth", F.lit("Signing in to the document store failed. Check user name and password."))
-        .when(kind == "timeout", F.lit("Connecting to the document store timed out. It may be slow or unreachable."))
-        .when(kind == "tls", F.lit("Secure connection to the document store failed. Check its certificates."))
+        F.when(kind == "refused", F.lit("Nothing answers at the store's address: it seems to be switched off."))
+        .when(kind == "host", F.lit("The store's host name is unknown; the address in the settings may be wrong."))
+        .when(kind == "auth", F.lit("The store refused the user name or the password."))
+        .when(kind == "timeout", F.lit("No answer from the store in time."))
+        .when(kind == "tls", F.lit("No encrypted connection to the store: its certificate was not accepted."))
         .otherwise(F.concat(F.lit("Connection failed: "), text))
     )
 

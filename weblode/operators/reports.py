@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from weblode.functions.sizes import format_duration, format_size, format_size_history, relative_day
-from weblode.functions.text import is_missing, or_else
+from weblode.functions.text import or_else
 from weblode.functions.url import display_host_path
 from weblode.lookups import (
     EXPORT_HEADER,
@@ -206,7 +206,3 @@ def retry_workload(documents: DataFrame, failed_pages: DataFrame) -> DataFrame:
     """What a retry would request: inaccessible documents and failed pages, with their ``kind``."""
     docs = documents.filter(~F.col("is_accessible")).select("url", "depth", F.lit("document").alias("kind"))
     return docs.unionByName(failed_pages.select("url", "depth", F.lit("page").alias("kind")))
-
-
-def has_text(column: str) -> Column:
-    return ~is_missing(F.col(column))

@@ -77,11 +77,6 @@ def effective_by_owner(stored: DataFrame, owner: str) -> DataFrame:
     return stored.groupBy(owner).agg(*columns)
 
 
-def as_map(settings: DataFrame) -> DataFrame:
-    """All settings as one map row (the key set is bounded by the defaults)."""
-    return settings.agg(F.map_from_entries(F.collect_list(F.struct("key", "value"))).alias("settings"))
-
-
 def masked(settings: DataFrame) -> DataFrame:
     """Settings as shown to clients: a set API key is hidden."""
     secret = (F.col("key") == "ai_api_key") & ~F.col("value").isin('""', "", "null")

@@ -17,9 +17,9 @@ from weblode.functions.text import build_prompt, disposition_filename, text_part
 from weblode.operators import enrich as E
 from weblode.operators import reports as R
 from weblode.operators import store as S
-from weblode.plans.fixtures import STORE_SQL, _sql_pick, pick, status_events, stored_documents
+from weblode.plans.fixtures import STORE_SQL, _sql_pick, docx_file, pick, status_events, stored_documents, xlsx_file
 from weblode.plans.registry import query
-from weblode.sources.files import extract_text
+from weblode.sources.files import extract_text, spreadsheet_profiles
 from weblode.sources.http import failure_reasons, pages_from_responses, probed_documents, probed_sizes
 from weblode.sources.tables import table
 from weblode.streaming.progress import live_status, progress_counts, stream_table, stream_to_table
@@ -47,6 +47,41 @@ def extraction_status(spark, folder):
     return extract_text(files).select("doc_id", "text_extraction_status", "extracted_text")
 
 
+@query(
+    """SELECT doc_id, array_to_string(list_filter(string_split(text, chr(10)), lambda p: trim(p) <> ''), chr(10) || chr(10)) AS extracted_text, 'complete' AS text_extraction_status FROM documents"""
+)
+def docx_text(spark, folder):
+    """Every document as a DOCX file, a paragraph per line, and its text read back."""
+    files = table(spark, folder, "documents").select("doc_id", docx_file(F.col("text")).alias("content"), F.lit(".docx").alias("extension"))
+    return extract_text(files).select("doc_id", F.col("extracted_text"), "text_extraction_status")
+
+
+def _workbooks(spark, folder):
+    key = F.col("c_custkey")
+    return table(spark, folder, "customer").select(
+        key.alias("c_custkey"), xlsx_file(F.col("c_name"), key * 3, key % 20000 + 30000).alias("content"), F.lit(".xlsx").alias("extension")
+    )
+
+
+@query(
+    """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, '[Sheet: S]' || chr(10) || 'Name | Number | Day' || chr(10) || c_name || ' | ' || (c_custkey * 3) || ' | ' ||
+  strftime(DATE '1899-12-30' + CAST(c_custkey % 20000 + 30000 AS INT), '%Y-%m-%d') || ' 00:00:00' AS extracted_text FROM customer"""
+)
+def xlsx_text(spark, folder):
+    """A workbook per customer with text, number and date cells, read back."""
+    return extract_text(_workbooks(spark, folder)).select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "extracted_text")
+
+
+@query(
+    """SELECT CAST(c_custkey AS BIGINT) AS c_custkey, concat_ws(chr(10), 'Spreadsheet with 1 sheet(s): S', '', '--- Sheet: S (2 rows) ---', '  Column headers: Name | Number |  | Day',
+  '  Sample data (1 of 1 data rows):', '    ' || c_name || ' | ' || (c_custkey * 3) || ' |  | ' || strftime(DATE '1899-12-30' + CAST(c_custkey % 20000 + 30000 AS INT), '%Y-%m-%d') || ' 00:00:00') AS profile FROM customer"""
+)
+def xlsx_profiles(spark, folder):
+    """Profiles of the same workbooks."""
+    found = spreadsheet_profiles(_workbooks(spark, folder), "c_custkey")
+    return found.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "profile")
+
+
 @query(
     """WITH a AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '.PDF' ELSE '.txt' END AS extension, doc_id % 37 <> 0 AS has_blob, CASE WHEN doc_id % 3 = 0 THEN text END AS st, CASE WHEN doc_id % 5 < 2 THEN text WHEN doc_id % 5 = 2 THEN '' END AS fa, CASE WHEN doc_id % 7 < 3 THEN text END AS oc FROM documents),
 o AS (SELECT *, CASE WHEN NOT has_blob THEN 'failed' WHEN st IS NOT NULL THEN 'standard' WHEN extension = '.PDF' AND coalesce(fa, '') <> '' THEN 'fast' WHEN extension = '.PDF' AND coalesce(oc, '') <> '' THEN 'ocr' ELSE 'failed' END AS outcome FROM a)

@@ -7,8 +7,10 @@ derivations as common table expressions for the checking engine.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weblode.functions.text import mime_type, type_label
 from weblode.sources.tables import table
@@ -273,3 +275,55 @@ captures AS (
   SELECT s.seq, s.source_url, s.scan_url, s.filename, s.extension, s.source_page, d.lang AS content,
     sha256(d.lang) AS content_hash
   FROM store s JOIN documents d ON d.doc_id = s.seq)"""
+
+
+# --- office files made from rows --------------------------------------------------------------
+
+
+def _zipped(parts: dict[str, str]) -> bytes:
+    import io
+    import zipfile
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as package:
+        for name, text in parts.items():
+            package.writestr(name, text)
+    return out.getvalue()
+
+
+@F.pandas_udf(T.BinaryType())
+def docx_file(text: pd.Series) -> pd.Series:
+    """A text document with one paragraph per line."""
+    from xml.sax.saxutils import escape
+
+    w = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
+
+    def made(value: str) -> bytes:
+        body = "".join(f'<w:p><w:r><w:t xml:space="preserve">{escape(line)}</w:t></w:r></w:p>' for line in value.split("\n"))
+        return _zipped({"word/document.xml": f'<w:document xmlns:w="{w}"><w:body>{body}</w:body></w:document>'})
+
+    return text.map(made)
+
+
+@F.pandas_udf(T.BinaryType())
+def xlsx_file(name: pd.Series, number: pd.Series, day: pd.Series) -> pd.Series:
+    """A workbook of one sheet: a row of headings, then a name, a number, a gap and a date cell."""
+    from xml.sax.saxutils import escape
+
+    m = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+    r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    p = "http://schemas.openxmlformats.org/package/2006/relationships"
+    styles = '<numFmts><numFmt numFmtId="170" formatCode="yyyy\\-mm\\-dd"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="170"/></cellXfs>'
+
+    def made(values) -> bytes:
+        title, count, serial = values
+        heads = "".join(f'<c r="{c}1" t="inlineStr"><is><t>{h}</t></is></c>' for c, h in zip("ABD", ("Name", "Number", "Day")))
+        cells = f'<c r="A2" t="inlineStr"><is><t>{escape(title)}</t></is></c><c r="B2"><v>{count}</v></c><c r="D2" s="1"><v>{serial}</v></c>'
+        return _zipped({
+            "xl/workbook.xml": f'<workbook xmlns="{m}" xmlns:r="{r}"><sheets><sheet name="S" sheetId="1" r:id="a"/></sheets></workbook>',
+            "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{p}"><Relationship Id="a" Target="worksheets/s.xml"/></Relationships>',
+            "xl/styles.xml": f'<styleSheet xmlns="{m}">{styles}</styleSheet>',
+            "xl/worksheets/s.xml": f'<worksheet xmlns="{m}"><sheetData><row>{heads}</row><row>{cells}</row></sheetData></worksheet>',
+        })
+
+    return pd.Series([made(v) for v in zip(name, number, day)])

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import types as T
 
-
 _TYPES = {
     "string": T.StringType(),
     "int": T.IntegerType(),
@@ -16,7 +15,6 @@ _TYPES = {
     "array<string>": T.ArrayType(T.StringType()),
 }
 
-
 def _struct(columns: str) -> T.StructType:
     """A struct from ``name type [not null], ...`` that needs no running session."""
     fields = []
@@ -25,42 +23,12 @@ def _struct(columns: str) -> T.StructType:
         fields.append(T.StructField(name, _TYPES[kind], nullable=not rest))
     return T.StructType(fields)
 
-
 DISCOVERED = _struct(
     "url string not null, filename string not null, extension string not null, file_size_bytes bigint,"
     " file_size_display string, source_page string not null, depth int not null,"
     " is_accessible boolean not null, error_message string"
 )
 
-PAGE = _struct("url string not null, html string")
-
-LINK = _struct("url string not null, page_order bigint, position int, link string, kind string")
-
-FRONTIER = _struct("url string not null, depth int not null, seq bigint not null")
-
-SCAN_REQUEST = _struct(
-    "url string not null, document_type_filter string, crawl_option string, max_depth int, scan_all_pages boolean"
-)
-
-SCAN_PROGRESS = _struct(
-    "status string, current_page string, pages_scanned bigint, total_pages_queued bigint,"
-    " documents_found bigint, message string"
-)
-
-SCAN_RESULT = T.StructType([
-    T.StructField("success", T.BooleanType()),
-    T.StructField("documents", T.ArrayType(DISCOVERED)),
-    T.StructField("pages_scanned", T.LongType()),
-    T.StructField("errors", T.ArrayType(T.StringType())),
-    T.StructField("has_more_pages", T.BooleanType()),
-    T.StructField("pages_remaining", T.LongType()),
-])
-
-DOWNLOAD_PROGRESS = _struct(
-    "status string, current_file string, current_file_index bigint, total_files bigint,"
-    " files_completed bigint, files_failed bigint, message string"
-)
-
 STORED_DOCUMENT = _struct(
     "_id string, filename string, extension string, file_type_label string, source_url string,"
     " source_page string, scan_url string, file_size_bytes bigint, content_type string, gridfs_id string,"
@@ -70,23 +38,9 @@ STORED_DOCUMENT = _struct(
     " summarized_at timestamp, summary_model string"
 )
 
-BLOB = _struct("gridfs_id string not null, content binary")
-
 HISTORY = _struct(
     "id bigint, url string, crawl_option string, max_depth int, scan_mode string, document_filter string,"
     " pages_scanned bigint, documents_found bigint, scan_error_count bigint, document_error_count bigint,"
     " duration_seconds double, total_size_bytes bigint, largest_file_name string, largest_file_size bigint,"
     " smallest_file_name string, smallest_file_size bigint, started_at timestamp, completed_at timestamp"
 )
-
-SETTING = _struct("key string not null, value string, updated_at timestamp")
-
-REPLY = _struct(
-    "title string, short_summary string, summary string, keywords array<string>, document_type string, error string"
-)
-
-#: The fields cleared when a stored document's content changes or its summaries are recreated.
-SUMMARY_FIELDS = [
-    "title", "short_summary", "summary", "keywords", "document_type", "summary_status",
-    "summarized_at", "summary_model",
-]

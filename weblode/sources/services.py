@@ -14,15 +14,19 @@ from weblode.functions.errors import api_error, exhausted, is_retryable, retry_d
 from weblode.functions.replies import parse_reply, request_body, response_text
 from weblode.lookups import RETRY_DELAYS
 
-TEXT_SYSTEM = (
-    "Describe the document in one JSON object with the keys title (5-10 words), short_summary (2-3 sentences), "
-    "summary (4-6 sentences), keywords (3-8 words), document_type (for example report, invoice, manual, contract, "
-    "letter, spreadsheet, presentation, article, form or other). Reply with the JSON object only."
+#: The reply contract: the keys a reply must have.
+REPLY_KEYS = ("title", "short_summary", "summary", "keywords", "document_type")
+
+_REPLY_FORM = (
+    "Answer with nothing but a JSON object. Its keys are " + ", ".join(REPLY_KEYS) + "; keywords is a list of strings, "
+    "every other value is a string. Keep the title to one line, short_summary to what fits a search result, and let "
+    "summary say what a reader needs to decide whether to open the file. "
+)
+TEXT_SYSTEM = "You catalogue files found on web sites. Below is the text of one file, or of one part of it. " + _REPLY_FORM + (
+    "Name in document_type what kind of document it is, in one lower-case word."
 )
-SHEET_SYSTEM = (
-    "Describe the spreadsheet, given its sheets, headers, row counts and sample rows, in one JSON object with the keys "
-    "title (5-10 words), short_summary (2-3 sentences), summary (4-6 sentences), keywords (3-8 words), document_type "
-    '(always "spreadsheet"). Reply with the JSON object only.'
+SHEET_SYSTEM = "You catalogue tables found on web sites. Below are the sheets of one file with column names and a few rows. " + (
+    _REPLY_FORM + 'Say what the rows stand for and what can be looked up in them. document_type is "spreadsheet".'
 )
 
 
@@ -36,13 +40,12 @@ def convert_files(files: DataFrame, key: str, convert: Callable[[bytes], str | N
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            texts = []
-            for data in batch["content"]:
+            for one, data in zip(batch[key], batch["content"]):
                 try:
-                    texts.append(None if data is None else convert(bytes(data)))
+                    text = None if data is None else convert(bytes(data))
                 except Exception:
-                    texts.append(None)
-            yield pd.DataFrame({key: batch[key], name: pd.Series(texts, index=batch.index)}, dtype="object")
+                    text = None
+                yield pd.DataFrame({key: [one], name: [text]}, dtype="object")
 
     schema = T.StructType([files.schema[key], T.StructField(name, T.StringType())])
     return files.select(key, "content").mapInPandas(run, schema)
@@ -99,22 +102,26 @@ REPLY_ROW = (
 )
 
 
-def call_once(requests: DataFrame, post: Callable[[str], dict]) -> DataFrame:
-    """Post each ``_id, request`` row; the reply's parts as columns, a raised error as ``failure``."""
+def call_once(requests: DataFrame, post: Callable[[str], dict], parallel: int = 4, gap: float = 0.0) -> DataFrame:
+    """Post each ``_id, request`` row; the reply's parts as columns, a raised error as ``failure``.
+
+    At most ``parallel`` calls are in flight, each followed by ``gap`` seconds; replies leave one by one.
+    """
     names = REPLY_ROW.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = []
             for key, request in zip(batch["_id"], batch["request"]):
                 try:
                     reply = post(request)
                 except Exception as error:
                     reply = {"failure": f"{type(error).__name__}: {error}"}
-                rows.append({"_id": key, **reply})
-            yield pd.DataFrame(rows, columns=names, dtype="object")
+                yield pd.DataFrame([{"_id": key, **reply}], columns=names, dtype="object")
+                if gap:
+                    time.sleep(gap)
 
-    return requests.select("_id", "request").mapInPandas(run, REPLY_ROW)
+    spread = requests.select("_id", "request").repartition(parallel, "_id")
+    return spread.mapInPandas(run, REPLY_ROW)
 
 
 def summarize(

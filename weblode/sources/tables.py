@@ -10,12 +10,6 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def read_table(spark: SparkSession, path: str, fmt: str = "parquet", schema=None, **options) -> DataFrame:
-    """Any file format Spark reads, with a fixed schema where one is given (no inference pass)."""
-    reader = spark.read.format(fmt).options(**options)
-    return (reader.schema(schema) if schema is not None else reader).load(path)
-
-
 def health(df_source) -> dict:
     """Connection check: ``connected, message, document_count`` from a callable that opens the store."""
     from pyspark.sql import functions as F

@@ -74,8 +74,3 @@ def stream_to_table(stream: DataFrame, mode: str = "complete") -> DataFrame:
     written = spark.read.parquet(place)
     newest = written.agg(F.max("batch")).scalar()
     return written.filter(F.col("batch") == newest).drop("batch")
-
-
-def store_stream(captures: DataFrame, apply: Callable[[DataFrame], None], checkpoint: str | None = None) -> StreamingQuery:
-    """Feed captures to the document store micro-batch by micro-batch."""
-    return run_available(captures, lambda batch, _: apply(batch), "append", checkpoint)
