@@ -13,7 +13,7 @@ from weblode.llm.mixing import mixed_sizes
 from weblode.llm.neardup import near_duplicates
 from weblode.llm.packing import pack
 from weblode.llm.pii import span_digests
-from weblode.llm.quality import judged
+from weblode.llm.quality import MEASURES, judged
 from weblode.llm.suffix import repeated_passages
 from weblode.llm.template import extract
 
@@ -45,7 +45,7 @@ def op4_cross_parsing_language(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_host_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Measures and verdict of every document, with its source as its host."""
-    return judged(table(spark, folder, "documents"))
+    return judged(table(spark, folder, "documents")).select("doc_id", *MEASURES, "base_failed", "kept")
 
 
 def op6_stable_projection_search(spark: SparkSession, folder: str) -> DataFrame:
@@ -89,8 +89,6 @@ QUERIES = {
     )
 }
 
-_WORDS = r"coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)"
-
 CHECKS = {
     "op3_chat_formatting": r"""
         WITH t AS (
@@ -108,4 +106,44 @@ CHECKS = {
           sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
           sum(n)::BIGINT AS formatted_chars
         FROM e GROUP BY conv_id""",
+    "op5_host_quality": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id, source, text AS given, coalesce(text, '') AS text,
+            regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+        ), windows AS (
+          SELECT r, i, array_to_string(w[i:i + 4], ' ') AS five FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+        ), hit AS (
+          SELECT DISTINCT r, i + k AS place
+          FROM (SELECT r, i, count(*) OVER (PARTITION BY r, five) AS found FROM windows), range(5) AS t(k) WHERE found > 1
+        ), repeats AS (SELECT r, count(*) AS n FROM hit GROUP BY r),
+        doubled AS (
+          SELECT r, count(*) - count(DISTINCT line) AS n FROM (SELECT r, unnest(string_split(text, chr(10))) AS line FROM d)
+          WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+        ), measured AS (
+          SELECT doc_id, source, len(w) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+            len(regexp_extract_all(text, '[#*$%&|<>]')) AS n_symbols, coalesce(doubled.n, 0) AS n_dup_lines,
+            coalesce(repeats.n, 0) AS n_repeat_words,
+            CASE WHEN given IS NULL THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS n_lines
+          FROM d LEFT JOIN doubled USING (r) LEFT JOIN repeats USING (r)
+        ), failed AS (
+          SELECT *, n_symbols > 0.1 * n_words AS f1, n_dup_lines > 0.3 * n_lines AS f2,
+            NOT (word_chars / greatest(n_words, 1) BETWEEN 2 AND 20) AS f3 FROM measured
+        ), hosts AS (
+          SELECT source, count(*) AS n, count(*) FILTER (f1) AS c1, count(*) FILTER (f2) AS c2, count(*) FILTER (f3) AS c3
+          FROM failed GROUP BY source
+        ), prior AS (
+          SELECT avg(c1 / n) AS m1, var_pop(c1 / n) AS v1, avg(c2 / n) AS m2, var_pop(c2 / n) AS v2, avg(c3 / n) AS m3, var_pop(c3 / n) AS v3
+          FROM hosts
+        ), strength AS (
+          SELECT *, CASE WHEN v1 > 0 THEN greatest(1, m1 * (1 - m1) / v1 - 1) ELSE 1 END AS s1,
+            CASE WHEN v2 > 0 THEN greatest(1, m2 * (1 - m2) / v2 - 1) ELSE 1 END AS s2,
+            CASE WHEN v3 > 0 THEN greatest(1, m3 * (1 - m3) / v3 - 1) ELSE 1 END AS s3 FROM prior
+        ), bad AS (
+          SELECT source, (c1 + m1 * s1) / (n + s1) > 0.5 AS b1, (c2 + m2 * s2) / (n + s2) > 0.5 AS b2, (c3 + m3 * s3) / (n + s3) > 0.5 AS b3
+          FROM hosts, strength
+        ), judged AS (
+          SELECT f.*, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed, (f1 AND b1) OR (f2 AND b2) OR (f3 AND b3) AS hit
+          FROM failed f JOIN bad ON bad.source IS NOT DISTINCT FROM f.source
+        )
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND NOT hit AS kept FROM judged""",
 }
