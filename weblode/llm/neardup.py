@@ -53,7 +53,7 @@ _POWERS = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) * np.uint64(2) + np.
 class WordHashes(dict):
     """64-bit hashes of words, computed once per task and word."""
 
-    KEPT = 2_000_000
+    KEPT = 400_000
 
     def __missing__(self, word: bytes) -> int:
         import xxhash
@@ -332,6 +332,7 @@ def distinct_documents(docs: DataFrame) -> DataFrame:
     kept = _classified(docs).filter("kept").groupBy("doc_id", "node").agg(F.min("hash").alias("_of_text"))
     kept = kept.select(F.col("doc_id").alias("_of_id"), "_of_text").distinct()
     kept = materialize(kept, "neardup-kept")
-    marked = docs.withColumn("_text_hash", F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_of_id")) & (F.col("_text_hash") == F.col("_of_text"))
-    return marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    marked = docs.withColumn("_neardup_text", F.xxhash64("text"))
+    same = F.col("doc_id").eqNullSafe(kept["_of_id"]) & (F.col("_neardup_text") == kept["_of_text"])
+    once = marked.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_neardup_text"])
+    return once.drop("_neardup_text")

@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ LEFT = MIN_WORDS - GRAM
 RIGHT = MIN_WORDS - GRAM
 #: How many neighbours in sorted order are compared.
 NEIGHBOURS = 10
-ROWS_PER_TASK = 400_000
+ROWS_PER_TASK = 100_000
 NO_ID = -(2**63)
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -138,73 +139,138 @@ def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.where(same.all(1), a.shape[1], same.argmin(1))
 
 
-def compared(rows: pd.DataFrame, carried: int) -> list[tuple[int, int, int, int]]:
-    """Marks (doc, start, end, other doc) from neighbours of sorted suffixes.
+class Neighbours:
+    """Sorted suffixes as they come, each compared with its ``NEIGHBOURS`` predecessors of other documents.
 
-    The first ``carried`` rows have been compared with each other before.
+    All matches of a place contain it, so what they cover together is the longest reach to either side: one mark per
+    place, given out once the suffix has been compared with its successors too.
     """
-    n = len(rows)
-    right = np.frombuffer(b"".join(rows["right"]), ">u2").reshape(n, RIGHT)
-    left = np.frombuffer(b"".join(rows["left"]), ">u2").reshape(n, LEFT)
-    key, doc = rows["key"].to_numpy(), rows["doc"].to_numpy()
-    places = rows["places"].tolist()
-    marks = []
-    for lag in range(1, min(NEIGHBOURS, n - 1) + 1):
-        later = np.arange(max(lag, carried), n)
-        later = later[(key[later] == key[later - lag]) & (doc[later] != doc[later - lag])]
-        if not len(later):
-            continue
-        r = _common(right[later], right[later - lag]) + GRAM
-        f = _common(left[later], left[later - lag])
-        for i, a, b in zip(later.tolist(), f.tolist(), r.tolist(), strict=True):
-            if a + b >= MIN_WORDS:
-                for mine, other in ((i, i - lag), (i - lag, i)):
-                    marks += [(int(doc[mine]), int(p) - a, int(p) + b, int(doc[other])) for p in places[mine]]
-    return marks
+
+    def __init__(self):
+        self.held: dict[str, np.ndarray] | None = None
+
+    @staticmethod
+    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+        def words(name: str, width: int) -> np.ndarray:
+            column = batch.column(name)
+            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + 1]
+            begin = int(offsets[0])
+            raw = np.frombuffer(column.buffers()[2], np.uint8)[begin : begin + 2 * width * len(column)]
+            return raw.view(">u2").reshape(len(column), width)
+
+        n = len(batch)
+        places = np.empty(n, object)
+        places[:] = batch.column("places").to_pylist()
+        return {
+            "key": batch.column("key").to_numpy(zero_copy_only=False),
+            "doc": batch.column("doc").to_numpy(zero_copy_only=False),
+            "right": words("right", RIGHT),
+            "left": words("left", LEFT),
+            "places": places,
+            "before": np.zeros(n, np.int32),
+            "after": np.zeros(n, np.int32),
+            "other": np.full(n, np.iinfo(np.int64).max),
+        }
+
+    def add(self, rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+        """Compare further rows; the marks of those that have met all their neighbours."""
+        carried = 0
+        if self.held is not None:
+            carried = len(self.held["key"])
+            rows = {c: np.concatenate([self.held[c], rows[c]]) for c in rows}
+        key, doc, n = rows["key"], rows["doc"], len(rows["key"])
+        for lag in range(1, min(NEIGHBOURS, n - 1) + 1):
+            i = np.arange(max(lag, carried), n)
+            i = i[(key[i] == key[i - lag]) & (doc[i] != doc[i - lag])]
+            after = _common(rows["right"][i], rows["right"][i - lag]) + GRAM
+            before = _common(rows["left"][i], rows["left"][i - lag])
+            enough = before + after >= MIN_WORDS
+            i, after, before = i[enough], after[enough], before[enough]
+            for mine, other in ((i, i - lag), (i - lag, i)):  # no row twice in either, so plain indexing will do
+                rows["after"][mine] = np.maximum(rows["after"][mine], after)
+                rows["before"][mine] = np.maximum(rows["before"][mine], before)
+                rows["other"][mine] = np.minimum(rows["other"][mine], doc[other])
+        keep = min(NEIGHBOURS, n)
+        self.held = {c: v[n - keep :] for c, v in rows.items()}
+        return marked({c: v[: n - keep] for c, v in rows.items()})
+
+    def rest(self) -> pa.RecordBatch | None:
+        return None if self.held is None else marked(self.held)
+
+
+def marked(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
+    """Marks ``doc, start, end, other`` of the rows that have matched."""
+    hit = np.flatnonzero(rows["after"] > 0)
+    counts = np.array([len(x) for x in rows["places"][hit]], np.int64)
+    places = np.array([p for x in rows["places"][hit] for p in x], np.int32)
+    each = np.repeat(hit, counts)
+    return pa.RecordBatch.from_arrays(
+        [
+            pa.array(rows["doc"][each], pa.int64()),
+            pa.array((places - rows["before"][each]).astype(np.int32), pa.int32()),
+            pa.array((places + rows["after"][each]).astype(np.int32), pa.int32()),
+            pa.array(rows["other"][each], pa.int64()),
+        ],
+        names=_MARK,
+    )
+
+
+_MARK = ["doc", "start", "end", "other"]
+_EDGE = ["key", "right", "left", "places"]
 
 
 def _marks(suffixes: DataFrame, rows: int) -> DataFrame:
     """``doc, start, end, other`` from sorted neighbours."""
     order = ["key", "right", "left", "doc"]
     fields = "doc bigint, start int, end int, other bigint"
-    names = ["doc", "start", "end", "other"]
+    ends = "key bigint, right binary, left binary, places array<int>, edge boolean"
+    kinds = {"key": pa.int64(), "right": pa.binary(), "left": pa.binary(), "places": pa.list_(pa.int32())}
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compared, last = Neighbours(), None
+
+        def as_marks(found: pa.RecordBatch) -> pa.RecordBatch:
+            n = len(found)
+            nothing = [pa.nulls(n, kinds[c]) for c in _EDGE]
+            return pa.RecordBatch.from_arrays([*found.columns, *nothing, pa.array([False] * n, pa.bool_())], names=names)
+
+        def as_edges(rows: pa.RecordBatch) -> pa.RecordBatch:
+            n = len(rows)
+            nothing = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
+            own = [rows.column(c).cast(kinds[c]) for c in _EDGE]
+            return pa.RecordBatch.from_arrays([rows.column("doc"), *nothing, *own, pa.array([True] * n, pa.bool_())], names=names)
+
+        names = [*_MARK, *_EDGE, "edge"]
         for batch in batches:
             if not len(batch):
                 continue
-            carried = 0 if held is None else len(held)
-            joined = batch if held is None else pd.concat([held, batch], ignore_index=True)
-            marks = pd.DataFrame(compared(joined, carried), columns=names)
-            edge = batch.head(NEIGHBOURS) if held is None else batch.head(0)
-            held = joined.tail(NEIGHBOURS)
-            yield _both(marks, edge)
-        if held is not None:
-            yield _both(pd.DataFrame([], columns=names), held)
-
-    def _both(marks: pd.DataFrame, edges: pd.DataFrame) -> pd.DataFrame:
-        marks = marks.assign(key=None, right=None, left=None, places=None, edge=False)
-        edges = edges.assign(start=None, end=None, other=None, edge=True)
-        columns = [*names, "key", "right", "left", "places", "edge"]
-        both = pd.concat([marks[columns].astype(object), edges[columns].astype(object)], ignore_index=True)
-        return both.astype({c: "Int64" for c in (*names, "key")} | {"edge": bool})
+            if last is None:
+                yield as_edges(batch.slice(0, NEIGHBOURS))
+                last = pa.Table.from_batches([batch])
+            else:
+                last = pa.concat_tables([last.slice(max(0, len(last) - NEIGHBOURS)), pa.Table.from_batches([batch])])
+            yield as_marks(compared.add(compared.columns(batch)))
+        found = compared.rest()
+        if found is not None:
+            yield as_marks(found)
+            tail = last.slice(max(0, len(last) - NEIGHBOURS)).combine_chunks().to_batches()
+            yield from map(as_edges, tail)
 
     ranged = suffixes.repartitionByRange(max(tasks_for(rows, ROWS_PER_TASK), 8), *order).sortWithinPartitions(*order)
-    out = materialize(
-        ranged.mapInPandas(run, fields + ", key bigint, right binary, left binary, places array<int>, edge boolean"),
-        "suffix-marks",
-    )
+    out = materialize(ranged.mapInArrow(run, f"{fields}, {ends}"), "suffix-marks")
 
-    def ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = list(batches)
-        rows = pd.concat(held, ignore_index=True) if held else pd.DataFrame()
-        if len(rows):
-            yield pd.DataFrame(compared(rows, 0), columns=names)
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compared = Neighbours()
+        for batch in batches:
+            if len(batch):
+                yield compared.add(compared.columns(batch))
+        found = compared.rest()
+        if found is not None:
+            yield found
 
     # A few rows per task of the sort, whatever the table's size.
     edges = out.filter("edge").select(*order, "places").repartition(1).sortWithinPartitions(*order)
-    return out.filter("NOT edge").select(*names).unionByName(edges.mapInPandas(ends, fields))
+    return out.filter("NOT edge").select(*_MARK).unionByName(edges.mapInArrow(meet, fields))
 
 
 def merged(marks: DataFrame) -> DataFrame:
