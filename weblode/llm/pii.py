@@ -182,20 +182,25 @@ def disclosing_terms(
     pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("n_texts"))
     pairs = materialize(pairs.filter(F.col("n_texts") >= support), "pii-pairs")
     entities = pairs.filter("term = ''").select("entity", F.col("n_et").alias("n_e"))
-    near = pairs.filter("term <> ''")
+    total = docs.count()
+
+    def ratio(n_t: str) -> Column:
+        given = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col(n_t)))
+        carried = F.log(F.lit(float(total)) / F.col("n_e"))
+        return F.when(carried > 0, given / carried).otherwise(0.0)
+
+    # A term is in at least as many documents as it is near any entity in, and that many already rule most terms out.
+    beside = mentions.select("_pii_key", "_pii_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
+    near = pairs.filter("term <> ''").join(entities, "entity").join(beside, "term")
+    near = materialize(near.filter(ratio("n_near") >= disclosure), "pii-near")
     wanted = near.select("term").distinct()
     words = docs.select(
         F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_pii_text"), F.lit(TERM), F.lit(0)))).alias("term")
     )
     counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
-    total = docs.count()
-    given = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
-    carried = F.log(F.lit(float(total)) / F.col("n_e"))
-    ratio = F.when(carried > 0, given / carried).otherwise(0.0)
     return (
         near.join(counts, "term")
-        .join(entities, "entity")
-        .select("entity", "term", ratio.alias("ratio"))
+        .select("entity", "term", ratio("n_t").alias("ratio"))
         .filter(F.col("ratio") >= disclosure)
         .select("entity", "term", (F.col("ratio") >= removal - 1e-9).alias("removed"))
     )
