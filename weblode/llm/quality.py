@@ -18,6 +18,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weblode.session import materialize
 
@@ -73,26 +74,23 @@ def measure(text: str | None) -> tuple[int, int, int, int, int]:
 
 
 def measured(docs: DataFrame, key: str, text: str, host: str) -> DataFrame:
-    """Narrow table of ``_key, _host``, the text's hash ``_hash`` and the measures."""
+    """Narrow table of ``_key, _host`` and the measures."""
     kinds = dict(docs.dtypes)
-    fields = f"_key {kinds[key]}, _host {kinds[host]}, _hash bigint, n_lines bigint, " + ", ".join(f"{m} bigint" for m in MEASURES)
+    fields = f"_key {kinds[key]}, _host {kinds[host]}, n_lines bigint, " + ", ".join(f"{m} bigint" for m in MEASURES)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             values = [measure(t) for t in batch["_text"]]
             frame = pd.DataFrame(values, columns=list(MEASURES), dtype="int64")
-            for name in ("_key", "_host", "_hash", "n_lines"):
+            for name in ("_key", "_host", "n_lines"):
                 frame[name] = batch[name].values
-            yield frame[["_key", "_host", "_hash", "n_lines", *MEASURES]]
+            yield frame[["_key", "_host", "n_lines", *MEASURES]]
 
     text_col = F.col(text)
-    # Lines are counted where texts already are; the id travels as it is.
-    lines = F.coalesce(F.length(text_col) - F.length(F.replace(text_col, F.lit("\n"), F.lit(""))) + 1, F.lit(0))
     given = docs.select(
         F.col(key).alias("_key"),
         F.col(host).alias("_host"),
-        F.xxhash64(text_col).alias("_hash"),
-        lines.cast("bigint").alias("n_lines"),
+        _line_count(text_col).alias("n_lines"),
         text_col.alias("_text"),
     )
     # Ids may be null; pandas would turn them into floats, so they travel as strings and come back typed.
@@ -162,13 +160,33 @@ def judged(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str =
 
 
 def passing(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
-    """The documents that are kept, with all their columns."""
-    # Rows equal in id, host and text have equal verdicts, so the three say which rows go.
-    gone = _verdicts(docs, key, text, host).filter(~F.col("kept")).select("_key", "_of", "_hash").distinct()
-    gone = materialize(gone, "quality-rejected")
-    same = (
-        gone["_key"].eqNullSafe(docs[f"`{key}`"])
-        & gone["_of"].eqNullSafe(docs[f"`{host}`"])
-        & gone["_hash"].eqNullSafe(F.xxhash64(docs[f"`{text}`"]))
-    )
-    return docs.join(gone, same, "left_anti")
+    """The documents that are kept, with all their columns.
+
+    Texts are measured once for the verdicts of hosts and once more where they pass: only the few measures leave a
+    text's task, so the documents themselves are never shuffled for it.
+    """
+    rows = materialize(measured(docs.select(key, text, host), key, text, host), "quality-measures")
+    verdicts = host_verdicts(rows)
+    verdicts = materialize(verdicts.select("_host", *[f"bad_{r}" for r in SOFT]), "quality-verdicts")
+    value = _measured_again(docs[f"`{text}`"])
+    lines = _line_count(docs[f"`{text}`"])
+    given = docs.select(F.struct("*").alias("_row"), docs[f"`{host}`"].alias("_of"), value.alias("_m"), lines.alias("n_lines"))
+    given = given.select("_row", "_of", "n_lines", *[F.col(f"_m.{m}").alias(m) for m in MEASURES])
+    joined = given.join(verdicts, F.col("_of").eqNullSafe(F.col("_host")))
+    hit = F.lit(False)
+    for r, c in failures().items():
+        hit = hit | (c & F.col(f"bad_{r}"))
+    return joined.filter(~base_failed() & ~hit).select("_row.*")
+
+
+def _line_count(text: Column) -> Column:
+    lines = F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1
+    return F.coalesce(lines, F.lit(0)).cast("bigint")
+
+
+_MEASURED = T.StructType([T.StructField(m, T.LongType()) for m in MEASURES])
+
+
+@F.pandas_udf(_MEASURED)
+def _measured_again(text: pd.Series) -> pd.DataFrame:
+    return pd.DataFrame([measure(t) for t in text], columns=list(MEASURES), dtype="int64")
