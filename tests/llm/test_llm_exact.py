@@ -358,6 +358,38 @@ def test_regions_are_cut_at_short_prefixes():
     assert neardup.cut_region(keys, [50] * 6, 4, 99) == [(i, i + 1) for i in range(6)]
 
 
+def test_near_copies_longer_than_a_region(spark, monkeypatch):
+    monkeypatch.setattr(neardup, "REGION_SHINGLES", 300)
+    rng = np.random.default_rng(6)
+    texts = []
+    for _ in range(4):
+        own = [f"w{x}" for x in rng.integers(0, 9000, 400)]
+        texts += [" ".join(own), " ".join(own[:200] + ["other"] + own[201:])]
+    found = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == {i: i - i % 2 for i in range(8)}
+
+
+def test_near_copies_in_a_crowd_of_others(spark, monkeypatch):
+    """Hundreds of documents about 0.8 alike, and pairs just over the threshold among them."""
+    monkeypatch.setattr(neardup, "REGION", 10)
+    rng = np.random.default_rng(7)
+    base = [f"w{x}" for x in range(300)]
+    texts = []
+    for _ in range(150):
+        own = list(base)
+        for p in range(5, 300, 50):
+            own[p] = f"x{rng.integers(10**6)}"
+        twin = list(own)
+        for p in rng.choice(np.arange(10, 290, 50), 4, replace=False):
+            twin[p + 5] = f"y{rng.integers(10**6)}"
+        texts += [" ".join(own), " ".join(twin)]
+    rows = list(enumerate(texts))
+    want = classes(rows)
+    assert len(set(want.values())) == 150
+    found = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    assert {r.doc_id: r.component_id for r in found} == want
+
+
 def passages(docs):
     """Words of each document that lie in 50-word windows another document holds."""
     windows = collections.defaultdict(set)

@@ -8,20 +8,25 @@
    the neighbours of longest common prefix.  Regions found again by another tree are dropped.
 3. Within a region all pairs are confirmed on the full sets (counts of common shingles come from one matrix product
    per slice of shingles); links that connect its classes are emitted, never all pairs.
-4. Links are contracted to components; a document is kept if it has its component's smallest id.
+4. Members of root regions that did not stay whole (cut by size, by shingles or at the border of two tasks) are
+   joined exactly: two sets over the threshold share one of the rarest shingles of both, so nodes meet by those, and
+   pairs not yet connected are confirmed on the full sets, each pair by itself.
+5. Links are contracted to components; a document is kept if it has its component's smallest id.
 
-A pair at the threshold shares a root region in some tree with probability over 0.9999; in a dense region cut
-deeper that falls with the depth, while the number of paths between the copies grows.
+A pair at the threshold shares a root region in some tree with probability over 0.9999.  Whole regions compare all
+their pairs, and the exact join finds every pair of cut ones.
 
 Defined cases.  Null and empty texts have no shingles, link with nothing and are their own component.  Texts of
 fewer words than a shingle have one: all their words.  Repeated rows and equal ids count as one id; the smallest
 non-null id names a component, and a component of null ids only has a null name and is kept.  An empty table gives
-an empty result.  Memory per task is bounded by ``REGION`` nodes and ``REGION_SHINGLES`` shingles.
+an empty result.  Memory per task is bounded by ``REGION`` nodes and ``REGION_SHINGLES`` shingles, or by two
+documents where these alone are longer.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -43,6 +48,14 @@ DEEPER = 12
 REGION = 1500
 REGION_SHINGLES = 3_000_000
 ROWS_PER_TASK = 400_000
+#: Bins in which shingles are counted to put rare ones first; any order of shingles gives the same links.
+BINS = 1 << 18
+#: Rarest shingles a node brings to a meeting, to rule pairs out before their texts are sent.
+HEAD = 32
+#: Nodes of one shingle beyond this number meet in blocks of it, each pair of blocks by itself.
+BLOCK = 1000
+#: Sets a task remembers while it confirms pairs.
+SETS_KEPT = 200
 
 _rng = np.random.default_rng(20_250_101)
 _MULTIPLY = _rng.integers(1, 2**63, HASHES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -180,7 +193,10 @@ def cut_region(keys: list[bytes], weights: list[int], limit: int, most: int) ->
 
 
 def _regions(nodes: DataFrame, rows: int) -> DataFrame:
-    """Members of the regions of all trees: ``region, node``, regions of one member left out."""
+    """Members of the regions of all trees: ``region, node``, regions of one member left out.
+
+    Members of root regions that were cut or may go on in another task stand once more, under a null region.
+    """
     tasks = tasks_for(rows * TREES, ROWS_PER_TASK)
     trees = _sorted_trees(nodes)
     ranged = trees.repartitionByRange(max(tasks, 2 * TREES), "tree", "key", "node").sortWithinPartitions("tree", "key", "node")
@@ -189,12 +205,16 @@ def _regions(nodes: DataFrame, rows: int) -> DataFrame:
         from pyspark import TaskContext
 
         base, made, held, at = TaskContext.get().partitionId() << 40, 0, [], None
-        out: list[tuple[int, bytes]] = []
+        out: list[tuple[int | None, bytes]] = []
+        cut = True  # the first root may have begun in the task before
 
-        def close(whole: bool) -> None:
+        def close(whole: bool, last: bool = False) -> None:
             # Cut what is held; unless the region is over, its last run waits for what follows.
-            nonlocal made, held
+            nonlocal made, held, cut
             runs = cut_region([h[0] for h in held], [h[2] for h in held], REGION, REGION_SHINGLES)
+            cut = cut or last or not whole or len(runs) > 1
+            if cut:
+                out.extend((None, h[1]) for h in (held if whole else held[: runs[-1][0]]))
             for a, b in runs if whole else runs[:-1]:
                 if b - a > 1:
                     out.extend((base + made, held[i][1]) for i in range(a, b))
@@ -205,32 +225,37 @@ def _regions(nodes: DataFrame, rows: int) -> DataFrame:
             for tree, key, node, n in zip(*[batch[c] for c in ("tree", "key", "node", "n_shingles")], strict=True):
                 root = (tree, key[: 4 * ROOT_DEPTH])
                 if root != at:
-                    if len(held) > 1:
+                    if len(held) > 1 or (held and cut):
                         close(True)
-                    held, at = [], root
+                    held, cut = [], at is None
+                    at = root
                 held.append((key, node, n))
                 if len(held) > 4 * REGION:
                     close(False)
             if out:
-                yield pd.DataFrame(out, columns=["region", "node"])
+                yield frame(out)
                 out.clear()
-        if len(held) > 1:
-            close(True)
-        yield pd.DataFrame(out, columns=["region", "node"])
+        if held:
+            close(True, last=True)
+        yield frame(out)
+
+    def frame(out: list[tuple[int | None, bytes]]) -> pd.DataFrame:
+        return pd.DataFrame({"region": pd.array([r for r, _ in out], "Int64"), "node": [n for _, n in out]})
 
-    members = materialize(ranged.mapInPandas(run, "region bigint, node binary"), "neardup-members")
+    both = materialize(ranged.mapInPandas(run, "region bigint, node binary"), "neardup-members")
+    members = both.filter("region IS NOT NULL")
     # The same members under another tree add nothing.
     name = F.xxhash64("node")
     shape = members.groupBy("region").agg(F.count("*").alias("n"), F.sum(name % 1_000_003).alias("s"), F.bit_xor(name).alias("x"))
     once = shape.groupBy("n", "s", "x").agg(F.min("region").alias("region")).select("region")
-    return members.join(once, "region", "left_semi")
+    crowded = both.filter("region IS NULL").distinct()
+    return members.join(once, "region", "left_semi").unionByName(crowded)
 
 
-def linked_pairs(sets: list[np.ndarray], percent: int = THRESHOLD_PERCENT) -> list[tuple[int, int]]:
-    """Confirmed links that connect the classes of these sets: every pair is compared, a spanning forest returned."""
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """How many elements each two of these sets share."""
     n = len(sets)
-    sizes = np.array([len(s) for s in sets], np.int64)
-    owner = np.repeat(np.arange(n), sizes)
+    owner = np.repeat(np.arange(n), [len(s) for s in sets])
     _, number, seen = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     shared = seen[number] > 1
     owner, number = owner[shared], number[shared]
@@ -246,6 +271,14 @@ def linked_pairs(sets: list[np.ndarray], percent: int = THRESHOLD_PERCENT) -> li
         block = np.zeros((n, min(width, top - k * width)), np.float32)
         block[owner[a:b], number[a:b] - k * width] = 1
         common += block @ block.T
+    return common
+
+
+def linked_pairs(sets: list[np.ndarray], percent: int = THRESHOLD_PERCENT) -> list[tuple[int, int]]:
+    """Confirmed links that connect the classes of these sets: every pair is compared, a spanning forest returned."""
+    n = len(sets)
+    sizes = np.array([len(s) for s in sets], np.int64)
+    common = common_counts(sets)
     union = sizes[:, None] + sizes[None, :] - common
     i, j = np.nonzero(np.triu(100 * common.astype(np.float64) >= percent * union, 1))
     parent = list(range(n))
@@ -265,6 +298,13 @@ def linked_pairs(sets: list[np.ndarray], percent: int = THRESHOLD_PERCENT) -> li
     return links
 
 
+def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``node, text`` of the wanted nodes; another text under the same id comes along."""
+    named = wanted.join(nodes.select("node", "first_id"), "node")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("text"))
+    return named.join(texts, F.col("first_id").eqNullSafe(F.col("_id"))).select("node", "text")
+
+
 def _confirmed(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Links within regions: ``a, b``.  The texts of members only are sent to their regions."""
 
@@ -280,13 +320,122 @@ def _confirmed(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFra
         pairs = linked_pairs(list(found.values())) if len(names) > 1 else []
         return pd.DataFrame([(names[i], names[j]) for i, j in pairs], columns=["a", "b"])
 
-    wanted = members.select("node").distinct().join(nodes.select("node", "first_id"), "node")
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), F.col("text").alias("text"))
-    held = wanted.join(texts, F.col("first_id").eqNullSafe(F.col("_id"))).select(F.col("node").alias("_node"), "text")
+    held = _texts(members.select("node").distinct(), docs, nodes).withColumnRenamed("node", "_node")
     sent = members.join(held, F.col("node") == F.col("_node")).select("region", "node", "text")
     return sent.groupBy("region").applyInPandas(run, "a binary, b binary")
 
 
+def may_link(common: np.ndarray, n: np.ndarray, percent: int) -> np.ndarray:
+    """Which pairs can still reach the threshold, given how many of their ``HEAD`` rarest shingles are common.
+
+    Of two heads in one order, the one that ends first holds all it shares with the other set in the other head too,
+    so no more than its own remaining shingles can be added.
+    """
+    rest = np.maximum(n - HEAD, 0)
+    most = common + np.maximum(rest[:, None], rest[None, :])
+    most = np.minimum(most, np.minimum(n[:, None], n[None, :]))
+    return 100 * most >= percent * (n[:, None] + n[None, :] - most)
+
+
+def _joined_exactly(crowded: DataFrame, docs: DataFrame, nodes: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links ``a, b`` between crowded nodes of different ``labels``: all that are over the threshold."""
+    texts = materialize(_texts(crowded, docs, nodes), "neardup-crowded")
+
+    def sets(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[bytes, np.ndarray]]:
+        hashes = WordHashes()
+        for batch in batches:
+            for node, text in zip(batch["node"], batch["text"], strict=True):
+                shingles = shingle_set(text, hashes)
+                if node_name(shingles) == node:
+                    yield node, shingles
+
+    def binned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = np.zeros(BINS, np.int64)
+        for _, shingles in sets(batches):
+            counts += np.bincount((shingles % np.uint64(BINS)).astype(np.int64), minlength=BINS)
+        used = np.flatnonzero(counts)
+        yield pd.DataFrame({"bin": used, "n": counts[used]})
+
+    seen = texts.mapInPandas(binned, "bin bigint, n bigint").groupBy("bin").agg(F.sum("n").alias("n")).toPandas()
+    often = np.zeros(BINS, np.int64)
+    often[seen["bin"].to_numpy(np.int64)] = seen["n"].to_numpy(np.int64)
+
+    def rarest(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for node, shingles in sets(batches):
+            n = len(shingles)
+            order = np.lexsort((shingles, often[(shingles % np.uint64(BINS)).astype(np.int64)]))
+            ranked = shingles[order[: max(HEAD, n - -(-percent * n // 100) + 1)]]
+            first = ranked[: n - -(-percent * n // 100) + 1].view(np.int64)
+            head = ranked[:HEAD].tobytes()
+            for a in range(0, len(first), 10_000):
+                yield pd.DataFrame({"shingle": first[a : a + 10_000], "node": node, "n": n, "head": head})
+
+    # A node without a link yet is a class of its own.
+    named = labels.select(F.col("node").alias("_node"), "root")
+    rooted = texts.join(named, F.col("node") == F.col("_node"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    roots = materialize(rooted.distinct(), "neardup-roots")
+    first = texts.mapInPandas(rarest, "shingle bigint, node binary, n bigint, head binary").join(roots, "node")
+    first = materialize(first, "neardup-first")
+    # Counted before the shuffle: only shingles of different classes can bring anything new.
+    met = first.groupBy("shingle").agg(F.count("*").alias("of"), F.min("root").alias("low"), F.max("root").alias("high"))
+    met = materialize(met.filter("low <> high").select("shingle", F.ceil(F.col("of") / BLOCK).cast("int").alias("blocks")), "neardup-met")
+    own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+    placed = first.join(met, "shingle").withColumn("own", own)
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = ["shingle", "lower", "upper"]
+    placed = placed.select(
+        "shingle", F.least("own", "other").alias("lower"), F.greatest("own", "other").alias("upper"), "own", "node", "root", "n", "head"
+    )
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = (r for batch in batches for r in batch.itertuples(index=False, name=None))
+        for (_, lower, upper), group in groupby(rows, key=lambda r: r[:3]):
+            _, _, _, blocks, names, roots, n, heads = zip(*group, strict=True)
+            if len(set(roots)) < 2:
+                continue
+            block, root = np.array(blocks), np.unique(np.array(roots, object), return_inverse=True)[1]
+            able = may_link(common_counts([np.frombuffer(h, np.uint64) for h in heads]), np.array(n), percent)
+            able &= root[:, None] != root[None, :]
+            if lower < upper:
+                able &= block[:, None] != block[None, :]
+            i, j = np.nonzero(np.triu(able, 1))
+            for a in range(0, len(i), 10_000):
+                pairs = [sorted((names[x], names[y])) for x, y in zip(i[a : a + 10_000], j[a : a + 10_000], strict=True)]
+                yield pd.DataFrame(pairs, columns=["a", "b"])
+
+    dealt = placed.repartition(*key).sortWithinPartitions(*key)
+    pairs = materialize(dealt.mapInPandas(meet, "a binary, b binary").distinct(), "neardup-pairs")
+
+    def confirm(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        hashes = WordHashes()
+        kept: dict[bytes, np.ndarray] = {}
+
+        def known(node: bytes, text: str) -> np.ndarray | None:
+            if node not in kept:
+                shingles = shingle_set(text, hashes)
+                if node_name(shingles) != node:
+                    return None
+                if len(kept) >= SETS_KEPT or sum(map(len, kept.values())) > REGION_SHINGLES:
+                    kept.clear()
+                kept[node] = shingles
+            return kept[node]
+
+        for batch in batches:
+            links = []
+            for a, b, s, t in zip(*[batch[c] for c in ("a", "b", "s", "t")], strict=True):
+                x, y = known(a, s), known(b, t)
+                if x is not None and y is not None:
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    if 100 * common >= percent * (len(x) + len(y) - common):
+                        links.append((a, b))
+            yield pd.DataFrame(links, columns=["a", "b"])
+
+    left = texts.select(F.col("node").alias("a"), F.col("text").alias("s"))
+    right = texts.select(F.col("node").alias("b"), F.col("text").alias("t"))
+    sent = pairs.join(left, "a").join(right, "b").select("a", "b", "s", "t")
+    return sent.mapInPandas(confirm, "a binary, b binary").distinct()
+
+
 def _classified(docs: DataFrame) -> DataFrame:
     """Per document: ``doc_id, hash, node, n_shingles, component_id, kept``."""
     features = materialize(_features(docs), "neardup-features")
@@ -301,8 +450,14 @@ def _classified(docs: DataFrame) -> DataFrame:
         "neardup-nodes",
     )
     members = materialize(_regions(rows, rows.count()), "neardup-regions")
-    links = materialize(_confirmed(members, docs, rows), "neardup-links")
-    named = rows.select("node", "first_id").join(components(links), "node")
+    links = materialize(_confirmed(members.filter("region IS NOT NULL"), docs, rows), "neardup-links")
+    labels = components(links)
+    crowded = members.filter("region IS NULL").select("node")
+    if not crowded.isEmpty():
+        further = materialize(_joined_exactly(crowded, docs, rows, labels, THRESHOLD_PERCENT), "neardup-further")
+        if not further.isEmpty():
+            labels = components(links.unionByName(further))
+    named = rows.select("node", "first_id").join(labels, "node")
     smallest = named.groupBy("root").agg(F.min("first_id").alias("smallest"))
     classes = named.join(smallest, "root").select("node", "smallest")
     labelled = (
