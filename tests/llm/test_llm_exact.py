@@ -428,6 +428,23 @@ def test_repeated_passages_match_all_windows(spark):
     assert suffix.repeated_passages(docs.limit(0)).count() == 0
 
 
+def test_passages_among_many_alike(spark):
+    """One document holds a passage more often than neighbours were compared; a shorter fragment stands in many."""
+    rng = np.random.default_rng(11)
+    fresh = lambda n: [f"w{x}" for x in rng.integers(0, 10**7, n)]
+    often, fragment, before = fresh(60), fresh(30), fresh(30)
+    many = [w for _ in range(60) for w in often + fresh(45)]
+    texts = [many, fresh(20) + often + fresh(20)]
+    texts += [fresh(45) + fragment + fresh(45) for _ in range(80)]
+    texts += [fresh(10) + before + fragment + fresh(45) for _ in range(2)]
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    found = collections.defaultdict(set)
+    for r in suffix.repeated_passages(spark.createDataFrame(rows, "doc_id bigint, text string")).collect():
+        found[r.doc_id].update(range(r.start_word, r.end_word))
+    assert dict(found) == passages(rows)
+    assert len(found[0]) == 60 * 60 and set(found) == {0, 1, 82, 83}
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], DOCS)
     assert packing.pack(empty).count() == 0

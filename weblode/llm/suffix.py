@@ -1,16 +1,13 @@
-"""Passages that repeat across documents, by sparse suffix arrays.
+"""Passages that repeat across documents, found at sparse places of their suffixes.
 
-Of all word suffixes of the corpus only those at content-selected places are kept: the minimisers, places whose hash
-of the next ``GRAM`` words is smallest among ``WINDOW`` neighbours.  Equal passages of ``MIN_WORDS`` words select
-equal places, so each holds one.  The kept suffixes are sorted by content over the cluster, neighbours of different
-documents are compared, and a match is extended to the right and to the left of its place; matches of enough words
-are marked in both documents, and overlapping marks of a document are merged.
+Of all word suffixes of the corpus only those at content-selected places are looked at: the minimisers, places whose
+hash of the next ``GRAM`` words is smallest among ``WINDOW`` neighbours.  Equal passages of ``MIN_WORDS`` words select
+equal places, so a window of that many words can recur only if all places chosen within it do.  The windows left are
+hashed whole, and those that stand in two documents are marked; overlapping marks of a document are merged.  Every
+window is judged by the smallest and largest document of its hash, counted before the shuffle, so nothing depends on
+how often a passage or a part of it is repeated.
 
-A suffix travels with ``MIN_WORDS`` words to its right and those to its left that a passage can still reach, as
-16-bit hashes behind the 64-bit hash of its first words; a longer passage is covered by its next places.  A hash
-collision of single words can at most lengthen a match.  Places whose words occur in one document only are left out
-before anything is sorted.  Suffixes are range-partitioned by all their content and the document, so even a passage
-of a third of all documents is spread over tasks; the ends of neighbouring ranges are compared in a second step.
+Windows are equal if their 64-bit hashes are.
 
 Defined cases.  Null, empty and short texts have no passages.  Rows of equal id are one document, whose passages
 must recur under another id; a null id is an id of its own.  What repeats only inside one document is not reported.
@@ -23,22 +20,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weblode.llm.common import tasks_for
 from weblode.llm.neardup import WordHashes
 from weblode.session import materialize
 
 MIN_WORDS = 50
 GRAM = 10
 WINDOW = MIN_WORDS - GRAM + 1 - 9
-LEFT = MIN_WORDS - GRAM
-RIGHT = MIN_WORDS - GRAM
-#: How many neighbours in sorted order are compared.
-NEIGHBOURS = 10
-ROWS_PER_TASK = 100_000
+#: Windows a task holds before it gives them out.
+ROWS_AT_ONCE = 200_000
 NO_ID = -(2**63)
 
 _MULTIPLY = np.uint64(0x9E3779B97F4A7C15)
@@ -77,13 +69,28 @@ def minimisers(grams: np.ndarray) -> np.ndarray:
     return np.flatnonzero(grams == bound)
 
 
-def contexts(values: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Words right of the gram at each place, and those left of it from near to far; 0 beyond the text."""
-    short = np.maximum((values >> np.uint64(48)).astype(np.uint16), 1)
-    padded = np.concatenate([np.zeros(LEFT, np.uint16), short, np.zeros(RIGHT + GRAM, np.uint16)])
-    right = padded[places[:, None] + LEFT + GRAM + np.arange(RIGHT)]
-    left = padded[places[:, None] + LEFT - 1 - np.arange(LEFT)]
-    return right, left
+def window_values(values: np.ndarray) -> np.ndarray:
+    """Hashes of the ``MIN_WORDS`` words from each place, by doubling."""
+    n = len(values) - MIN_WORDS + 1
+    total, block, at, width = np.zeros(n, np.uint64), values, 0, 1
+    while width <= MIN_WORDS:
+        if MIN_WORDS & width:
+            total = _stirred(total * _MULTIPLY + block[at : at + n])
+            at += width
+        block = _stirred(block[:-width] * _MULTIPLY + block[width:]) if 2 * width <= MIN_WORDS else block
+        width *= 2
+    return total
+
+
+def _stirred(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def candidates(grams: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Starts of the windows of ``MIN_WORDS`` words whose chosen grams are all among ``keys``."""
+    known = np.isin(_sliding(grams, WINDOW, np.minimum), keys)
+    return np.flatnonzero(_sliding(known, MIN_WORDS - GRAM - WINDOW + 2, np.minimum))
 
 
 def _keys(docs: DataFrame) -> DataFrame:
@@ -105,174 +112,47 @@ def _keys(docs: DataFrame) -> DataFrame:
     return docs.mapInPandas(run, "key bigint, doc bigint")
 
 
-_SUFFIX = "key bigint, right binary, left binary, doc bigint, places array<int>"
-
-
-def _suffixes(docs: DataFrame) -> DataFrame:
-    """Suffixes of ``doc, text, keys`` at the places of the given keys; equal ones of a document are one row."""
+def _windows(docs: DataFrame) -> DataFrame:
+    """``window, doc, start`` of ``doc, text, keys``: the windows that can recur."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
+        out: list[tuple[np.ndarray, int, np.ndarray]] = []
+
+        def flushed() -> pd.DataFrame:
+            sizes = [len(at) for _, _, at in out]
+            names = np.repeat(np.array([doc for _, doc, _ in out], np.int64), sizes)
+            frame = pd.DataFrame({"window": np.concatenate([w for w, _, _ in out]), "doc": names, "start": np.concatenate([at for _, _, at in out])})
+            out.clear()
+            return frame
+
         for batch in batches:
-            rows = []
             for doc, text, keys in zip(batch["doc"], batch["text"], batch["keys"], strict=True):
                 values = word_values(text, hashes)
                 if len(values) < MIN_WORDS:
                     continue
-                grams = gram_values(values)
-                at = minimisers(grams)
-                at = at[np.isin(grams[at].view(np.int64), np.asarray(keys, np.int64))]
-                right, left = contexts(values, at)
-                held: dict[tuple, list[int]] = {}
-                for p, r, f in zip(at.tolist(), right.astype(">u2"), left.astype(">u2"), strict=True):
-                    held.setdefault((int(grams[p].view(np.int64)), r.tobytes(), f.tobytes()), []).append(p)
-                rows += [(*k, doc, places) for k, places in held.items()]
-            if rows:
-                yield pd.DataFrame(rows, columns=["key", "right", "left", "doc", "places"])
-
-    return docs.mapInPandas(run, _SUFFIX)
-
-
-def _common(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Length of the common prefix of each row pair; 0 stands for nothing and matches nothing."""
-    same = (a == b) & (a != 0)
-    return np.where(same.all(1), a.shape[1], same.argmin(1))
-
-
-class Neighbours:
-    """Sorted suffixes as they come, each compared with its ``NEIGHBOURS`` predecessors of other documents.
-
-    All matches of a place contain it, so what they cover together is the longest reach to either side: one mark per
-    place, given out once the suffix has been compared with its successors too.
-    """
-
-    def __init__(self):
-        self.held: dict[str, np.ndarray] | None = None
-
-    @staticmethod
-    def columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        def words(name: str, width: int) -> np.ndarray:
-            column = batch.column(name)
-            offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + 1]
-            begin = int(offsets[0])
-            raw = np.frombuffer(column.buffers()[2], np.uint8)[begin : begin + 2 * width * len(column)]
-            return raw.view(">u2").reshape(len(column), width)
-
-        n = len(batch)
-        places = np.empty(n, object)
-        places[:] = batch.column("places").to_pylist()
-        return {
-            "key": batch.column("key").to_numpy(zero_copy_only=False),
-            "doc": batch.column("doc").to_numpy(zero_copy_only=False),
-            "right": words("right", RIGHT),
-            "left": words("left", LEFT),
-            "places": places,
-            "before": np.zeros(n, np.int32),
-            "after": np.zeros(n, np.int32),
-            "other": np.full(n, np.iinfo(np.int64).max),
-        }
-
-    def add(self, rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-        """Compare further rows; the marks of those that have met all their neighbours."""
-        carried = 0
-        if self.held is not None:
-            carried = len(self.held["key"])
-            rows = {c: np.concatenate([self.held[c], rows[c]]) for c in rows}
-        key, doc, n = rows["key"], rows["doc"], len(rows["key"])
-        for lag in range(1, min(NEIGHBOURS, n - 1) + 1):
-            i = np.arange(max(lag, carried), n)
-            i = i[(key[i] == key[i - lag]) & (doc[i] != doc[i - lag])]
-            after = _common(rows["right"][i], rows["right"][i - lag]) + GRAM
-            before = _common(rows["left"][i], rows["left"][i - lag])
-            enough = before + after >= MIN_WORDS
-            i, after, before = i[enough], after[enough], before[enough]
-            for mine, other in ((i, i - lag), (i - lag, i)):  # no row twice in either, so plain indexing will do
-                rows["after"][mine] = np.maximum(rows["after"][mine], after)
-                rows["before"][mine] = np.maximum(rows["before"][mine], before)
-                rows["other"][mine] = np.minimum(rows["other"][mine], doc[other])
-        keep = min(NEIGHBOURS, n)
-        self.held = {c: v[n - keep :] for c, v in rows.items()}
-        return marked({c: v[: n - keep] for c, v in rows.items()})
-
-    def rest(self) -> pa.RecordBatch | None:
-        return None if self.held is None else marked(self.held)
-
-
-def marked(rows: dict[str, np.ndarray]) -> pa.RecordBatch:
-    """Marks ``doc, start, end, other`` of the rows that have matched."""
-    hit = np.flatnonzero(rows["after"] > 0)
-    counts = np.array([len(x) for x in rows["places"][hit]], np.int64)
-    places = np.array([p for x in rows["places"][hit] for p in x], np.int32)
-    each = np.repeat(hit, counts)
-    return pa.RecordBatch.from_arrays(
-        [
-            pa.array(rows["doc"][each], pa.int64()),
-            pa.array((places - rows["before"][each]).astype(np.int32), pa.int32()),
-            pa.array((places + rows["after"][each]).astype(np.int32), pa.int32()),
-            pa.array(rows["other"][each], pa.int64()),
-        ],
-        names=_MARK,
+                at = candidates(gram_values(values), np.asarray(keys, np.int64).view(np.uint64))
+                if len(at):
+                    out.append((window_values(values)[at].view(np.int64), doc, at))
+                if len(out) == 200 or (out and len(out[-1][2]) > ROWS_AT_ONCE):
+                    yield flushed()
+            if out:
+                yield flushed()
+
+    return docs.mapInPandas(run, "window bigint, doc bigint, start int")
+
+
+def _marks(windows: DataFrame) -> DataFrame:
+    """``doc, start, end, other`` of the windows that stand in two documents."""
+    both = windows.groupBy("window").agg(F.min("doc").alias("a"), F.max("doc").alias("b")).filter("a < b")
+    hit = windows.join(materialize(both, "suffix-both"), "window")
+    other = F.when(F.col("doc") == F.col("a"), F.col("b")).otherwise(F.col("a"))
+    each = hit.select("doc", "start", other.alias("other")).repartition("doc")
+    return each.groupBy("doc", "start").agg(F.min("other").alias("other")).select(
+        "doc", "start", (F.col("start") + MIN_WORDS).alias("end"), "other"
     )
 
 
-_MARK = ["doc", "start", "end", "other"]
-_EDGE = ["key", "right", "left", "places"]
-
-
-def _marks(suffixes: DataFrame, rows: int) -> DataFrame:
-    """``doc, start, end, other`` from sorted neighbours."""
-    order = ["key", "right", "left", "doc"]
-    fields = "doc bigint, start int, end int, other bigint"
-    ends = "key bigint, right binary, left binary, places array<int>, edge boolean"
-    kinds = {"key": pa.int64(), "right": pa.binary(), "left": pa.binary(), "places": pa.list_(pa.int32())}
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compared, last = Neighbours(), None
-
-        def as_marks(found: pa.RecordBatch) -> pa.RecordBatch:
-            n = len(found)
-            nothing = [pa.nulls(n, kinds[c]) for c in _EDGE]
-            return pa.RecordBatch.from_arrays([*found.columns, *nothing, pa.array([False] * n, pa.bool_())], names=names)
-
-        def as_edges(rows: pa.RecordBatch) -> pa.RecordBatch:
-            n = len(rows)
-            nothing = [pa.nulls(n, pa.int32()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64())]
-            own = [rows.column(c).cast(kinds[c]) for c in _EDGE]
-            return pa.RecordBatch.from_arrays([rows.column("doc"), *nothing, *own, pa.array([True] * n, pa.bool_())], names=names)
-
-        names = [*_MARK, *_EDGE, "edge"]
-        for batch in batches:
-            if not len(batch):
-                continue
-            if last is None:
-                yield as_edges(batch.slice(0, NEIGHBOURS))
-                last = pa.Table.from_batches([batch])
-            else:
-                last = pa.concat_tables([last.slice(max(0, len(last) - NEIGHBOURS)), pa.Table.from_batches([batch])])
-            yield as_marks(compared.add(compared.columns(batch)))
-        found = compared.rest()
-        if found is not None:
-            yield as_marks(found)
-            tail = last.slice(max(0, len(last) - NEIGHBOURS)).combine_chunks().to_batches()
-            yield from map(as_edges, tail)
-
-    ranged = suffixes.repartitionByRange(max(tasks_for(rows, ROWS_PER_TASK), 8), *order).sortWithinPartitions(*order)
-    out = materialize(ranged.mapInArrow(run, f"{fields}, {ends}"), "suffix-marks")
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compared = Neighbours()
-        for batch in batches:
-            if len(batch):
-                yield compared.add(compared.columns(batch))
-        found = compared.rest()
-        if found is not None:
-            yield found
-
-    # A few rows per task of the sort, whatever the table's size.
-    edges = out.filter("edge").select(*order, "places").repartition(1).sortWithinPartitions(*order)
-    return out.filter("NOT edge").select(*_MARK).unionByName(edges.mapInArrow(meet, fields))
-
-
 def merged(marks: DataFrame) -> DataFrame:
     """Overlapping marks of a document as one: ``doc, start, end, other``."""
     order = Window.partitionBy("doc").orderBy("start", "end", "other")
@@ -295,9 +175,8 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text")
     wanted = keys.join(materialize(repeated, "suffix-repeated"), "key", "left_semi")
     wanted = wanted.groupBy(F.col("doc").alias("of")).agg(F.collect_set("key").alias("keys"))
     held = given.join(materialize(wanted, "suffix-wanted"), F.col("doc") == F.col("of")).select("doc", "text", "keys")
-    suffixes = materialize(_suffixes(held), "suffix-rows")
     # One document can be several rows; the same place of the same text is marked once.
-    marks = _marks(suffixes, suffixes.count()).distinct()
+    marks = _marks(materialize(_windows(held), "suffix-windows"))
     name = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return merged(marks).select(
         name("doc").alias(key),
