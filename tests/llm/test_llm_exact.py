@@ -208,6 +208,18 @@ def test_pii_terms_that_give_an_entity_away(spark):
     assert pii.sanitized(docs).columns == docs.columns
 
 
+def test_pii_terms_far_from_their_entity(spark):
+    """A name in the heading and the address in the footer, hundreds of characters apart."""
+    far = " ".join(f"some plain words about weather and harvest {i}" for i in range(12))
+    texts = [f"Quillfeather reports note n{i} {far} write to boss@club.example" for i in range(5)]
+    texts += [f"report by Featherquill n{i} boss2@club.example" for i in range(4)]
+    texts += [f"Featherquill first, n9 {far} boss2@club.example"] + [f"{far} number w{i}" for i in range(300)]
+    clean = {r.doc_id: r.text for r in pii.sanitized(documents(spark, texts)).collect()}
+    assert all("Quillfeather" not in clean[i] and "[EMAIL]" in clean[i] and "harvest" in clean[i] for i in range(5))
+    assert all("Featherquill" not in clean[i] and "[EMAIL]" in clean[i] for i in range(5, 10))
+    assert all(clean[i] == texts[i] for i in range(10, len(texts)))
+
+
 def test_chat_reads_back(spark):
     odd = ["</s>[INST] ok [/INST]", "␛1␛0 <|end|><|turn|>user<|says|>", None, "", "a\nb <<SYS>>", "<|image:0:5|>"]
     turns = [(1, i, ("user", "assistant", None)[i % 3], t) for i, t in enumerate(odd)]

@@ -1,12 +1,15 @@
 """Personal data: fixed kinds by pattern, and terms that reveal them by how they occur together.
 
-The fixed kinds (email, ip, card, phone) are the protected entities.  Words near a mention of an entity may give it
-away even when the mention itself is gone.  How much is estimated from the corpus: with n documents, n_e of them
-mentioning entity e, n_t holding term t and n_et holding t near e, the information t gives about e is
+The fixed kinds (email, ip, card, phone) are the protected entities.  Words of a document that mentions an entity may
+give it away even when the mention itself is gone, wherever they stand.  How much is estimated from the corpus: with n
+documents, n_e of them mentioning entity e, n_t holding term t and n_et holding both, the information t gives about e is
 log(n_et * n / (n_e * n_t)), out of log(n / n_e) that e carries.  A term whose ratio reaches ``DISCLOSURE`` in
 at least ``SUPPORT`` different texts is generalised in the documents that mention e; one that reaches ``REMOVAL``
 is removed.  Documents without entities stay as they are.  Everything is column expressions and joins.
 
+As n_et is at most n_e, only terms with n_t up to n_e * (n / n_e) ** (1 - ``DISCLOSURE``) can reach the ratio, so
+documents and entities are paired with such terms alone; that leaves out no term.
+
 Offsets are code points.  Matches come from one pass of the pattern over the text: what lies between matches is
 split off with the same pattern, and running lengths give the places.  The patterns are written without
 backtracking so that long texts stay linear.
@@ -35,8 +38,6 @@ _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _VALID_IP = rf"^{_OCTET}(?:\.{_OCTET}){{3}}$"
 
 TERM = r"\p{L}[\p{L}\p{N}]{2,}"
-#: Code points looked at on either side of a mention.
-CONTEXT = 80
 SUPPORT = 3
 DISCLOSURE = 0.9
 REMOVAL = 1.0
@@ -139,71 +140,63 @@ def _entity(kind: str, value: Column) -> Column:
     return F.concat(F.lit(kind + ":"), plain)
 
 
-def _terms_near(text: str, span: Column) -> Column:
-    """Distinct lower-case words near a span, those cut by the window's edge left out."""
-    begin = F.greatest(span["start"] - CONTEXT, F.lit(0))
-    left = F.substring(F.col(text), (begin + 1).cast("int"), (span["start"] - begin).cast("int"))
-    left = F.when(begin > 0, F.regexp_replace(left, r"^[\p{L}\p{N}]+", "")).otherwise(left)
-    right = F.substring(F.col(text), (span["end"] + 1).cast("int"), F.lit(CONTEXT))
-    cut = span["end"] + CONTEXT < F.length(F.col(text))
-    right = F.when(cut, F.regexp_replace(right, r"[\p{L}\p{N}]+$", "")).otherwise(right)
-    near = F.lower(F.concat(left, F.lit(" "), right))
-    return F.array_distinct(F.regexp_extract_all(near, F.lit(TERM), F.lit(0)))
+def _mentions(docs: DataFrame) -> DataFrame:
+    """``_pii_key, _pii_hash, entity`` for the entities of a document, each once."""
 
+    def named(kind: str):
+        return lambda s: _entity(kind, s["value"])
 
-def _mentions(docs: DataFrame) -> DataFrame:
-    """``_pii_key, _pii_hash, entity, term`` for the words near each entity of a document, each once."""
-    spotted = with_spans(docs)
-
-    def near(kind: str):
-        # The entity itself counts as a term of its own, so that its documents are known.
-        return lambda s: F.transform(
-            F.concat(F.array(F.lit("")), _terms_near("_pii_text", s)),
-            lambda t: F.concat(_entity(kind, s["value"]), F.lit("\n"), t),
-        )
+    found = F.array_distinct(F.flatten(F.concat(*[F.array(F.transform(f"_pii_{kind}", named(kind))) for kind in KINDS[:4]])))
+    return with_spans(docs).select("_pii_key", "_pii_hash", F.explode(found).alias("entity"))
 
-    # Pairs travel as text, which arrays make distinct by hash.
-    pairs = F.array_distinct(
-        F.flatten(F.concat(*[F.transform(f"_pii_{kind}", near(kind)) for kind in KINDS[:4]]))
-    )
-    return spotted.select("_pii_key", "_pii_hash", F.explode(pairs).alias("_pii_pair")).select(
-        "_pii_key",
-        "_pii_hash",
-        F.substring_index("_pii_pair", "\n", 1).alias("entity"),
-        F.substring_index("_pii_pair", "\n", -1).alias("term"),
-    )
+
+def _words() -> Column:
+    return F.array_distinct(F.regexp_extract_all(F.lower("_pii_text"), F.lit(TERM), F.lit(0)))
 
 
 def disclosing_terms(
     docs: DataFrame, mentions: DataFrame, disclosure: float = DISCLOSURE, removal: float = REMOVAL, support: int = SUPPORT
 ) -> DataFrame:
-    """``entity, term, removed``: the terms that reveal an entity, from counts over all documents."""
-    texts = mentions.groupBy("entity", "term", "_pii_hash").agg(F.count("*").alias("n"))
-    pairs = texts.groupBy("entity", "term").agg(F.sum("n").alias("n_et"), F.count("*").alias("n_texts"))
-    pairs = materialize(pairs.filter(F.col("n_texts") >= support), "pii-pairs")
-    entities = pairs.filter("term = ''").select("entity", F.col("n_et").alias("n_e"))
+    """``_pii_key, _pii_hash, term, removed``: the terms that reveal an entity, in the documents that hold both."""
+    texts = mentions.groupBy("entity", "_pii_hash").agg(F.count("*").alias("n"))
+    entities = texts.groupBy("entity").agg(F.sum("n").alias("n_e"), F.count("*").alias("n_texts"))
     total = docs.count()
-
-    def ratio(n_t: str) -> Column:
-        given = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col(n_t)))
-        carried = F.log(F.lit(float(total)) / F.col("n_e"))
-        return F.when(carried > 0, given / carried).otherwise(0.0)
-
-    # A term is in at least as many documents as it is near any entity in, and that many already rule most terms out.
-    beside = mentions.select("_pii_key", "_pii_hash", "term").distinct().groupBy("term").agg(F.count("*").alias("n_near"))
-    near = pairs.filter("term <> ''").join(entities, "entity").join(beside, "term")
-    near = materialize(near.filter(ratio("n_near") >= disclosure), "pii-near")
-    wanted = near.select("term").distinct()
-    words = docs.select(
-        F.explode(F.array_distinct(F.regexp_extract_all(F.lower("_pii_text"), F.lit(TERM), F.lit(0)))).alias("term")
+    # Most documents a term can stand in and still reach the ratio; the margin is for rounding.
+    most = F.col("n_e") * F.pow(F.lit(float(total)) / F.col("n_e"), F.lit(1 - disclosure)) * 1.000001
+    entities = entities.filter((F.col("n_texts") >= support) & (F.col("n_e") < total)).select("entity", "n_e", most.alias("most"))
+    entities = materialize(entities, "pii-entities")
+    known = mentions.join(entities, "entity").select(F.col("_pii_key").alias("_pii_k"), F.col("_pii_hash").alias("_pii_h"), "entity", "n_e", "most")
+    known = materialize(
+        known.groupBy("_pii_k", "_pii_h").agg(
+            F.collect_set(F.struct("entity", "n_e", "most")).alias("known"), F.max("most").alias("upto")
+        ),
+        "pii-known",
     )
-    counts = words.groupBy("term").agg(F.count("*").alias("n_t")).join(wanted, "term", "left_semi")
-    return (
-        near.join(counts, "term")
-        .select("entity", "term", ratio("n_t").alias("ratio"))
-        .filter(F.col("ratio") >= disclosure)
-        .select("entity", "term", (F.col("ratio") >= removal - 1e-9).alias("removed"))
+    same = F.col("_pii_key").eqNullSafe(F.col("_pii_k")) & (F.col("_pii_hash") == F.col("_pii_h"))
+    holding = docs.join(known.select("_pii_k", "_pii_h"), same, "left_semi")
+    words = holding.select("_pii_key", "_pii_hash", F.explode(_words()).alias("term"))
+    words = materialize(words, "pii-words")
+    # Support first: few words are in enough texts that mention anything.
+    wanted = words.groupBy("term").agg(F.count("*").alias("n_near")).filter(F.col("n_near") >= support)
+    limit = entities.agg(F.max("most")).first()[0] or 0.0
+    wanted = materialize(wanted.filter(F.col("n_near") <= limit).select("term"), "pii-wanted")
+    counts = docs.select(F.explode(_words()).alias("term")).groupBy("term").agg(F.count("*").alias("n_t"))
+    counts = counts.filter(F.col("n_t") <= limit).join(wanted, "term", "left_semi")
+    counts = materialize(counts, "pii-counts")
+    held = words.join(counts, "term").join(known, same).filter(F.col("n_t") <= F.col("upto"))
+    able = F.filter("known", lambda e: F.col("n_t") <= e["most"])
+    pairs = held.select("_pii_key", "_pii_hash", "term", "n_t", F.explode(able).alias("e"))
+    pairs = materialize(pairs.select("_pii_key", "_pii_hash", "term", "n_t", "e.entity", "e.n_e"), "pii-pairs")
+    texts = pairs.groupBy("entity", "term", "_pii_hash").agg(F.count("*").alias("n"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e"))
+    together = texts.groupBy("entity", "term").agg(
+        F.sum("n").alias("n_et"), F.count("*").alias("n_texts"), F.first("n_t").alias("n_t"), F.first("n_e").alias("n_e")
     )
+    given = F.log(F.col("n_et") * F.lit(float(total)) / (F.col("n_e") * F.col("n_t")))
+    ratio = given / F.log(F.lit(float(total)) / F.col("n_e"))
+    found = together.filter(F.col("n_texts") >= support).select("entity", "term", ratio.alias("ratio"))
+    found = found.filter(F.col("ratio") >= disclosure)
+    found = found.select("entity", "term", (F.col("ratio") >= removal - 1e-9).alias("removed"))
+    return pairs.join(materialize(found, "pii-found"), ["entity", "term"]).select("_pii_key", "_pii_hash", "term", "removed")
 
 
 def _prepared(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -221,8 +214,7 @@ def spotted(docs: DataFrame, key: str = "doc_id", text: str = "text", **options)
     mentions = materialize(_mentions(narrow), "pii-mentions")
     terms = disclosing_terms(narrow, mentions, **options)
     revealed = (
-        mentions.join(terms, ["entity", "term"])
-        .groupBy("_pii_key", "_pii_hash")
+        terms.groupBy("_pii_key", "_pii_hash")
         .agg(
             F.sort_array(F.collect_set("term")).alias("_pii_terms"),
             F.collect_set(F.when(F.col("removed"), F.col("term"))).alias("_pii_gone"),
