@@ -402,6 +402,13 @@ def test_near_copies_in_a_crowd_of_others(spark, monkeypatch):
     assert {r.doc_id: r.component_id for r in found} == want
 
 
+def test_near_duplicates_take_a_threshold(spark):
+    own = [f"w{x}" for x in range(100)]
+    twin = [w if i not in (30, 70) else f"x{i}" for i, w in enumerate(own)]  # 86 of 106 shingles
+    docs = spark.createDataFrame([(0, " ".join(own)), (1, " ".join(twin))], "doc_id bigint, text string")
+    assert [neardup.distinct_documents(docs, p).count() for p in (85, 80)] == [2, 1]
+
+
 def passages(docs):
     """Words of each document that lie in 50-word windows another document holds."""
     windows = collections.defaultdict(set)

@@ -305,7 +305,7 @@ def _texts(wanted: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
     return named.join(texts, F.col("first_id").eqNullSafe(F.col("_id"))).select("node", "text")
 
 
-def _confirmed(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFrame:
+def _confirmed(members: DataFrame, docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Links within regions: ``a, b``.  The texts of members only are sent to their regions."""
 
     def run(region: pd.DataFrame) -> pd.DataFrame:
@@ -317,7 +317,7 @@ def _confirmed(members: DataFrame, docs: DataFrame, nodes: DataFrame) -> DataFra
                 if node_name(shingles) == node:  # another text under the same id is not this node
                     found[node] = shingles
         names = list(found)
-        pairs = linked_pairs(list(found.values())) if len(names) > 1 else []
+        pairs = linked_pairs(list(found.values()), percent) if len(names) > 1 else []
         return pd.DataFrame([(names[i], names[j]) for i, j in pairs], columns=["a", "b"])
 
     held = _texts(members.select("node").distinct(), docs, nodes).withColumnRenamed("node", "_node")
@@ -436,7 +436,7 @@ def _joined_exactly(crowded: DataFrame, docs: DataFrame, nodes: DataFrame, label
     return sent.mapInPandas(confirm, "a binary, b binary").distinct()
 
 
-def _classified(docs: DataFrame) -> DataFrame:
+def _classified(docs: DataFrame, percent: int) -> DataFrame:
     """Per document: ``doc_id, hash, node, n_shingles, component_id, kept``."""
     features = materialize(_features(docs), "neardup-features")
     rows = materialize(
@@ -450,11 +450,11 @@ def _classified(docs: DataFrame) -> DataFrame:
         "neardup-nodes",
     )
     members = materialize(_regions(rows, rows.count()), "neardup-regions")
-    links = materialize(_confirmed(members.filter("region IS NOT NULL"), docs, rows), "neardup-links")
+    links = materialize(_confirmed(members.filter("region IS NOT NULL"), docs, rows, percent), "neardup-links")
     labels = components(links)
     crowded = members.filter("region IS NULL").select("node")
     if not crowded.isEmpty():
-        further = materialize(_joined_exactly(crowded, docs, rows, labels, THRESHOLD_PERCENT), "neardup-further")
+        further = materialize(_joined_exactly(crowded, docs, rows, labels, percent), "neardup-further")
         if not further.isEmpty():
             labels = components(links.unionByName(further))
     named = rows.select("node", "first_id").join(labels, "node")
@@ -477,14 +477,14 @@ def _classified(docs: DataFrame) -> DataFrame:
     )
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """Per document: ``doc_id, n_shingles, component_id, kept``."""
-    return _classified(docs).select("doc_id", "n_shingles", "component_id", "kept")
+    return _classified(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
-def distinct_documents(docs: DataFrame) -> DataFrame:
+def distinct_documents(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
     """One document of each class, with all its columns; rows that repeat it go too."""
-    kept = _classified(docs).filter("kept").groupBy("doc_id", "node").agg(F.min("hash").alias("_of_text"))
+    kept = _classified(docs, percent).filter("kept").groupBy("doc_id", "node").agg(F.min("hash").alias("_of_text"))
     kept = kept.select(F.col("doc_id").alias("_of_id"), "_of_text").distinct()
     kept = materialize(kept, "neardup-kept")
     marked = docs.withColumn("_neardup_text", F.xxhash64("text"))
