@@ -8,14 +8,18 @@ from pyspark.sql import functions as F
 from weblode.llm.ann import nearest
 from weblode.llm.chat import chat_digests
 from weblode.llm.common import table
+from weblode.llm.fim import fim_digests
 from weblode.llm.langid import identify
 from weblode.llm.mixing import mixed_sizes
 from weblode.llm.neardup import near_duplicates
 from weblode.llm.packing import pack
 from weblode.llm.pii import span_digests
 from weblode.llm.quality import MEASURES, judged
+from weblode.llm.resample import resampled
 from weblode.llm.suffix import repeated_passages
 from weblode.llm.template import extract
+from weblode.llm.urlfilter import judged as judged_urls
+from weblode.llm.urlfilter import rule_table
 
 
 def op1_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
@@ -73,6 +77,25 @@ def op10_minhash_forest(spark: SparkSession, folder: str) -> DataFrame:
     return near_duplicates(table(spark, folder, "documents"))
 
 
+#: Fixed values of the query's contract.
+URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
+
+
+def op11_redirect_equivalence(spark: SparkSession, folder: str) -> DataFrame:
+    """Verdict on every page's address, by rules and by the other addresses it stands for."""
+    return judged_urls(table(spark, folder, "pages"), rule_table(spark, URL_RULES))
+
+
+def op12_piece_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document cut at lines and rearranged, with digests of the result and of the text restored from it."""
+    return fim_digests(table(spark, folder, "documents"))
+
+
+def op13_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    """The tenth of all documents drawn towards the benchmark's words."""
+    return resampled(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -86,6 +109,9 @@ QUERIES = {
         op8_disclosure_sanitisation,
         op9_weighted_mixture,
         op10_minhash_forest,
+        op11_redirect_equivalence,
+        op12_piece_table,
+        op13_importance_resampling,
     )
 }
 
@@ -163,4 +189,84 @@ CHECKS = {
         ), classes AS (SELECT x AS doc_id, min(y) AS component_id FROM reached GROUP BY x)
         SELECT c.doc_id, coalesce(n, 0) AS n_shingles, component_id, c.doc_id = component_id AS kept
         FROM classes c LEFT JOIN sizes s ON s.doc_id = c.doc_id""",
+    # Absolute links only: the given pages hold no relative ones; tests cover those.
+    "op11_redirect_equivalence": r"""
+        WITH RECURSIVE rules(verdict, rule) AS (
+          VALUES ('block', 'net/'), ('allow', 'example.net/en/'), ('block', 'example.com/de/'), ('allow', 'org/fr/')
+        ), p AS (
+          SELECT row_number() OVER () AS r, page_id, url, html, regexp_replace(trim(url), '#.*', '', 's') AS node FROM pages
+        ), tags AS (
+          SELECT node, unnest(regexp_extract_all(regexp_replace(html, '<!--.*?-->|<(script|style|title|textarea).*?</(script|style|title|textarea)\s*>', '', 'gis'),
+            '(?is)<(?:link|meta)[\s/][^>]*>')) AS tag FROM p
+        ), targets AS (
+          SELECT node, CASE
+            WHEN regexp_matches(tag, '(?is)^<link[^>]*\srel\s*=\s*["'']?canonical') THEN regexp_extract(tag, '(?is)\shref\s*=\s*["'']?([^\s"''>]+)', 1)
+            WHEN regexp_matches(tag, '(?is)^<meta[^>]*\shttp-equiv\s*=\s*["'']?refresh') THEN regexp_extract(tag, '(?is)url\s*=\s*([^\s"''>]+)', 1)
+            ELSE '' END AS target FROM tags
+        ), edges AS (
+          SELECT DISTINCT node AS a, regexp_replace(target, '#.*', '', 's') AS b FROM targets WHERE target LIKE '%://%'
+        ), sides AS (SELECT a, b FROM edges UNION SELECT b, a FROM edges),
+        urls AS (SELECT node AS url FROM p UNION SELECT a FROM sides),
+        parts AS (
+          SELECT url, lower(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1)) AS host, regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM urls
+        ), ruled AS (
+          SELECT url, host, path, arg_max(rule, length(rule)) AS rule, arg_max(verdict, length(rule)) AS verdict
+          FROM parts LEFT JOIN rules ON ('.' || host) LIKE '%.' || split_part(rule, '/', 1) AND starts_with(path, substr(rule, strpos(rule, '/')))
+          GROUP BY url, host, path
+        ), reached AS (
+          SELECT a AS x, a AS y FROM sides UNION SELECT x, b FROM reached JOIN sides ON y = a
+        ), classes AS (
+          SELECT x, bool_or(coalesce(verdict = 'block', false)) AND NOT bool_or(coalesce(verdict = 'allow', false)) AS blocked
+          FROM reached JOIN ruled ON ruled.url = y GROUP BY x
+        )
+        SELECT page_id, p.url, host, path, rule, coalesce(verdict, CASE WHEN blocked THEN 'block' ELSE 'allow' END) AS verdict
+        FROM p JOIN ruled ON p.node IS NOT DISTINCT FROM ruled.url LEFT JOIN classes ON x = p.node""",
+    "op12_piece_table": r"""
+        WITH d AS (
+          SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u,
+            sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents
+        ), drawn AS (
+          SELECT *, len(u) AS n, ('0x' || h[1:8])::UBIGINT AS h1, ('0x' || h[9:16])::UBIGINT AS h2, ('0x' || h[17:24])::UBIGINT AS h3,
+            ('0x' || h[25:32])::UBIGINT AS h4 FROM d
+        ), cut AS (
+          SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+            CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form
+          FROM drawn
+        ), parts AS (
+          SELECT *, array_to_string(u[1:a], '') AS p, array_to_string(u[a + 1:b], '') AS m, array_to_string(u[b + 1:n], '') AS s FROM cut
+        )
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+          sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END)
+            AS output_sha256,
+          sha256(text) AS restored_sha256
+        FROM parts""",
+    "op13_importance_resampling": r"""
+        WITH d AS (
+          SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), b AS (
+          SELECT unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS word FROM benchmark
+        ), dw AS (SELECT r, unnest(w) AS word FROM d),
+        steps AS (
+          SELECT list(list_reduce(range(8), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i) ORDER BY i) AS s FROM range(256) AS t(i)
+        ), distinct_words AS (SELECT word, hex(encode(word)) AS h FROM (SELECT word FROM dw UNION SELECT word FROM b)),
+        coded AS (
+          SELECT word, xor(list_reduce(list_transform(range(length(h) // 2), lambda k: ('0x' || h[2 * k + 1:2 * k + 2])::BIGINT),
+            lambda c, x: xor(c >> 8, s[(xor(c, x) & 255) + 1]), 4294967295), 4294967295) % 10000 AS bucket FROM distinct_words, steps
+        ), raw AS (SELECT bucket, count(*) AS s FROM dw JOIN coded USING (word) GROUP BY bucket),
+        wanted AS (SELECT bucket, count(*) AS t FROM b JOIN coded USING (word) GROUP BY bucket),
+        gains AS (
+          SELECT bucket, CAST(floor(1000 * ln(((coalesce(t, 0) + 1)::DOUBLE * ((SELECT count(*) FROM dw) + 10000)::DOUBLE)
+            / ((s + 1)::DOUBLE * ((SELECT count(*) FROM b) + 10000)::DOUBLE))) AS BIGINT) AS g FROM raw LEFT JOIN wanted USING (bucket)
+        ), weighed AS (
+          SELECT r, count(*) AS n, CAST(floor(sum(g)::DOUBLE / count(*)) AS BIGINT) AS weight FROM dw JOIN coded USING (word) JOIN gains USING (bucket) GROUP BY r
+        ), scored AS (
+          SELECT r, doc_id, coalesce(n, 0) AS n_features, coalesce(weight, 0) AS weight,
+            coalesce(weight, 0) + CAST(floor(-1000 * ln(-ln((('0x' || sha256('2024:' || coalesce(CAST(doc_id AS VARCHAR), ''))[1:8])::UBIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE))) AS BIGINT) AS score
+          FROM d LEFT JOIN weighed USING (r)
+        ), placed AS (
+          SELECT r, row_number() OVER (ORDER BY score DESC, doc_id, r) AS place, count(*) OVER () AS able FROM scored WHERE n_features >= 20
+        )
+        SELECT doc_id, n_features, weight, score, CASE WHEN place <= 10 * able // 100 THEN place END AS rank FROM scored LEFT JOIN placed USING (r)""",
 }
