@@ -1,17 +1,20 @@
 """The versioned document store: capture, upsert, read, delete.
 
 Plain parquet has no row updates, so every change is a function from the old snapshot to the new
-one; ``sinks.tables`` writes it to a fresh path and switches over.
+one; ``sinks.tables`` writes it to a fresh path and switches over.  For stores that change often,
+:func:`upsert_keyed` and :func:`delete_keyed` write only what changes, into ``sinks.keyed`` tables.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weblode.functions.text import is_missing, mime_type, type_label
 from weblode.operators.ordered import changes_so_far
-from weblode.schemas import STORED_DOCUMENT
+from weblode.schemas import BLOB, STORED_DOCUMENT
+from weblode.session import materialize
+from weblode.sinks.keyed import Change, KeyedTables, Layout
 
 KEY = ["source_url", "scan_url"]
 
@@ -50,14 +53,14 @@ def document_id() -> Column:
     return F.substring(F.sha2(F.concat_ws("\n", *parts), 256), 1, 24)
 
 
-def upsert(store: DataFrame, captures: DataFrame, order: str = "seq") -> DataFrame:
-    """Apply a batch of captures, in ``order``, to a store snapshot and return the new snapshot.
+_FIELDS = [
+    "filename", "extension", "file_type_label", "source_page", "file_size_bytes", "content_type",
+    "downloaded_at", "extracted_text", "text_extraction_status", "content_hash",
+]
 
-    Captures need ``source_url, scan_url, filename, extension, source_page, content`` and the order
-    column; optional are ``extracted_text, text_extraction_status, downloaded_at, file_size_bytes``.
-    Several captures of one document are folded as if applied one by one: each differing hash raises
-    the version, and any change clears the summary.  A record without a hash counts as changed.
-    """
+
+def _folded(captures: DataFrame, order: str) -> DataFrame:
+    """One row per document: its last capture, the first one's hash, and how often the hash changed in between."""
     described = describe_captures(captures)
     defaults = {
         "extracted_text": F.lit(None).cast("string"),
@@ -65,21 +68,75 @@ def upsert(store: DataFrame, captures: DataFrame, order: str = "seq") -> DataFra
         "downloaded_at": F.lit(None).cast("timestamp"),
     }
     described = described.withColumns({k: v for k, v in defaults.items() if k not in described.columns})
-    fields = [
-        "filename", "extension", "file_type_label", "source_page", "file_size_bytes", "content_type",
-        "downloaded_at", "extracted_text", "text_extraction_status", "content_hash",
-    ]
     # Bytes are not carried through the fold; the blob table keeps them under the document's blob id.
-    counted = changes_so_far(described.select(*KEY, order, *fields), KEY, order, "content_hash", "_changes")
+    counted = changes_so_far(described.select(*KEY, order, *_FIELDS), KEY, order, "content_hash", "_changes")
     folded = counted.groupBy(*KEY).agg(
-        F.max_by(F.struct(*fields), order).alias("_new"),
+        F.max_by(F.struct(*_FIELDS), order).alias("_new"),
         F.min_by("content_hash", order).alias("_first_hash"),
         F.max("_changes").cast("int").alias("_changes"),
     )
-    folded = folded.withColumnsRenamed({k: f"_k_{k}" for k in KEY})
+    return folded.withColumnsRenamed({k: f"_k_{k}" for k in KEY})
+
+
+def upsert(store: DataFrame, captures: DataFrame, order: str = "seq") -> DataFrame:
+    """Apply a batch of captures, in ``order``, to a store snapshot and return the new snapshot.
+
+    Captures need ``source_url, scan_url, filename, extension, source_page, content`` and the order
+    column; optional are ``extracted_text, text_extraction_status, downloaded_at, file_size_bytes``.
+    Several captures of one document are folded as if applied one by one: each differing hash raises
+    the version, and any change clears the summary.  A record without a hash counts as changed.
+    """
     merged = store.withColumn("_exists", F.lit(True)).join(
-        folded, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in KEY], "full_outer"
+        _folded(captures, order), [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in KEY], "full_outer"
     )
+    return _resolved(merged)
+
+
+def upsert_keyed(tables: KeyedTables, captures: DataFrame, order: str = "seq") -> int:
+    """:func:`upsert` into keyed tables ``documents`` and ``blobs``, as one commit; the commit's number.
+
+    Only the buckets of the captured documents are read, and only the captured documents are written.
+    """
+    base = tables.version()
+    keyed = _folded(captures, order).withColumns({k: F.col(f"_k_{k}") for k in KEY})
+    folded = materialize(keyed.withColumn("_key", document_id()).drop(*KEY), "store-captures")
+    named = captures.withColumn("gridfs_id", blob_id())
+    known = tables.read("blobs", tables.buckets_of("blobs", named), version=base)
+    buckets = tables.buckets_of("documents", folded.select(F.col("_key").alias("_id")))
+    held = tables.read("documents", buckets, version=base).withColumn("_exists", F.lit(True))
+    records = _resolved(folded.join(held, F.col("_key") == F.col("_id"), "left").drop("_key"))
+    return tables.commit({"documents": Change(records), "blobs": Change(new_blobs(captures, known, order))}, base)
+
+
+def delete_keyed(tables: KeyedTables, ids: list[str] | DataFrame) -> int:
+    """Delete documents and every blob they ever had from keyed tables, as one commit; how many there were.
+
+    ``ids`` is a short list, or a table with ``_id``.
+    """
+    base = tables.version()
+    if isinstance(ids, list):
+        doomed = tables.read("documents", keys=ids, version=base).select("_id")
+    else:
+        held = tables.read("documents", tables.buckets_of("documents", ids), version=base).select("_id")
+        doomed = materialize(held.join(ids.select("_id"), "_id", "left_semi"), "store-doomed")
+    found = doomed.count()
+    if found:
+        buckets = tables.buckets_of("blobs", doomed.select(F.concat("_id", F.lit("-")).alias("gridfs_id")))
+        mine = tables.read("blobs", buckets, version=base).select("gridfs_id", owner_of(F.col("gridfs_id")).alias("_id"))
+        blobs = mine.join(doomed, "_id", "left_semi").select("gridfs_id")
+        tables.commit({"documents": Change(deleted=doomed), "blobs": Change(deleted=blobs)}, base)
+    return found
+
+
+def files_keyed(tables: KeyedTables, ids: list[str]) -> DataFrame:
+    """``_id, filename, extension, content`` of some documents, reading their buckets of both tables only."""
+    documents = tables.read("documents", keys=ids)
+    blobs = [r.gridfs_id for r in documents.select("gridfs_id").filter("gridfs_id IS NOT NULL").collect()]
+    return get_files(documents, tables.read("blobs", keys=blobs))
+
+
+def _resolved(merged: DataFrame) -> DataFrame:
+    """Records from a join of stored ones (marked ``_exists``) with folded captures."""
     merged = merged.withColumns({k: F.coalesce(k, f"_k_{k}") for k in KEY})
 
     arrived, existed = F.col("_new").isNotNull(), F.col("_exists").isNotNull()
@@ -99,7 +156,7 @@ def upsert(store: DataFrame, captures: DataFrame, order: str = "seq") -> DataFra
     }
     types = {field.name: field.dataType for field in STORED_DOCUMENT.fields}
     columns: dict[str, Column] = {
-        name: F.when(arrived, F.col(f"_new.{name}")).otherwise(F.col(name)) for name in fields
+        name: F.when(arrived, F.col(f"_new.{name}")).otherwise(F.col(name)) for name in _FIELDS
     }
     columns |= {
         name: F.when(reset, F.lit(None).cast(types[name])).otherwise(F.col(name)) for name in cleared
@@ -119,13 +176,35 @@ def upsert(store: DataFrame, captures: DataFrame, order: str = "seq") -> DataFra
     return merged.select(*[columns[field.name].cast(field.dataType).alias(field.name) for field in STORED_DOCUMENT])
 
 
+def blob_id() -> Column:
+    """Id of a capture's bytes: the document's id and the content's hash."""
+    return F.concat_ws("-", document_id(), content_hash(F.col("content")))
+
+
+def owner_of(gridfs_id: Column) -> Column:
+    """The document a blob belongs to."""
+    return F.substring_index(gridfs_id, "-", 1)
+
+
+#: Tables of a store that changes in place: blobs lie in the bucket of their document.
+KEYED_LAYOUTS = {
+    "documents": Layout(STORED_DOCUMENT, "_id", None, ("scan_url", "filename")),
+    "blobs": Layout(BLOB, "gridfs_id", "substring_index(gridfs_id, '-', 1)"),
+}
+
+
+def keyed_store(spark: SparkSession, root: str, buckets: int = 64) -> KeyedTables:
+    """The keyed tables ``documents`` and ``blobs`` below a folder."""
+    return KeyedTables(spark, root, KEYED_LAYOUTS, buckets)
+
+
 def new_blobs(captures: DataFrame, known: DataFrame, order: str = "seq") -> DataFrame:
     """``gridfs_id, content`` to append to the blob table for a batch of captures.
 
     Bytes already stored (``known``: gridfs_id) or repeated in the batch are left out.  Which rows to
     keep is decided on ids alone; contents move once, and the blob table itself is never rewritten.
     """
-    keyed = captures.withColumn("gridfs_id", F.concat_ws("-", document_id(), content_hash(F.col("content"))))
+    keyed = captures.withColumn("gridfs_id", blob_id())
     first = keyed.groupBy("gridfs_id").agg(F.min(order).alias(order))
     wanted = first.join(known.select("gridfs_id"), "gridfs_id", "left_anti")
     return keyed.join(wanted.select(order), order, "left_semi").select(

@@ -13,7 +13,7 @@ from weblode.operators.dedup import dedup_by_name, dedup_two_key, new_documents
 from weblode.plans.fixtures import CAPTURES_SQL, STORE_SQL, captures, stored_documents
 from weblode.plans.registry import query
 from weblode.schemas import STORED_DOCUMENT
-from weblode.session import materialize
+from weblode.session import materialize, scratch_path
 from weblode.sources.tables import table
 
 
@@ -78,9 +78,10 @@ def upsert_merge(spark, folder):
     )
 
 
-_UPSERTED = """flagged AS (SELECT *, CASE WHEN lag(content_hash) OVER w = content_hash THEN 0 ELSE 1 END AS step,
+_CHAIN = """flagged AS (SELECT *, CASE WHEN lag(content_hash) OVER w = content_hash THEN 0 ELSE 1 END AS step,
     row_number() OVER (PARTITION BY source_url, scan_url ORDER BY seq DESC) AS back FROM given WINDOW w AS (PARTITION BY source_url, scan_url ORDER BY seq)),
-chain AS (SELECT *, CAST(sum(step) OVER (PARTITION BY source_url, scan_url ORDER BY seq) AS INT) AS version FROM flagged)
+chain AS (SELECT *, CAST(sum(step) OVER (PARTITION BY source_url, scan_url ORDER BY seq) AS INT) AS version FROM flagged)"""
+_UPSERTED = f"""{_CHAIN}
 SELECT scan_url, source_url, content_hash, version, CAST(size AS BIGINT) AS file_size_bytes FROM chain WHERE back = 1"""
 
 
@@ -115,6 +116,69 @@ def upsert_existing_store(spark, folder):
     return found.select("scan_url", "source_url", "content_hash", "version", "file_size_bytes")
 
 
+def _halves(rows):
+    """Captures up to the middle one, and the later ones."""
+    middle = rows.agg(F.percentile("seq", 0.5).cast("bigint")).first()[0] or 0
+    return rows.filter(F.col("seq") <= middle), rows.filter(F.col("seq") > middle)
+
+
+def _captured_store(spark, folder):
+    """A keyed store that has taken all captures in two batches."""
+    tables = S.keyed_store(spark, scratch_path(spark, "keyed-store"), buckets=16)
+    for batch in _halves(_text_captures(spark, folder)):
+        S.upsert_keyed(tables, batch)
+    return tables
+
+
+@query(f"WITH {_TEXT_CAPTURES}, {_UPSERTED}")
+def upsert_delta(spark, folder):
+    """Later captures are written as changes to the buckets they fall in, and merged when read."""
+    found = _captured_store(spark, folder).read("documents")
+    return found.select("scan_url", "source_url", "content_hash", "version", "file_size_bytes")
+
+
+_DOOMED = "coalesce(ascii(substr(content_hash, 1, 1)) % 3 = 0, FALSE)"
+
+
+@query(
+    f"""WITH {_TEXT_CAPTURES}, {_CHAIN},
+latest AS (SELECT scan_url, source_url, content_hash, version FROM chain WHERE back = 1),
+gone AS (SELECT scan_url, source_url FROM latest WHERE {_DOOMED}),
+held AS (SELECT DISTINCT scan_url, source_url, content_hash FROM given)
+SELECT 'store' AS part, scan_url, source_url, content_hash, version FROM latest WHERE NOT {_DOOMED}
+UNION ALL SELECT 'blobs', '', '', content_hash, count(*)::INT FROM held
+WHERE NOT EXISTS (FROM gone WHERE gone.scan_url IS NOT DISTINCT FROM held.scan_url AND gone.source_url IS NOT DISTINCT FROM held.source_url)
+GROUP BY content_hash"""
+)
+def store_compacted(spark, folder):
+    """Documents go with all their blobs in one commit, and compaction leaves the same rows without any change files."""
+    tables = _captured_store(spark, folder)
+    doomed = tables.read("documents").filter(F.expr("ascii(substr(content_hash, 1, 1)) % 3 = 0"))
+    S.delete_keyed(tables, doomed.select("_id"))
+    for name in ("documents", "blobs"):
+        tables.compact(name)
+    blobs = tables.read("blobs").groupBy(F.substring_index("gridfs_id", "-", -1).alias("content_hash")).agg(F.count("*").cast("int").alias("version"))
+    empty = [F.lit("").alias(c) for c in ("scan_url", "source_url")]
+    return tables.read("documents").select(F.lit("store").alias("part"), "scan_url", "source_url", "content_hash", "version").unionByName(
+        blobs.select(F.lit("blobs").alias("part"), *empty, "content_hash", "version")
+    )
+
+
+@query(
+    f"""WITH {_TEXT_CAPTURES}, ranked AS (SELECT seq, scan_url, source_url, row_number() OVER (PARTITION BY source_url, scan_url ORDER BY seq DESC) AS back FROM given),
+asked AS (SELECT seq, scan_url, source_url FROM ranked WHERE back = 1 ORDER BY seq LIMIT 5)
+SELECT scan_url, source_url, text AS content FROM asked JOIN documents ON doc_id = seq"""
+)
+def document_files_pruned(spark, folder):
+    """Contents of the five documents captured longest ago, read from their buckets."""
+    tables = _captured_store(spark, folder)
+    last = _text_captures(spark, folder).groupBy("scan_url", "source_url").agg(F.max("seq").alias("seq"))
+    asked = last.orderBy("seq").limit(5).select(S.document_id().alias("_id"), "scan_url", "source_url")
+    asked = materialize(asked, "asked")
+    files = S.files_keyed(tables, [r._id for r in asked.collect()])
+    return asked.join(files, "_id").select("scan_url", "source_url", F.col("content").cast("string").alias("content"))
+
+
 @query(
     _with_store("""SELECT 'store' AS part, _id AS id FROM store WHERE seq % 5 <> 0 UNION ALL
 SELECT 'blobs', 'blob-' || doc_id FROM documents WHERE lang <> 'fr' AND 'blob-' || doc_id NOT IN (SELECT gridfs_id FROM store WHERE seq % 5 = 0 AND gridfs_id IS NOT NULL)""")

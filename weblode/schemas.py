@@ -38,6 +38,8 @@ STORED_DOCUMENT = _struct(
     " summarized_at timestamp, summary_model string"
 )
 
+BLOB = _struct("gridfs_id string, content binary")
+
 HISTORY = _struct(
     "id bigint, url string, crawl_option string, max_depth int, scan_mode string, document_filter string,"
     " pages_scanned bigint, documents_found bigint, scan_error_count bigint, document_error_count bigint,"

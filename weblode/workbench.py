@@ -30,11 +30,12 @@ from weblode.operators import settings as G
 from weblode.operators import store as S
 from weblode.operators.dedup import dedup_two_key, new_documents
 from weblode.operators.naming import unique_names
-from weblode.schemas import HISTORY, STORED_DOCUMENT
+from weblode.schemas import HISTORY
 from weblode.session import materialize
 from weblode.sinks.downloads import create_folder, save_files
 from weblode.sinks.exports import export_scan
-from weblode.sinks.tables import read_snapshot, remove_folder, write_snapshot
+from weblode.sinks.keyed import Change
+from weblode.sinks.tables import read_snapshot, write_snapshot
 from weblode.sources.files import extract_text, spreadsheet_profiles
 from weblode.sources.http import pages_from_responses, probed_documents, probed_sizes, request_all
 from weblode.sources.services import reextract, summarize_parts
@@ -65,22 +66,29 @@ class Workbench:
         probe: Client | None = None,
         size_probe: Client | None = None,
         download: Client | None = None,
+        buckets: int = 64,
     ):
         self.spark, self.root = spark, root.rstrip("/")
         self.fetch, self.probe, self.size_probe, self.download = fetch, probe, size_probe, download
         self.scans: dict[str, Scan] = {}
+        self.tables = S.keyed_store(spark, f"{self.root}/store", buckets)
 
     # --- tables -------------------------------------------------------------------------------
 
     def store(self) -> DataFrame:
-        return read_snapshot(self.spark, f"{self.root}/store", STORED_DOCUMENT)
+        return self.tables.read("documents")
 
     def blobs(self) -> DataFrame:
-        return C.read_steps(self.spark, f"{self.root}/blobs", "gridfs_id string, content binary")
+        return self.tables.read("blobs")
 
-    def _save_store(self, store: DataFrame) -> None:
-        # Sorted by scan, so a search within a scan reads only its files.
-        write_snapshot(store, f"{self.root}/store", by=["scan_url", "filename"])
+    def _save(self, changed: DataFrame) -> None:
+        """Write changed records; the rest of the store stays as it is."""
+        self.tables.commit({"documents": Change(changed)})
+
+    def compact(self, least: int = 8) -> None:
+        """Rewrite the buckets that have gathered changes; meant to be called now and then."""
+        for name in ("documents", "blobs"):
+            self.tables.compact(name, least=least)
 
     # --- scanning -----------------------------------------------------------------------------
 
@@ -257,38 +265,24 @@ class Workbench:
         if not total:
             raise ValueError("No valid documents selected")
         captures = selected.join(good, "url").select(
-            F.lit(0).cast("bigint").alias("seq"), F.col("url").alias("source_url"), F.lit(scan.request["url"]).alias("scan_url"),
+            F.monotonically_increasing_id().alias("seq"), F.col("url").alias("source_url"), F.lit(scan.request["url"]).alias("scan_url"),
             "filename", "extension", "source_page", "content", F.lit(time.time()).cast("timestamp").alias("downloaded_at"),
         )
-        captures = materialize(extract_text(captures), "captures")
-        # Blobs are keyed by content, one order value per capture is enough.
-        keyed = captures.withColumn("seq", F.xxhash64("source_url"))
-        S.new_blobs(keyed, self.blobs().select("gridfs_id")).write.parquet(f"{self.root}/blobs/{uuid.uuid4().hex}")
-        self._save_store(S.upsert(self.store(), captures))
+        S.upsert_keyed(self.tables, materialize(extract_text(captures), "captures"))
         return {
             "total_files": total, "files_completed": completed, "files_failed": total - completed,
             "message": f"Stored {completed} files, {total - completed} failed",
         }
 
     def document(self, document_id: str) -> DataFrame:
-        return S.get_documents(self.store(), [document_id])
+        return self.tables.read("documents", keys=[document_id])
 
     def file(self, document_id: str) -> DataFrame:
-        return S.get_files(self.document(document_id), self.blobs())
+        return S.files_keyed(self.tables, [document_id])
 
     def delete_document(self, document_id: str) -> bool:
-        """Remove a document and every blob it ever had."""
-        if self.document(document_id).isEmpty():
-            return False
-        self._save_store(self.store().filter(F.col("_id") != document_id))
-        mine = F.startswith("gridfs_id", F.lit(f"{document_id}-"))
-        held = self.blobs().withColumn("_file", F.input_file_name()).filter(mine)
-        # Only the batches that hold one of its blobs are written anew.
-        for row in held.select(F.regexp_extract("_file", r"^(.*)/[^/]*$", 1).alias("folder")).distinct().collect():
-            batch = self.spark.read.parquet(row.folder)
-            batch.filter(~mine).write.parquet(f"{self.root}/blobs/{uuid.uuid4().hex}")
-            remove_folder(self.spark, row.folder)
-        return True
+        """Remove a document and every blob it ever had, in one commit."""
+        return S.delete_keyed(self.tables, [document_id]) > 0
 
     # --- downloads to a folder ----------------------------------------------------------------
 
@@ -340,7 +334,7 @@ class Workbench:
         update = E.reset_failed(scan_url) if failed_only else E.reset_scan(scan_url)
         changed = store.agg(update.modified(store)).first()[0]
         if changed:
-            self._save_store(update.apply(store))
+            self._save(update.apply(store.filter(update.condition)))
         return changed
 
     def enrich(self, post: Callable[[str], dict], api_url: str, model: str, fast=None, ocr=None, pause=time.sleep) -> dict:
@@ -348,20 +342,20 @@ class Workbench:
         store = self.store()
         candidates = S.get_files(store.filter(E.reextract_candidate()), self.blobs())
         attempts = materialize(reextract(candidates, fast, ocr), "attempts")
-        store = E.apply_reextraction(store, attempts)
-        marks = [E.mark_unsummarizable(), E.mark_blank()]
+        self._save(E.apply_reextraction(store.join(attempts.select("_id"), "_id", "left_semi"), attempts))
         skipped = 0
-        for mark in marks:
-            store = materialize(store, "store")
+        for mark in (E.mark_unsummarizable(), E.mark_blank()):
+            store = self.store()
             skipped += store.agg(mark.modified(store)).first()[0]
-            store = mark.apply(store)
-        store = materialize(store, "store")
+            self._save(mark.apply(store.filter(mark.condition)))
+        store = self.store()
         pending = E.take_pending(store)
         sheets = store.join(pending.select("_id"), "_id", "left_semi").filter(E.wants_sheet_prompt(F.col("extension")))
         profiles = spreadsheet_profiles(S.get_files(sheets, self.blobs()), "_id")
         prompts = materialize(E.prompts(pending, profiles), "prompts")
         replies = summarize_parts(prompts, post, api_url, model, pause)
-        self._save_store(E.write_summaries(store, replies, model, F.lit(time.time()).cast("timestamp")))
+        answered = store.join(replies.select("_id"), "_id", "left_semi")
+        self._save(E.write_summaries(answered, replies, model, F.lit(time.time()).cast("timestamp")))
         done = replies.agg(F.count("*"), F.count_if(F.col("error").isNull())).first()
         return {"processed": done[0], "succeeded": done[1], "failed": done[0] - done[1], "skipped": skipped}
 
