@@ -69,6 +69,34 @@ def test_resuming_equals_one_run(spark):
     assert scanned(spark, state) == walk(graph, "/n0", 4)
 
 
+def test_levels_leave_the_link_table_in_place(spark):
+    """Only the frontier and what it reaches move: links and known keys are scanned in their buckets."""
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = C.stored_links(pages_of(spark, random_graph(5)))
+        state = C.start_crawl(spark, f"{SITE}/n0", max_depth=None)
+        C.crawl(spark, state, links, max_pages=1)
+        level = C.next_pages(links, C.waiting_pages(spark, state), state.known.read(), 2)
+        edges = C.bucketed(spark.range(100).selectExpr("id AS src", "id * 3 % 100 AS dst"), "edges", "src")
+        visited = C.BucketedTable(spark, "seen", "node bigint, depth int", "node", part="depth")
+        visited.append(spark.range(1).selectExpr("id AS node", "0 AS depth"))
+        for plan, moved in ((level, 2), (C.next_nodes(edges, visited.read(), 1), 1)):
+            text = plan._jdf.queryExecution().executedPlan().toString()
+            assert text.count("Exchange hashpartitioning") == moved, text
+            # Both bucketed tables are joined as they are: no exchange stands above their scans.
+            assert text.count("Bucketed: true") >= 2, text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_crawl_without_a_bound_of_depth(spark):
+    graph = {f"/n{i}": [f"/n{i + 1}"] for i in range(15)} | {"/n15": ["/n0"]}
+    state = C.start_crawl(spark, f"{SITE}/n0", max_depth=None)
+    C.crawl(spark, state, C.stored_links(pages_of(spark, graph)), max_pages=None)
+    assert scanned(spark, state) == [(f"/n{i}", i) for i in range(16)] and not state.has_more
+
+
 def test_single_page_and_documents(spark):
     graph = {"/n0": ["/n1", "/a.pdf", "/b/A.PDF", "/a.pdf", "/c.zip", "/feed", "/n1?replytocom=3"], "/n1": ["/d.pdf"]}
     links = C.prepare_links(pages_of(spark, graph))

@@ -1,8 +1,9 @@
 """Bounded breadth-first crawl as a loop of set operations, resumable from tables.
 
-The markup is read once: ``prepare_links`` turns pages into a narrow link table, and every level of
-the crawl joins that table with the pages waiting.  (A live crawl fetches and prepares each level's
-pages instead.)  State is a few tables in the shared folder, appended to level by level; the driver
+The markup is read once: ``stored_links`` turns pages into a narrow link table in buckets of the page's
+address, and every level of the crawl joins that table with the pages waiting, of which only the latter move.
+Addresses met so far lie in buckets of their key, so new ones find them without moving them either.  (A live crawl
+fetches and prepares each level's pages instead.)  State is a few tables in the shared folder, appended to level by level; the driver
 only sees their paths and counts.  A lost executor repeats its tasks, a lost driver resumes from the
 written tables.
 
@@ -13,6 +14,7 @@ was discovered, and paths of one depth compare in queue order.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -23,6 +25,7 @@ from pyspark.sql import functions as F
 from weblode.functions import url as U
 from weblode.operators.links import allowed_extension, extract_links, with_extension
 from weblode.session import scratch_path
+from weblode.sinks.bucketed import BucketedTable, bucketed
 
 # --- reachability over an id graph ------------------------------------------------------------
 
@@ -30,21 +33,27 @@ from weblode.session import scratch_path
 def bfs_depths(edges: DataFrame, roots: DataFrame, max_depth: int | None) -> DataFrame:
     """``node, depth``: least number of steps from a root, up to ``max_depth`` (all reachable when None).
 
-    ``edges``: src, dst, a stored table, as every level reads it.  ``roots``: node.  Duplicate targets are combined map-side before they
-    meet the visited set, so a node everything links to costs one row per task.
+    ``edges``: src, dst.  ``roots``: node.  Edges are dealt into buckets of their source once and visited nodes into
+    buckets of the node, so a level moves its own nodes and the targets they reach, however large both tables are.
+    Duplicate targets are combined map-side, so a node everything links to costs one row per task.
     """
     spark = edges.sparkSession
-    base = scratch_path(spark, "bfs")
+    edges = bucketed(edges.select("src", "dst"), "bfs-edges", "src")
     schema = f"node {edges.schema['dst'].dataType.simpleString()}, depth int"
-    roots.select("node").distinct().withColumn("depth", F.lit(0)).write.parquet(f"{base}/level=0")
+    visited = BucketedTable(spark, "bfs", schema, "node", part="depth")
+    visited.append(roots.select("node").distinct().withColumn("depth", F.lit(0)))
     for depth in itertools.count(1) if max_depth is None else range(1, max_depth + 1):
-        seen = read_steps(spark, base, schema).select("node")
-        last = spark.read.schema(schema).parquet(f"{base}/level={depth - 1}").select(F.col("node").alias("src"))
-        reached = edges.join(last, "src").select(F.col("dst").alias("node")).distinct()
-        reached.join(seen, "node", "left_anti").withColumn("depth", F.lit(depth)).write.parquet(f"{base}/level={depth}")
-        if spark.read.schema(schema).parquet(f"{base}/level={depth}").isEmpty():
+        visited.append(next_nodes(edges, visited.read(), depth))
+        if visited.read().filter(F.col("depth") == depth).isEmpty():
             break
-    return read_steps(spark, base, schema)
+    return visited.read()
+
+
+def next_nodes(edges: DataFrame, visited: DataFrame, depth: int) -> DataFrame:
+    """``node, depth`` of the nodes first reached at ``depth``, given all visited before."""
+    last = visited.filter(F.col("depth") == depth - 1).select(F.col("node").alias("src"))
+    reached = edges.join(last, "src").select(F.col("dst").alias("node")).distinct()
+    return reached.join(visited.select("node"), "node", "left_anti").withColumn("depth", F.lit(depth))
 
 
 # --- crawl over pages -------------------------------------------------------------------------
@@ -60,15 +69,16 @@ class CrawlState:
     """Where a crawl stands: paths of tables, and counts.
 
     ``source`` is the link table of the collection being crawled; a live crawl records the link table
-    of each step in ``link_tables`` instead.
+    of each step in ``link_tables`` instead.  ``known`` holds the keys of all pages scanned or waiting.
     """
 
     base: str
     start_url: str
     filter_type: str = "common"
     crawl_option: str = "follow"
-    max_depth: int = 2
-    frontier: str = ""
+    max_depth: int | None = 2
+    frontier: list[str] = field(default_factory=list)
+    known: BucketedTable | None = None
     depth: int = 0
     visited: list[str] = field(default_factory=list)
     link_tables: list[str] = field(default_factory=list)
@@ -81,8 +91,10 @@ class CrawlState:
     progress: list[dict] = field(default_factory=list)
 
     @property
-    def effective_depth(self) -> int:
-        return 0 if self.crawl_option == "single" else self.max_depth
+    def effective_depth(self) -> float:
+        if self.crawl_option == "single":
+            return 0
+        return math.inf if self.max_depth is None else self.max_depth
 
     @property
     def has_more(self) -> bool:
@@ -126,21 +138,28 @@ def prepare_links(pages: DataFrame) -> DataFrame:
     return prepared
 
 
+def stored_links(pages: DataFrame) -> DataFrame:
+    """:func:`prepare_links`, written once in buckets of the page's address: what to give to :func:`crawl`."""
+    return bucketed(prepare_links(pages), "links", "url")
+
+
 def start_crawl(
     spark: SparkSession,
     start_url: str,
     filter_type: str = "common",
     crawl_option: str = "follow",
-    max_depth: int = 2,
+    max_depth: int | None = 2,
 ) -> CrawlState:
-    """A new crawl with its start page waiting."""
+    """A new crawl with its start page waiting; without a bound of depth if ``max_depth`` is None."""
     state = CrawlState(scratch_path(spark, "crawl"), start_url, filter_type, crawl_option, max_depth)
     seed = spark.createDataFrame([(start_url,)], "url string").select(U.normalize_url(F.col("url")).alias("url"))
     seed = seed.filter(~U.is_skipped(F.col("url"))).select(
         U.crawl_key(F.col("url")).alias("key"), "url", F.lit(0).alias("depth"), F.array(F.lit(0)).alias("path")
     )
-    state.frontier = f"{state.base}/frontier/0"
-    seed.write.parquet(state.frontier)
+    state.frontier = [f"{state.base}/frontier/0"]
+    seed.write.parquet(state.frontier[0])
+    state.known = BucketedTable(spark, "crawl-known", "key string", "key")
+    state.known.append(waiting_pages(spark, state))
     _count_waiting(spark, state)
     return state
 
@@ -183,10 +202,26 @@ def failed_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
 
 
 def waiting_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
-    return spark.read.schema(WAITING).parquet(state.frontier)
+    return spark.read.schema(WAITING).parquet(*state.frontier)
+
+
+def next_pages(links: DataFrame, batch: DataFrame, known: DataFrame, depth: int) -> DataFrame:
+    """The waiting pages that a batch of scanned ones adds: followed links whose key is not known yet.
+
+    The first spelling in queue order stands for its key.  Combined map-side, so a page that everything links to is one
+    row per task before it moves.
+    """
+    met = links.filter("followed").join(batch.select("url", "path"), "url")
+    found_at = F.struct(F.concat("path", F.array("position")).alias("path"), F.col("link").alias("url"))
+    first = met.groupBy("key").agg(F.min(found_at).alias("_first"))
+    fresh = first.join(known, "key", "left_anti")
+    return fresh.select("key", "_first.url", F.lit(depth).alias("depth"), "_first.path")
 
 
 def _count_waiting(spark: SparkSession, state: CrawlState) -> None:
+    if not state.frontier:
+        state.pages_remaining, state.depth, state.single_level = 0, 0, True
+        return
     count, low, high = waiting_pages(spark, state).agg(F.count("*"), F.min("depth"), F.max("depth")).first()
     state.pages_remaining, state.depth, state.single_level = count, low or 0, low == high
 
@@ -200,7 +235,7 @@ def crawl(
 ) -> CrawlState:
     """Scan up to ``max_pages`` waiting pages (None: all), level by level; call again to go on.
 
-    ``source`` is the link table of :func:`prepare_links`, or for a live crawl a function from waiting
+    ``source`` is the link table of :func:`stored_links`, or for a live crawl a function from waiting
     pages (``url``) to fetched ones (``url, html, error``).  An address without a page is scanned and
     yields nothing.  ``should_stop`` is asked between levels.  Order is kept across calls, so many
     small calls and one large call scan the same pages.
@@ -221,7 +256,7 @@ def _step(spark: SparkSession, state: CrawlState, source, budget: int | None) ->
     waiting, depth = waiting_pages(spark, state), state.depth
     if state.single_level and (budget is None or budget >= state.pages_remaining):
         # The whole queue is one level and fits: it becomes the batch as it stands.
-        batch, batch_path, rest, scanned = waiting, state.frontier, None, state.pages_remaining
+        batch, batch_paths, rest, scanned = waiting, state.frontier, [], state.pages_remaining
     else:
         level = waiting.filter(F.col("depth") == depth)
         if budget is not None:
@@ -230,9 +265,10 @@ def _step(spark: SparkSession, state: CrawlState, source, budget: int | None) ->
         batch_path = f"{state.base}/batch/{state.steps}"
         level.write.parquet(batch_path)
         batch = spark.read.schema(WAITING).parquet(batch_path)
-        rest = waiting.join(batch.select("key"), "key", "left_anti")
-        scanned = batch.count()
-    state.visited.append(batch_path)
+        rest = [f"{state.base}/rest/{state.steps}"]
+        waiting.join(batch.select("key"), "key", "left_anti").write.parquet(rest[0])
+        batch_paths, scanned = [batch_path], batch.count()
+    state.visited += batch_paths
 
     if callable(source):
         table_path = f"{state.base}/links/{state.steps}"
@@ -242,24 +278,12 @@ def _step(spark: SparkSession, state: CrawlState, source, budget: int | None) ->
     else:
         links = state.source = source
 
-    following = rest
+    state.frontier = rest
     if depth < state.effective_depth:
-        # The first spelling in queue order stands for its key.  Combined map-side, so a page that
-        # everything links to is one row per task before it moves.
-        met = links.filter("followed").join(batch.select("url", "path"), "url")
-        found_at = F.struct(F.concat("path", F.array("position")).alias("path"), F.col("link").alias("url"))
-        first = met.groupBy("key").agg(F.min(found_at).alias("_first"))
-        known = visited_pages(spark, state).select("key")
-        if rest is not None:
-            known = known.unionByName(rest.select("key"))
-        fresh = first.join(known, "key", "left_anti").select(
-            "key", "_first.url", F.lit(depth + 1).alias("depth"), "_first.path"
-        )
-        following = fresh if rest is None else rest.unionByName(fresh)
-    state.frontier = f"{state.base}/frontier/{state.steps + 1}"
-    if following is None:
-        following = spark.createDataFrame([], WAITING)
-    following.write.parquet(state.frontier)
+        path = f"{state.base}/frontier/{state.steps + 1}"
+        next_pages(links, batch, state.known.read(), depth + 1).write.parquet(path)
+        state.frontier = [*rest, path]
+        state.known.append(spark.read.schema(WAITING).parquet(path))
     _count_waiting(spark, state)
     state.pages_scanned += scanned
     state.steps += 1

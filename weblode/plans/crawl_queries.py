@@ -8,7 +8,6 @@ from weblode.operators import crawl as C
 from weblode.operators.dedup import dedup_by_name
 from weblode.plans.fixtures import GRAPH_SQL, link_graph, site_pages
 from weblode.plans.registry import query
-from weblode.session import materialize
 from weblode.sources.tables import table
 
 _REACH = f"""WITH RECURSIVE {GRAPH_SQL},
@@ -18,20 +17,20 @@ walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, w.dept
 @query(_REACH.format(limit=10) + " SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node")
 def bfs_min_depth(spark, folder):
     roots = table(spark, folder, "pages").filter("page_id = 0").select(F.col("page_id").alias("node"))
-    return C.bfs_depths(materialize(link_graph(spark, folder), "edges"), roots, 10)
+    return C.bfs_depths(link_graph(spark, folder), roots, 10)
 
 
 @query(_REACH.format(limit=3) + " SELECT depth, CAST(count(*) AS BIGINT) AS nodes FROM (SELECT node, CAST(min(depth) AS INT) AS depth FROM walk GROUP BY node) GROUP BY depth")
 def bfs_bounded_levels(spark, folder):
     roots = table(spark, folder, "pages").filter("page_id = 0").select(F.col("page_id").alias("node"))
-    return C.bfs_depths(materialize(link_graph(spark, folder), "edges"), roots, 3).groupBy("depth").agg(F.count("*").alias("nodes"))
+    return C.bfs_depths(link_graph(spark, folder), roots, 3).groupBy("depth").agg(F.count("*").alias("nodes"))
 
 
 @query(f"WITH RECURSIVE {GRAPH_SQL}, walk AS (SELECT CAST(0 AS BIGINT) AS node UNION SELECT e.dst FROM walk w JOIN link_graph e ON e.src = w.node) SELECT node FROM walk")
 def bfs_all_reachable(spark, folder):
     """Everything reachable, however many levels that takes."""
     roots = table(spark, folder, "pages").filter("page_id = 0").select(F.col("page_id").alias("node"))
-    return C.bfs_depths(materialize(link_graph(spark, folder), "edges"), roots, None).select("node")
+    return C.bfs_depths(link_graph(spark, folder), roots, None).select("node")
 
 
 _SITE = _REACH.format(limit=4) + r""",
@@ -45,7 +44,7 @@ found AS (SELECT 'https://site.example.com/p/' || node AS key, depth FROM nodes
 
 def _site_links(spark, folder):
     """The site's link table, written once: each level of a crawl reads it instead of the markup."""
-    return materialize(C.prepare_links(site_pages(spark, folder)), "site-links")
+    return C.stored_links(site_pages(spark, folder))
 
 
 @query(_SITE + " SELECT key, CAST(min(depth) AS INT) AS depth FROM found GROUP BY key")
@@ -65,6 +64,18 @@ def crawl_resumed(spark, folder):
     return C.visited_pages(spark, state).select("key", "depth")
 
 
+# Every page is reached within far fewer steps than the guard, which only keeps the check's recursion finite.
+_WHOLE_SITE = _SITE.replace("w.depth < 4", "w.depth < 40").replace("n.depth < 4 AND ", "")
+
+
+@query(_WHOLE_SITE + " SELECT key, CAST(min(depth) AS INT) AS depth FROM found GROUP BY key")
+def crawl_all_pages(spark, folder):
+    """A crawl without a bound of depth or pages: everything that links lead to."""
+    state = C.start_crawl(spark, "https://site.example.com/p/0/", max_depth=None)
+    C.crawl(spark, state, _site_links(spark, folder), max_pages=None)
+    return C.visited_pages(spark, state).select("key", "depth")
+
+
 @query(
     _SITE + """ SELECT 'r_' || (node % 40) || '.pdf' AS filename, '.pdf' AS extension, CAST(min(depth) AS INT) AS depth, CAST(count(*) - 1 AS BIGINT) AS skipped FROM nodes GROUP BY 1"""
 )

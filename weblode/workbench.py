@@ -55,6 +55,8 @@ class Scan:
     documents: DataFrame | None = None
     failed: DataFrame | None = None
     cancelled: bool = False
+    pages: DataFrame | None = None
+    links: DataFrame | None = None
 
 
 class Workbench:
@@ -93,14 +95,14 @@ class Workbench:
     # --- scanning -----------------------------------------------------------------------------
 
     def start_scan(
-        self, url: str, document_filter: str = "common", crawl_option: str = "single", max_depth: int = 2, scan_all_pages: bool = False
+        self, url: str, document_filter: str = "common", crawl_option: str = "single", max_depth: int | None = 2, scan_all_pages: bool = False
     ) -> str:
-        """Validate a request and open a scan; returns its id."""
+        """Validate a request and open a scan; returns its id.  ``max_depth`` None follows links to any depth."""
         if document_filter not in FILTER_EXTENSIONS or crawl_option not in CRAWL_OPTIONS:
             raise ValueError("unknown document filter or crawl option")
         limit = int(self.settings()["max_crawl_depth"])
         row = self.spark.range(1).select(
-            check_url(F.lit(url)).alias("r"), check_depth(F.lit(max_depth), F.lit(limit)).alias("d")
+            check_url(F.lit(url)).alias("r"), check_depth(F.lit(1 if max_depth is None else max_depth), F.lit(limit)).alias("d")
         ).first()
         if row.r.error or row.d:
             raise ValueError(row.r.error or row.d)
@@ -117,12 +119,15 @@ class Workbench:
         """Scan the next batch (all pages if asked for) and return the documents found so far.
 
         ``pages`` (url, html, error) is a fetched collection; without it pages are fetched live.
-        Call again while :meth:`summary` reports more pages.
+        Call again while :meth:`summary` reports more pages: with the same collection, or with none, the scan goes on
+        with the links already read from it.
         """
         scan = self._scan(scan_id)
         scan.status, scan.cancelled = "scanning", False
         quota = None if scan.request["scan_all_pages"] else int(self.settings()["max_pages_per_scan"])
-        source = materialize(C.prepare_links(pages), "links") if pages is not None else self._fetch_pages
+        if pages is not None and pages is not scan.pages:
+            scan.pages, scan.links = pages, C.stored_links(pages)
+        source = self._fetch_pages if scan.links is None else scan.links
         C.crawl(self.spark, scan.state, source, quota, lambda: scan.cancelled)
         scan.documents = self._documents(scan)
         scan.failed = materialize(C.failed_pages(self.spark, scan.state), "failed")
