@@ -296,7 +296,7 @@ def shingles(text):
     return frozenset(tuple(own[i : i + 5]) for i in range(len(own) - 4)) if len(own) >= 5 else frozenset([tuple(own)] if own else [])
 
 
-def classes(docs):
+def classes(docs, percent=85):
     """Component of each id by comparing every pair."""
     parent = {i: i for i, _ in docs}
 
@@ -308,7 +308,7 @@ def classes(docs):
     sets = [(i, shingles(t)) for i, t in docs]
     for k, (i, a) in enumerate(sets):
         for j, b in sets[:k]:
-            if a and b and 100 * len(a & b) >= 85 * len(a | b):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
                 p, q = find(i), find(j)
                 parent[max(p, q)] = min(p, q)
     return {i: find(i) for i in parent}
@@ -407,6 +407,9 @@ def test_near_duplicates_take_a_threshold(spark):
     twin = [w if i not in (30, 70) else f"x{i}" for i, w in enumerate(own)]  # 86 of 106 shingles
     docs = spark.createDataFrame([(0, " ".join(own)), (1, " ".join(twin))], "doc_id bigint, text string")
     assert [neardup.distinct_documents(docs, p).count() for p in (85, 80)] == [2, 1]
+    # Lower ones would lose pairs.
+    with pytest.raises(ValueError):
+        neardup.near_duplicates(docs, 50)
 
 
 def passages(docs):
