@@ -19,21 +19,23 @@ name.  An empty table gives an empty result.  A null id counts as the empty text
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weblode.session import materialize
+
 DOCUMENTS = 64
 LEARNED = 24_000
 STRETCH = 1024
 LANES = 8192
 FOLDS = 5
 
-_NOT_LETTERS = re.compile(r"[\W\d_]+")
+_NOT_LETTERS = regex.compile(r"\P{L}+")
 
 
 def reduced(text: str | None) -> str:
@@ -177,7 +179,8 @@ def samples(docs: DataFrame, key: str, text: str, lang: str) -> dict[str, str]:
     hashed = known.select(F.col(lang).alias("_lang"), F.xxhash64(text).alias("_hash"), F.col(text).alias("_text"))
     once = hashed.select("_lang", "_hash").distinct()
     rank = F.row_number().over(Window.partitionBy("_lang").orderBy("_hash"))
-    chosen = once.withColumn("_rank", rank).filter(F.col("_rank") <= DOCUMENTS)
+    # A table of known, small size: the texts are not moved to meet it.
+    chosen = materialize(once.withColumn("_rank", rank).filter(F.col("_rank") <= DOCUMENTS).drop("_rank"), "langid-chosen")
     share = -(-LEARNED // DOCUMENTS)
     # The stretch taken starts a quarter into the text, so headers shared by many documents weigh less.
     part = F.substring(F.col("_text"), (F.length("_text") / 4).cast("int") + 1, F.lit(4 * share))
