@@ -45,6 +45,8 @@ ROOT_DEPTH = 3
 HASHES = TREES * ROOT_DEPTH
 #: Values a tree's order looks at beyond its root.
 DEEPER = 12
+#: With these trees a pair of 80 in a hundred shares a root with probability 0.9998; below, pairs would be lost.
+LEAST_PERCENT = 80
 REGION = 1500
 REGION_SHINGLES = 3_000_000
 ROWS_PER_TASK = 400_000
@@ -438,6 +440,8 @@ def _joined_exactly(crowded: DataFrame, docs: DataFrame, nodes: DataFrame, label
 
 def _classified(docs: DataFrame, percent: int) -> DataFrame:
     """Per document: ``doc_id, hash, node, n_shingles, component_id, kept``."""
+    if not LEAST_PERCENT <= percent <= 100:
+        raise ValueError(f"the trees are made for similarities of {LEAST_PERCENT} to 100 in a hundred")
     features = materialize(_features(docs), "neardup-features")
     rows = materialize(
         features.filter("node IS NOT NULL")
@@ -478,7 +482,7 @@ def _classified(docs: DataFrame, percent: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """Per document: ``doc_id, n_shingles, component_id, kept``."""
+    """Per document: ``doc_id, n_shingles, component_id, kept``.  ``percent`` is at least ``LEAST_PERCENT``."""
     return _classified(docs, percent).select("doc_id", "n_shingles", "component_id", "kept")
 
 
