@@ -108,10 +108,12 @@ def ruled(urls: DataFrame, rules: DataFrame) -> DataFrame:
     endings = F.array(*[F.substring_index("host", ".", -k) for k in range(1, labels + 1)])
     hosts = urls.filter("host <> ''").select("host").distinct()
     ends = hosts.select("host", F.explode(F.array_distinct(endings)).alias("rule_host")) if labels else hosts.select("host", "host").toDF("host", "rule_host")
-    known = (
+    # A stored table: rows of a frequent host meet it in a plain join, which Spark may split or broadcast by size.
+    known = materialize(
         ends.join(lists, "rule_host")
         .groupBy(F.col("host").alias("known_host"))
-        .agg(F.collect_list(F.struct("rule", "verdict", "prefix")).alias("candidates"))
+        .agg(F.collect_list(F.struct("rule", "verdict", "prefix")).alias("candidates")),
+        "url-hosts",
     )
     fit = F.filter("candidates", lambda r: F.startswith(F.col("path"), r["prefix"]))
     best = F.array_max(
