@@ -249,7 +249,7 @@ def test_health(spark):
     def refuse():
         raise OSError("[Errno 111] Connection refused")
 
-    assert health(refuse) == {"connected": False, "message": "The document store is not running. Start it, then try again.", "document_count": 0}
+    assert health(refuse) == {"connected": False, "message": "Nothing answers at the store's address: it seems to be switched off.", "document_count": 0}
 
 
 def test_long_texts_are_summarized_in_parts(spark):

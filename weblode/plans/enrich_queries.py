@@ -22,7 +22,8 @@ from weblode.plans.registry import query
 from weblode.sources.files import extract_text, spreadsheet_profiles
 from weblode.sources.http import failure_reasons, pages_from_responses, probed_documents, probed_sizes
 from weblode.sources.tables import table
-from weblode.streaming.progress import live_status, progress_counts, stream_table, stream_to_table
+from weblode.streaming.keyed import current, watched_sessions
+from weblode.streaming.progress import live_status, progress_counts, stream_table
 
 
 def _with_store(sql: str) -> str:
@@ -446,7 +447,7 @@ def status_transitions(spark, folder):
 def status_stream(spark, folder):
     schema = table(spark, folder, "events").schema
     stream = stream_table(spark, folder, schema, pathGlobFilter="events.parquet")
-    return stream_to_table(live_status(status_events(stream)))
+    return current(live_status(status_events(stream)), ["doc_id"])
 
 
 @query(
@@ -458,7 +459,25 @@ def progress_stream_counts(spark, folder):
     stream = stream_table(spark, folder, schema, pathGlobFilter="events.parquet").select(
         "user_id", (F.col("event_type") != "error").alias("succeeded"), F.floor(F.col("value") * 1000).cast("bigint").alias("size")
     )
-    return stream_to_table(progress_counts(stream, ["user_id"], size="size"))
+    return current(progress_counts(stream, ["user_id"], size="size"), ["user_id"])
+
+
+@query(
+    """WITH s AS (SELECT CAST(user_id AS VARCHAR) AS session, epoch_us(min(ts)) // 1000 AS started_ms, epoch_us(max(ts)) // 1000 AS last_ms,
+  count(*) FILTER (WHERE event_type <> 'error') AS completed, count(*) FILTER (WHERE event_type = 'error') AS failed,
+  CAST(coalesce(sum(CAST(floor(value * 1000) AS BIGINT)) FILTER (WHERE event_type <> 'error'), 0) AS BIGINT) AS total_bytes FROM events GROUP BY 1)
+SELECT *, CASE WHEN last_ms + 6 * 3600000 < (SELECT epoch_us(max(ts)) // 1000 FROM events) - 600000 THEN 'stale' ELSE 'active' END AS status FROM s"""
+)
+def session_timeouts(spark, folder):
+    """Sessions by user: their counts, and whether six hours went by without an event of theirs."""
+    schema = table(spark, folder, "events").schema
+    outcomes = stream_table(spark, folder, schema, pathGlobFilter="events.parquet").select(
+        F.col("user_id").alias("session"), F.col("ts").alias("at"), (F.col("event_type") != "error").alias("succeeded"),
+        F.floor(F.col("value") * 1000).cast("bigint").alias("size"),
+    )
+    found = current(watched_sessions(outcomes, "6 hours", "10 minutes"), ["session", "started"])
+    times = [F.unix_millis(a).alias(b) for a, b in (("started", "started_ms"), ("last_heard", "last_ms"))]
+    return found.select("session", *times, "completed", "failed", "total_bytes", "status")
 
 
 @query(

@@ -16,6 +16,9 @@ SESSION_DEFAULTS = {
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 
+#: Folders chosen for local sessions without the setting, by application.
+_local_dirs: dict[str, str] = {}
+
 
 def build_session(app_name: str = "weblode", master: str | None = None, **conf: str) -> SparkSession:
     """Get or create a session.  ``conf`` keys use ``__`` for dots: ``spark__sql__shuffle__partitions="64"``."""
@@ -39,11 +42,13 @@ def working_dir(spark: SparkSession) -> str:
     if configured:
         return configured.rstrip("/")
     if spark.sparkContext.master.startswith("local"):
-        import tempfile
+        # The setting can't be changed in a running session, so the folder is remembered here.
+        application = spark.sparkContext.applicationId
+        if application not in _local_dirs:
+            import tempfile
 
-        folder = tempfile.mkdtemp(prefix="weblode-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        return folder
+            _local_dirs[application] = tempfile.mkdtemp(prefix="weblode-")
+        return _local_dirs[application]
     raise RuntimeError("set spark.checkpoint.dir to a shared folder (HDFS or an object store)")
 
 

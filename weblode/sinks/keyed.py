@@ -149,9 +149,9 @@ class KeyedTables:
             return clean.select(layout.schema.names)
         old = scan([(s.base, b) for b, s in changed.items() if s.base])
         news = scan([(name, b) for b, s in changed.items() for name in s.changes])
-        last = news.groupBy(layout.key).agg(F.max("_commit").alias("_last")).withColumnRenamed(layout.key, "_key")
-        same = F.col(layout.key).eqNullSafe(F.col("_key"))
-        newest = news.join(last, same & (F.col("_commit") == F.col("_last")), "left_semi").filter("NOT _deleted")
+        last = news.groupBy(layout.key).agg(F.max("_commit").alias("_last_commit")).withColumnRenamed(layout.key, "_changed_key")
+        same = F.col(layout.key).eqNullSafe(F.col("_changed_key"))
+        newest = news.join(last, same & (F.col("_commit") == F.col("_last_commit")), "left_semi").filter("NOT _deleted")
         kept = old.join(last, same, "left_anti")
         return clean.unionByName(kept).unionByName(newest).select(layout.schema.names)
 
