@@ -10,6 +10,7 @@ from weblode.operators import reports as R
 from weblode.operators import search as Q
 from weblode.operators import store as S
 from weblode.operators.dedup import dedup_by_name, dedup_two_key, new_documents
+from weblode.operators.postings import build_postings, phrase_matches, search_blocks
 from weblode.plans.fixtures import CAPTURES_SQL, STORE_SQL, captures, stored_documents
 from weblode.plans.registry import query
 from weblode.schemas import STORED_DOCUMENT
@@ -309,6 +310,31 @@ def search_by_index(spark, folder):
     return Q.search_index(Q.build_index(stored_documents(spark, folder)), _SEARCH)
 
 
+@query(
+    _with_store(f"SELECT _id, CAST(score AS BIGINT) AS score FROM (SELECT *, {_HITS} AS score FROM store) WHERE score > 0 ORDER BY score DESC, _id LIMIT 50")
+)
+def search_topk_blocks(spark, folder):
+    """The same answer from a positional index, most blocks of which are never read."""
+    index = build_postings(stored_documents(spark, folder), scratch_path(spark, "postings"))
+    return search_blocks(index, _SEARCH, 50).rows
+
+
+_PLACES = " UNION ALL ".join(
+    f"SELECT _id, {k} AS f, list_filter(regexp_split_to_array(lower({f}), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> '') AS w FROM store"
+    for k, f in enumerate(("filename", "extracted_text", "summary", "short_summary", "title", "keywords"))
+)
+
+
+@query(
+    _with_store(f"""SELECT _id, CAST(sum(len(list_filter(range(1, len(w)), lambda i: w[i] = 'of' AND w[i + 1] = 'the'))) AS INT) AS occurrences
+FROM ({_PLACES}) GROUP BY _id HAVING occurrences > 0""")
+)
+def phrase_positions(spark, folder):
+    """How often two words follow each other, whatever stands between them, from positions alone."""
+    index = build_postings(stored_documents(spark, folder), scratch_path(spark, "postings"))
+    return phrase_matches(index, "of the")
+
+
 _FOUND = "lower(concat_ws(chr(10), filename, extracted_text, summary, short_summary, title, keywords))"
 _SCORED = """SELECT _id, scan_url, CAST(score AS BIGINT) AS score, CASE WHEN length(extracted_text) > 300 THEN substr(extracted_text, 1, 300) || '...' ELSE extracted_text END AS extracted_text_preview
 FROM (SELECT *, {hits} AS score FROM store) WHERE score > 0 AND {where}"""
