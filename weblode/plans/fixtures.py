@@ -327,3 +327,21 @@ def xlsx_file(name: pd.Series, number: pd.Series, day: pd.Series) -> pd.Series:
         })
 
     return pd.Series([made(v) for v in zip(name, number, day)])
+
+
+class RecordedClock:
+    """A clock that stands still but for the waiting done on it."""
+
+    def __init__(self, now: float):
+        self.now = now
+
+    def __call__(self) -> float:
+        return self.now
+
+    def sleep(self, seconds: float) -> None:
+        self.now += seconds
+
+
+def recorded_response(url: str) -> dict:
+    """What a page's address was answered with: every fifth one is gone."""
+    return {"status": 404 if int(url.rpartition("#")[2]) % 5 == 0 else 200, "content_type": "text/html"}

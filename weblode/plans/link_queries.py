@@ -22,8 +22,10 @@ from weblode.lookups import (
     lookup,
 )
 from weblode.operators import links as L
-from weblode.plans.fixtures import _sql_case, _sql_literal, _sql_pick, cross_links, pick
+from weblode.plans.fixtures import RecordedClock, _sql_case, _sql_literal, _sql_pick, cross_links, pick, recorded_response
 from weblode.plans.registry import query
+from weblode.session import scratch_path
+from weblode.sources.paced import HostPace, request_slotted
 from weblode.sources.tables import table
 
 
@@ -378,3 +380,25 @@ def broken_markup_links(spark, folder):
     tail = F.element_at(F.array(*map(F.lit, ends)), (F.col("page_id") % 4 + 1).cast("int"))
     pages = table(spark, folder, "pages").select("page_id", F.concat("html", tail).alias("html"))
     return with_page_links(pages).select("page_id", F.size("found").cast("bigint").alias("links"))
+
+
+@query(
+    """WITH p AS (SELECT page_id, url, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, page_id % 3 = 0 AS early FROM pages),
+r AS (SELECT page_id, host, row_number() OVER (PARTITION BY host ORDER BY NOT early, page_id) - 1 AS rank FROM p)
+SELECT page_id, host, 1700000000000 + rank * 600 AS slot_ms, 1700000000000 + rank * 600 AS sent_ms,
+  CAST(CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS INT) AS status FROM r"""
+)
+def host_paced_requests(spark, folder):
+    """All pages requested from recorded responses in two runs, no host more than twice in any second."""
+    pages = table(spark, folder, "pages").select(
+        "page_id", F.col("page_id").alias("seq"), F.concat("url", F.lit("#"), F.col("page_id").cast("string")).alias("url")
+    )
+    pace = HostPace(spark, scratch_path(spark, "pace"), 2.0)
+    start, answers = 1_700_000_000_000, []
+    for early in (True, False):
+        # The second run counts on from where the first one left each host.
+        clock = RecordedClock(start / 1000)
+        slotted = pace.schedule(pages.filter((F.col("page_id") % 3 == 0) == early), start)
+        answers.append(request_slotted(slotted, recorded_response, 8, clock=clock, sleep=clock.sleep, threads=1))
+    sent = answers[0].unionByName(answers[1]).withColumn("page_id", F.substring_index("url", "#", -1).cast("bigint"))
+    return sent.select("page_id", "host", "slot_ms", "sent_ms", "status")

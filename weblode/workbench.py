@@ -38,6 +38,7 @@ from weblode.sinks.keyed import Change
 from weblode.sinks.tables import read_snapshot, write_snapshot
 from weblode.sources.files import extract_text, spreadsheet_profiles
 from weblode.sources.http import pages_from_responses, probed_documents, probed_sizes, request_all
+from weblode.sources.paced import HostPace, request_paced
 from weblode.sources.services import reextract, summarize_parts
 
 Client = Callable[[str], dict]
@@ -136,9 +137,10 @@ class Workbench:
         return scan.documents
 
     def _fetch_pages(self, urls: DataFrame) -> DataFrame:
-        limit = int(self.settings()["max_concurrent_requests"])
-        delay = 1.0 / float(self.settings()["requests_per_second"])
-        responses = materialize(request_all(urls, self.fetch, limit, delay), "responses")
+        settings = self.settings()
+        # The pace of a host holds over all scans that share these tables.
+        pace = HostPace(self.spark, f"{self.root}/pace", float(settings["requests_per_second"]))
+        responses = materialize(request_paced(urls, self.fetch, pace, int(settings["max_concurrent_requests"])), "responses")
         return pages_from_responses(responses).withColumnRenamed("warning", "error")
 
     def _documents(self, scan: Scan) -> DataFrame:
