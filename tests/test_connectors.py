@@ -204,6 +204,26 @@ def test_downloads(spark, tmp_path):
     assert os.listdir(tmp_path) == ["ok.txt"]
 
 
+def test_cancelled_download(spark, tmp_path):
+    """Stopped in the middle: what was finished is listed and stays, nothing is finished after."""
+    stop = D.StopMarker(str(tmp_path / "stops" / "s1"))
+    place = tmp_path / "place"
+    place.mkdir()
+    path = stop.path
+
+    def stream(url):
+        yield b"first"
+        if url == "u3":
+            os.makedirs(os.path.dirname(path), exist_ok=True)
+            open(path, "w").close()
+        yield b"second"
+
+    files = spark.createDataFrame([(f"u{i}", f"f{i}") for i in range(8)], "url string, saved_name string").coalesce(1)
+    got = [tuple(r) for r in D.save_files(files, str(place), stream, stop.seen).collect()]
+    assert got == [(f"u{i}", f"f{i}", True, "Downloaded successfully", 11) if i < 3 else (f"u{i}", None, False, D.CANCELLED, None) for i in range(8)]
+    assert sorted(os.listdir(place)) == ["f0", "f1", "f2"]
+
+
 def test_download_targets(spark, tmp_path):
     (tmp_path / "file").write_text("x")
 

@@ -156,6 +156,17 @@ def test_remaining_errors(spark):
     assert sorted(r.error for r in left.collect()) == sorted(e for e in errors if not any(u in e for u in fixed))
 
 
+def test_remaining_errors_of_long_texts(spark):
+    """A megabyte of addresses: no place is followed to the end of the text."""
+    long = "http://a.com/x" + "y" * 20 + " "
+    texts = [long * 30_000, long * 30_000 + "http://b.com/z!"]
+    fixed = [f"http://b.com/{c}" for c in "xyz"] + ["http://a.com/" + "q" * 90]
+    left = C.remaining_errors(spark.createDataFrame([(t,) for t in texts], "error string"), spark.createDataFrame([(u,) for u in fixed], "url string"))
+    assert [len(r.error) for r in left.collect()] == [len(texts[0])]
+    none = spark.createDataFrame([], "url string")
+    assert C.remaining_errors(spark.createDataFrame([(t,) for t in texts], "error string"), none).count() == 2
+
+
 def test_retry(spark):
     documents = spark.createDataFrame(
         [("u1", "a", None, None, False, "Timeout"), ("u2", "b", None, None, False, "HTTP 404"), ("u3", "c", 5, "5 B", True, None)],

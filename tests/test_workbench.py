@@ -107,6 +107,13 @@ def test_everything(bench, tmp_path):
     assert (place / "a_1.txt").read_text() == "abc" and (place / "a.txt").read_text() == "there before"
     assert [r.message for r in files.filter("NOT succeeded").collect()] == ["Connection error: broken off"]
 
+    assert [(r.status, r.total_files, r.files_completed, r.files_failed) for r in bench.downloads().collect()] == [("complete", 4, 3, 1)]
+    bench.cancel_download("second")
+    none, listed = bench.download_to_folder(scan, ["http://s.com/files/a.txt"], str(place), stream, "second")
+    assert none["files_completed"] == 0 and [r.message for r in listed.collect()] == ["Download cancelled"]
+    assert {r.session_id: r.status for r in bench.downloads().collect()}["second"] == "cancelled"
+    bench.compact(1)
+
     bench.export_csv("http://s.com", f"{tmp_path}/csv")
     one = bench.search("", extension=".pdf").first()
     assert bytes(bench.file(one._id).first().content) == b"%PDF"

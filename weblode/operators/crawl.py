@@ -321,22 +321,24 @@ def remaining_errors(errors: DataFrame, fixed: DataFrame) -> DataFrame:
     ``errors``: error.  ``fixed``: url, each starting with ``http://`` or ``https://``.  "Mentions"
     means contains.  Instead of comparing every text with every URL, each place where an address
     starts in a text gives its prefixes of the lengths fixed URLs have, and those are looked up by
-    equality.  The lengths are one small array; texts are read whole.
+    equality.  The lengths are one small array; texts are read whole, and from each place no further
+    than the longest fixed URL, so the work grows with the text and not with its square.
     """
     targets = fixed.select("url").distinct()
     lengths = targets.agg(F.collect_set(F.length("url"))).scalar()
-    # Equal texts share their verdict.
-    texts = errors.select("error").distinct()
-    tails = texts.withColumn("_lengths", lengths).select(
-        "error", "_lengths", F.explode(F.regexp_extract_all(F.col("error"), F.lit(r"(?s)(?=(https?://.*))"), F.lit(1))).alias("_tail")
-    )
+    longest = targets.agg(F.max(F.length("url"))).first()[0] or 0
+    # Equal texts share their verdict, and travel by their digest: a long text has many places.
+    texts = errors.select("error").distinct().withColumn("_text", F.sha2("error", 256))
+    places = F.regexp_extract_all(F.col("error"), F.lit(rf"(?s)(?=(https?://.{{0,{longest}}}))"), F.lit(1))
+    tails = texts.select("_text", F.explode(F.array_distinct(places)).alias("_tail")).withColumn("_lengths", lengths)
     prefixes = tails.select(
-        "error",
+        "_text",
         F.explode(
             F.transform(
                 F.filter("_lengths", lambda n: n <= F.length("_tail")), lambda n: F.substr("_tail", F.lit(1), n)
             )
         ).alias("url"),
     )
-    mentioned = prefixes.join(targets, "url", "left_semi").select("error").distinct()
-    return errors.join(mentioned, "error", "left_anti")
+    mentioned = prefixes.join(targets, "url", "left_semi").select("_text").distinct()
+    marked = errors.withColumn("_text", F.sha2("error", 256))
+    return marked.join(mentioned, "_text", "left_anti").select(errors.columns)

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weblode.session import materialize
+
 BLOCK_BITS = 18
 LEVELS = 3
 
@@ -50,6 +52,16 @@ def ordinals(df: DataFrame, order: str, name: str = "ordinal", keys: list[str] |
     return counted.withColumnRenamed("_one_running", name).drop("_one")
 
 
+def numbered_by(df: DataFrame, order: list, name: str = "seq") -> DataFrame:
+    """Add increasing, unique numbers in the order of some columns, ready as an order column for the functions here.
+
+    Range partitions are sorted each by itself; a row's number is its partition's and its place in it.  Written, so
+    that the numbers stay what they are.
+    """
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(ranged.withColumn(name, F.monotonically_increasing_id()), "numbered")
+
+
 def changes_so_far(df: DataFrame, keys: list[str], order: str, value: str, name: str = "changes") -> DataFrame:
     """Add ``name``: how often ``value`` changed between consecutive rows of a key, up to each row.
 

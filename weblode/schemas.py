@@ -43,6 +43,11 @@ BLOB = _struct("gridfs_id string, content binary")
 #: The earliest time, in epoch milliseconds, at which a host may be asked next.
 HOST_SLOTS = _struct("host string, next_ms bigint")
 
+DOWNLOAD = _struct(
+    "session_id string, scan_id string, folder string, status string, total_files bigint, files_completed bigint,"
+    " files_failed bigint"
+)
+
 HISTORY = _struct(
     "id bigint, url string, crawl_option string, max_depth int, scan_mode string, document_filter string,"
     " pages_scanned bigint, documents_found bigint, scan_error_count bigint, document_error_count bigint,"

@@ -43,6 +43,20 @@ def create_folder(path: str) -> tuple[bool, str]:
         return False, str(error)
 
 
+class StopMarker:
+    """A file that tells running tasks to stop: call it to set it, ask ``seen`` in a task.  The path must be shared."""
+
+    def __init__(self, path: str):
+        self.path = path.removeprefix("file:")
+
+    def __call__(self) -> None:
+        os.makedirs(os.path.dirname(self.path), exist_ok=True)
+        open(self.path, "w").close()
+
+    def seen(self) -> bool:
+        return os.path.exists(self.path)
+
+
 SAVED = (
     T.StructType()
     .add("url", "string").add("saved_name", "string").add("succeeded", "boolean").add("message", "string")
@@ -50,11 +64,17 @@ SAVED = (
 )
 
 
-def save_files(files: DataFrame, folder: str, open_stream: Callable[[str], Iterable[bytes]]) -> DataFrame:
+CANCELLED = "Download cancelled"
+
+
+def save_files(
+    files: DataFrame, folder: str, open_stream: Callable[[str], Iterable[bytes]], stopped: Callable[[], bool] = lambda: False
+) -> DataFrame:
     """Stream each ``url`` into ``folder/saved_name``: ``url, saved_name, succeeded, message, bytes``.
 
     Files are written under a temporary name and renamed when complete, so a lost task leaves no
-    half file under a final name and its repeat simply writes again.
+    half file under a final name and its repeat simply writes again.  ``stopped`` is asked in the tasks before each
+    file and each piece of one: once it says so no file is finished any more, and the rest are listed as cancelled.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -65,8 +85,12 @@ def save_files(files: DataFrame, folder: str, open_stream: Callable[[str], Itera
                 part = f"{final}.part-{os.getpid()}"
                 size = 0
                 try:
+                    if stopped():
+                        raise InterruptedError(CANCELLED)
                     with open(part, "wb") as out:
                         for chunk in open_stream(url):
+                            if stopped():
+                                raise InterruptedError(CANCELLED)
                             out.write(chunk)
                             size += len(chunk)
                     os.replace(part, final)

@@ -30,11 +30,12 @@ from weblode.operators import settings as G
 from weblode.operators import store as S
 from weblode.operators.dedup import dedup_two_key, new_documents
 from weblode.operators.naming import unique_names
-from weblode.schemas import HISTORY
+from weblode.operators.ordered import numbered_by
+from weblode.schemas import DOWNLOAD, HISTORY
 from weblode.session import materialize
-from weblode.sinks.downloads import create_folder, save_files
+from weblode.sinks.downloads import CANCELLED, StopMarker, create_folder, save_files
 from weblode.sinks.exports import export_scan
-from weblode.sinks.keyed import Change
+from weblode.sinks.keyed import Change, KeyedTables, Layout
 from weblode.sinks.tables import read_snapshot, write_snapshot
 from weblode.sources.files import extract_text, spreadsheet_profiles
 from weblode.sources.http import pages_from_responses, probed_documents, probed_sizes, request_all
@@ -75,6 +76,7 @@ class Workbench:
         self.fetch, self.probe, self.size_probe, self.download = fetch, probe, size_probe, download
         self.scans: dict[str, Scan] = {}
         self.tables = S.keyed_store(spark, f"{self.root}/store", buckets)
+        self.sessions = KeyedTables(spark, f"{self.root}/sessions", {"downloads": Layout(DOWNLOAD, "session_id")}, 4)
 
     # --- tables -------------------------------------------------------------------------------
 
@@ -293,27 +295,57 @@ class Workbench:
 
     # --- downloads to a folder ----------------------------------------------------------------
 
-    def download_to_folder(self, scan_id: str, urls: list[str] | DataFrame, folder: str, open_stream) -> tuple[dict, DataFrame]:
-        """Save documents of a scan under unique names; counts, and one row per file.
+    def download_to_folder(self, scan_id: str, urls: list[str] | DataFrame, folder: str, open_stream, session_id: str | None = None) -> tuple[dict, DataFrame]:
+        """Save documents of a scan under unique names, numbered in the order they were found; counts, and a row per file.
 
-        ``open_stream(url)`` yields the file's bytes in pieces.  Names taken in the folder are passed over.  A scan
-        that was cancelled starts no further files.
+        ``open_stream(url)`` yields the file's bytes in pieces.  Names taken in the folder are passed over.  The
+        download is a session: a row of :meth:`downloads`, which :meth:`cancel_download` stops while it runs.  A scan
+        that was cancelled starts no files.
         """
         scan = self._scan(scan_id)
         ready, place = create_folder(folder)
         if not ready:
             raise ValueError(place)
+        session = session_id or str(uuid.uuid4())
+        marker = self._stop_marker(session)
         wanted = urls if isinstance(urls, DataFrame) else self.spark.createDataFrame([(u,) for u in urls], "url string")
-        selected = S.select_documents(self.results(scan_id), wanted).withColumn("seq", F.pmod(F.xxhash64("url"), F.lit(2**53)))
+        found_at = F.col("found_at") if "found_at" in scan.documents.columns else F.lit(None)
+        selected = S.select_documents(self.results(scan_id), wanted)
+        ordered = numbered_by(selected, [found_at.asc_nulls_last(), F.col("url")])
         taken = self.spark.createDataFrame([(n,) for n in sorted(os.listdir(place))], "saved_name string")
-        named = materialize(unique_names(selected.select("url", "filename", "seq"), taken), "download-names")
+        named = materialize(unique_names(ordered.select("url", "filename", "seq"), taken), "download-names")
+        total = named.count()
+        self._note_download(session, scan_id, place, "running", total)
         if scan.cancelled:
-            named = named.limit(0)
-        saved = materialize(save_files(named, place, open_stream), "downloads")
-        counts = saved.agg(F.count("*"), F.count_if("succeeded"), F.sum("bytes")).first()
-        done = {"total_files": counts[0], "files_completed": counts[1], "files_failed": counts[0] - counts[1], "bytes": counts[2] or 0}
+            marker()
+        # The tag lets a scheduler stop the job itself; the marker stops it file by file, with everything done listed.
+        self.spark.addTag(f"download-{session}")
+        try:
+            saved = materialize(save_files(named, place, open_stream, marker.seen), "downloads")
+        finally:
+            self.spark.removeTag(f"download-{session}")
+        counts = saved.agg(F.count_if("succeeded"), F.sum("bytes"), F.count_if(F.col("message") == CANCELLED)).first()
+        done = {"total_files": total, "files_completed": counts[0], "files_failed": total - counts[0], "bytes": counts[1] or 0}
+        self._note_download(session, scan_id, place, "cancelled" if counts[2] else "complete", total, counts[0])
         return done, saved
 
+    def _stop_marker(self, session: str) -> StopMarker:
+        return StopMarker(f"{self.root}/stops/{session}")
+
+    def _note_download(self, session: str, scan_id: str, folder: str, status: str, total: int, completed: int = 0) -> None:
+        row = self.spark.createDataFrame([(session, scan_id, folder, status, total, completed, total - completed)], DOWNLOAD)
+        self.sessions.commit({"downloads": Change(row)})
+
+    def downloads(self) -> DataFrame:
+        """Download sessions: folder, status, and counts."""
+        return self.sessions.read("downloads")
+
+    def cancel_download(self, session_id: str, at_once: bool = False) -> None:
+        """Stop a running download before its next file or piece; with ``at_once`` its Spark job as well."""
+        self._stop_marker(session_id)()
+        if at_once:
+            self.spark.interruptTag(f"download-{session_id}")
+
     def search(self, query: str = "", scan_url: str = "", extension: str = "", limit: int | None = 50) -> DataFrame:
         return Q.search(self.store(), query, scan_url, extension, limit)
 
