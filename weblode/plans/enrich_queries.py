@@ -17,10 +17,12 @@ from weblode.functions.text import build_prompt, disposition_filename, text_part
 from weblode.operators import enrich as E
 from weblode.operators import reports as R
 from weblode.operators import store as S
-from weblode.plans.fixtures import STORE_SQL, _sql_pick, docx_file, pick, status_events, stored_documents, xlsx_file
+from weblode.plans.fixtures import STORE_SQL, _sql_pick, docx_file, pick, recorded_reply, status_events, stored_documents, xlsx_file
 from weblode.plans.registry import query
+from weblode.session import scratch_path
 from weblode.sources.files import extract_text, spreadsheet_profiles
 from weblode.sources.http import failure_reasons, pages_from_responses, probed_documents, probed_sizes
+from weblode.sources.outbox import Outbox
 from weblode.sources.tables import table
 from weblode.streaming.keyed import current, watched_sessions
 from weblode.streaming.progress import live_status, progress_counts, stream_table
@@ -430,6 +432,21 @@ def retried_documents(spark, folder):
     return retry_documents(docs, probes).select("seq", "filename", "is_accessible", "file_size_bytes", "error_message")
 
 
+@query(
+    _with_store("""SELECT _id, CASE WHEN n % 7 = 0 THEN 'failed' ELSE 'done' END AS state, CAST(CASE WHEN n % 7 = 0 THEN 3 ELSE 1 END AS INT) AS attempts,
+  CAST(CASE WHEN n % 7 = 0 THEN 503 ELSE 200 END AS INT) AS status, CASE WHEN n % 7 <> 0 THEN 'summary of ' || n || ' characters' END AS body
+FROM (SELECT _id, length('Summarize: ' || extracted_text) AS n FROM store WHERE summary_status = 'pending' AND text_extraction_status = 'complete' AND extracted_text <> '')""")
+)
+def summary_outbox(spark, folder):
+    """A call for every pending summary, put in twice and drained twice: each is made until it is answered, and no more."""
+    pending = E.take_pending(stored_documents(spark, folder)).select("_id", F.concat(F.lit("Summarize: "), "extracted_text").alias("request"))
+    outbox = Outbox(spark, scratch_path(spark, "outbox"), buckets=8)
+    for _ in range(2):
+        outbox.put(pending)
+        outbox.drain(recorded_reply, part=8, pause=lambda s: None)
+    return outbox.calls().select("_id", "state", "attempts", "status", "body")
+
+
 # --- status and streams -----------------------------------------------------------------------
 
 _STATUS_SQL = """

@@ -345,3 +345,10 @@ class RecordedClock:
 def recorded_response(url: str) -> dict:
     """What a page's address was answered with: every fifth one is gone."""
     return {"status": 404 if int(url.rpartition("#")[2]) % 5 == 0 else 200, "content_type": "text/html"}
+
+
+def recorded_reply(request: str, key: str) -> dict:
+    """What a summary service answered: it was overloaded by every seventh length."""
+    if len(request) % 7 == 0:
+        return {"status": 503}
+    return {"status": 200, "body": f"summary of {len(request)} characters"}

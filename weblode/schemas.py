@@ -48,6 +48,12 @@ DOWNLOAD = _struct(
     " files_failed bigint"
 )
 
+#: A paid call, its state (waiting, done or failed) and the parts of its last reply.
+CALL = _struct(
+    "call_key string, _id string, request string, state string, attempts int, status int, request_id string,"
+    " retry_after string, remaining string, body string, failure string"
+)
+
 HISTORY = _struct(
     "id bigint, url string, crawl_option string, max_depth int, scan_mode string, document_filter string,"
     " pages_scanned bigint, documents_found bigint, scan_error_count bigint, document_error_count bigint,"
