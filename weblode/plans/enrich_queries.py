@@ -17,9 +17,10 @@ from weblode.functions.text import build_prompt, disposition_filename, text_part
 from weblode.operators import enrich as E
 from weblode.operators import reports as R
 from weblode.operators import store as S
-from weblode.plans.fixtures import STORE_SQL, _sql_pick, docx_file, pick, recorded_reply, status_events, stored_documents, xlsx_file
+from weblode.plans.fixtures import STORE_SQL, _sql_pick, docx_file, pick, recorded_reply, status_events, stored_documents, workbook_folder, xlsx_file
 from weblode.plans.registry import query
 from weblode.session import scratch_path
+from weblode.sources.books import BookSource
 from weblode.sources.files import extract_text, spreadsheet_profiles
 from weblode.sources.http import failure_reasons, pages_from_responses, probed_documents, probed_sizes
 from weblode.sources.outbox import Outbox
@@ -85,6 +86,20 @@ def xlsx_profiles(spark, folder):
     return found.select(F.col("c_custkey").cast("bigint").alias("c_custkey"), "profile")
 
 
+@query(
+    """SELECT CAST(c_custkey // 200 AS BIGINT) AS book, CASE WHEN c_custkey % 2 = 0 THEN 'even' ELSE 'odd' END AS sheet,
+  row_number() OVER (PARTITION BY c_custkey // 200, c_custkey % 2 ORDER BY c_custkey) AS row, c_name || '||' || c_custkey AS line FROM customer"""
+)
+def xlsx_rows(spark, folder):
+    """All customers written to workbooks and read back, a partition per sheet and row by row."""
+    place = scratch_path(spark, "books")
+    workbook_folder(table(spark, folder, "customer"), place).write.format("noop").mode("overwrite").save()
+    spark.dataSource.register(BookSource)
+    found = spark.read.format("xlsx").load(place)
+    book = F.regexp_extract("path", r"book-(\d+)\.xlsx$", 1).cast("bigint")
+    return found.select(book.alias("book"), "sheet", "row", F.array_join("cells", "|", "").alias("line"))
+
+
 @query(
     """WITH a AS (SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN '.PDF' ELSE '.txt' END AS extension, doc_id % 37 <> 0 AS has_blob, CASE WHEN doc_id % 3 = 0 THEN text END AS st, CASE WHEN doc_id % 5 < 2 THEN text WHEN doc_id % 5 = 2 THEN '' END AS fa, CASE WHEN doc_id % 7 < 3 THEN text END AS oc FROM documents),
 o AS (SELECT *, CASE WHEN NOT has_blob THEN 'failed' WHEN st IS NOT NULL THEN 'standard' WHEN extension = '.PDF' AND coalesce(fa, '') <> '' THEN 'fast' WHEN extension = '.PDF' AND coalesce(oc, '') <> '' THEN 'ocr' ELSE 'failed' END AS outcome FROM a)

@@ -329,6 +329,42 @@ def xlsx_file(name: pd.Series, number: pd.Series, day: pd.Series) -> pd.Series:
     return pd.Series([made(v) for v in zip(name, number, day)])
 
 
+def workbook_folder(customers: DataFrame, folder: str) -> DataFrame:
+    """A workbook per 200 customer keys below a shared folder, even and odd keys on a sheet each; one row per book."""
+
+    def write(batches):
+        import os
+        from xml.sax.saxutils import escape
+
+        m = "http://schemas.openxmlformats.org/spreadsheetml/2006/main"
+        r = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+        p = "http://schemas.openxmlformats.org/package/2006/relationships"
+        place = folder.removeprefix("file://").removeprefix("file:")
+        os.makedirs(place, exist_ok=True)
+        for batch in batches:
+            for book, people in zip(batch["book"], batch["people"], strict=True):
+                parts = {
+                    "xl/workbook.xml": f'<workbook xmlns="{m}" xmlns:r="{r}"><sheets><sheet name="even" sheetId="1" r:id="a"/><sheet name="odd" sheetId="2" r:id="b"/></sheets></workbook>',
+                    "xl/_rels/workbook.xml.rels": f'<Relationships xmlns="{p}"><Relationship Id="a" Target="worksheets/s0.xml"/><Relationship Id="b" Target="worksheets/s1.xml"/></Relationships>',
+                    "xl/sharedStrings.xml": f'<sst xmlns="{m}">' + "".join(f"<si><t>{escape(x['name'])}</t></si>" for x in people) + "</sst>",
+                }
+                for k in (0, 1):
+                    rows = "".join(
+                        f'<row><c r="A1" t="s"><v>{i}</v></c><c r="C1"><v>{x["key"]}</v></c></row>' for i, x in enumerate(people) if x["key"] % 2 == k
+                    )
+                    parts[f"xl/worksheets/s{k}.xml"] = f'<worksheet xmlns="{m}"><sheetData>{rows}</sheetData></worksheet>'
+                path = f"{place}/book-{book}.xlsx"
+                with open(f"{path}.part", "wb") as out:
+                    out.write(_zipped(parts))
+                os.replace(f"{path}.part", path)
+            yield batch[["book"]]
+
+    key = F.col("c_custkey").cast("bigint")
+    people = F.array_sort(F.collect_list(F.struct(key.alias("key"), F.col("c_name").alias("name"))))
+    books = customers.groupBy(F.floor(key / 200).cast("bigint").alias("book")).agg(people.alias("people"))
+    return books.mapInPandas(write, "book bigint")
+
+
 class RecordedClock:
     """A clock that stands still but for the waiting done on it."""
 

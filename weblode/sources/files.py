@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +10,7 @@ from pyspark.sql import types as T
 from weblode.functions.text import strip
 from weblode.functions.url import extension_of_name
 from weblode.lookups import PLAIN_TEXT_EXTENSIONS
+from weblode.sources.books import Book
 
 PACKED_EXTENSIONS = ["pdf", "docx", "doc", "xlsx", "xls"]
 
@@ -47,93 +47,11 @@ def _docx_text(data: bytes) -> str:
     return "\n\n".join(text for text in paragraphs if text.strip())
 
 
-#: The number formats of spreadsheets that show dates or times without being written out in a file.
-_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
-
-
-def _date_styles(styles) -> set[int]:
-    """Positions of the cell styles that show dates or times."""
-    m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    dates = set(_DATE_FORMATS)
-    for f in styles.iter(f"{m}numFmt"):
-        # Literal parts and colours say nothing; what is left of a date format has a day, month, year, hour or second.
-        code = re.sub(r'"[^"]*"|\\.|_.|\[(?!h+\]|m+\]|s+\])[^\]]*\]', "", (f.get("formatCode") or "").lower()).split(";")[0]
-        if re.search("[ymdhs]", code) and "general" not in code:
-            dates.add(int(f.get("numFmtId")))
-    used = styles.find(f"{m}cellXfs")
-    return {i for i, x in enumerate(used if used is not None else []) if int(x.get("numFmtId") or 0) in dates}
-
-
-def _date_text(serial: float, from_1904: bool) -> str:
-    """A date cell's number as text: a time alone below one day, else date and time."""
-    import datetime
-
-    seconds = datetime.timedelta(seconds=round(serial * 86400))
-    if 0 <= serial < 1 and not from_1904:
-        return str((datetime.datetime.min + seconds).time())
-    if from_1904:
-        return str(datetime.datetime(1904, 1, 1) + seconds)
-    # The usual calendar counts a 29 February 1900 that never was.
-    return str(datetime.datetime(1899, 12, 31 if serial < 60 else 30) + seconds)
-
-
 def _xlsx_rows(data: bytes) -> list[tuple[str, list[list[str | None]]]]:
     import io
-    import zipfile
-    from xml.etree import ElementTree
-
-    m = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
-    rel = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
-    with zipfile.ZipFile(io.BytesIO(data)) as package:
 
-        def tree(name: str):
-            return ElementTree.fromstring(package.read(name))
-
-        shared = []
-        if "xl/sharedStrings.xml" in package.namelist():
-            shared = ["".join(t.text or "" for t in si.iter(f"{m}t")) for si in tree("xl/sharedStrings.xml")]
-        targets = {r.get("Id"): r.get("Target") for r in tree("xl/_rels/workbook.xml.rels")}
-        dated = _date_styles(tree("xl/styles.xml")) if "xl/styles.xml" in package.namelist() else set()
-        calendar = tree("xl/workbook.xml").find(f"{m}workbookPr")
-        from_1904 = calendar is not None and calendar.get("date1904") in ("1", "true")
-
-        def value(cell) -> str | None:
-            kind, v = cell.get("t"), cell.find(f"{m}v")
-            if kind == "inlineStr":
-                return "".join(t.text or "" for t in cell.iter(f"{m}t"))
-            if v is None or v.text is None:
-                return None
-            if kind == "s":
-                return shared[int(v.text)]
-            if kind == "b":
-                return str(v.text == "1")
-            if kind in ("str", "e"):
-                return v.text
-            if kind == "d":
-                return v.text.replace("T", " ")
-            if int(cell.get("s") or 0) in dated:
-                return _date_text(float(v.text), from_1904)
-            return v.text if v.text.lstrip("-").isdigit() else repr(float(v.text))
-
-        def column(cell) -> int:
-            index = 0
-            for letter in (cell.get("r") or "").rstrip("0123456789"):
-                index = index * 26 + ord(letter) - 64
-            return index - 1
-
-        book = []
-        for sheet in tree("xl/workbook.xml").find(f"{m}sheets"):
-            target = targets[sheet.get(rel)].lstrip("/")
-            rows = []
-            for row in tree(target if target.startswith("xl/") else f"xl/{target}").iter(f"{m}row"):
-                cells: list[str | None] = []
-                for cell in row.findall(f"{m}c"):
-                    at = column(cell)
-                    cells.extend([None] * (at - len(cells)))
-                    cells.append(value(cell))
-                rows.append(cells)
-            book.append((sheet.get("name"), rows))
-        return book
+    with Book(io.BytesIO(data)) as book:
+        return [(name, list(book.rows(part))) for name, part in book.sheets]
 
 
 def _xls_rows(data: bytes) -> list[tuple[str, list[list[str | None]]]]:
