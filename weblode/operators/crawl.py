@@ -164,16 +164,15 @@ def start_crawl(
     return state
 
 
-def visited_pages(spark: SparkSession, state: CrawlState) -> DataFrame:
-    """``key, url, depth, path`` of the scanned pages."""
-    if not state.visited:
-        return spark.createDataFrame([], WAITING)
-    return spark.read.schema(WAITING).parquet(*state.visited)
+def visited_pages(spark: SparkSession, state: CrawlState, batches: list[str] | None = None) -> DataFrame:
+    """``key, url, depth, path`` of the scanned pages, of all batches if none are named."""
+    paths = state.visited if batches is None else batches
+    return spark.read.schema(WAITING).parquet(*paths) if paths else spark.createDataFrame([], WAITING)
 
 
-def _met_links(spark: SparkSession, state: CrawlState) -> DataFrame:
+def _met_links(spark: SparkSession, state: CrawlState, batches: list[str] | None = None) -> DataFrame:
     """Link rows of the scanned pages, with the page's depth and discovery path."""
-    here = visited_pages(spark, state).select("url", "depth", "path")
+    here = visited_pages(spark, state, batches).select("url", "depth", "path")
     if state.source is not None:
         links = state.source
     elif state.link_tables:
@@ -183,9 +182,12 @@ def _met_links(spark: SparkSession, state: CrawlState) -> DataFrame:
     return links.join(here, "url")
 
 
-def found_documents(spark: SparkSession, state: CrawlState) -> DataFrame:
-    """Every document link met, repeats included; ``found_at`` orders them by discovery."""
-    wanted = _met_links(spark, state).filter(allowed_extension(F.col("extension"), state.filter_type))
+def found_documents(spark: SparkSession, state: CrawlState, batches: list[str] | None = None) -> DataFrame:
+    """Every document link met, repeats included; ``found_at`` orders them by discovery.
+
+    ``batches`` are some of ``state.visited``: the documents of those only.
+    """
+    wanted = _met_links(spark, state, batches).filter(allowed_extension(F.col("extension"), state.filter_type))
     return wanted.select(
         F.col("link").alias("url"),
         "filename",

@@ -86,6 +86,38 @@ def crawl_documents(spark, folder):
     return dedup_by_name(C.found_documents(spark, state), "found_at").select("filename", "extension", "depth", "skipped")
 
 
+@query(
+    _WHOLE_SITE + """ SELECT 'r_' || (node % 40) || '.pdf' AS filename, CAST(min(depth) AS INT) AS depth, CAST(count(*) AS BIGINT) AS pages FROM nodes GROUP BY 1"""
+)
+def documents_over_batches(spark, folder):
+    """Documents gathered batch after batch are those of one long scan."""
+    links = _site_links(spark, folder)
+    state = C.start_crawl(spark, "https://site.example.com/p/0/", max_depth=None)
+    gathered = None
+    for quota in (20, 100, None):
+        before = [*state.visited]
+        C.crawl(spark, state, links, max_pages=quota)
+        batch = C.found_documents(spark, state, state.visited[len(before):]).select("filename", "depth", "source_page")
+        gathered = batch if gathered is None else gathered.unionByName(batch)
+    return gathered.groupBy("filename").agg(F.min("depth").alias("depth"), F.count_distinct("source_page").alias("pages"))
+
+
+_BROKEN = f"""WITH RECURSIVE {GRAPH_SQL},
+walk AS (SELECT CAST(0 AS BIGINT) AS node, 0 AS depth UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN link_graph e ON e.src = w.node WHERE w.depth < 40 AND w.node % 7 <> 3),
+nodes AS (SELECT node, min(depth) AS depth FROM walk GROUP BY node)"""
+
+
+@query(_BROKEN + " SELECT node, CAST(depth AS INT) AS depth, 'Request timed out' AS error FROM nodes WHERE node % 7 = 3")
+def crawl_failures(spark, folder):
+    """Pages that fail are listed with their reason, and the crawl goes on without their links."""
+    pages = site_pages(spark, folder)
+    number = F.regexp_extract("url", r"/p/(\d+)", 1).cast("bigint")
+    pages = pages.withColumn("error", F.when(number % 7 == 3, F.lit("Request timed out")))
+    state = C.start_crawl(spark, "https://site.example.com/p/0/", max_depth=None)
+    C.crawl(spark, state, C.stored_links(pages), max_pages=None)
+    return C.failed_pages(spark, state).select(number.alias("node"), "depth", "error")
+
+
 @query(
     """WITH t AS (SELECT page_id, url, CASE WHEN page_id % 2 = 0 THEN 'Error scanning ' || url || ': timed out' ELSE 'see http://x.org and ' || url || '/deeper for ' || page_id END AS error FROM pages),
 f AS (SELECT DISTINCT url FROM pages WHERE contains(url, '.html') OR contains(url, '?'))

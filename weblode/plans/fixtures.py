@@ -388,3 +388,15 @@ def recorded_reply(request: str, key: str) -> dict:
     if len(request) % 7 == 0:
         return {"status": 503}
     return {"status": 200, "body": f"summary of {len(request)} characters"}
+
+
+def recorded_range(url: str) -> dict:
+    """What a one-byte range request was answered with, by the address's length."""
+    n = len(url)
+    return (
+        {"status": 206, "content_range": f"bytes 0-0/{n * 100}"},
+        {"status": 200, "content_length": f" {n} "},
+        {"status": 404},
+        {"failure": "timeout", "failure_text": ""},
+        {"failure": "other", "failure_text": "raised"},
+    )[n % 5]

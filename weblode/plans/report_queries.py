@@ -507,3 +507,26 @@ def inaccessible_log(spark, folder):
 def recent_urls(spark, folder):
     visits = table(spark, folder, "events").select("event_id", F.col("user_id").alias("page_id"))
     return R.recent_urls(visits.join(table(spark, folder, "pages").select("page_id", "url"), "page_id"), "event_id")
+
+
+@query(
+    """WITH s AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN props WHEN 1 THEN '"' || event_type || '"' WHEN 2 THEN event_type ELSE CAST(user_id AS VARCHAR) END AS value FROM events)
+SELECT event_id, CASE event_id % 4 WHEN 0 THEN replace(value, ' ', '') WHEN 2 THEN '"' || value || '"' ELSE value END AS decoded FROM s"""
+)
+def settings_decoded(spark, folder):
+    """Stored values read as JSON, or as the text they are where they are no JSON."""
+    k = F.col("event_id") % 4
+    value = F.when(k == 0, F.col("props")).when(k == 1, F.concat(F.lit('"'), "event_type", F.lit('"'))).when(k == 2, F.col("event_type")).otherwise(F.col("user_id").cast("string"))
+    return table(spark, folder, "events").select("event_id", F.to_json(G.decode(value)).alias("decoded"))
+
+
+@query(
+    """SELECT 'kept' AS part, key, value FROM (SELECT 'k' || c_custkey AS key, '"' || c_mktsegment || '"' AS value FROM customer) WHERE key <> 'k7' AND key <> 'k8'
+UNION ALL SELECT 'kept', 'k8', '5'"""
+)
+def settings_removed(spark, folder):
+    """One stored setting is deleted, and one is set anew."""
+    stored = table(spark, folder, "customer").select(
+        F.concat(F.lit("k"), F.col("c_custkey").cast("string")).alias("key"), F.concat(F.lit('"'), "c_mktsegment", F.lit('"')).alias("value")
+    )
+    return G.delete_setting(G.set_setting(stored, "k8", 5), "k7").select(F.lit("kept").alias("part"), "key", "value")

@@ -19,6 +19,11 @@ class Config:
     requests_per_second: float = 2.0
     user_agent: str = "Mozilla/5.0 (compatible; weblode)"
     scan_history_limit: int = 20
+    log_level: str = "INFO"
+    default_download_dir: str = "./downloads"
+    max_file_size_mb: int = 100
+    mongodb_uri: str = "mongodb://localhost:27017"
+    mongodb_database: str = "documents"
     ai_api_url: str = ""
     ai_api_key: str = ""
     ai_model: str = ""
