@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from weblode.operators import ordered
+from weblode.operators import dedup, groups, ordered
 from weblode.operators.dedup import dedup_two_key
 from weblode.operators.naming import unique_names
 
@@ -78,6 +78,50 @@ def test_two_key_dedup_equals_loop(spark, seed):
     assert sorted(r.seq for r in skipped.collect()) == want_skipped
 
 
+def chain(spark, count):
+    return spark.range(count).selectExpr("id AS seq", "'u' || (id + 1) div 2 AS url", "'N' || id div 2 AS filename")
+
+
+@pytest.mark.parametrize("limit", [200_000, 3])
+def test_two_key_dedup_of_chains(spark, monkeypatch, limit):
+    """Chains in one pass where groups are small enough, in rounds where they aren't: the same rows."""
+    monkeypatch.setattr(dedup, "GROUP_ROWS", limit)
+    count = 2_000 if limit > 3 else 12
+    kept, skipped = dedup_two_key(chain(spark, count))
+    assert sorted(r.seq for r in kept.collect()) == list(range(0, count, 2))
+    assert sorted(r.seq for r in skipped.collect()) == list(range(1, count, 2))
+
+
+def test_long_chain_takes_few_jobs(spark):
+    spark.sparkContext.setJobGroup("long-chain", "")
+    kept, _ = dedup_two_key(chain(spark, 10_000))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("long-chain"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept.count() == 5_000
+    # Stages of adaptive plans count as jobs: three steps, none of them per link of the chain.
+    assert jobs < 60
+
+
+@pytest.mark.parametrize("per_task", [7, 1000])
+def test_connected_matches_union_find(spark, monkeypatch, per_task):
+    monkeypatch.setattr(groups, "PAIRS_PER_TASK", per_task)
+    rng = random.Random(per_task)
+    pairs = [(rng.randrange(60) * 7919 - 10**6, rng.randrange(60) * 104729) for _ in range(45)] + [(i, i + 1) for i in range(10**6, 10**6 + 30)]
+    above = {n: n for p in pairs for n in p}
+
+    def root(x):
+        while above[x] != x:
+            x = above[x]
+        return x
+
+    for a, b in pairs:
+        p, q = root(a), root(b)
+        above[max(p, q)] = min(p, q)
+    got = {r.node: r.root for r in groups.connected(spark.createDataFrame(pairs, "a bigint, b bigint")).collect()}
+    assert got == {n: root(n) for n in above}
+    assert groups.connected(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
 def test_two_key_dedup_of_nothing(spark):
     kept, skipped = dedup_two_key(spark.createDataFrame([], "seq bigint, url string, filename string"))
     assert kept.count() == 0 and skipped.count() == 0

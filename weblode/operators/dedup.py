@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weblode.operators.groups import connected
 from weblode.session import materialize
 
+#: Rows of a connected group that one task goes through in order.
+GROUP_ROWS = 200_000
+
 
 def dedup_by_name(documents: DataFrame, order: str = "seq", scope: list[str] | None = None) -> DataFrame:
     """Keep the first document of each file name (ignoring case) where the name follows from the URL.
@@ -35,27 +42,24 @@ def dedup_two_key(documents: DataFrame, order: str = "seq") -> tuple[DataFrame,
     In order, a document is dropped if its URL was kept before, else dropped *and counted* if its
     file name was, else kept.  Returns ``(kept, counted)``.
 
-    A row that is the earliest left for both its URL and its name must be kept, and then decides all
-    rows sharing either.  Rounds of that rule give the sequential result: each round is two grouped
-    minima and two anti joins, and every round settles at least the earliest row of each connected
-    group.  Undecided rows are written out between rounds, so lineage stays short.
+    A row that is the earliest left for both its URL and its name must be kept, and then decides all rows sharing
+    either.  One round of that rule settles nearly everything.  What is left is split into groups connected by URLs and
+    names: groups of up to ``GROUP_ROWS`` rows are gone through in order, all in one pass, however long their chains
+    are; only larger ones go on in rounds.
     """
-    left = materialize(documents.withColumn("_name", F.lower("filename")), "dedup-open")
+    rows = documents.withColumns({"_name": F.lower("filename"), "_row": F.monotonically_increasing_id()})
+    left = materialize(rows, "dedup-open")
     schema = documents.columns
     kept_parts: list[DataFrame] = []
+    if not left.isEmpty():
+        kept, left = _round(left, order)
+        kept_parts.append(kept)
+    if not left.isEmpty():
+        kept, left = _in_order(left, order)
+        kept_parts.append(kept)
     while not left.isEmpty():
-        first_by_url = left.groupBy("url").agg(F.min(order).alias("_by_url"))
-        first_by_name = left.groupBy("_name").agg(F.min(order).alias("_by_name"))
-        # A row is kept when it is the minimum on both sides: join the two minima tables on it.
-        kept_keys = first_by_url.join(first_by_name, F.col("_by_url") == F.col("_by_name")).select(
-            F.col("_by_url").alias(order)
-        )
-        kept = materialize(left.join(kept_keys, order, "left_semi"), "dedup-kept")
+        kept, left = _round(left, order)
         kept_parts.append(kept)
-        left = materialize(
-            left.join(kept.select("url"), "url", "left_anti").join(kept.select("_name"), "_name", "left_anti"),
-            "dedup-open",
-        )
     if not kept_parts:
         return documents, documents.limit(0)
     all_kept = kept_parts[0]
@@ -70,6 +74,46 @@ def dedup_two_key(documents: DataFrame, order: str = "seq") -> tuple[DataFrame,
     return all_kept.select(*schema), counted.select(*schema)
 
 
+def _round(left: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows that are the earliest for both their URL and their name, and the rows that share neither with them."""
+    first_by_url = left.groupBy("url").agg(F.min(order).alias("_by_url"))
+    first_by_name = left.groupBy("_name").agg(F.min(order).alias("_by_name"))
+    # A row is kept when it is the minimum on both sides: join the two minima tables on it.
+    kept_keys = first_by_url.join(first_by_name, F.col("_by_url") == F.col("_by_name")).select(F.col("_by_url").alias(order))
+    kept = materialize(left.join(kept_keys, order, "left_semi"), "dedup-kept")
+    rest = left.join(kept.select("url"), "url", "left_anti").join(kept.select("_name"), "_name", "left_anti")
+    return kept, materialize(rest, "dedup-open")
+
+
+def _in_order(left: DataFrame, order: str) -> tuple[DataFrame, DataFrame]:
+    """Rows kept in groups small enough to go through in order, and all rows of larger groups."""
+    # Values whose hashes are equal only make a group larger.
+    ends = left.select("_row", F.xxhash64(F.lit("u"), "url").alias("a"), F.xxhash64(F.lit("n"), "_name").alias("b"))
+    roots = connected(ends)
+    grouped = left.join(ends.select("_row", "a"), "_row").join(roots, F.col("a") == F.col("node")).withColumnRenamed("root", "_group")
+    sizes = materialize(grouped.groupBy("_group").agg(F.count("*").alias("_rows")), "dedup-groups")
+    small = grouped.join(sizes.filter(F.col("_rows") <= GROUP_ROWS), "_group", "left_semi")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        group, urls, names = None, set(), set()
+        for batch in batches:
+            kept = []
+            for row, own, url, name in zip(batch["_row"], batch["_group"], batch["url"], batch["_name"], strict=True):
+                if own != group:
+                    group, urls, names = own, set(), set()
+                if url not in urls and name not in names:
+                    urls.add(url)
+                    names.add(name)
+                    kept.append(row)
+            yield pd.DataFrame({"_row": kept}, dtype="int64")
+
+    walked = small.repartition("_group").sortWithinPartitions("_group", order).select("_row", "_group", "url", "_name")
+    chosen = walked.mapInPandas(run, "_row bigint")
+    kept = materialize(left.join(chosen, "_row", "left_semi"), "dedup-kept")
+    large = sizes.filter(F.col("_rows") > GROUP_ROWS)
+    return kept, materialize(grouped.join(large, "_group", "left_semi").select(left.columns), "dedup-open")
+
+
 def new_documents(found: DataFrame, known: DataFrame, order: str = "seq") -> DataFrame:
     """Documents of a retried page that neither repeat a known URL nor a known file name."""
     unseen = found.withColumn("_name", F.lower("filename")).join(known.select("url").distinct(), "url", "left_anti")

@@ -453,6 +453,24 @@ def dedup_two_keys(spark, folder):
     )
 
 
+@query(
+    """WITH o AS (SELECT event_id, event_id - (SELECT min(event_id) FROM events) AS i FROM events)
+SELECT event_id AS seq, CASE WHEN i % 2 = 0 THEN 'kept' ELSE 'skipped' END AS verdict FROM o"""
+)
+def dedup_long_chain(spark, folder):
+    """One chain through all events: each shares its address with one neighbour and its file name with the other."""
+    events = table(spark, folder, "events").select(F.col("event_id").alias("seq"))
+    i = F.col("seq") - events.agg(F.min("seq")).scalar()
+    kept, skipped = dedup_two_key(
+        events.select(
+            "seq",
+            F.concat(F.lit("https://h.example.com/"), F.floor((i + 1) / 2).cast("string")).alias("url"),
+            F.concat(F.lit("N"), F.floor(i / 2).cast("string"), F.lit(".pdf")).alias("filename"),
+        )
+    )
+    return kept.select("seq", F.lit("kept").alias("verdict")).unionByName(skipped.select("seq", F.lit("skipped").alias("verdict")))
+
+
 @query(
     _with_store("""SELECT min(seq) AS seq, lower(filename) AS name FROM store t WHERE NOT is_accessible AND source_url NOT IN (SELECT source_url FROM store WHERE summary_status = 'complete' AND extension = '.pdf')
   AND lower(filename) NOT IN (SELECT lower(filename) FROM store WHERE summary_status = 'complete' AND extension = '.pdf') GROUP BY 2""")
