@@ -61,6 +61,29 @@ def test_cross_parsing_takes_longest_matches():
 # --- nearest neighbours -----------------------------------------------------------------------
 
 
+def test_automata_follow_the_text_not_the_alphabet():
+    """Thousands of letters: transitions take little room and still parse into longest matches."""
+    rng = np.random.default_rng(2)
+    text = rng.integers(1, 3000, 20_000).astype(np.int16)
+    automaton = langid.SuffixAutomaton(text, 3001)
+    assert sum(x.nbytes for x in (automaton.base, automaton.owner, automaton.to, automaton.root)) < 2_000_000
+    learned = text.tobytes()
+    parsed = np.concatenate([text[500:530], rng.integers(0, 3000, 40).astype(np.int16), text[9:60]])
+
+    def holds(part):
+        at = learned.find(part.tobytes())
+        while at % 2 == 1:
+            at = learned.find(part.tobytes(), at + 1)
+        return at >= 0
+
+    ended, start = 0, 0
+    for end in range(1, len(parsed) + 1):
+        if not holds(parsed[start:end]):
+            ended += 1
+            start = end - 1 if holds(parsed[end - 1 : end]) else end
+    assert automaton.phrases(parsed[:, None]).tolist() == [ended]
+
+
 def exact(rows, k):
     """(query, candidates in order) by comparing everything in double precision."""
     out = {}

@@ -44,9 +44,10 @@ def reduced(text: str | None) -> str:
 
 
 class SuffixAutomaton:
-    """Transitions of the smallest automaton that accepts all substrings of a text, as one dense table.
+    """Transitions of the smallest automaton that accepts all substrings of a text.
 
-    ``table[state * width + symbol]`` holds twice the next state, plus 1 where a phrase ended before the symbol.
+    They lie in one array with the states' rows pushed into each other's gaps: the transition of a symbol is at
+    ``base[state] + symbol`` if ``owner`` there is the state.  Its size follows the text, not the alphabet.
     """
 
     def __init__(self, symbols: np.ndarray, width: int):
@@ -76,14 +77,15 @@ class SuffixAutomaton:
                     link[q] = link[state] = copy
             last = state
         # Without a way on, a phrase ends and the symbol begins the next one from the root (0 if never seen).
-        root = np.zeros(width, np.int32)
+        self.root = np.zeros(width, np.int32)
         for c, to in edges[0].items():
-            root[c] = to
-        table = np.tile(root * 2 + 1, (len(edges), 1))
-        for state, out in enumerate(edges):
-            if out:
-                table[state, list(out)] = np.array(list(out.values()), np.int32) * 2
-        self.table, self.width = table.ravel(), width
+            self.root[c] = to
+        self.base, places = np.zeros(len(edges), np.int32), _packed(edges)
+        self.owner = np.full(max(places, default=0) + width + 1, -1, np.int32)
+        self.to = np.zeros(len(self.owner), np.int32)
+        for place, (state, symbol, to) in places.items():
+            self.owner[place], self.to[place] = state, to
+            self.base[state] = place - symbol
 
     def phrases(self, lanes: np.ndarray) -> np.ndarray:
         """Phrases ended in each column of ``lanes`` (symbols by position, -1 beyond the end)."""
@@ -96,12 +98,36 @@ class SuffixAutomaton:
                 alive = int(np.searchsorted(-row[:alive], 1))
             if not alive:
                 break
-            step = self.table[state[:alive] * self.width + row[:alive]]
-            ended[:alive] += step & 1
-            state[:alive] = step >> 1
+            at = self.base[state[:alive]] + row[:alive]
+            on = self.owner[at] == state[:alive]
+            ended[:alive] += ~on
+            state[:alive] = np.where(on, self.to[at], self.root[row[:alive]])
         return ended
 
 
+def _packed(edges: list[dict[int, int]]) -> dict[int, tuple[int, int, int]]:
+    """A place for every edge (state, symbol, next state), a state's places as far apart as its symbols.
+
+    States with many edges are placed first, where all of their places are free; those with one edge fill the gaps.
+    """
+    places: dict[int, tuple[int, int, int]] = {}
+    start, size = 0, 0
+    for state in sorted(range(len(edges)), key=lambda i: -len(edges[i])):
+        symbols = sorted(edges[state])
+        if not symbols:
+            break
+        if len(symbols) != size:
+            start, size = 0, len(symbols)
+        base = start
+        while any(base + c in places for c in symbols):
+            base += 1
+        # States of equal size go on from where the last one found room.
+        start = base
+        for c in symbols:
+            places[base + c] = (state, c, edges[state][c])
+    return places
+
+
 class Model:
     """Automata of all learned languages over one alphabet."""
 
@@ -109,7 +135,7 @@ class Model:
         self.languages = sorted(samples)
         letters = sorted(set("".join(samples.values())) | {" "})
         self.width = len(letters) + 1  # symbol 0 stands for any letter not learned
-        self.codes = np.zeros(0x110000, np.int16)
+        self.codes = np.zeros(0x110000, np.int16 if self.width < 2**15 else np.int32)
         self.codes[[ord(c) for c in letters]] = np.arange(1, self.width)
         self.automata = [SuffixAutomaton(self.symbols(samples[x]), self.width) for x in self.languages]
 
@@ -129,7 +155,7 @@ class Model:
         order = np.argsort(-sizes, kind="stable")
         for a in range(0, len(order), LANES):
             chosen = order[a : a + LANES]
-            lanes = np.full((sizes[chosen[0]], len(chosen)), -1, np.int16)
+            lanes = np.full((sizes[chosen[0]], len(chosen)), -1, self.codes.dtype)
             for k, p in enumerate(chosen):
                 lanes[: sizes[p], k] = pieces[p]
             mine = np.array(owners)[chosen]
