@@ -123,6 +123,12 @@ def test_everything(bench, tmp_path):
     assert bench.blobs().count() == blobs - 1
     assert bench.store().count() == 3
 
+    assert bench.store_status()["document_count"] == 3
+    assert bench.check_folder(str(place))["valid"] and bench.check_folder("")["code"] == "empty"
+    assert bench.make_folder(str(place / "deeper")) == str(place / "deeper")
+    with pytest.raises(ValueError):
+        bench.make_folder("")
+
     row = bench.history().first()
     assert (row.scan_mode, row.pages_scanned, row.documents_found, row.total_size_bytes) == ("batch", 3, 3, 20)
     bench.clear_history()

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weblode.functions.requests import check_depth, check_url
+from weblode.functions.requests import check_depth, check_path, check_url
 from weblode.lookups import CRAWL_OPTIONS, FILTER_EXTENSIONS, SETTING_DEFAULTS
 from weblode.operators import crawl as C
 from weblode.operators import enrich as E
@@ -33,14 +33,15 @@ from weblode.operators.naming import unique_names
 from weblode.operators.ordered import numbered_by
 from weblode.schemas import DOWNLOAD, HISTORY
 from weblode.session import materialize
-from weblode.sinks.downloads import CANCELLED, StopMarker, create_folder, save_files
+from weblode.sinks.downloads import CANCELLED, StopMarker, check_target, create_folder, save_files
 from weblode.sinks.exports import export_scan
 from weblode.sinks.keyed import Change, KeyedTables, Layout
-from weblode.sinks.tables import read_snapshot, write_snapshot
+from weblode.sinks.tables import SnapshotConflict, read_snapshot, snapshot_number, write_snapshot
 from weblode.sources.files import extract_text, spreadsheet_profiles
 from weblode.sources.http import pages_from_responses, probed_documents, probed_sizes, request_all
 from weblode.sources.paced import HostPace, request_paced
 from weblode.sources.services import reextract, summarize_parts
+from weblode.sources.tables import health
 
 Client = Callable[[str], dict]
 
@@ -192,6 +193,14 @@ class Workbench:
         return found, bad, failed, failed
 
     def _remember(self, scan_id: str, scan: Scan) -> None:
+        """Add the scan to the history; if someone else did so meanwhile, count its id again."""
+        while True:
+            try:
+                return self._append_history(scan, snapshot_number(self.spark, f"{self.root}/history"))
+            except SnapshotConflict:
+                continue
+
+    def _append_history(self, scan: Scan, base: int) -> None:
         old = self.history_table()
         new_id = (old.agg(F.max("id")).first()[0] or 0) + 1
         r = scan.request
@@ -201,7 +210,7 @@ class Workbench:
         ).withColumns({"completed_at": F.timestamp_seconds("end_time"), "started_at": F.timestamp_seconds("end_time")})
         documents = scan.documents.select(F.lit(new_id).cast("bigint").alias("id"), "filename", "file_size_bytes", "is_accessible", F.xxhash64("url").alias("seq"))
         rows = H.history_rows(scans, documents)
-        write_snapshot(H.append(old, rows, int(self.settings()["scan_history_limit"])), f"{self.root}/history")
+        write_snapshot(H.append(old, rows, int(self.settings()["scan_history_limit"])), f"{self.root}/history", base=base)
 
     def cancel(self, scan_id: str) -> None:
         """Stop before the next level; what was found stays."""
@@ -293,8 +302,29 @@ class Workbench:
         """Remove a document and every blob it ever had, in one commit."""
         return S.delete_keyed(self.tables, [document_id]) > 0
 
+    def store_status(self) -> dict:
+        """Whether the store answers, and how many documents it holds."""
+        return health(self.store)
+
     # --- downloads to a folder ----------------------------------------------------------------
 
+    def check_folder(self, path: str, required_bytes: int = 0) -> dict:
+        """Whether a folder can take a download of that size: ``valid, code, message, path``."""
+        seen = check_target(path, required_bytes)
+        kinds = "path string, exists boolean, is_dir boolean, writable boolean, free bigint, required bigint"
+        row = self.spark.createDataFrame([tuple(seen.values())], kinds)
+        judged = row.select(check_path(*[F.col(c) for c in ("exists", "is_dir", "writable", "path", "free", "required")]).alias("r"))
+        return judged.first().r.asDict() | {"path": seen["path"]}
+
+    def make_folder(self, path: str) -> str:
+        """Create a folder for downloads; its absolute path."""
+        if not path:
+            raise ValueError("Path cannot be empty")
+        ready, place = create_folder(path)
+        if not ready:
+            raise ValueError(place)
+        return place
+
     def download_to_folder(self, scan_id: str, urls: list[str] | DataFrame, folder: str, open_stream, session_id: str | None = None) -> tuple[dict, DataFrame]:
         """Save documents of a scan under unique names, numbered in the order they were found; counts, and a row per file.
 
