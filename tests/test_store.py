@@ -151,6 +151,15 @@ def test_search(spark):
         Q.search(store, limit=0)
 
 
+@pytest.mark.parametrize("phrase", ["of the", "the", "of the end", ". the", "a-b", "f the e", "(the)"])
+def test_phrases_in_the_index_are_those_of_the_scan(spark, phrase):
+    texts = ["proof there red", "red of the end", "red. The, of", "of red the", "proof therefore of the ender red", "a-b red (the)", "aa-bb", "of the end"]
+    store = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "_id string, extracted_text string")
+    query = f'red "{phrase}"'
+    want = [(r._id, r.score) for r in Q.search(store, query).collect()]
+    assert [(r._id, r.score) for r in Q.search_index(Q.build_index(store), query, 50, store).collect()] == want
+
+
 def test_csv_export_bytes(spark, tmp_path):
     store = S.upsert(empty_store(spark), captures(spark, [(1, "b", "x"), (2, "a", "y"), (3, "c", "z")]))
     store = store.withColumn("title", F.when(F.col("filename") == "c.txt", F.lit('A "quoted", title')))

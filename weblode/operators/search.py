@@ -8,6 +8,8 @@ list.
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -115,6 +117,18 @@ def build_index(store: DataFrame, fields: list[str] | None = None) -> DataFrame:
     )
 
 
+#: How a word of the index can hold a part of a phrase.
+_FITS = {"is": lambda word, part: word == part, "ends": F.endswith, "begins": F.startswith, "holds": F.contains}
+
+
+def _demands(phrase: str) -> list[tuple[str, str]]:
+    """What words a text with the phrase must have: its outer ones may be the end and the beginning of longer words."""
+    parts = re.split(r"[^\w]+|_", phrase)
+    last = len(parts) - 1
+    kinds = ["ends", *["is"] * (last - 1), "begins"] if last else ["holds"]
+    return [(kind, part) for kind, part in zip(kinds, parts, strict=True) if part]
+
+
 def search_index(
     index: DataFrame,
     query: str,
@@ -127,19 +141,21 @@ def search_index(
     """The answer of :func:`search` from an inverted index: ``_id, score``, or with ``store`` its rows as there.
 
     Words are summed and excluded words removed within the index.  Phrases and filters need ``store`` (the snapshot
-    the index was built from, over the same ``fields``) and are checked on the documents that hold all of the
-    phrases' words, never on the whole store.
+    the index was built from, over the same ``fields``) and are checked on the documents whose words can hold the
+    phrases, never on the whole store.  As in the scan, a phrase may begin and end inside words.
     """
     _check_limit(limit)
     words, phrases, excluded = query_terms(query)
     if (phrases or scan_url or extension) and store is None:
         raise ValueError("phrases and filters need the store")
-    hits = index.filter(F.col("word").isin(words)).groupBy("_id")
-    scored = hits.agg(F.sum("frequency").alias("score"), F.collect_set("word").alias("_words"))
-    needed = sorted({w for p in phrases for w in re.split(r"[^\w]+|_", p) if w})
-    if needed:
-        scored = scored.filter(F.size(F.array_intersect("_words", F.array(*map(F.lit, needed)))) == len(needed))
-    scored = scored.drop("_words")
+    word = F.col("word")
+    query_word = word.isin(words)
+    demands = list(dict.fromkeys(d for p in phrases for d in _demands(p)))
+    fits = [_FITS[kind](word, F.lit(part)) for kind, part in demands]
+    hits = index.filter(reduce(or_, fits, query_word)).groupBy("_id").agg(
+        F.sum(F.when(query_word, F.col("frequency"))).alias("score"), *[F.bool_or(fit).alias(f"_fit{k}") for k, fit in enumerate(fits)]
+    )
+    scored = hits.filter(reduce(and_, [F.col(f"_fit{k}") for k in range(len(fits))], F.col("score") > 0)).select("_id", "score")
     if excluded:
         # An excluded text may hold several words; documents with any of them go, as in the scan.
         gone = index.filter(F.col("word").isin(excluded)).select("_id").distinct()
