@@ -102,6 +102,38 @@ def test_long_chain_takes_few_jobs(spark):
     assert jobs < 60
 
 
+@pytest.mark.parametrize("seed", range(2))
+def test_two_key_dedup_in_stretches_equals_loop(spark, monkeypatch, seed):
+    """Groups far larger than a stretch, with chains in any direction and rows that hang on two open values."""
+    monkeypatch.setattr(dedup, "GROUP_ROWS", 25)
+    rng = random.Random(seed)
+    data = [(i, f"u{(i + 1) // 2 + 7 * rng.randint(0, 1) * (i % 9 == 0)}", f"n{i // 2 + 5 * rng.randint(0, 1) * (i % 11 == 0)}") for i in range(150)]
+    frame = spark.createDataFrame(data, "seq bigint, url string, _name string").withColumn("_row", F.col("seq"))
+    urls, names, want, left, got = set(), set(), [], frame, []
+    for seq, url, name in data:
+        if url not in urls and name not in names:
+            urls.add(url)
+            names.add(name)
+            want.append(seq)
+    passes = 0
+    while not left.isEmpty():
+        kept, left = dedup._in_stretches(left, "seq")
+        got += [r.seq for r in kept.collect()]
+        passes += 1
+    assert sorted(got) == want and passes < 6
+
+
+def test_chain_over_many_stretches_takes_few_jobs(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "GROUP_ROWS", 100)
+    spark.sparkContext.setJobGroup("stretches", "")
+    kept, _ = dedup_two_key(chain(spark, 3_000))
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup("stretches"))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert kept.count() == 1_500
+    # In rounds the chain would take one for every other link.
+    assert jobs < 150
+
+
 @pytest.mark.parametrize("per_task", [7, 1000])
 def test_connected_matches_union_find(spark, monkeypatch, per_task):
     monkeypatch.setattr(groups, "PAIRS_PER_TASK", per_task)
