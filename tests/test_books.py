@@ -57,3 +57,16 @@ def test_long_sheets_need_little_memory():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert count == 1_000_000 and peak < 5_000_000
+
+
+def test_narrow_rows_are_spread_over_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from weblode.plans.enrich_queries import _workbooks
+    from weblode.sources.tables import spread
+
+    rows = spread(spark.range(0, 5_000, 1, 1), "id", 1_000)
+    assert rows.select(F.spark_partition_id().alias("p")).distinct().count() == 5 and rows.count() == 5_000
+    # 15,000 customers in one small file.
+    books = _workbooks(spark, "/root/testdata/sf0.1").select(F.spark_partition_id().alias("p"))
+    assert books.distinct().count() == 8

@@ -24,7 +24,7 @@ from weblode.sources.books import BookSource
 from weblode.sources.files import extract_text, spreadsheet_profiles
 from weblode.sources.http import failure_reasons, pages_from_responses, probed_documents, probed_sizes, request_all
 from weblode.sources.outbox import Outbox
-from weblode.sources.tables import table
+from weblode.sources.tables import spread, table
 from weblode.streaming.keyed import current, watched_sessions
 from weblode.streaming.progress import live_status, progress_counts, stream_table
 
@@ -62,7 +62,8 @@ def docx_text(spark, folder):
 
 def _workbooks(spark, folder):
     key = F.col("c_custkey")
-    return table(spark, folder, "customer").select(
+    customers = spread(table(spark, folder, "customer").select("c_custkey", "c_name"), "c_custkey", 2_000)
+    return customers.select(
         key.alias("c_custkey"), xlsx_file(F.col("c_name"), key * 3, key % 20000 + 30000).alias("content"), F.lit(".xlsx").alias("extension")
     )
 

@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from weblode.functions.text import strip
 from weblode.functions.url import extension_of_name
 from weblode.lookups import PLAIN_TEXT_EXTENSIONS
+from weblode.session import materialize
 from weblode.sources.books import Book
 
 PACKED_EXTENSIONS = ["pdf", "docx", "doc", "xlsx", "xls"]
@@ -165,5 +166,6 @@ def spreadsheet_profiles(files: DataFrame, key: str) -> DataFrame:
     extension = F.lower(F.ltrim(F.col("extension"), F.lit(".")))
     flat = extension.isin("csv", "tsv")
     texts = files.filter(flat).select(key, decode_text(F.col("content")).alias("text"), "extension")
-    books = sheet_rows(files.filter(~flat), [key]).filter(F.col("sheet").isNotNull())
+    # Counts and samples both need the rows: written once, so that no workbook is opened twice.
+    books = materialize(sheet_rows(files.filter(~flat), [key]).filter(F.col("sheet").isNotNull()), "sheet-rows")
     return csv_profile(texts, [key]).select(key, "profile").unionByName(workbook_profile(books, key))

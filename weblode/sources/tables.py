@@ -10,6 +10,15 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(rows: DataFrame, by: str, each: int) -> DataFrame:
+    """Narrow rows dealt over tasks of about ``each`` rows, for work that is long per row.
+
+    Scans deal out files by their bytes, and adaptive execution shuffles by theirs: many rows of little size would share
+    a few tasks.
+    """
+    return rows.repartition(max(1, -(-rows.count() // each)), by)
+
+
 def health(df_source) -> dict:
     """Connection check: ``connected, message, document_count`` from a callable that opens the store."""
     from pyspark.sql import functions as F
