@@ -89,3 +89,24 @@ def test_one_owner_at_a_time(spark, tmp_path):
     with Lease(spark, f"{outbox.root}/lease", 60), pytest.raises(Busy):
         outbox.drain(lambda request, key: {})
     assert outbox.drain(lambda request, key: {}) == 0
+
+
+def test_replies_leave_a_task_together(spark, monkeypatch):
+    import pandas as pd
+
+    from weblode.sources import outbox as O
+
+    taken = {}
+
+    class Calls:
+        def select(self, *names):
+            return self
+
+        repartition = select
+
+        def mapInPandas(self, run, schema):
+            taken["run"] = run
+
+    O._posted(Calls(), lambda request, key: {"status": 200, "body": request}, 1, 0.0)
+    calls = pd.DataFrame({"call_key": [str(i) for i in range(2_500)], "request": ["r"] * 2_500})
+    assert [len(f) for f in taken["run"](iter([calls, calls[:3]]))] == [1_000, 1_000, 500, 3]

@@ -25,6 +25,9 @@ from weblode.sources.services import REPLY_ROW
 #: Statuses of an answer that are worth another try.
 RETRYABLE = (408, 429, 500, 502, 503, 504)
 
+#: Replies that a task holds before it hands them on.
+REPLIES = 1_000
+
 
 class Busy(RuntimeError):
     """Someone else holds the lease."""
@@ -126,13 +129,20 @@ def _posted(calls: DataFrame, post: Callable[[str, str], dict], parallel: int, g
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            # Replies are committed by parts of buckets, so a row each on its own would gain nothing.
+            replies = []
             for key, request in zip(batch["call_key"], batch["request"], strict=True):
                 try:
                     reply = post(request, key)
                 except Exception as error:
                     reply = {"failure": f"{type(error).__name__}: {error}"}
-                yield pd.DataFrame([{"_id": key, **reply}], columns=names, dtype="object")
+                replies.append({"_id": key, **reply})
+                if len(replies) == REPLIES:
+                    yield pd.DataFrame(replies, columns=names, dtype="object")
+                    replies = []
                 if gap:
                     time.sleep(gap)
+            if replies:
+                yield pd.DataFrame(replies, columns=names, dtype="object")
 
     return calls.select("call_key", "request").repartition(parallel, "call_key").mapInPandas(run, REPLY_ROW)
