@@ -90,6 +90,19 @@ def test_levels_leave_the_link_table_in_place(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
 
 
+def test_addresses_of_one_page_share_its_markup(spark):
+    """Links per address as if each had its own copy of the page, and errors too; the markup is read before addresses part."""
+    page = link("a/b") + "<!-- " + link("/no") + " --><SCRIPT>" + link("/no") + "</script >" + link("/c.pdf") + '<a href="/open'
+    rows = [([f"{SITE}/x/", f"{SITE}/y/z"], page, None), ([f"{SITE}/bad", f"{SITE}/bad/"], page, "gone"), ([], page, None), ([f"{SITE}/e"], None, None)]
+    shared = spark.createDataFrame(rows, "urls array<string>, html string, error string")
+    apart = shared.select(F.explode("urls").alias("url"), "html", "error")
+    got = sorted(map(str, C.prepare_links(shared).collect()))
+    assert got == sorted(map(str, C.prepare_links(apart).collect())) and len(got) == 6
+    plan = C.prepare_links(shared.drop("error"))._jdf.queryExecution().executedPlan().toString()
+    # Below the addresses' explode, and once.
+    assert plan.count("regexp_extract_all") == 1 and plan.index("Generate explode") < plan.index("regexp_extract_all")
+
+
 def test_crawl_without_a_bound_of_depth(spark):
     graph = {f"/n{i}": [f"/n{i + 1}"] for i in range(15)} | {"/n15": ["/n0"]}
     state = C.start_crawl(spark, f"{SITE}/n0", max_depth=None)

@@ -18,12 +18,17 @@ from weblode.functions.text import strip
 from weblode.lookups import SCRIPT_REDIRECT_MARKERS
 
 # What is never ended takes the rest of the page, as in browsers.  So each pattern passes over the page once: it never
-# starts again at an opener inside what it has consumed.
-_INERT = "(?is)<!--(?:.*?-->|.*+)" + "".join(
-    rf"|<{name}(?=[\s/>])(?:.*?</{name}\s*+>|.*+)" for name in ("script", "style", "textarea", "title")
+# starts again at an opener inside what it has consumed.  The alternatives share their first character, so that any
+# other place is passed over by one comparison.
+_INERT = (
+    "(?is)<(?:!--(?:.*?-->|.*+)"
+    + "".join(rf"|{name}(?=[\s/>])(?:.*?</{name}\s*+>|.*+)" for name in ("script", "style", "textarea", "title"))
+    + ")"
 )
-_WHOLE_TAG = r"""<(?:a|embed|object|iframe)(?=[\s/])(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
-_START_TAG = rf"(?is){_WHOLE_TAG}|<(?:a|embed|object|iframe)(?=[\s/]).*+"
+_OPENED = r"<(?:a|embed|object|iframe)(?=[\s/])"
+_ENDED = r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
+_WHOLE_TAG = _OPENED + _ENDED
+_START_TAG = rf"(?is){_OPENED}(?:{_ENDED}|.*+)"
 _ATTRIBUTE = (
     r"""(?is)^<{tag}(?:[\s/]+(?!{name}[\s=])[^\s=>/"']+(?:\s*=\s*(?:"[^"]*+"|'[^']*+'|[^\s>"']++))?)*+"""
     r"""[\s/]+{name}\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+)"""

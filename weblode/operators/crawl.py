@@ -112,12 +112,13 @@ def read_steps(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def prepare_links(pages: DataFrame) -> DataFrame:
     """Link table of fetched pages (``url, html`` and optionally ``error``), one row per distinct link.
 
+    Pages that answer to several addresses may hold ``urls``, an array, instead of ``url``: their markup is read once.
     A page with an error has one row without a link.  ``followed`` marks links to pages of the same
     site that no skip pattern excludes.
     """
     has_error = "error" in pages.columns
     good = pages.filter(F.col("error").isNull()) if has_error else pages
-    links = with_extension(extract_links(good.select("url", "html"))).drop("kind")
+    links = with_extension(extract_links(good.drop("error"))).drop("kind")
     prepared = links.select(
         "url",
         "position",
@@ -133,7 +134,8 @@ def prepare_links(pages: DataFrame) -> DataFrame:
         F.lit(None).cast("string").alias("error"),
     )
     if has_error:
-        bad = pages.filter(F.col("error").isNotNull()).select("url", "error")
+        address = F.col("url") if "url" in pages.columns else F.explode("urls").alias("url")
+        bad = pages.filter(F.col("error").isNotNull()).select(address, "error")
         prepared = prepared.unionByName(bad, allowMissingColumns=True)
     return prepared
 

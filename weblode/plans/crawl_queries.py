@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from weblode.operators import crawl as C
 from weblode.operators.dedup import dedup_by_name
-from weblode.plans.fixtures import GRAPH_SQL, link_graph, site_pages
+from weblode.plans.fixtures import GRAPH_SQL, link_graph, site_markup, site_pages
 from weblode.plans.registry import query
 from weblode.sources.tables import table
 
@@ -44,7 +44,7 @@ found AS (SELECT 'https://site.example.com/p/' || node AS key, depth FROM nodes
 
 def _site_links(spark, folder):
     """The site's link table, written once: each level of a crawl reads it instead of the markup."""
-    return C.stored_links(site_pages(spark, folder))
+    return C.stored_links(site_markup(spark, folder))
 
 
 @query(_SITE + " SELECT key, CAST(min(depth) AS INT) AS depth FROM found GROUP BY key")

@@ -179,8 +179,11 @@ def cross_links(spark: SparkSession, folder: str) -> DataFrame:
     return steps.join(targets, "_id").select("url", "position", "link")
 
 
-def site_pages(spark: SparkSession, folder: str) -> DataFrame:
-    """The given pages as one site: page ``k`` lives at ``/p/k`` and also links to two other pages and one file."""
+def site_markup(spark: SparkSession, folder: str) -> DataFrame:
+    """The given pages as one site: page ``k`` lives at ``/p/k`` and also links to two other pages and one file.
+
+    ``urls, html``: links carry the spelling they were found under, so each page answers to both of its spellings.
+    """
     pages = table(spark, folder, "pages").select("page_id", "html")
     n = pages.agg(F.count("*")).scalar()
     k = F.col("page_id")
@@ -189,12 +192,16 @@ def site_pages(spark: SparkSession, folder: str) -> DataFrame:
         ((k * 3 + 2) % n).cast("string"), F.lit('/">b</a><a href="/files/r_'), (k % 40).cast("string"),
         F.lit('.pdf?v='), k.cast("string"), F.lit('">c</a>'),
     )
-    # Links carry the spelling they were found under, so each page answers to both of its spellings.
     both = F.array(
         F.concat(F.lit("https://site.example.com/p/"), k.cast("string"), F.lit("?utm_source=x")),
         F.concat(F.lit("https://site.example.com/p/"), k.cast("string"), F.lit("/")),
     )
-    return pages.select(F.explode(both).alias("url"), F.concat("html", more).alias("html"))
+    return pages.select(both.alias("urls"), F.concat("html", more).alias("html"))
+
+
+def site_pages(spark: SparkSession, folder: str) -> DataFrame:
+    """:func:`site_markup` with a row per address: ``url, html``."""
+    return site_markup(spark, folder).select(F.explode("urls").alias("url"), "html")
 
 
 def sized_events(spark: SparkSession, folder: str) -> DataFrame:
